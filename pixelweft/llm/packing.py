@@ -12,22 +12,33 @@ ids are ordered by their content; an empty table gives no rows; extra columns ar
 
 from __future__ import annotations
 
-import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Memo, running, table
 
-#: Control characters that str.split takes for white space and the tokenizer does not.
-_odd = re.compile("[\x1c-\x1f]")
+def _ragged(data: np.ndarray, first: np.ndarray, size: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The runs data[first[i] : first[i] + size[i]] for i in at, end to end, and their lengths."""
+    length = size[at]
+    end = np.cumsum(length)
+    if not len(end):
+        return data[:0], length
+    return data[np.repeat(first[at] - (end - length), length) + np.arange(end[-1])], length
+
+
+def _gather(pieces: list[bytes], at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    size = np.fromiter(map(len, pieces), np.int64, len(pieces)) // 4
+    return _ragged(np.frombuffer(b"".join(pieces), "<u4"), np.cumsum(size) - size, size, at)
 
 
 class WordTokens:
-    """Token ids of texts as packed little-endian uint32; white space separates words for this vocabulary.
+    """Token ids of texts; white space separates words for this vocabulary, so each distinct word of a
+    group of texts is looked up once and the ids are gathered by word codes.
 
     Words of letters alone, apart from one closing full stop or comma, are lower-cased and tokenized in
     one joined call, cut again at tokens that end a word.
@@ -40,32 +51,61 @@ class WordTokens:
         vocab = self.tok.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.plain = Memo(self._plain, 400_000)
-        self.words = Memo(self._words, 500_000)
-        self.tail = {c: self._one(c) for c in ".,"}
+        del vocab
+        self.plain, self.other = Memo(self._plain, 300_000), Memo(self._each, 50_000)
+        self.tails = pa.array([".", ","])
 
-    def _one(self, word: str) -> bytes:
-        return np.array(self.tok.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+    def _each(self, words: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tok.encode_batch_fast(words, add_special_tokens=False)]
 
     def _plain(self, words: list[str]) -> list[bytes]:
         ids = np.array(self.tok.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, "<u4")
         cuts = np.flatnonzero(self.ends[ids]) + 1
         if len(cuts) != len(words):
-            return [self._one(w) for w in words]
+            return self._each(words)
         data, at = ids.tobytes(), [0, *(cuts * 4).tolist()]
         return [data[a:b] for a, b in zip(at, at[1:], strict=False)]
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        cores = [w[:-1] if w[-1] in ".," else w for w in words]
-        cores = [c.lower() if c.isalpha() and "Σ" not in c and "İ" not in c else None for c in cores]
-        known = self.plain.learn({c for c in cores if c})
-        return [self._one(w) if c is None else known[c] + self.tail[w[-1]] if w[-1] in ".," else known[c] for w, c in zip(words, cores, strict=True)]
-
-    def ids(self, text: str) -> bytes:
-        if _odd.search(text):
-            return self._one(text)
-        words = text.split()
-        return b"".join(map(self.words.learn(set(words)).__getitem__, words))
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of distinct words, one after the other, and how many each has."""
+        last = pc.utf8_slice_codeunits(words, -1)
+        tail = pc.fill_null(pc.index_in(last, self.tails), -1).to_numpy() + 1
+        core = pc.if_else(pa.array(tail > 0), pc.utf8_slice_codeunits(words, 0, -1), words)
+        plain = pc.and_(pc.utf8_is_alpha(core), pc.invert(pc.match_substring_regex(core, "[\u03a3\u0130]")))
+        key = pc.if_else(plain, pc.utf8_lower(core), words).dictionary_encode()
+        tail = np.where(plain.to_numpy(zero_copy_only=False), tail, 0)
+        keys, at = key.dictionary.to_pylist(), key.indices.to_numpy()
+        kind = np.zeros(len(keys), bool)
+        kind[at] = plain.to_numpy(zero_copy_only=False)
+        known = self.plain.learn({k for k, p in zip(keys, kind.tolist(), strict=True) if p})
+        found = [known[k] if p else None for k, p in zip(keys, kind.tolist(), strict=True)]
+        rest = [i for i, f in enumerate(found) if f is None]
+        known = self.other.learn({keys[i] for i in rest if keys[i]})
+        for i in rest:
+            found[i] = known[keys[i]] if keys[i] else b""
+        ends = self.other.learn({".", ","})
+        pieces = [*found, b"", ends["."], ends[","]]
+        both = np.empty(2 * len(at), np.int64)
+        both[::2], both[1::2] = at, len(found) + tail
+        ids, size = _gather(pieces, both)
+        return ids, size[::2] + size[1::2]
+
+    def __call__(self, texts: pa.Array, closing: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the texts with the closing ones behind each, and where each text starts (and all end)."""
+        lists = pc.utf8_split_whitespace(pc.fill_null(texts, ""))
+        codes = lists.flatten().dictionary_encode()
+        n_words = pc.list_value_length(lists).to_numpy().astype(np.int64)
+        data, size = self._words(codes.dictionary)
+        # The closing ids are one more word behind each text.
+        at = np.insert(codes.indices.to_numpy().astype(np.int64), np.cumsum(n_words), len(size))
+        data, size = np.concatenate([data, closing]), np.append(size, len(closing))
+        ids, length = _ragged(data, np.cumsum(size) - size, size, at)
+        return ids, np.concatenate([[0], np.cumsum(length)[np.cumsum(n_words + 1) - 1]]).astype(np.int64)
+
+    def exact(self, text: str, closing: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The same for one text with characters that only str and Arrow take for white space."""
+        ids = np.concatenate([np.frombuffer(self._each([text])[0], "<u4"), closing])
+        return ids, np.array([0, len(ids)])
 
 
 _loaded: dict[str, WordTokens] = {}
@@ -79,21 +119,31 @@ def load(path: str) -> WordTokens:
 
 def pieces(docs: DataFrame, path: str, capacity: int = 2048, closing: int = 0, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids]) of every document."""
-    end = np.array([closing], "<u4").tobytes()
+    end = np.array([closing], "<u4")
+    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+    names = ("doc_id", "piece", "start", "length", "ids_crc32", "ids")
+
+    def cut(doc_ids: list, ids: np.ndarray, bounds: np.ndarray) -> pa.RecordBatch:
+        cols, data = ([], [], [], [], [], []), memoryview(ids.tobytes())
+        for doc, lo, hi in zip(doc_ids, bounds.tolist(), bounds[1:].tolist(), strict=False):
+            for k, a in enumerate(range(lo, hi, capacity)):
+                b = min(hi, a + capacity)
+                part = data[4 * a : 4 * b]
+                for c, v in zip(cols, (doc, k, a - lo, b - a, zlib.crc32(part), bytes(part) if with_ids else None), strict=True):
+                    c.append(v)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)][: 5 + with_ids], names[: 5 + with_ids])
 
     def run(batches):
         tokens = load(path)
         for batch in batches:
-            docs, cols = batch.column(0).to_pylist(), ([], [], [], [], [], [])
-            for doc, text in zip(docs, batch.column(1), strict=True):
-                data = tokens.ids(text.as_py() or "") + end
-                for k, a in enumerate(range(0, len(data), 4 * capacity)):
-                    part = data[a : a + 4 * capacity]
-                    for c, v in zip(cols, (doc, k, a // 4, len(part) // 4, zlib.crc32(part), part), strict=True):
-                        c.append(v)
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            names = ("doc_id", "piece", "start", "length", "ids_crc32", "ids")
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)][: 5 + with_ids], names[: 5 + with_ids])
+            sizes = pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy().astype(np.int64)
+            odd = pc.fill_null(pc.match_substring_regex(batch.column(1), "[\\x1c-\\x1f]"), False).to_numpy(zero_copy_only=False)
+            # Groups of some 6 MB; an odd text is a group of its own.
+            group = np.cumsum(odd | np.append(False, odd[:-1])) * (1 << 40) + np.cumsum(sizes) // 6_000_000
+            cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(sizes)] if len(sizes) else [0]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                doc_ids, texts = batch.column(0).slice(a, b - a).to_pylist(), batch.column(1).slice(a, b - a)
+                yield cut(doc_ids, *(tokens.exact(texts[0].as_py(), end) if odd[a] else tokens(texts, end)))
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
