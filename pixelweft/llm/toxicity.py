@@ -116,7 +116,7 @@ def nnpu(sample: _Sample, pos: np.ndarray, unl: np.ndarray, prior: float, steps:
         grad[:-1] = np.bincount(sample.feature[on], hot[on], len(w))
         m1 = 0.9 * m1 + 0.1 * grad
         m2 = 0.999 * m2 + 0.001 * grad * grad
-        move = rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-8)
+        move = rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-3)
         w, b = w - move[:-1], b - move[-1]
     return w, b
 
@@ -137,7 +137,7 @@ def _logistic(s: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a), float(b)
 
 
-def fit(docs: DataFrame, labels: DataFrame, positives: int = 1500, unlabelled: int = 3000, calibration: int = 2000, steps: int = 40, rate: float = 0.05) -> ToxicModel:
+def fit(docs: DataFrame, labels: DataFrame, positives: int = 1500, unlabelled: int = 3000, calibration: int = 2000, steps: int = 60, rate: float = 0.15) -> ToxicModel:
     """Learn from bounded samples of training-fold documents, chosen by a hash of their ids."""
     known = docs.where(~held_out(F.col("doc_id")))
     marks = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
