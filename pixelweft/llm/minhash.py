@@ -4,10 +4,12 @@ Every permutation yields two signature values, the minimum and the maximum of a
 cost n / 2 hash evaluations. Bands of ``rows`` values (rows / 2 permutations, both ends) are bucket keys.
 With the defaults, 40 bands of 8, a pair at similarity 0.8 shares a bucket with probability 0.9994.
 
-Equal sets are one node. In every bucket each node is paired with two hubs (the smallest id, and the
-smallest by a hash that depends on the bucket), pairs are confirmed on full sets, and components are
-formed. A second, exact round takes the buckets that still hold several components and confirms every pair
-across components, so no link in a bucket is lost, while members of one component are never paired.
+Equal sets are one node. In every bucket each node is paired with the bucket's smallest id, pairs are
+confirmed on full sets, and components are formed. A second, exact round takes the buckets that still hold
+several components and confirms every pair across components that can be a link at all, so no link in a
+bucket is lost, while members of one component are never paired. What can't be a link is known from a
+parity bitmap of each set: every element in one set alone flips one bit, so the bits in which two bitmaps
+differ never outnumber the symmetric difference, which similarity s allows (1 - s) / (1 + s) of both sizes.
 
 Edge cases: a text without words (or null) has the empty set, size 0, and links with nothing; repeated
 rows and equal texts form one component; a null id gets no component and is kept; an empty table gives no
@@ -74,8 +76,19 @@ def _bands(sets: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
     return out.view(np.int64)
 
 
+BITS = 16  # longs of a parity bitmap
+
+
+def _parity(sets: list[np.ndarray]) -> np.ndarray:
+    """A bitmap for each set: bit h counts, modulo 2, the elements that hash there."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    bit = (_mix(np.concatenate(sets) ^ _Q) >> np.uint64(54)).astype(np.int64)
+    odd = np.bincount(owner * 1024 + bit, minlength=len(sets) * 1024) & 1
+    return np.packbits(odd.astype(np.uint8).reshape(len(sets), 1024), axis=1).view(np.int64)
+
+
 def signatures(docs: DataFrame, words: int = 2, bands: int = 40, rows: int = 8) -> DataFrame:
-    """(doc_id, n_shingles, digest, keys): set size, 128-bit digest of the set, bucket keys (both null if empty)."""
+    """(doc_id, n_shingles, digest, keys, bits): set size, and 128-bit digest, bucket keys and parity bitmap of the set (null if empty)."""
 
     def run(batches):
         shingle = Shingler(words)
@@ -93,10 +106,12 @@ def signatures(docs: DataFrame, words: int = 2, bands: int = 40, rows: int = 8)
                 size = [len(s) for s in sets]
                 digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 keys = [next(found) if len(s) else None for s in sets]
-                yield pa.RecordBatch.from_arrays([ids.slice(at, len(sets)), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "digest", "keys"])
+                maps = iter(_parity(full)) if full else iter(())
+                bits = [next(maps) if len(s) else None for s in sets]
+                yield pa.RecordBatch.from_arrays([ids.slice(at, len(sets)), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "digest", "keys", "bits"])
                 at += len(sets)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, keys array<long>")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, keys array<long>, bits array<long>")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
@@ -110,19 +125,30 @@ def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
                 sets = [shingle(t) for t in part.column(1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], ["node", "members"])
 
-    wanted = docs.select("doc_id", "text").join(ids, F.col("doc_id") == F.col("node"), "left_semi")
+    # A merge join at every size: the wanted ids grow with the documents.
+    wanted = docs.select("doc_id", "text").join(ids.hint("merge"), F.col("doc_id") == F.col("node"), "left_semi")
     return wanted.mapInArrow(run, "node long, members array<long>")
 
 
-def _confirm(docs: DataFrame, pairs: DataFrame, words: int, percent: int) -> DataFrame:
+def _possible(percent: int, a: str = "a", b: str = "b"):
+    """Whether sizes and bitmaps of two nodes leave room for a link."""
+    n, m = F.col(f"{a}_n"), F.col(f"{b}_n")
+    apart = F.lit(0)
+    for k in range(BITS):
+        apart = apart + F.bit_count(F.col(f"{a}_{k}").bitwiseXOR(F.col(f"{b}_{k}")))
+    return (F.least(n, m) * 100 >= percent * F.greatest(n, m)) & (apart * (100 + percent) <= (n + m) * (100 - percent))
+
+
+def _side(facts: DataFrame, name: str) -> DataFrame:
+    return facts.select(F.col("node").alias(name), F.col("n").alias(f"{name}_n"), *[F.col(f"bits_{k}").alias(f"{name}_{k}") for k in range(BITS)])
+
+
+def _confirm(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets reach the similarity."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = table(_sets(docs, ids, words))
-    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("members").alias("x")), "a")
+    left = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("members").alias("x")), "a")
     both = left.join(sets.select(F.col("node").alias("b"), F.col("members").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y"))
-    union = F.size("x") + F.size("y") - common
-    return both.where((F.least(F.size("x"), F.size("y")) * 100 >= percent * F.greatest(F.size("x"), F.size("y"))) & (common * 100 >= percent * union)).select("a", "b")
+    return both.where(common * 100 >= percent * (F.size("x") + F.size("y") - common)).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: int = 40, rows: int = 8) -> DataFrame:
@@ -131,29 +157,35 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
     full = sig.where("digest is not null and doc_id is not null")
     nodes = full.groupBy("digest").agg(F.min("doc_id").alias("node"))
     # A row stands for its set if it has the set's smallest id; repeated ids are harmless here.
-    stand = full.select("digest", "doc_id", "keys").join(nodes.withColumnRenamed("digest", "d"), (F.col("digest") == F.col("d")) & (F.col("doc_id") == F.col("node")))
-    entries = stand.select(F.col("node"), F.explode("keys").alias("key"))
-    pick = F.xxhash64("key", "node")
-    hubs = entries.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.min(F.struct(pick, "node"))["node"].alias("hub")).where("low <> high")
-    shared = table(entries.join(hubs, "key").select("key", "node", "low", "hub"))
-    star = shared.select(F.explode(F.array(F.struct("node", F.col("low").alias("other")), F.struct("node", F.col("hub").alias("other")))).alias("p")).select("p.*")
-    order = (F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
-    pairs = table(star.where("node <> other").select(*order).distinct())
-    links = table(_confirm(docs, pairs, words, percent))
+    stand = full.join(nodes.withColumnRenamed("digest", "d"), (F.col("digest") == F.col("d")) & (F.col("doc_id") == F.col("node")))
+    entries = stand.select("node", F.explode("keys").alias("key"))
+    hubs = entries.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low <> high")
+    shared = table(entries.join(hubs.hint("merge"), "key").select("key", "node", "low"))
+    ids = shared.select("node").distinct()
+    facts = table(stand.select("node", F.col("n_shingles").alias("n"), *[F.get("bits", F.lit(k)).alias(f"bits_{k}") for k in range(BITS)]).join(ids, "node", "left_semi").dropDuplicates(["node"]))
+    sets = table(_sets(docs, ids, words))
+
+    pairs = shared.where("node <> low").select(F.col("low").alias("a"), F.col("node").alias("b")).distinct()
+    pairs = pairs.join(_side(facts, "a"), "a").join(_side(facts, "b"), "b").where(_possible(percent))
+    links = table(_confirm(sets, pairs, percent))
     found = components(links)
 
-    label = shared.select("key", "node").join(found.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    label = table(label)
+    root = found.withColumnRenamed("node", "n")
+    label = table(shared.select("key", "node").join(root, F.col("node") == F.col("n"), "left").select("key", "node", F.coalesce("root", "node").alias("root")))
     mixed = label.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1")).where("r0 <> r1").select("key")
-    left = label.join(mixed, "key", "left_semi")
-    right = left.select("key", F.col("node").alias("other"), F.col("root").alias("other_root"))
-    across = left.join(right, "key").where("node < other and root <> other_root").select(*order).distinct()
-    more = table(_confirm(docs, table(across.join(pairs, ["a", "b"], "left_anti")), words, percent))
+    left = label.join(mixed.hint("merge"), "key", "left_semi")
+    left = table(left.join(_side(facts, "node"), "node"))
+    names = {c: c.replace("node", "other").replace("root", "other_root") for c in left.columns if c != "key"}
+    right = left.withColumnsRenamed(names)
+    # The bound is a condition of the join itself: pairs that can't be links are never made.
+    across = left.join(right.hint("merge"), (left["key"] == right["key"]) & (left["node"] < right["other"]) & (left["root"] != right["other_root"]) & _possible(percent, "node", "other"))
+    across = across.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
+    more = table(_confirm(sets, across.join(links, ["a", "b"], "left_anti"), percent))
     if not more.isEmpty():
         found = components(links.union(more))
 
     roots = nodes.join(found.withColumnRenamed("node", "n"), F.col("node") == F.col("n"), "left").select(F.col("digest").alias("d"), F.coalesce("root", "node").alias("root"))
-    out = sig.join(roots, F.col("digest") == F.col("d"), "left")
+    out = sig.select("doc_id", "n_shingles", "digest").join(roots, F.col("digest") == F.col("d"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
 
