@@ -72,8 +72,8 @@ def fx3(spark: SparkSession, d: str, pol: tuple[str, ...] = ("HH", "VV", "HV", "
 def fx3_pix(spark: SparkSession, d: str, n: int = 4) -> Raster:
     """The first n channels of FX3 in PIX form, straight from the vectors: no shuffle."""
     df, ny = _vectors(spark, d)
-    pick = lambda s: F.array(*[F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i, c=c: F.get(F.col("embedding"), i + s + 8 * c).cast("double")) for c in range(n)])
-    cols = F.arrays_zip(*[F.get(pick(0), F.lit(c)).alias(f"a{c}") for c in range(n)], *[F.get(pick(32), F.lit(c)).alias(f"b{c}") for c in range(n)])
+    part = lambda s: F.slice("embedding", s + 1, 8).cast("array<double>")
+    cols = F.arrays_zip(*[part(8 * c).alias(f"a{c}") for c in range(n)], *[part(32 + 8 * c).alias(f"b{c}") for c in range(n)])
     df = df.select(F.col("vec_id").alias("y"), F.posexplode(cols).alias("x", "v"))
     df = df.select("y", F.col("x").cast("long").alias("x"), F.array(*[f"v.a{c}" for c in range(n)]).alias("re"), F.array(*[f"v.b{c}" for c in range(n)]).alias("im"))
     pol = ["HH", "VV", "HV", "VH"] if n == 4 else ["HH", "VV", "XX"][:n]
