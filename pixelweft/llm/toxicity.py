@@ -50,16 +50,19 @@ class _Sample:
 
     def __init__(self, docs: list[list[str]]):
         index: dict[str, int] = {}
-        occ = [[index.setdefault(w.strip(EDGE) or w, len(index)) for w in d] for d in docs]
+        occ = [np.fromiter((index.setdefault(w.strip(EDGE) or w, len(index)) for w in d), np.int32, len(d)) for d in docs]
         self.n = len(docs)
-        self.word = np.array([w for d in occ for w in d], np.int32)
+        self.word = np.concatenate([np.zeros(0, np.int32), *occ])
         self.cuts = np.cumsum([0, *map(len, occ)])
         self.words = list(index)
+        del index, occ
         parts = list(word_ngrams(self.words, SIZES, BITS))
         self.owner = np.concatenate([o for o, _ in parts]) if parts else np.zeros(0, np.int32)
         self.feature = np.concatenate([f for _, f in parts]) if parts else np.zeros(0, np.int32)
-        order = np.argsort(self.owner, kind="stable")
+        del parts
+        order = np.argsort(self.owner, kind="stable").astype(np.int32)
         self.owner, self.feature = self.owner[order], self.feature[order]
+        del order
         self.first = np.searchsorted(self.owner, np.arange(len(self.words) + 1))
 
     def presence(self, rows: np.ndarray) -> np.ndarray:
@@ -137,7 +140,7 @@ def _logistic(s: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(a), float(b)
 
 
-def fit(docs: DataFrame, labels: DataFrame, positives: int = 1500, unlabelled: int = 3000, calibration: int = 2000, steps: int = 60, rate: float = 0.15) -> ToxicModel:
+def fit(docs: DataFrame, labels: DataFrame, positives: int = 1500, unlabelled: int = 2000, calibration: int = 1200, steps: int = 60, rate: float = 0.15) -> ToxicModel:
     """Learn from bounded samples of training-fold documents, chosen by a hash of their ids."""
     known = docs.where(~held_out(F.col("doc_id")))
     marks = labels.where(~held_out(F.col("doc_id")) & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
@@ -156,16 +159,20 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = 1500, unlabelled: i
     rows = known.select("doc_id", "text").join(F.broadcast(roles), "doc_id").select("doc_id", "text", "roles")
     got = rows.mapInArrow(tally, "doc_id long, roles array<int>, words string").toArrow().to_pylist()
     got = sorted(got, key=lambda r: (r["doc_id"], r["words"]))
-    sample = _Sample([r["words"].split(" ") if r["words"] else [] for r in got])
     of = lambda *k: np.array([i for i, r in enumerate(got) if set(k) & set(r["roles"])], np.int64)
-    p, u = of(1), of(0)
+    p, u, c0, c1 = of(1), of(0), of(2), of(3)
     if not len(p) or not len(u):
         return ToxicModel(None)
+    texts = [r["words"] for r in got]
+    del got
+    sample = _Sample([t.split(" ") if t else [] for t in texts])
+    del texts
     w, b = nnpu(sample, p, u, min(0.9, n1 / n), steps, rate)
     s, _ = sample.pooled(w)
-    c0, c1 = of(2), of(3)
-    a, shift = _logistic(np.concatenate([s[c0], s[c1]]) + b, np.concatenate([np.zeros(len(c0)), np.ones(len(c1))])) if len(c0) and len(c1) else (1.0, 0.0)
-    return ToxicModel(w.astype(np.float32), a, a * b + shift)
+    # On a logarithmic scale, or a few extreme scores would set the slope.
+    known = len(c0) and len(c1)
+    a, shift = _logistic(np.log1p(np.concatenate([s[c0], s[c1]])), np.concatenate([np.zeros(len(c0)), np.ones(len(c1))])) if known else (1.0, b)
+    return ToxicModel(w.astype(np.float32), a, shift)
 
 
 class Scorer:
@@ -182,7 +189,7 @@ class Scorer:
             words = [words_of(t) for t in texts[a:b]]
             known = self.memo.learn(set().union(*words))
             best = np.array([max(map(known.__getitem__, w), default=0.0) for w in words])
-            out += (1 / (1 + np.exp(-np.clip(m.slope * np.maximum(best, 0) + m.shift, -30, 30)))).tolist()
+            out += (1 / (1 + np.exp(-np.clip(m.slope * np.log1p(np.maximum(best, 0)) + m.shift, -30, 30)))).tolist()
         return out
 
 
