@@ -56,27 +56,53 @@ class _Sample:
         self.cuts = np.cumsum([0, *map(len, occ)])
         self.words = list(index)
         del index, occ
-        parts = list(word_ngrams(self.words, SIZES, BITS))
-        self.owner = np.concatenate([o for o, _ in parts]) if parts else np.zeros(0, np.int32)
-        self.feature = np.concatenate([f for _, f in parts]) if parts else np.zeros(0, np.int32)
-        del parts
-        order = np.argsort(self.owner, kind="stable").astype(np.int32)
-        self.owner, self.feature = self.owner[order], self.feature[order]
-        del order
-        self.first = np.searchsorted(self.owner, np.arange(len(self.words) + 1))
+        # For each n-gram size: the features of all words, end to end, and where each word's start.
+        self.parts = []
+        found = {n: ([], []) for n in SIZES}
+        for at in range(0, len(self.words), 50_000):
+            chunk = self.words[at : at + 50_000]
+            sizes = iter(SIZES)
+            for owner, f in word_ngrams(chunk, SIZES, BITS):
+                n = next(sizes)
+                found[n][0].append(f)
+                found[n][1].append(np.bincount(owner, minlength=len(chunk)))
+            for n in sizes:
+                found[n][1].append(np.zeros(len(chunk), np.int64))
+        for features, counts in found.values():
+            counts = np.concatenate([np.zeros(0, np.int64), *counts])
+            self.parts.append((np.concatenate([np.zeros(0, np.int32), *features]), np.cumsum(counts) - counts, counts))
+
+    def features(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """All features of the words, and for each its place among them."""
+        out, place = [], []
+        for feature, first, count in self.parts:
+            n = count[words]
+            end = np.cumsum(n)
+            if len(end) and end[-1]:
+                out.append(feature[np.repeat(first[words] - (end - n), n) + np.arange(end[-1])])
+                place.append(np.repeat(np.arange(len(words)), n))
+        return (np.concatenate(out), np.concatenate(place)) if out else (np.zeros(0, np.int32), np.zeros(0, np.int64))
 
     def presence(self, rows: np.ndarray) -> np.ndarray:
         """In how many of the rows each feature occurs."""
         out = np.zeros(1 << BITS)
         for r in rows:
             own = np.unique(self.word[self.cuts[r] : self.cuts[r + 1]])
-            if len(own):
-                out[np.unique(np.concatenate([self.feature[self.first[w] : self.first[w + 1]] for w in own]))] += 1
+            out[np.unique(self.features(own)[0])] += 1
         return out
 
+    def scores(self, weights: np.ndarray) -> np.ndarray:
+        s = np.zeros(len(self.words))
+        w = weights.astype(np.float32)
+        for feature, first, count in self.parts:
+            full = count > 0
+            if full.any():
+                s[full] += np.add.reduceat(w[feature], first[full])
+        return s
+
     def pooled(self, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The best word score of each document, 0 at least, and that word (-1: none above 0)."""
-        s = np.bincount(self.owner, weights[self.feature], len(self.words))
+        s = self.scores(weights)
         best, which = np.zeros(self.n), np.full(self.n, -1)
         full = np.flatnonzero(np.diff(self.cuts))
         if len(full):
@@ -114,9 +140,9 @@ def nnpu(sample: _Sample, pos: np.ndarray, unl: np.ndarray, prior: float, steps:
         grad[-1] = g.sum()
         use = np.flatnonzero((which >= 0) & (g != 0))
         per_word = np.bincount(which[use], g[use], len(sample.words))
-        hot = per_word[sample.owner]
-        on = hot != 0
-        grad[:-1] = np.bincount(sample.feature[on], hot[on], len(w))
+        hot = np.flatnonzero(per_word)
+        f, place = sample.features(hot)
+        grad[:-1] = np.bincount(f, per_word[hot][place], len(w))
         m1 = 0.9 * m1 + 0.1 * grad
         m2 = 0.999 * m2 + 0.001 * grad * grad
         move = rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-3)
@@ -157,22 +183,32 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = 1500, unlabelled: i
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([" ".join(sorted(words_of(t))) for t in batch.column(1).to_pylist()])], ["doc_id", "roles", "words"])
 
     rows = known.select("doc_id", "text").join(F.broadcast(roles), "doc_id").select("doc_id", "text", "roles")
-    got = rows.mapInArrow(tally, "doc_id long, roles array<int>, words string").toArrow().to_pylist()
-    got = sorted(got, key=lambda r: (r["doc_id"], r["words"]))
-    of = lambda *k: np.array([i for i, r in enumerate(got) if set(k) & set(r["roles"])], np.int64)
+    prior = min(0.9, n1 / n)
+
+    def train(batches):
+        got = sorted((r["doc_id"], r["words"], r["roles"]) for batch in batches for r in batch.to_pylist())
+        model = _train([g[1] for g in got], [g[2] for g in got], prior, steps, rate)
+        yield pa.RecordBatch.from_arrays([pa.array([None if model.weights is None else model.weights.tobytes()], pa.binary()), pa.array([model.slope]), pa.array([model.shift])], ["weights", "slope", "shift"])
+
+    # The sample is bounded, so one task can train on it; the driver gets the weights alone.
+    sample = rows.mapInArrow(tally, "doc_id long, roles array<int>, words string").repartition(1)
+    got = sample.mapInArrow(train, "weights binary, slope double, shift double").first()
+    weights = None if got is None or got["weights"] is None else np.frombuffer(got["weights"], np.float32)
+    return ToxicModel(weights, got["slope"], got["shift"]) if weights is not None else ToxicModel(None)
+
+
+def _train(texts: list[str], roles: list[list[int]], prior: float, steps: int, rate: float) -> ToxicModel:
+    of = lambda *k: np.array([i for i, r in enumerate(roles) if set(k) & set(r)], np.int64)
     p, u, c0, c1 = of(1), of(0), of(2), of(3)
     if not len(p) or not len(u):
         return ToxicModel(None)
-    texts = [r["words"] for r in got]
-    del got
     sample = _Sample([t.split(" ") if t else [] for t in texts])
-    del texts
-    w, b = nnpu(sample, p, u, min(0.9, n1 / n), steps, rate)
+    w, b = nnpu(sample, p, u, prior, steps, rate)
     s, _ = sample.pooled(w)
     # On a logarithmic scale, or a few extreme scores would set the slope.
     known = len(c0) and len(c1)
     a, shift = _logistic(np.log1p(np.concatenate([s[c0], s[c1]])), np.concatenate([np.zeros(len(c0)), np.ones(len(c1))])) if known else (1.0, b)
-    return ToxicModel(w.astype(np.float32), a, shift)
+    return ToxicModel(w.astype(np.float32), a, float(shift))
 
 
 class Scorer:
