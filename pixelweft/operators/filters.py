@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..raster import Raster
 from ..tiles import map_tiles
-from ..windows import box_mean, gauss as gauss_df, kernel2d, safe, shifted, weighted
+from ..windows import box_mean, gauss as gauss_df, kernel2d, safe, shifted, slide
 from .point import complex2abs, sarscale
 
 Win = tuple[int, int]
@@ -94,11 +94,11 @@ def smooth(r: Raster, box: Win = (3, 3), phase: bool = False) -> Raster:
 def sobel(r: Raster) -> Raster:
     """Magnitude of the two Sobel derivatives of the amplitude."""
     r = _amplitude(r)
-    df = r.df.withColumns({"p": F.col("re"), "q": F.col("re")})
-    df = weighted(df, r.keys, "y", ["p"], r.ny, [-1.0, 0.0, 1.0])
-    df = weighted(df, r.keys, "x", ["p"], r.nx, [1.0, 2.0, 1.0])
-    df = weighted(df, r.keys, "x", ["q"], r.nx, [-1.0, 0.0, 1.0])
-    df = weighted(df, r.keys, "y", ["q"], r.ny, [1.0, 2.0, 1.0])
+    diff = lambda c: lambda line: F.lead(c, 1).over(line) - F.lag(c, 1).over(line)
+    mean = lambda c: lambda line: F.lag(c, 1).over(line) + 2.0 * F.col(c) + F.lead(c, 1).over(line)
+    # Both derivatives share the pass along each axis.
+    df = slide(r.df, r.keys, "y", r.ny, 1, 1, {"p": diff("re"), "q": mean("re")})
+    df = slide(df, r.keys, "x", r.nx, 1, 1, {"p": mean("p"), "q": diff("q")})
     return _only(r, df, re=F.sqrt(F.col("p") * F.col("p") + F.col("q") * F.col("q")))
 
 
