@@ -56,7 +56,7 @@ class ByteBpe:
             self.table[r] = t
         self.length = np.fromiter(map(len, self.table), np.int64, size)
         self.digits = [str(i) for i in range(size)]
-        self.memo = Memo(self._encode_chunks)
+        self.memo = Memo(self._encode_chunks, 300_000)
 
     @staticmethod
     def _halves(token: bytes, rank: int, ranks: dict[bytes, int]) -> tuple[bytes, bytes]:

@@ -125,7 +125,7 @@ def running(df: DataFrame, keys: list[str], bucket: Column, order: list[str], na
 class Memo:
     """Values by word for one worker; forgets everything when it is full, so memory stays bounded."""
 
-    def __init__(self, compute: Callable[[list], Iterable], limit: int = 300_000):
+    def __init__(self, compute: Callable[[list], Iterable], limit: int = 200_000):
         self.compute, self.limit, self.known = compute, limit, {}
 
     def learn(self, words: Iterable) -> dict:
@@ -140,7 +140,7 @@ class Memo:
         return known
 
 
-def small_batches(texts: list, most: int = 4_000_000) -> Iterator[tuple[int, int]]:
+def small_batches(texts: list, most: int = 2_000_000) -> Iterator[tuple[int, int]]:
     """Bounds of runs of texts with about ``most`` characters each; a longer text is a run of its own."""
     start = size = 0
     for i, t in enumerate(texts):
