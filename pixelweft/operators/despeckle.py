@@ -420,3 +420,39 @@ def plr(labels: Raster, classes: int, compatibility: float = 3.0, iterations: in
             df = cut(df)
     best = F.array_max(F.array(*[F.struct(F.col(p[k]).alias("v"), F.lit(-k).alias("k")) for k in range(classes)]))["k"]
     return r.with_df(df.select("y", "x", (-best).cast("double").alias("re")))
+
+
+def bilateral_matrix(cov: Raster, gamma_s: float = 2.8, gamma_r: float = 1.33, iterations: int = 1) -> Raster:
+    """Bilateral filter of covariance matrices: weights fall with |A^-1/2 B A^-1/2| (Frobenius) and distance.
+
+    The centre also gets the largest weight below one. Whole matrices share a tile; linear algebra is batched.
+    """
+    n = cov.lshape[0]
+    reach = int(math.ceil(math.sqrt(3) * gamma_s))
+
+    def kernel(block):
+        h, w = block.shape[1:]
+        m = block.reshape(n, n, h, w).transpose(2, 3, 0, 1)
+        real = np.abs(np.trace(m, axis1=2, axis2=3)) > 0
+        val, vec = np.linalg.eigh((m + m.conj().swapaxes(-1, -2)) / 2)
+        root = (vec / np.sqrt(np.maximum(val, 1e-12))[..., None, :]) @ vec.conj().swapaxes(-1, -2)
+        out, total, top = np.zeros_like(m), np.zeros((h, w)), np.zeros((h, w))
+        for t in range(-reach, reach):
+            for s in range(-reach, reach):
+                b, ok = (np.roll(a, (-t, -s), (0, 1)) for a in (m, real))
+                d = np.linalg.norm(root @ b @ root, axis=(-1, -2))
+                wr = np.where(ok & np.isfinite(d), np.exp(-d / gamma_r**2), 0.0)
+                top = np.where((wr > top) & (wr < 1), wr, top)
+                wt = wr * math.exp(-(s * s + t * t) / gamma_s**2)
+                out += wt[..., None, None] * b
+                total += wt
+        out += top[..., None, None] * m
+        total += top
+        out = np.where((total > 1e-10)[..., None, None], out / np.maximum(total, 1e-10)[..., None, None], m)
+        return out.transpose(2, 3, 0, 1).reshape(n * n, h, w)
+
+    r = cov.long()
+    for _ in range(iterations):
+        r = map_tiles(r, (reach, reach), kernel, tile=(48, 48), together=True, border="zero")
+        r = cov.long().with_df(r.df)
+    return r

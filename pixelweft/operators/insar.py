@@ -270,6 +270,7 @@ def unwrap_poisson(phase: Raster) -> Raster:
 
 def qef(phase: Raster, strength: float = 0.5, win: int = 5) -> Raster:
     """Fluctuations unwrapped at three scales are taken out, the rest is blended with its median, and they are put back."""
+    from ..plans import cut
     from .filters import median
 
     r = phase.long()
@@ -281,7 +282,8 @@ def qef(phase: Raster, strength: float = 0.5, win: int = 5) -> Raster:
         u = unwrap_poisson(_angle(median(z, (3, 3))))
         if up is not None:
             u = u.with_df(u.df.join(up.df.withColumnRenamed("re", "u"), ["y", "x"]).select("y", "x", (F.col("re") + F.col("u")).alias("re")))
-        up = u.with_df(box_mean(u.df, [], ["re"], r.ny, r.nx, (11, 11)))
+        # Each scale is read several times by the next.
+        up = u.with_df(cut(box_mean(u.df, [], ["re"], r.ny, r.nx, (11, 11))))
     res = up.with_df(box_mean(up.df, [], ["re"], r.ny, r.nx, (11, 11)))
     d = r.df.join(res.df.withColumnRenamed("re", "u"), ["y", "x"])
     z = phasor(r.with_df(d.select("y", "x", (F.col("re") - F.col("u")).alias("re"))))

@@ -297,3 +297,21 @@ def test_interpolators_hit_their_samples():
     for f in (sp.interpol_cubic, sp.interpol_lanczos, *[lambda v, t, w=w: sp.interpol_sinc(v, t, 6, w) for w in sp.SINC_WINDOWS]):
         assert np.allclose(f(y, at), y[3:16])
     assert np.allclose(sp.interpol_spline1d(np.arange(20.0), y, at), y[3:16])
+
+
+def test_matrix_bilateral_smooths_and_keeps_edges(spark):
+    m = matrix(3, 10, 12, 4)
+    m[..., 6:] *= 50
+    out = ds.bilateral_matrix(covariance(spark, m), 1.0).to_numpy()
+    power, before = np.trace(out).real, np.trace(m).real
+    assert out.shape == m.shape and power[:, :5].var() < before[:, :5].var()
+    assert power[:, :5].mean() < 2 * before[:, :5].mean() and power[:, 7:].mean() > 0.5 * before[:, 7:].mean()
+
+
+def test_airsar_bands_to_a_hermitian_matrix(spark):
+    from pixelweft.sources.products import airsar_matrix
+
+    b = RNG.standard_normal((6, 2, 3)) + 1j * RNG.standard_normal((6, 2, 3))
+    b[[0, 3, 5]] = b[[0, 3, 5]].real
+    m = airsar_matrix(from_numpy(spark, b)).to_numpy()
+    assert np.allclose(m, m.conj().swapaxes(0, 1)) and np.allclose(m[2, 1], b[4]) and np.allclose(m[0, 1], b[2])
