@@ -191,7 +191,10 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, bands: i
 
 
 def keep(docs: DataFrame, **options) -> DataFrame:
-    """The documents that stay: one, with the smallest id, of each group of near-duplicates."""
+    """The documents that stay: one, with the smallest id, of each group of near-duplicates.
+
+    A repeated row (same id and text) stays once; rows without an id stay.
+    """
     kept = near_duplicates(docs, **options).where("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id")).distinct()
     stay = docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi")
-    return stay.union(docs.where("doc_id is null"))
+    return stay.dropDuplicates(["doc_id", "text"]).union(docs.where("doc_id is null"))

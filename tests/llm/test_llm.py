@@ -203,6 +203,8 @@ def test_near_duplicates_odd(spark):
     assert minhash.near_duplicates(none(spark)).count() == 0
     kept = minhash.keep(odd(spark, False), words=2)
     assert kept.columns == odd(spark, False).columns and 8 not in {r.doc_id for r in kept.collect()}
+    twice = minhash.keep(odd(spark, False).where("doc_id = 7 or doc_id = 4 or doc_id is null").union(odd(spark, False).where("doc_id = 7")))
+    assert sorted(str(r.doc_id) for r in twice.collect()) == ["4", "7", "None"]
 
 
 # --- 3 near-duplicates of vectors ----------------------------------------------------------------------
