@@ -125,7 +125,7 @@ def running(df: DataFrame, keys: list[str], bucket: Column, order: list[str], na
 class Memo:
     """Values by word for one worker; forgets everything when it is full, so memory stays bounded."""
 
-    def __init__(self, compute: Callable[[list], Iterable], limit: int = 200_000):
+    def __init__(self, compute: Callable[[list], Iterable], limit: int = 120_000):
         self.compute, self.limit, self.known = compute, limit, {}
 
     def learn(self, words: Iterable) -> dict:
@@ -140,6 +140,27 @@ class Memo:
         return known
 
 
+def trimmed(run: Callable) -> Callable:
+    """run, and at its end freed memory goes back to the system: workers are used again by later stages."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            import ctypes
+            import gc
+
+            import pyarrow as pa
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim is not None:
+                trim(0)
+
+    return wrapped
+
+
 def small_batches(texts: list, most: int = 2_000_000) -> Iterator[tuple[int, int]]:
     """Bounds of runs of texts with about ``most`` characters each; a longer text is a run of its own."""
     start = size = 0

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, held_out, sample_ids, small_batches, word_ngrams
+from .common import Memo, held_out, sample_ids, small_batches, trimmed, word_ngrams
 
 SIZES = (1, 2, 3)
 BITS = 15
@@ -156,7 +156,7 @@ def identify(docs: DataFrame, **options) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(trimmed(run), "doc_id long, held_out boolean, lang_pred string, score double")
 
 
 def keep(docs: DataFrame, least: float = 0.5, **options) -> DataFrame:
@@ -169,4 +169,4 @@ def keep(docs: DataFrame, least: float = 0.5, **options) -> DataFrame:
             langs, scores = score(batch.column(batch.schema.get_field_index("text")).to_pylist())
             yield batch.filter(pa.array([x != "und" and s >= least for x, s in zip(langs, scores, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, components, table
+from .common import Memo, components, table, trimmed
 
 _P = np.uint64(0x9E3779B97F4A7C15)
 _Q = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -111,7 +111,7 @@ def signatures(docs: DataFrame, words: int = 2, bands: int = 40, rows: int = 8)
                 yield pa.RecordBatch.from_arrays([ids.slice(at, len(sets)), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))], ["doc_id", "n_shingles", "digest", "keys", "bits"])
                 at += len(sets)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_shingles long, digest binary, keys array<long>, bits array<long>")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), "doc_id long, n_shingles long, digest binary, keys array<long>, bits array<long>")
 
 
 def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
@@ -127,7 +127,7 @@ def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
 
     # A merge join at every size: the wanted ids grow with the documents.
     wanted = docs.select("doc_id", "text").join(ids.hint("merge"), F.col("doc_id") == F.col("node"), "left_semi")
-    return wanted.mapInArrow(run, "node long, members array<long>")
+    return wanted.mapInArrow(trimmed(run), "node long, members array<long>")
 
 
 def _possible(percent: int, a: str = "a", b: str = "b"):

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, running, table
+from .common import Memo, running, table, trimmed
 
 def _ragged(data: np.ndarray, first: np.ndarray, size: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The runs data[first[i] : first[i] + size[i]] for i in at, end to end, and their lengths."""
@@ -145,7 +145,7 @@ def pieces(docs: DataFrame, path: str, capacity: int = 2048, closing: int = 0, w
                 doc_ids, texts = batch.column(0).slice(a, b - a).to_pylist(), batch.column(1).slice(a, b - a)
                 yield cut(doc_ids, *(tokens.exact(texts[0].as_py(), end) if odd[a] else tokens(texts, end)))
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids)
 
 
 class CapacityTree:
@@ -248,7 +248,7 @@ def place(parts: DataFrame, capacity: int = 2048) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in keep), pa.array(seq), pa.array(off)], [*(batch.schema.names[i] for i in keep), "sequence_id", "offset"])
 
     kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema]
-    return ranked.mapInArrow(run, ", ".join([*kept, "sequence_id long", "offset long"]))
+    return ranked.mapInArrow(trimmed(run), ", ".join([*kept, "sequence_id long", "offset long"]))
 
 
 def pack(docs: DataFrame, path: str, capacity: int = 2048, with_ids: bool = False) -> DataFrame:

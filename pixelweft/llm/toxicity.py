@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memo, held_out, sample_ids, small_batches, word_ngrams
+from .common import Memo, held_out, sample_ids, small_batches, trimmed, word_ngrams
 
 SIZES = (3, 4, 5, 6, 7)
 BITS = 18
@@ -192,7 +192,7 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = 1500, unlabelled: i
 
     # The sample is bounded, so one task can train on it; the driver gets the weights alone.
     sample = rows.mapInArrow(tally, "doc_id long, roles array<int>, words string").repartition(1)
-    got = sample.mapInArrow(train, "weights binary, slope double, shift double").first()
+    got = sample.mapInArrow(trimmed(train), "weights binary, slope double, shift double").first()
     weights = None if got is None or got["weights"] is None else np.frombuffer(got["weights"], np.float32)
     return ToxicModel(weights, got["slope"], got["shift"]) if weights is not None else ToxicModel(None)
 
@@ -240,7 +240,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **optio
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(trimmed(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **options) -> DataFrame:
@@ -253,4 +253,4 @@ def keep(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, **options)
             s = score(batch.column(batch.schema.get_field_index("text")).to_pylist())
             yield batch.filter(pa.array([x < threshold for x in s], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(trimmed(run), docs.schema)
