@@ -2,8 +2,8 @@
 
 Base spans (email, ip, card, phone) are found by rule over the whole text, without quadratic scans. The
 model looks at islands around cues (an @ or a spelled-out "at", or seven digits and more) that lie outside
-base spans. It scores whole candidate segments of up to 16 tokens by features of the span (digits, groups,
-separators, Luhn, octets, domain shape, neighbours) times weights of a type, plus type transitions; a
+base spans; they are searched between base spans, so a number next to one is a cue of its own. It scores
+whole candidate segments of up to 16 tokens by features of the span (digits, groups, separators, Luhn, octets, domain shape, neighbours) times weights of a type, plus type transitions; a
 bounded-entity dynamic program picks boundaries and types jointly, in time linear in the island. Base spans
 stay and bound the islands. It is trained here, on sentences from a seeded generator with look-alikes
 (dates, prices, versions, order numbers) as negatives, by exact gradients of the likelihood.
@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from bisect import bisect_left, bisect_right
 from functools import lru_cache
 
 import numpy as np
@@ -77,6 +78,7 @@ LABELS = ("other", *KINDS)
 LONGEST = 16
 _token = re.compile(r"[^\W\d_]+|[0-9]+|[^\s]")
 _digits_cue = re.compile(r"[0-9](?:[ ().+/-]{0,3}[0-9]){6,}")
+_at_cue = re.compile("@")
 _spelled_cue = re.compile(r"[\w.-]+ ?(?:\(at\)|\[at\]| at ) ?[\w-]+ ?(?:\(dot\)|\[dot\]| dot )", re.I)
 #: Words that tell what a number is (fixed values).
 HINTS = {
@@ -294,14 +296,23 @@ def trained(examples: int = 260, epochs: int = 6, seed: int = 17, rate: float =
 
 def added_spans(text: str, base: list[tuple[int, int, int]], model: SemiMarkov, context: int = 40) -> list[tuple[int, int, int]]:
     """(start, kind number, end) that the model finds outside base spans."""
-    covered = [(a, b) for a, _, b in base]
-    cues = [m.span() for m in _digits_cue.finditer(text)]
-    if "@" in text:
-        cues += [(i, i + 1) for i, c in enumerate(text) if c == "@"]
+    covered: list[tuple[int, int]] = []  # base spans, overlapping ones joined
+    for a, _, b in base:
+        if covered and a <= covered[-1][1]:
+            covered[-1] = (covered[-1][0], max(covered[-1][1], b))
+        else:
+            covered.append((a, b))
+    starts, ends = [a for a, _ in covered], [b for _, b in covered]
     lower = text.lower()
-    if "dot" in lower and "at" in lower:
-        cues += [m.span() for m in _spelled_cue.finditer(text)]
-    cues = sorted(c for c in cues if not any(a < c[1] and c[0] < b for a, b in covered)) if cues else []
+    spelled = "dot" in lower and "at" in lower
+    cues = []
+    for p, q in zip([0, *ends], [*starts, len(text)], strict=True):  # a cue never reaches into a base span
+        cues += [m.span() for m in _digits_cue.finditer(text, p, q)]
+        if "@" in text:
+            cues += [(m.start(), m.end()) for m in _at_cue.finditer(text, p, q)]
+        if spelled:
+            cues += [m.span() for m in _spelled_cue.finditer(text, p, q)]
+    cues.sort()
     out: list[tuple[int, int, int]] = []
     at = 0
     while at < len(cues):
@@ -310,16 +321,15 @@ def added_spans(text: str, base: list[tuple[int, int, int]], model: SemiMarkov,
         while at < len(cues) and cues[at][0] <= b + context:
             b = max(b, cues[at][1])
             at += 1
-        lo = max([0, a - context, *(e for _, e in covered if e <= a)])
-        hi = min([len(text), b + context, *(s for s, _ in covered if s >= b)])
-        while lo > 0 and lo < a and not text[lo - 1].isspace() and lo not in {e for _, e in covered}:
+        before, after = bisect_right(ends, a), bisect_left(starts, b)
+        lo = max(0, a - context, *ends[max(0, before - 1) : before])
+        hi = min(len(text), b + context, *starts[after : after + 1])
+        while lo > 0 and lo < a and not text[lo - 1].isspace() and not (before and lo == ends[before - 1]):
             lo += 1
-        while hi < len(text) and hi > b and not text[hi].isspace() and hi not in {s for s, _ in covered}:
+        while hi < len(text) and hi > b and not text[hi].isspace() and not (after < len(starts) and hi == starts[after]):
             hi -= 1
         pieces, here = [], lo
-        for s, e in covered:
-            if s >= hi or e <= lo:
-                continue
+        for s, e in covered[before:after]:
             pieces.append((here, s))
             here = max(here, e)
         pieces.append((here, hi))

@@ -448,6 +448,22 @@ def test_model_adds_what_the_base_misses():
     assert pii.redacted("write to jo@x.org, or call (944) 555-6250 now", m) == "write to <EMAIL>, or call <PHONE> now"
 
 
+def test_model_sees_numbers_next_to_base_spans():
+    m = pii.trained()
+    assert pii.redacted("card 4111 1111 1111 1111 (555) 123-4567", m) == "card <CARD> <PHONE>"
+    assert pii.redacted("host 10.20.30.40 (555) 123-4567", m) == "host <IP> <PHONE>"
+    assert pii.redacted("call +1 555 123 4567 / 555-987-6543 now", m) == "call <PHONE> / <PHONE> now"
+    assert pii.redacted("call (555) 123-4567 / 10.20.30.40 or so", m) == "call <PHONE> / <IP> or so"
+
+
+def test_model_takes_linear_time_between_many_base_spans():
+    import time
+
+    m, t = pii.trained(), time.time()
+    text = ("1.2.3.4 " + "ab " * 40) * 8000
+    assert len(pii.find(text, m)[1]) == 8000 and time.time() - t < 20
+
+
 def test_semi_markov_gradient_and_decoding():
     m = pii.SemiMarkov()
     rng = np.random.default_rng(0)
