@@ -1,7 +1,8 @@
 """Language identification: sparse multinomial logistic regression on TF-IDF character n-grams.
 
-Trained with follow-the-regularised-leader (FTRL-proximal: adaptive rates, elastic net) on a bounded
-sample of labelled training-fold documents, then calibrated by one temperature on a part kept aside.
+Trained with follow-the-regularised-leader (FTRL-proximal: adaptive rates, elastic net) on a sample of
+labelled training-fold documents that holds every language, then calibrated by one temperature on a part
+of each language kept aside. Document frequencies are those of the whole training fold.
 A text's vector is its n-gram counts times idf, divided by their sum; both sums add up over words, so a
 worker scores each distinct word once.
 
@@ -17,6 +18,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import Memo, held_out, sample_ids, small_batches, trimmed, word_ngrams
@@ -68,33 +70,91 @@ def _ftrl(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, classes: int
     return w[:-1], w[-1]
 
 
+class _Features:
+    """In how many documents each feature occurs, each distinct word's features found once."""
+
+    def __init__(self):
+        self.memo, self.df, self.n = Memo(self._learn), np.zeros(1 << BITS, np.int64), 0
+
+    def _learn(self, words: list[str]) -> list[np.ndarray]:
+        found = list(word_ngrams(words, SIZES, BITS))
+        owner, f = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.argsort(owner, kind="stable")
+        return np.split(f[order], np.cumsum(np.bincount(owner, minlength=len(words)))[:-1])
+
+    def add(self, texts: list) -> None:
+        for a, b in small_batches(texts):
+            split = [set(t.lower().split()) if t else set() for t in texts[a:b]]
+            known = self.memo.learn(set().union(*split))
+            for words in filter(None, split):
+                here = np.zeros(len(self.df), bool)
+                here[np.concatenate(list(map(known.__getitem__, words)))] = True
+                self.df += here
+                self.n += 1
+
+
+def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
+    """The number of documents with words, and of those with each feature: each task counts first, then sums meet."""
+
+    def tally(batches):
+        count = _Features()
+        for batch in batches:
+            count.add(batch.column(0).to_pylist())
+        at = np.flatnonzero(count.df)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1), pa.int32()), pa.array(np.append(count.df[at], count.n), pa.int64())], ["f", "n"])
+
+    got = docs.select("text").mapInArrow(trimmed(tally), "f int, n long").groupBy("f").agg(F.sum("n").alias("n")).toArrow()
+    f, n = got["f"].to_numpy(), got["n"].to_numpy()
+    df = np.zeros(1 << BITS)
+    df[f[f >= 0]] = n[f >= 0]
+    return int(n[f < 0].sum()), df
+
+
+def _sample(known: DataFrame, sample: int) -> DataFrame:
+    """Ids of a sample of the documents, and of one of each language's: by the same hash, so most of them agree."""
+    pairs = known.select("doc_id", "lang").distinct()
+    counts = pairs.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    each = max(50, sample // max(10, counts.count()))
+    # A hash under a bound that four times as many pass at a mean leaves few rows of a language to rank.
+    order = F.xxhash64(F.col("doc_id"), F.lit(101))
+    low = pairs.join(F.broadcast(counts), "lang").where(order.cast("double") / 2.0**64 + 0.5 <= F.lit(4.0 * each) / F.col("n"))
+    rank = F.row_number().over(W.partitionBy("lang").orderBy(order, "doc_id"))
+    own = low.withColumn("rank", rank).where(F.col("rank") <= each).select("doc_id")
+    return sample_ids(known, "doc_id", sample, 101).union(own).distinct()
+
+
 def fit(docs: DataFrame, sample: int = 3000, epochs: int = 2, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.1, scale: float = 20.0) -> LangModel:
-    """Learn from at most ``sample`` labelled training-fold documents, chosen by a hash of their ids."""
-    known = docs.where(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    ids = sample_ids(known, "doc_id", sample, 101)
+    """Learn from labelled training-fold documents, chosen by a hash of their ids: ``sample`` of all, and for
+    each language at least a tenth of that (with more than ten languages an equal part, but 50), or all it has."""
+    fold = docs.where(~held_out(F.col("doc_id")) & F.col("text").isNotNull())
+    known = fold.where(F.col("lang").isNotNull())
 
     def tally(batches):
         for batch in batches:
             rows = [_counts(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([f for f, _ in rows], pa.list_(pa.int32())), pa.array([c for _, c in rows], pa.list_(pa.int64()))], ["doc_id", "lang", "f", "c"])
 
-    rows = known.select("doc_id", "text", "lang").join(F.broadcast(ids), "doc_id", "left_semi")
-    got = rows.mapInArrow(tally, "doc_id long, lang string, f array<int>, c array<long>").toArrow().to_pylist()
-    got = sorted((r for r in got if r["f"]), key=lambda r: (r["doc_id"], r["lang"], r["f"]))
-    langs = sorted({r["lang"] for r in got})
+    rows = known.select("doc_id", "text", "lang").join(F.broadcast(_sample(known, sample)), "doc_id", "left_semi")
+    got = rows.mapInArrow(tally, "doc_id long, lang string, f array<int>, c array<long>").toArrow()
+    lists = []
+    for name in ("f", "c"):  # arrays, as Python's lists of a sample of many languages would be large
+        col = got[name].combine_chunks()
+        values, cuts = col.values.to_numpy(), col.offsets.to_numpy()
+        lists.append([values[a:b] for a, b in zip(cuts[:-1], cuts[1:], strict=True)])
+    got = [r for r in zip(got["doc_id"].to_pylist(), got["lang"].to_pylist(), *lists, strict=True) if len(r[2])]
+    got.sort(key=lambda r: (r[0], r[1], r[2].tobytes(), r[3].tobytes()))
+    langs = sorted({r[1] for r in got})
     if not langs:
         return LangModel([], np.zeros((1 << BITS, 1), np.float32), np.zeros(0), 1.0)
-    df = np.zeros(1 << BITS)
-    for r in got:
-        df[r["f"]] += 1
-    idf = np.log((1 + len(got)) / (1 + df)) + 1
-    rows = []
-    for r in got:
-        f, c = np.array(r["f"]), np.array(r["c"], float)
+    n, df = document_frequencies(fold)
+    idf = np.log((1 + n) / (1 + df)) + 1
+    rows, seen, aside, place = [], [0] * len(langs), [], {x: i for i, x in enumerate(langs)}
+    for _, lang, f, c in got:
         x = c * idf[f]
         rows.append((f, scale * x / x.sum()))
-    y = np.array([langs.index(r["lang"]) for r in got])
-    aside = np.arange(len(got)) % 5 == 4
+        aside.append(seen[place[lang]] % 5 == 4)  # every fifth of each language
+        seen[place[lang]] += 1
+    y, aside = np.array([place[r[1]] for r in got]), np.array(aside)
     w, b = _ftrl([r for r, a in zip(rows, aside, strict=True) if not a], y[~aside], len(langs), epochs, alpha, beta, l1, l2)
     temperature = 1.0
     if aside.any():

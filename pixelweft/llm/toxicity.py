@@ -5,7 +5,7 @@ unlabelled set. The risk is class-prior-corrected: pi R+(positives) + max(0, R-(
 where the corrected part is negative the step climbs it instead. A document is as toxic as its most toxic
 word (multiple-instance pooling, so length doesn't dilute it), a word's score is the sum of the weights of
 its hashed character n-grams, and at scoring each worker scores each distinct word once. A logistic fit
-on labelled training-fold documents turns scores into probabilities.
+on labelled training-fold documents, drawn by class and weighted back, turns scores into probabilities.
 
 Edge cases: a null or empty text scores as a text without any toxic word; without positives every score
 is 0; null labels are left out; repeated rows are scored each; extra columns are ignored.
@@ -150,15 +150,16 @@ def nnpu(sample: _Sample, pos: np.ndarray, unl: np.ndarray, prior: float, steps:
     return w, b
 
 
-def _logistic(s: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Platt's fit of a slope and a shift, with his smoothed targets."""
+def _logistic(s: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
+    """Platt's fit of a slope and a shift to weighted rows, with his smoothed targets by the rows of each class."""
     n1, n0 = y.sum(), (1 - y).sum()
     t = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
     a, b = 1.0, 0.0
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(a * s + b, -30, 30)))
-        g = np.array([((p - t) * s).sum() + 1e-3 * a, (p - t).sum()])
-        h = p * (1 - p) + 1e-9
+        r = weight * (p - t)
+        g = np.array([(r * s).sum() + 1e-3 * a, r.sum()])
+        h = weight * p * (1 - p) + 1e-9
         hess = np.array([[(h * s * s).sum() + 1e-3, (h * s).sum()], [(h * s).sum(), h.sum() + 1e-6]])
         step = np.linalg.solve(hess, g)
         step /= max(1, np.abs(step).max())
@@ -175,8 +176,8 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = 1500, unlabelled: i
         return ToxicModel(None)
     pos = sample_ids(marks.where("toxic = 1"), "doc_id", positives, 11).withColumn("role", F.lit(1))
     unl = sample_ids(known, "doc_id", unlabelled, 12).withColumn("role", F.lit(0))
-    cal = sample_ids(marks, "doc_id", calibration, 13).join(marks, "doc_id").select("doc_id", (F.col("toxic") + 2).alias("role"))
-    roles = pos.union(unl).union(cal).groupBy("doc_id").agg(F.sort_array(F.collect_set("role")).alias("roles"))
+    cal = [sample_ids(marks.where(F.col("toxic") == k), "doc_id", calibration // 2, 13).withColumn("role", F.lit(2 + k)) for k in (0, 1)]
+    roles = pos.union(unl).union(cal[0]).union(cal[1]).groupBy("doc_id").agg(F.sort_array(F.collect_set("role")).alias("roles"))
 
     def tally(batches):
         for batch in batches:
@@ -187,7 +188,7 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = 1500, unlabelled: i
 
     def train(batches):
         got = sorted((r["doc_id"], r["words"], r["roles"]) for batch in batches for r in batch.to_pylist())
-        model = _train([g[1] for g in got], [g[2] for g in got], prior, steps, rate)
+        model = _train([g[1] for g in got], [g[2] for g in got], prior, n1 / n, steps, rate)
         yield pa.RecordBatch.from_arrays([pa.array([None if model.weights is None else model.weights.tobytes()], pa.binary()), pa.array([model.slope]), pa.array([model.shift])], ["weights", "slope", "shift"])
 
     # The sample is bounded, so one task can train on it; the driver gets the weights alone.
@@ -197,7 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame, positives: int = 1500, unlabelled: i
     return ToxicModel(weights, got["slope"], got["shift"]) if weights is not None else ToxicModel(None)
 
 
-def _train(texts: list[str], roles: list[list[int]], prior: float, steps: int, rate: float) -> ToxicModel:
+def _train(texts: list[str], roles: list[list[int]], prior: float, share: float, steps: int, rate: float) -> ToxicModel:
     of = lambda *k: np.array([i for i, r in enumerate(roles) if set(k) & set(r)], np.int64)
     p, u, c0, c1 = of(1), of(0), of(2), of(3)
     if not len(p) or not len(u):
@@ -207,7 +208,10 @@ def _train(texts: list[str], roles: list[list[int]], prior: float, steps: int, r
     s, _ = sample.pooled(w)
     # On a logarithmic scale, or a few extreme scores would set the slope.
     known = len(c0) and len(c1)
-    a, shift = _logistic(np.log1p(np.concatenate([s[c0], s[c1]])), np.concatenate([np.zeros(len(c0)), np.ones(len(c1))])) if known else (1.0, b)
+    y = np.concatenate([np.zeros(len(c0)), np.ones(len(c1))])
+    # Each class is sampled alone and weighs as much as its share of all labels.
+    weight = len(y) * np.where(y > 0, share / max(1, len(c1)), (1 - share) / max(1, len(c0)))
+    a, shift = _logistic(np.log1p(np.concatenate([s[c0], s[c1]])), y, weight) if known else (1.0, b)
     return ToxicModel(w.astype(np.float32), a, float(shift))
 
 

@@ -106,6 +106,16 @@ def test_toxicity_odd(spark):
     assert toxicity.toxicity(odd(spark), spark.createDataFrame([], "doc_id long, toxic int")).count() == len(ODD)
 
 
+def test_calibration_holds_rare_labels(spark):
+    """One toxic row in a sample caps Platt's target at 2/3, under the threshold; drawn by class there are dozens."""
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("abdeginorstu"), 5)) for _ in range(300)]
+    rows = [(i, " ".join([*rng.choice(words, 12), *(["zwiffle"] if i % 200 == 7 else [])])) for i in range(12_000)]
+    docs, marks = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(i % 200 == 7)) for i, _ in rows], "doc_id long, toxic int")
+    got = {r.doc_id: r.predicted for r in toxicity.toxicity(docs, marks, calibration=200).where("held_out").collect()}
+    assert {i for i, p in got.items() if p} == {i for i in got if i % 200 == 7}
+
+
 def test_nnpu_corrects_the_prior():
     """Unlabelled data with hidden positives: their word must still score high, common words must not."""
     docs = [["bad", "some"]] * 50 + [["bad", "thing"]] * 20 + [["fine", "some", "thing"]] * 180
@@ -568,6 +578,27 @@ def test_language_held_out(spark):
     assert all(got[i].held_out == (fold(i) == 1) and 0 <= got[i].score <= 1 for i in d.doc_id)
 
 
+def test_language_rare(spark):
+    """A language with 1 in 500 of the documents, of which a sample of 100 over all holds none, is learnt."""
+    rng = np.random.default_rng(5)
+    alphabets = {"aa": "abdeginorstu", "bb": "acefhilmnopqu", "zz": "jkvwxyzqgb"}
+    words = {k: ["".join(rng.choice(list(a), rng.integers(2, 8))) for _ in range(300)] for k, a in alphabets.items()}
+    lang = lambda i: "zz" if i % 500 == 3 else ("aa", "bb")[i % 2]
+    rows = [(i, " ".join(rng.choice(words[lang(i)], 15)), lang(i)) for i in range(8000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in langid.identify(docs, sample=100).where("held_out").collect()}
+    rare = [i for i in got if lang(i) == "zz"]
+    assert len(rare) > 2 and all(got[i].lang_pred == "zz" and got[i].score >= 0.5 for i in rare)
+    assert np.mean([r.lang_pred == lang(i) for i, r in got.items()]) > 0.99
+
+
+def test_document_frequencies_are_of_all_documents(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").union(odd(spark).select("doc_id", "text"))
+    n, df = langid.document_frequencies(docs)
+    want = [f for f in (langid._counts(r.text)[0] for r in docs.collect() if r.text) if len(f)]
+    assert n == len(want) and (df == np.bincount(np.concatenate(want), minlength=len(df))).all()
+
+
 def test_language_odd(spark):
     out = {r.doc_id: r for r in langid.identify(odd(spark)).collect()}
     assert len(out) == len({i for i, _ in ODD}) and all(out[i].lang_pred == "und" and out[i].score == 0 for i in (1, 2, 3, 9))
