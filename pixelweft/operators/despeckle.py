@@ -204,46 +204,46 @@ def idan(r: Raster, looks: float = 1.0, nmax: int = 50, llmmse: bool = True, kin
     """Intensity-driven adaptive neighbourhood: a region of up to nmax pixels grown from a 3 x 3 median seed.
 
     Growth goes over eight neighbours within 2 / sqrt(looks) of the seed; rejected neighbours are inspected
-    again against the region's mean within 6 / sqrt(looks). A region reaches at most nmax pixels, so does
-    the halo (bounded to 12 rows and columns, which a compact region of nmax never leaves).
+    again against the region's mean within 6 / sqrt(looks). Each ring of growth adds a pixel at least, so a
+    region and its neighbours lie within nmax - 1 rows and columns of the seed: so far reaches the halo.
     """
-    p, reach, d = power(r, kind), min(12, nmax), 1.0 / math.sqrt(looks)
+    p, reach, d = power(r, kind), max(1, nmax - 1), 1.0 / math.sqrt(looks)
     ring = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx]
 
     def kernel(block):
         v = block[0]
         med = v.copy()
         med[1:-1, 1:-1] = np.median(View(v, (3, 3)), axis=(-1, -2))
-        out = v.copy()
-        for y in range(reach, v.shape[0] - reach):
-            for x in range(reach, v.shape[1] - reach):
-                seed, region, frontier, seen, back = med[y, x], [(y, x)], [(y, x)], {(y, x)}, []
+        out, v = v.copy(), v.tolist()  # single values are read faster from lists
+        for y in range(reach, out.shape[0] - reach):
+            for x in range(reach, out.shape[1] - reach):
+                seed, region, frontier, seen, back = float(med[y, x]), [(y, x)], [(y, x)], {(y, x)}, []
                 while frontier and len(region) < nmax:
                     new = []
                     for i, j in frontier:
                         for dy, dx in ring:
                             q = (i + dy, j + dx)
-                            if q in seen or abs(q[0] - y) > reach or abs(q[1] - x) > reach:
+                            if q in seen:
                                 continue
                             seen.add(q)
-                            if abs(v[q] - seed) <= 2 * d / 3 * abs(seed):
+                            if abs(v[q[0]][q[1]] - seed) <= 2 * d / 3 * abs(seed):
                                 new.append(q)
                             else:
                                 back.append(q)
                     region += new[: nmax - len(region)]
                     frontier = new
-                mean = sum(v[q] for q in region) / len(region)
-                region += [q for q in back if abs(v[q] - mean) <= 2 * d * abs(mean)]
-                w = np.array([v[q] for q in region])
+                w = [v[i][j] for i, j in region]
+                mean = sum(w) / len(w)
+                w = np.array(w + [v[i][j] for i, j in back if abs(v[i][j] - mean) <= 2 * d * abs(mean)])
                 m = w.mean()
                 if llmmse:
                     s = max(w.var(), 1e-10)
                     k = max(s - m * m * d * d, 0) / (1 + d * d) / s
-                    m = m + (v[y, x] - m) * k
+                    m = m + (v[y][x] - m) * k
                 out[y, x] = m
         return out[None]
 
-    return _back(map_tiles(p, (reach, reach), kernel, tile=(32, 64)), kind)
+    return _back(map_tiles(p, (reach, reach), kernel, tile=(64, 64)), kind)
 
 
 def idanq(cov: Raster, size: int = 50, looks: float = 2.0, kind: str = "amplitude", llmmse: bool = True) -> Raster:

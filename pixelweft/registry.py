@@ -245,7 +245,7 @@ def _centres(s: SparkSession, d: str) -> DataFrame:
 
 
 register("a5_class_centres", _centres, f"select ((y//7)%4+1)::int label, count(*) npix, {', '.join(f'round(avg({q}{k}), 9)+0.0::double {q}{k}' for q in 'ri' for k in range(9))} from ({COV3}) group by 1")
-register("d6_wishart", lambda s, d: po.wishart(cov3(s, d), 4, 1, _parity_labels(s, d))[0], None)
+register("d6_wishart", lambda s, d: po.wishart(cov3(s, d), 4, start=_parity_labels(s, d))[0], None)
 register("d7_classassign", lambda s, d: po.classassign(cov3(s, d), po.class_centres(cov3(s, d), _parity_labels(s, d))), None)
 register("g7_classextract", lambda s, d: po.classextract(fx.fx6(s, d), [1, 3, 7]), sel(Q["fx6"], re="case when re in (1,3,7) then re else -9999 end"))
 _srr = "select y, x, (a0-a1)/2-b2 p, (b0-b1)/2+a2 q, (a1-a0)/2-b2 u, (b1-b0)/2+a2 v from ({})".format(VEC)
@@ -332,7 +332,7 @@ register("w4_median", lambda s, d: fl.median(fx.fx1(s, d), (3, 3)), sel(near(Q["
 _k3 = [[1.0, 2.0, 0.0], [0.0, -1.0, 3.0], [2.0, 0.5, 1.0]]
 _kw = "[" + ", ".join(str(v) + "::double" for row in [r[::-1] for r in _k3[::-1]] for v in row) + "]"
 register("w5_kernelfilter", lambda s, d: fl.kernelfilter(fx.fx5(s, d), _k3), sel(near(Q["fx5"], 3, 3, {"re": f"sum(b.re*{_kw}[(dy+1)*3+dx+2])"}), re="re"))
-register("w6_plr", lambda s, d: ds.plr(fx.fx6(s, d), 10, iterations=1), None)
+register("w6_plr", lambda s, d: ds.plr(fx.fx6(s, d), 10), None)
 _sx, _sy = "[1,2,1]", "[-1,0,1]"
 register("w7_sobel", lambda s, d: fl.sobel(fx.fx1(s, d)), sel(near(f"select y, x, abs(re) re from ({Q['fx1']})", 3, 3, {"p": f"sum(b.re*{_sy}[dy+2]*{_sx}[dx+2])", "q": f"sum(b.re*{_sx}[dy+2]*{_sy}[dx+2])"}), re="sqrt(p*p+q*q)"))
 _rb = near(f"select y, x, abs(re) re from ({Q['fx1']})", 3, 3, {"o": "sum(case when dy=0 and dx=0 then b.re end)", "a": "sum(case when dy=-1 and dx=-1 then b.re end)", "b": "sum(case when dy=-1 and dx=0 then b.re end)", "c": "sum(case when dy=0 and dx=-1 then b.re end)"})
@@ -380,11 +380,11 @@ _d2 = "1.0::double"
 _ls = f"{_lst} select a.y, a.x, any_value(a.re) v, count(*) filter (where b.re > a.re*0.0::double and b.re < a.re*2.0::double) n, sum(b.re) filter (where b.re > a.re*0.0::double and b.re < a.re*2.0::double) t, sum(b.re) filter (where abs(b.y-a.y)+abs(b.x-a.x)=1)/4 f from s a cross join n join s b on b.y between a.y-3 and a.y+3 and b.x between a.x-3 and a.x+3 group by 1,2"
 register("w19_leesigma", lambda s, d: ds.leesigma(fx.fx2m_abs(s, d), looks=4), sel(f"with n as (select max(y) my, max(x) mx from ({_pw})) select y, x, case when y<3 or x<3 or y>my-3 or x>mx-3 then sqrt(v) when n>=6 then sqrt(t/n) else sqrt(f) end re from ({_ls}) cross join n", re="re"))
 register("w20_leesigma2", lambda s, d: ds.leesigma2(fx.fx2m_abs(s, d), looks=2), None)
-register("w21_idan", lambda s, d: ds.idan(ge.crop(fx.fx2m_abs(s, d), 0, 48, 0, 32), 2.0, 20), None)
+register("w21_idan", lambda s, d: ds.idan(fx.fx2m_abs(s, d), 2.0), None)
 _bl = f"with s as ({_pw}) select a.y, a.x, sum(b.re*exp(-(pow(b.y-a.y,2)+pow(b.x-a.x,2))/(25/4.6051::double)/2)*exp(-pow(a.re-b.re,2)*2/2))/sum(exp(-(pow(b.y-a.y,2)+pow(b.x-a.x,2))/(25/4.6051::double)/2)*exp(-pow(a.re-b.re,2)*2/2)) re from s a join s b on b.y between a.y-2 and a.y+2 and b.x between a.x-2 and a.x+2 group by 1,2"
 register("w23_bilateral", lambda s, d: ds.bilateral(fx.fx2m_abs(s, d), 5, 2.0), sel(f"with n as (select max(y) my, max(x) mx from ({_pw})) select y, x, case when y<2 or x<2 or y>my-2 or x>mx-2 then 0 else sqrt(re) end re from ({_bl}) cross join n", re="re"))
 register("w24_bilateral_matrix", lambda s, d: ds.bilateral_matrix(cov3(s, d), 1.5), None)
-register("w25_srad", lambda s, d: fl.srad(pt.amp2int(fx.fx2m_abs(s, d)), iterations=2), None)
+register("w25_srad", lambda s, d: fl.srad(pt.amp2int(fx.fx2m_abs(s, d))), None)
 _em = f"with s as ({_pw}) select a.y, a.x, any_value(a.re) v, sum(b.re*4*a.re/pow(b.re,2)*exp(-2*a.re/b.re))/sum(4*a.re/pow(b.re,2)*exp(-2*a.re/b.re)) re from s a join s b on b.y between a.y-2 and a.y+2 and b.x between a.x-2 and a.x+2 group by 1,2"
 register("w26_emdes", lambda s, d: ds.emdes(fx.fx2m_abs(s, d), (5, 5)), sel(f"with n as (select max(y) my, max(x) mx from ({_pw})) select y, x, case when y<2 or x<2 or y>my-2 or x>mx-2 then sqrt(v) else sqrt(re) end re from ({_em}) cross join n", re="re"))
 register("w28_nlmeans", lambda s, d: ds.nlmeans(fx.fx2m_abs(s, d))[0], None)

@@ -246,6 +246,23 @@ def test_chi2_cdf():
         assert np.allclose(po._chi2_cdf(x, k), want, atol=1e-5)
 
 
+def test_idan_follows_a_long_region(spark):
+    """A road two pixels wide: from its end, a region of 50 pixels reaches 24 columns."""
+    a = np.full((24, 80), 0.1)
+    a[10:12, 20:76] = 10 + 0.05 * np.arange(20, 76)
+    out = ds.idan(from_numpy(spark, a), 9.0, 50, llmmse=False, kind="intensity").to_numpy()
+    assert np.isclose(out[10, 21], a[10, 20:45].mean())
+
+
+def test_idan_is_registered_on_the_whole_image(spark):
+    from pixelweft import fixtures as fx
+    from pixelweft import registry
+
+    from .conftest import DATA
+
+    assert registry.QUERIES["w21_idan"](spark, DATA).count() == fx.fx2m_abs(spark, DATA).df.count()
+
+
 @pytest.mark.parametrize("f", [ds.leesigma, ds.emdes, ds.refinedlee, ds.leesigma2, lambda r: ds.nlmeans(r, 3.0)[0], lambda r: ds.idan(r, 3.0, 20)])
 def test_speckle_filters_raise_the_looks(spark, f):
     scene = generate(spark, 24, 24, lambda y, x: y * 0 + 1)
