@@ -10,11 +10,13 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
-_written: list[tuple[SparkSession, str]] = []
+_written: dict[str, SparkSession] = {}
+_registered: list = []
 _own_root: list[str] = []
 
 
@@ -23,9 +25,12 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a temporary one only where it is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir. Only a session in one process may do without."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         if not _own_root:
             _own_root.append("file://" + tempfile.mkdtemp(prefix="pixelweft-"))
         root = _own_root[0]
@@ -37,20 +42,33 @@ def table(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_root(spark)}/pixelweft/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    if not _written:
-        atexit.register(drop_tables)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
+    if not _registered:
+        _registered.append(atexit.register(drop_tables))
+    _written[path] = spark
+    out = spark.read.schema(df.schema).parquet(path)
+    out.__dict__["_written_path"] = path
+    return out
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more."""
+    for t in tables:
+        path = t.__dict__.get("_written_path")
+        if path in _written:
+            _delete(_written.pop(path), path)
 
 
 def drop_tables() -> None:
     """Delete the written tables of this process; results that still read them must be consumed before."""
     while _written:
-        spark, path = _written.pop()
+        path, spark = _written.popitem()
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # noqa: BLE001  the session may be gone at exit
             return
 
@@ -66,9 +84,35 @@ def held_out(col: Column) -> Column:
 
 
 def sample_ids(df: DataFrame, id_col: str, n: int, seed: int) -> DataFrame:
-    """A deterministic sample of at most n distinct ids, whatever the partitioning."""
-    ids = df.select(id_col).where(F.col(id_col).isNotNull()).distinct()
-    return ids.orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), id_col).limit(n)
+    """A deterministic sample of at most n distinct ids, whatever the partitioning: those with the least hashes.
+
+    Only ids under a bound on the hash, which some 2 n pass, are ranked at all.
+    """
+    return smallest_hashes(df.select(id_col), id_col, n, seed)
+
+
+def smallest_hashes(df: DataFrame, id_col: str, n: int, seed: int) -> DataFrame:
+    """The n distinct rows whose ids have the least hashes; ties go by the columns."""
+    known = df.where(F.col(id_col).isNotNull())
+    several = known.agg(F.approx_count_distinct(id_col, 0.02)).first()[0]
+    order = F.xxhash64(F.col(id_col), F.lit(seed))
+    if several > 2 * n + 200:
+        known = known.where(order.cast("double") / 2.0**64 + 0.5 <= (2.0 * n + 200) / several)
+    return known.distinct().orderBy(order, *df.columns).limit(n)
+
+
+def attach(rows: DataFrame, facts: DataFrame, keys: list[str], copies: str, few: int = 2000) -> DataFrame:
+    """rows inner-joined with facts, one row per distinct keys, of which ``copies`` says how many rows have them.
+
+    Keys with more than a ``few``-th part of all rows, which are fewer than ``few``, are joined by broadcast,
+    all others by a shuffle in which no key has more than that part. Keys are not null in rows.
+    """
+    total = facts.agg(F.sum(copies)).first()[0] or 0
+    hot = facts.where(F.col(copies) * few > total).drop(copies)
+    cold = facts.where(F.col(copies) * few <= total).drop(copies)
+    near = rows.join(F.broadcast(hot), keys)
+    far = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti").join(cold, keys)
+    return near.unionByName(far)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -93,9 +137,11 @@ def components(edges: DataFrame) -> DataFrame:
             both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         )
         large = table(large)
+        discard(e)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = table(small.union(low.select("u", F.col("m").alias("v"))).distinct())
+        discard(large)
 
 
 def running(df: DataFrame, keys: list[str], bucket: Column, order: list[str], name: str, value: Column) -> DataFrame:
@@ -107,8 +153,6 @@ def running(df: DataFrame, keys: list[str], bucket: Column, order: list[str], na
     b, t = f"{name}_bucket", f"{name}_before"
     df = df.withColumn(b, bucket).withColumn(f"{name}_value", value)
     sums = df.groupBy(*keys, b).agg(F.sum(f"{name}_value").alias(t))
-    from pyspark.sql import Window as W
-
     earlier = W.partitionBy(*keys).orderBy(b).rowsBetween(W.unboundedPreceding, -1)
     sums = sums.withColumn(t, F.coalesce(F.sum(t).over(earlier), F.lit(0)))
     inner = W.partitionBy(*keys, b).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
@@ -123,19 +167,26 @@ def running(df: DataFrame, keys: list[str], bucket: Column, order: list[str], na
 
 
 class Memo:
-    """Values by word for one worker; forgets everything when it is full, so memory stays bounded."""
+    """Values by word for one worker; forgets everything when it is full, so memory stays bounded.
+
+    Full is ``limit`` words or ``chars`` characters, as values grow with their words; beyond that only the
+    words of one call are held.
+    """
 
-    def __init__(self, compute: Callable[[list], Iterable], limit: int = 120_000):
-        self.compute, self.limit, self.known = compute, limit, {}
+    def __init__(self, compute: Callable[[list], Iterable], limit: int = 120_000, chars: int = 4_000_000):
+        self.compute, self.limit, self.chars, self.known, self.held = compute, limit, chars, {}, 0
 
     def learn(self, words: Iterable) -> dict:
         """The known values, with those of words (a set) among them."""
         known = self.known
         new = [w for w in words if w not in known]
         if new:
-            if len(known) + len(new) > self.limit:
+            size = sum(map(len, new))
+            if len(known) + len(new) > self.limit or self.held + size > self.chars:
                 known.clear()
                 new = list(words)
+                self.held, size = 0, sum(map(len, new))
+            self.held += size
             known.update(zip(new, self.compute(new), strict=True))
         return known
 
