@@ -1,7 +1,9 @@
 """Near-duplicate vectors: spherical k-means cells, blocked cosine products, one kept vector per group.
 
 Vectors are compared only when their labels are equal. Equal vectors of a label are one node with a count.
-Cells come from spherical k-means on a bounded sample. A vector lives in its nearest cell and visits each
+Cells come from spherical k-means on a bounded sample; a large table's cells are divided again by k-means on
+samples of each, so cells keep their size as the table grows (up to ``centres`` numbers for all their centres,
+32 MB; only then do they grow). A vector lives in its nearest cell and visits each
 cell in which a neighbour could live: y within angle t of x can only be nearer to centre c than to x's own
 centre h if x . (h - c) / |h - c| <= sin t, so no link is lost to a cell border. Within a (label, cell),
 blocks of residents meet blocks of residents and visitors; a block product gives each resident its number
@@ -9,7 +11,8 @@ of links and one edge to the smallest member of its local component, never the p
 
 Edge cases: null labels, null or zero vectors and vectors with null or non-finite components link with
 nothing (n_links 0, component = own id, kept); repeated vectors link with each other; a null id links
-with nothing and is kept; an empty table gives no rows; extra columns are ignored.
+with nothing and is kept; components of any finite size are scaled before they are squared; an empty table
+gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,9 +21,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import components, table
+from .common import attach, components, discard, smallest_hashes, table
 
 
 def usable(col: str = "embedding"):
@@ -30,9 +34,15 @@ def usable(col: str = "embedding"):
     return F.coalesce(c.isNotNull() & fine & F.exists(c, lambda x: x != 0), F.lit(False))
 
 
+def unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length one; divided by their largest component first, so that no square overflows or vanishes."""
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.sqrt((x * x).sum(1, keepdims=True))
+
+
 def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     """Unit centres of at most k cells; the first centres are spread by greedy farthest choice."""
-    x = np.unique(x / np.linalg.norm(x, axis=1, keepdims=True), axis=0)
+    x = np.unique(unit(x), axis=0)
     k = min(k, len(x))
     centres = [x[0]]
     near = x @ x[0]
@@ -49,22 +59,26 @@ def spherical_kmeans(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return np.unique(c, axis=0)
 
 
-def near_duplicates(vectors: DataFrame, cosine: float = 0.98, sample: int = 10_000, cell: int = 8192, residents: int = 256, others: int = 1024) -> DataFrame:
+def near_duplicates(vectors: DataFrame, cosine: float = 0.98, sample: int = 10_000, cell: int = 8192, residents: int = 256, others: int = 1024, top: int = 1024, centres: int = 4_000_000) -> DataFrame:
     """(vec_id, n_links, component_id, kept): links are pairs of one label with the cosine or more."""
     good = vectors.where(usable() & F.col("label").isNotNull() & F.col("vec_id").isNotNull())
     good = good.select("vec_id", "label", F.col("embedding").cast("array<double>").alias("x"))
     nodes = table(good.groupBy("label", "x").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies")).withColumn("d", F.size("x")))
     dims = [r[0] for r in nodes.groupBy("d").count().orderBy("d").collect()]
-    parts = [_links(nodes.where(F.col("d") == d).drop("d"), cosine, sample, cell, residents, others) for d in dims]
+    used: list[DataFrame] = []
+    parts = [_links(nodes.where(F.col("d") == d).drop("d"), cosine, sample, cell, residents, others, top, max(top, centres // max(1, d)), used) for d in dims]
     roots = None
     if parts:
         found = table(_union(parts))
+        discard(*used)
         counted = found.groupBy("node").agg(F.sum("links").alias("links"))
         roots = components(found.where("root <> node").select(F.col("node").alias("a"), F.col("root").alias("b")))
         per = nodes.join(counted, "node", "left").join(roots, "node", "left")
-        per = per.select(F.col("label").alias("l"), "x", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("root", "node").alias("root"))
-        rows = vectors.select("vec_id", "label", F.when(usable(), F.col("embedding").cast("array<double>")).alias("v"))
-        out = rows.join(per, (F.col("label") == F.col("l")) & (F.col("v") == F.col("x")) & F.col("vec_id").isNotNull(), "left")
+        per = table(per.select("label", "x", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n"), F.coalesce("root", "node").alias("root")))
+        discard(nodes, found)
+        linked = attach(good, per, ["label", "x"], "copies").select("vec_id", "n", "root")
+        fine = usable() & F.col("label").isNotNull() & F.col("vec_id").isNotNull()
+        out = linked.unionByName(vectors.where(~fine).select("vec_id", F.lit(None).cast("long").alias("n"), F.lit(None).cast("long").alias("root")))
     else:
         out = vectors.select("vec_id", F.lit(None).cast("long").alias("n"), F.lit(None).cast("long").alias("root"))
     component = F.coalesce("root", "vec_id")
@@ -78,28 +92,66 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def _links(nodes: DataFrame, cosine: float, sample: int, cell: int, residents: int, others: int) -> DataFrame:
-    """(node, links, root): partial link counts of nodes and edges to a smaller node that they reach."""
-    count = nodes.count()
-    taken = nodes.orderBy(F.xxhash64("node", F.lit(5)), "node").limit(sample).select("x").toArrow().column(0).to_pylist()
-    centres = spherical_kmeans(np.array(taken, float), max(1, min(1024, max(8, count // cell))))
-    gap = np.linalg.norm(centres[:, None] - centres[None], axis=2)
-    np.fill_diagonal(gap, 1.0)
-    reach = np.sqrt(max(0.0, 1 - cosine * cosine)) + 1e-9
+def _vectors(sample: DataFrame) -> np.ndarray:
+    return np.array(sample.select("x").toArrow().column(0).to_pylist(), float)
+
+
+def _seats(rows: DataFrame, centres: dict[int, np.ndarray], sin: float) -> DataFrame:
+    """(label, x, node, copies, cell, resident): each row of a cell in the parts of that cell that it lives in or visits.
+
+    A cell without centres stays whole. A part's number is unique among all cells'.
+    """
+    gaps = {k: np.linalg.norm(c[:, None] - c[None], axis=2) + np.eye(len(c)) for k, c in centres.items()}
+    stride = max(map(len, centres.values()), default=1)
 
     def assign(batches):
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = np.array(batch.column(1).to_pylist(), float)
-            s = (x / np.linalg.norm(x, axis=1, keepdims=True)) @ centres.T
-            home = s.argmax(1)
-            row, to = np.nonzero((s[np.arange(len(s)), home][:, None] - s) / gap[home] <= reach)
-            at = pa.array(row)
-            yield pa.RecordBatch.from_arrays([c.take(at) for c in batch.columns] + [pa.array(to.astype(np.int32)), pa.array(home[row] == to)], [*batch.schema.names, "cell", "resident"])
-
-    seats = nodes.select("label", "x", "node", "copies").mapInArrow(assign, "label int, x array<double>, node long, copies long, cell int, resident boolean")
+            names = batch.schema.names
+            cells = batch.column(names.index("cell")).to_numpy()
+            lives = batch.column(names.index("resident")).to_numpy(zero_copy_only=False)
+            for cell in np.unique(cells).tolist():
+                mine = np.flatnonzero(cells == cell)
+                part = batch.take(pa.array(mine))
+                c = centres.get(cell)
+                if c is None:
+                    row, to, home = np.arange(len(mine)), np.zeros(len(mine), int), np.zeros(len(mine), int)
+                else:
+                    s = unit(np.array(part.column(1).to_pylist(), float)) @ c.T
+                    home = s.argmax(1)
+                    row, to = np.nonzero((s[np.arange(len(s)), home][:, None] - s) / gaps[cell][home] <= sin)
+                at = pa.array(row)
+                yield pa.RecordBatch.from_arrays([part.column(k).take(at) for k in range(4)] + [pa.array((cell * stride + to).astype(np.int32)), pa.array((home[row] == to) & lives[mine][row])], names)
+
+    return rows.mapInArrow(assign, "label int, x array<double>, node long, copies long, cell int, resident boolean")
+
+
+def _links(nodes: DataFrame, cosine: float, sample: int, cell: int, residents: int, others: int, top: int, most: int, used: list[DataFrame]) -> DataFrame:
+    """(node, links, root): partial link counts of nodes and edges to a smaller node that they reach."""
+    count = nodes.count()
+    cells = max(1, min(most, max(8, count // cell)))
+    first = spherical_kmeans(_vectors(smallest_hashes(nodes.select("node", "x"), "node", sample, 5)), min(top, cells))
+    sin = np.sqrt(max(0.0, 1 - cosine * cosine)) + 1e-9
+    seats = _seats(nodes.select("label", "x", "node", "copies", F.lit(0).alias("cell"), F.lit(True).alias("resident")), {0: first}, sin)
+    if cells > top:
+        # Every cell is divided by itself: a vector that lives in or visits a cell lives in or visits its parts.
+        seats = table(seats)
+        used.append(seats)
+        per = -(-cells // len(first))
+        draw = seats.where("resident").select("cell", "node", "x").where(F.xxhash64("node", F.lit(6)).cast("double") / 2.0**64 + 0.5 <= min(1.0, 8.0 * per * len(first) / count))
+
+        def divide(p: pd.DataFrame) -> pd.DataFrame:
+            c = spherical_kmeans(np.stack(p.sort_values("node")["x"].to_numpy()), per)
+            return pd.DataFrame({"cell": p["cell"].iloc[0], "x": list(c)})
+
+        # A task's sample: 16 vectors a part at most, whatever falls in the cell.
+        rank = F.row_number().over(W.partitionBy("cell").orderBy(F.xxhash64("node", F.lit(6)), "node"))
+        found = draw.withColumn("rank", rank).where(F.col("rank") <= 16 * per).groupBy("cell").applyInPandas(divide, "cell int, x array<double>")
+        parts: dict[int, list] = {}
+        for row in found.toLocalIterator():  # at most ``most`` centres
+            parts.setdefault(row["cell"], []).append(row["x"])
+        seats = _seats(seats, {k: np.array(v, float) for k, v in parts.items()}, sin)
     seats = table(seats)
+    used.append(seats)
     sizes = seats.groupBy("label", "cell").agg(F.sum(F.col("resident").cast("long")).alias("own"), F.count(F.lit(1)).alias("everyone"))
     sizes = sizes.select(F.col("label").alias("l"), F.col("cell").alias("c"), F.ceil(F.col("own") / residents).cast("int").alias("nb"), F.ceil(F.col("everyone") / others).cast("int").alias("no")).where("nb > 0")
     seats = seats.join(sizes, (F.col("label") == F.col("l")) & (F.col("cell") == F.col("c"))).drop("l", "c")
@@ -112,8 +164,7 @@ def _links(nodes: DataFrame, cosine: float, sample: int, cell: int, residents: i
 
 def _block(p: pd.DataFrame, cosine: float) -> pd.DataFrame:
     p = p.sort_values(["mine", "node"], kind="stable")
-    x = np.stack(p["x"].to_numpy())
-    x = x / np.sqrt((x * x).sum(1))[:, None]
+    x = unit(np.stack(p["x"].to_numpy()))
     mine = p["mine"].to_numpy()
     node, copies = p["node"].to_numpy(), p["copies"].to_numpy()
     a, b = node[mine], node[~mine]
