@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Notices and opening texts of public licenses, as their stewards publish them.
+#: Notices and opening texts of public licenses, as their stewards publish them, and one-line forms.
 TEMPLATES = {
     "apache-2.0-line": "Licensed under the Apache License, Version 2.0.",
     "apache-2.0-header": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
@@ -27,6 +27,13 @@ TEMPLATES = {
     "cc-by-nc-4.0-line": "Licensed under CC BY-NC 4.0.",
     "cc-by-sa-4.0-line": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "cc0-line": "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",
+    "agpl-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "boost-1.0-line": "Distributed under the Boost Software License, Version 1.0.",
+    "cc-by-nc-sa-4.0-line": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "epl-2.0-notice": "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at http://www.eclipse.org/legal/epl-2.0",
+    "gpl-2.0-notice": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "lgpl-2.1-notice": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "zlib-grant": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
     "gpl-3.0-line": "This work is licensed under the GNU General Public License, version 3.",
     "gpl-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "gpl-warranty": "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
@@ -75,12 +82,10 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, percent: int
     known = prepared(spark, templates or TEMPLATES)
     flat = spark.createDataFrame([(t["license_id"], t["size"], t["h"], t["sig"]) for t in known], "license_id string, size int, th array<bigint>, sig array<bigint>")
     # The shingle that gives each band's minimum: only windows that hold one can share a band.
-    least = " union all ".join(f"select size, x from flat_templates lateral view explode(th) as x where xxhash64(x, {k}L) = sig[{k}]" for k in range(BANDS))
-    flat.createOrReplaceTempView("flat_templates")
+    least = F.expr("array(" + ", ".join(f"xxhash64(x, {k}L) = sig[{k}]" for k in range(BANDS)) + ")")
     keys: dict[int, set[int]] = {}
-    for r in spark.sql(f"select distinct size, x from ({least})").collect():
+    for r in flat.select("size", "sig", F.explode("th").alias("x")).where(F.array_contains(least, True)).select("size", "x").distinct().collect():
         keys.setdefault(r["size"], set()).add(r["x"])
-    spark.catalog.dropTempView("flat_templates")
     listed = lambda s: ", ".join(f"{x}L" if x != -(2**63) else "(-9223372036854775807L - 1L)" for x in sorted(s))
     every = listed(set().union(*keys.values()))
 
