@@ -1,5 +1,8 @@
 """Byte-level BPE encoding and decoding with the tokenizers library over Arrow batches.
 
+The vocabulary is written in characters that stand for bytes (the byte table). Offsets map a token's bytes to
+the characters of its text; decoding joins the tokens' characters, reverses the byte table and gets the bytes.
+
 Edge cases: a null or empty text has no tokens and decodes to no bytes; lone rows, ties and repeated
 rows are encoded one by one; extra columns are ignored. Split characters: a token may hold a part of a
 character; ``decode_text`` joins the bytes of all tokens before it decodes them.
@@ -51,10 +54,12 @@ class ByteBpe:
             [pre_tokenizers.Split(Regex(pattern), behavior="isolated"), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
         )
         size = max(ranks.values()) + 1
-        self.table: list[bytes] = [b""] * size
+        self.table: list[str] = [""] * size  # each token in byte characters
         for t, r in ranks.items():
-            self.table[r] = t
+            self.table[r] = text(t)
         self.length = np.fromiter(map(len, self.table), np.int64, size)
+        self.byte_of = np.zeros(max(map(ord, chars)) + 1, np.uint8)  # the byte table reversed
+        self.byte_of[[ord(c) for c in chars]] = np.arange(256)
         self.digits = [str(i) for i in range(size)]
         self.memo = Memo(self._encode_chunks, 300_000)
 
@@ -82,17 +87,18 @@ class ByteBpe:
             out += known[c]
         return out
 
-    def offsets(self, ids: list[int], text: str) -> list[tuple[int, int]]:
-        """Start and end character of each token; the parts of a split character all span that character."""
-        data = text.encode("utf-8", "surrogatepass")
-        starts = (np.frombuffer(data, np.uint8) & 0xC0) != 0x80
-        char = np.cumsum(starts) - 1
+    def offsets(self, ids: list[int], text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Start and end characters of the tokens; the parts of a split character all span that character."""
         end = np.cumsum(self.length[ids]) if ids else np.zeros(0, np.int64)
         begin = end - self.length[ids] if ids else end
-        return [(int(char[a]), int(char[b - 1]) + 1) for a, b in zip(begin, end, strict=True)]
+        if text.isascii():
+            return begin, end
+        char = np.cumsum((np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8) & 0xC0) != 0x80) - 1
+        return char[begin], char[end - 1] + 1
 
     def decode(self, ids) -> bytes:
-        return b"".join(map(self.table.__getitem__, ids))
+        marks = "".join(map(self.table.__getitem__, ids))
+        return self.byte_of[np.frombuffer(marks.encode("utf-16-le"), "<u2")].tobytes()
 
     def decode_text(self, ids) -> str:
         return self.decode(ids).decode("utf-8", "replace")
@@ -115,9 +121,9 @@ def encode_documents(docs: DataFrame, path: str, pattern: str, offsets: bool = T
         for batch in batches:
             texts = batch.column(1).to_pylist()
             ids = [bpe.encode(t) for t in texts]
-            at = [bpe.offsets(i, t or "") if offsets else [] for i, t in zip(ids, texts, strict=True)]
+            at = [bpe.offsets(i, t or "") if offsets else ((), ()) for i, t in zip(ids, texts, strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([[a for a, _ in x] for x in at], pa.list_(pa.int32())), pa.array([[b for _, b in x] for x in at], pa.list_(pa.int32()))],
+                [batch.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([a for a, _ in at], pa.list_(pa.int32())), pa.array([b for _, b in at], pa.list_(pa.int32()))],
                 ["doc_id", "ids", "starts", "ends"],
             )
 
@@ -137,19 +143,27 @@ def decode_documents(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
 
 
 def round_trip_digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """One pass over the texts: encode, decode, and the digests of both."""
+    """One pass over the texts: encode with offsets, decode, and the digests of both.
+
+    n_split counts the tokens that start inside a character; tiled tells whether the offsets cover the text
+    from its first to its last character without a gap, and overlap only there.
+    """
 
     def run(batches):
         bpe = load(path, pattern)
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in small_batches(texts):
-                n, enc, dec = [], [], []
+                n, enc, dec, split, tiled = [], [], [], [], []
                 for t in texts[a:b]:
                     ids = bpe.encode(t)
                     n.append(len(ids))
                     enc.append(hashlib.sha256(" ".join(map(bpe.digits.__getitem__, ids)).encode()).hexdigest())
                     dec.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(enc), pa.array(dec)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+                    start, end = bpe.offsets(ids, t or "")
+                    back = end[:-1] - start[1:]  # 1 where a character is split, 0 elsewhere
+                    split.append(int(np.count_nonzero(back)))
+                    tiled.append(bool(not len(ids) or (start[0] == 0 and end[-1] == len(t) and ((back == 0) | (back == 1)).all())))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n, pa.int64()), pa.array(enc), pa.array(dec), pa.array(split, pa.int64()), pa.array(tiled)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_split", "tiled"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_split long, tiled boolean")
