@@ -4,8 +4,10 @@ Base spans (email, ip, card, phone) are found by rule over the whole text, witho
 model looks at islands around cues (an @ or a spelled-out "at", or seven digits and more) that lie outside
 base spans; they are searched between base spans, so a number next to one is a cue of its own. It scores
 whole candidate segments of up to 16 tokens by features of the span (digits, groups, separators, Luhn, octets, domain shape, neighbours) times weights of a type, plus type transitions; a
-bounded-entity dynamic program picks boundaries and types jointly, in time linear in the island. Base spans
-stay and bound the islands. It is trained here, on sentences from a seeded generator with look-alikes
+bounded-entity dynamic program picks boundaries and types jointly, in time linear in the island, whose tokens
+are read as a stream: what is held per token is two positions and two small back pointers. An island is the cues
+less than ``context`` characters apart and so many characters around them, so a hint word farther away is not
+seen. Base spans stay and bound the islands. It is trained here, on sentences from a seeded generator with look-alikes
 (dates, prices, versions, order numbers) as negatives, by exact gradients of the likelihood.
 
 Edge cases: null and empty texts have no spans; repeated rows are scanned each; very long numbers, runs and
@@ -17,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from array import array
 from bisect import bisect_left, bisect_right
 from functools import lru_cache
 
@@ -79,7 +82,9 @@ LONGEST = 16
 _token = re.compile(r"[^\W\d_]+|[0-9]+|[^\s]")
 _digits_cue = re.compile(r"[0-9](?:[ ().+/-]{0,3}[0-9]){6,}")
 _at_cue = re.compile("@")
-_spelled_cue = re.compile(r"[\w.-]+ ?(?:\(at\)|\[at\]| at ) ?[\w-]+ ?(?:\(dot\)|\[dot\]| dot )", re.I)
+#: From the spelled-out "at" on; the name before it is found by going back, so no run is scanned twice.
+_spelled_cue = re.compile(r"(?:\(at\)|\[at\]| at ) ?[\w-]++ ?(?:\(dot\)|\[dot\]| dot )", re.I)
+_name_end = re.compile(r"[\w.-]")
 #: Words that tell what a number is (fixed values).
 HINTS = {
     "email": {"email", "mail", "e-mail", "contact", "write", "address", "correo", "courriel"},
@@ -90,15 +95,31 @@ HINTS = {
 N_FEATURES = 34
 
 
-def _features(text: str, tokens: list[tuple[int, int]], i: int, j: int) -> np.ndarray:
+class Tokens:
+    """Tokens of a stretch of text as two flat arrays of positions, with the digits before each counted up."""
+
+    def __init__(self, text: str, lo: int = 0, hi: int | None = None):
+        self.text, self.start, self.end, self.digits = text, array("q"), array("q"), array("q", [0])
+        for m in _token.finditer(text, lo, len(text) if hi is None else hi):
+            a, b = m.span()
+            self.start.append(a)
+            self.end.append(b)
+            self.digits.append(self.digits[-1] + (b - a if "0" <= text[a] <= "9" else 0))
+
+    def __len__(self) -> int:
+        return len(self.start)
+
+
+def _features(tokens: Tokens, i: int, j: int) -> list[float]:
     """Features of the segment of tokens i..j-1 as a whole."""
-    a, b = tokens[i][0], tokens[j - 1][1]
+    text, starts, ends = tokens.text, tokens.start, tokens.end
+    a, b = starts[i], ends[j - 1]
     s = text[a:b]
     digits = _not_digit.sub("", s)
     n = len(digits)
     letters = sum(c.isalpha() for c in s)
-    words = [text[p:q].lower() for p, q in tokens[i:j]]
-    left = [text[p:q].lower() for p, q in tokens[max(0, i - 3) : i]]
+    words = [text[starts[k] : ends[k]].lower() for k in range(i, j)]
+    left = [text[starts[k] : ends[k]].lower() for k in range(max(0, i - 3), i)]
     parts = s.split(".")
     octets = len(parts) == 4 and all(p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts)
     groups = tuple(len(g) for g in re.split(r"[^0-9]+", s) if g)
@@ -106,7 +127,7 @@ def _features(text: str, tokens: list[tuple[int, int]], i: int, j: int) -> np.nd
     dot = "." in s or "dot" in words
     domain = at and dot and words[-1].isalpha() and 2 <= len(words[-1]) <= 6 and not words[0] in "([.-@"
     only = not letters and all(c in "0123456789 ().+-" for c in s)
-    f = np.zeros(N_FEATURES)
+    f = [0.0] * N_FEATURES
     f[0] = 1
     f[1] = j - i == 1
     f[2] = n == 0
@@ -129,10 +150,10 @@ def _features(text: str, tokens: list[tuple[int, int]], i: int, j: int) -> np.nd
     f[19] = letters > 0 and n > 0 and not at
     f[20] = letters > 0 and not n
     f[21] = (j - i) / LONGEST
-    f[22] = i > 0 and tokens[i - 1][1] == a and text[a - 1] not in ",;:(\"'"
-    f[23] = j < len(tokens) and tokens[j][0] == b and text[b] not in ",;.:)\"'!?"
-    f[24] = i > 0 and text[tokens[i - 1][0]].isdigit()
-    f[25] = j < len(tokens) and text[tokens[j][0]].isdigit()
+    f[22] = i > 0 and ends[i - 1] == a and text[a - 1] not in ",;:(\"'"
+    f[23] = j < len(tokens) and starts[j] == b and text[b] not in ",;.:)\"'!?"
+    f[24] = i > 0 and text[starts[i - 1]].isdigit()
+    f[25] = j < len(tokens) and text[starts[j]].isdigit()
     for k, kind in enumerate(KINDS):
         f[26 + k] = any(w in HINTS[kind] for w in left)
     f[30] = only and s.count("(") == 1 and s.count(")") == 1
@@ -147,17 +168,29 @@ _at = r"(?:[\w.+-]+ ?@ ?[\w-]+(?: ?\. ?[\w-]+)+|[\w.+-]+ ?(?:\(at\)|\[at\]|\bat\
 SHAPES = tuple(re.compile(x, re.I) for x in (_at, r"[0-9]{1,3}(?: ?\. ?[0-9]{1,3}){3}", r"[0-9]{4}(?:[ .-]?[0-9]){9,15}", r"[+(]?[0-9](?:[ ().-]{0,2}[0-9]){6,14}"))
 
 
-def _segments(text: str, tokens: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
-    """(end, length, feature) and the allowed (end, length, label) of all segments; a length that reaches over the start is left at 0."""
-    out, may = np.zeros((len(tokens), LONGEST, N_FEATURES)), np.zeros((len(tokens), LONGEST, len(LABELS)), bool)
+def _shapes(s: str, digits: int) -> list[bool]:
+    """Which types a segment with so many digits could be; what its digits rule out is not matched."""
+    return [
+        ("@" in s or "at" in s.lower()) and SHAPES[0].fullmatch(s) is not None,
+        4 <= digits <= 12 and SHAPES[1].fullmatch(s) is not None,
+        13 <= digits <= 19 and SHAPES[2].fullmatch(s) is not None and luhn(_not_digit.sub("", s)),
+        7 <= digits <= 15 and SHAPES[3].fullmatch(s) is not None,
+    ]
+
+
+def _segments(tokens: Tokens, first: int = 0, last: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(end, length, feature) and the allowed (end, length, label) of the segments that end with tokens first .. last - 1;
+    a length that reaches over the start is left at 0."""
+    last = len(tokens) if last is None else last
+    out, may = np.zeros((last - first, LONGEST, N_FEATURES)), np.zeros((last - first, LONGEST, len(LABELS)), bool)
     may[:, 0, 0] = True
-    for e in range(1, len(tokens) + 1):
+    for e in range(first + 1, last + 1):
+        end, digits = tokens.end[e - 1], tokens.digits[e]
         for k in range(1, min(LONGEST, e) + 1):
-            s = text[tokens[e - k][0] : tokens[e - 1][1]]
-            may[e - 1, k - 1, 1:] = [x.fullmatch(s) is not None for x in SHAPES]
-            may[e - 1, k - 1, 3] &= luhn(_not_digit.sub("", s))
-            if may[e - 1, k - 1].any():
-                out[e - 1, k - 1] = _features(text, tokens, e - k, e)
+            found = _shapes(tokens.text[tokens.start[e - k] : end], digits - tokens.digits[e - k])
+            may[e - 1 - first, k - 1, 1:] = found
+            if k == 1 or any(found):
+                out[e - 1 - first, k - 1] = _features(tokens, e - k, e)
     return out, may
 
 
@@ -173,25 +206,29 @@ class SemiMarkov:
         k = min(LONGEST, e)
         return s[e - 1, :k] + before[e - k : e][::-1]
 
-    def decode(self, seg: np.ndarray, may: np.ndarray) -> list[tuple[int, int, int]]:
-        """The best segmentation's entities: (first token, end token, label)."""
-        n, s = len(seg), self.scores(seg, may)
-        before = np.zeros((n + 1, len(LABELS)))
-        came, best_prev = np.zeros((n + 1, len(LABELS)), int), np.zeros((n + 1, len(LABELS)), int)
-        for e in range(1, n + 1):
-            x = self._step(s, before, e)
-            came[e] = x.argmax(0) + 1
-            top = x.max(0)
-            to = top[:, None] + self.t
-            best_prev[e], before[e] = to.argmax(0), to.max(0)
-            last = top
+    def decode(self, tokens: Tokens, chunk: int = 512) -> list[tuple[int, int, int]]:
+        """The best segmentation's entities: (first token, end token, label). Segments are scored ``chunk`` ends at a time."""
+        n = len(tokens)
+        came, best_prev = np.zeros((n + 1, len(LABELS)), np.int8), np.zeros((n + 1, len(LABELS)), np.int8)
+        before = np.zeros((LONGEST, len(LABELS)))  # of the last ends, the latest first
+        last = None
+        for lo in range(0, n, chunk):
+            s = self.scores(*_segments(tokens, lo, min(n, lo + chunk)))
+            for e in range(lo + 1, min(n, lo + chunk) + 1):
+                x = s[e - 1 - lo, : min(LONGEST, e)] + before[: min(LONGEST, e)]
+                came[e] = x.argmax(0) + 1
+                last = x.max(0)
+                to = last[:, None] + self.t
+                best_prev[e] = to.argmax(0)
+                before[1:] = before[:-1].copy()
+                before[0] = to.max(0)
         out, e, y = [], n, int(last.argmax()) if n else 0
         while e > 0:
-            k = came[e, y]
+            k = int(came[e, y])
             if y:
                 out.append((e - k, e, y))
             e -= k
-            y = best_prev[e, y] if e > 0 else 0
+            y = int(best_prev[e, y]) if e > 0 else 0
         return out[::-1]
 
     def gradient(self, seg: np.ndarray, may: np.ndarray, gold: list[tuple[int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
@@ -268,18 +305,18 @@ def trained(examples: int = 260, epochs: int = 6, seed: int = 17, rate: float =
     """The model, fitted by Adagrad on generated sentences; the same on every machine."""
     model, data = SemiMarkov(), []
     for text, spans in synthetic(examples, seed):
-        tokens = [m.span() for m in _token.finditer(text)]
+        tokens = Tokens(text)
         gold, i = [], 0
         while i < len(tokens):
-            hit = next((s for s in spans if s[0] == tokens[i][0]), None)
+            hit = next((s for s in spans if s[0] == tokens.start[i]), None)
             j = i + 1
-            while hit and j < len(tokens) and tokens[j][1] <= hit[1]:
+            while hit and j < len(tokens) and tokens.end[j] <= hit[1]:
                 j += 1
             if hit and j - i > LONGEST:
                 hit, j = None, i + 1
             gold.append((i, j, hit[2] if hit else 0))
             i = j
-        data.append((*_segments(text, tokens), gold))
+        data.append((*_segments(tokens), gold))
     hw, ht = np.full_like(model.w, 1e-6), np.full_like(model.t, 1e-6)
     order = random.Random(seed)
     for _ in range(epochs):
@@ -311,7 +348,15 @@ def added_spans(text: str, base: list[tuple[int, int, int]], model: SemiMarkov,
         if "@" in text:
             cues += [(m.start(), m.end()) for m in _at_cue.finditer(text, p, q)]
         if spelled:
-            cues += [m.span() for m in _spelled_cue.finditer(text, p, q)]
+            here = p
+            for m in _spelled_cue.finditer(text, p, q):
+                a = m.start() - (m.start() > here and text[m.start() - 1] == " ")
+                start = a
+                while start > here and _name_end.match(text, start - 1):
+                    start -= 1
+                if start < a:
+                    cues.append((start, m.end()))
+                here = m.end()
     cues.sort()
     out: list[tuple[int, int, int]] = []
     at = 0
@@ -334,9 +379,8 @@ def added_spans(text: str, base: list[tuple[int, int, int]], model: SemiMarkov,
             here = max(here, e)
         pieces.append((here, hi))
         for p, q in pieces:
-            tokens = [m.span() for m in _token.finditer(text, p, q)]
-            if tokens:
-                out += [(tokens[i][0], y - 1, tokens[j - 1][1]) for i, j, y in model.decode(*_segments(text, tokens))]
+            tokens = Tokens(text, p, q)
+            out += [(tokens.start[i], y - 1, tokens.end[j - 1]) for i, j, y in model.decode(tokens)]
     return sorted(set(out))
 
 
@@ -353,21 +397,23 @@ def _listed(spans: list[tuple[int, int, int]]) -> str:
 
 
 def detect(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans); counts are of base spans."""
+    """(doc_id, n_email, .., base_sha256, spans, added_email, ..): n_ counts base spans, added_ the model's."""
     model = trained()
+    names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", *(f"added_{k}" for k in KINDS)]
 
     def run(batches):
         for batch in batches:
-            n, digest, spans = [[], [], [], []], [], []
+            n, added, digest, spans = [[], [], [], []], [[], [], [], []], [], []
             for t in batch.column(1):
                 base, every = find(t.as_py(), model)
                 for k in range(4):
                     n[k].append(sum(1 for x in base if x[1] == k))
+                    added[k].append(sum(1 for x in every if x[1] == k) - n[k][-1])
                 digest.append(hashlib.sha256(_listed(base).encode()).hexdigest())
                 spans.append(_listed(every))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in n), pa.array(digest, pa.string()), pa.array(spans, pa.string())], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in n), pa.array(digest, pa.string()), pa.array(spans, pa.string()), *(pa.array(c, pa.int64()) for c in added)], names)
 
-    return docs.select("doc_id", "text").mapInArrow(trimmed(run), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string")
+    return docs.select("doc_id", "text").mapInArrow(trimmed(run), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, " + ", ".join(f"added_{k} long" for k in KINDS))
 
 
 def redacted(text: str | None, model: SemiMarkov) -> str | None:
