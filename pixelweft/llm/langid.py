@@ -12,7 +12,6 @@ null languages are not learnt from; a label that only repeats is one class; extr
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,7 +24,6 @@ from .common import Memo, held_out, sample_ids, small_batches, trimmed, word_ngr
 
 SIZES = (1, 2, 3)
 BITS = 15
-_letter = re.compile(r"[^\W\d_]")
 
 
 @dataclass
@@ -36,6 +34,11 @@ class LangModel:
     temperature: float
 
 
+def has_letter(text: str | None) -> bool:
+    """Whether a text holds a letter (Unicode categories L*); numerals that aren't digits are none."""
+    return any(map(str.isalpha, text or ""))
+
+
 def _counts(text: str) -> tuple[np.ndarray, np.ndarray]:
     words = text.lower().split()
     found = [f for _, f in word_ngrams(words, SIZES, BITS)] if words else []
@@ -189,7 +192,7 @@ class Scorer:
     def __call__(self, texts: list) -> tuple[list[str], list[float]]:
         langs, scores, m = [], [], self.model
         for a, b in small_batches(texts):
-            split = [t.lower().split() if t and m.langs and _letter.search(t) else [] for t in texts[a:b]]
+            split = [t.lower().split() if t and m.langs and has_letter(t) else [] for t in texts[a:b]]
             known = self.memo.learn(set().union(*split))
             for words in split:
                 if not words:
