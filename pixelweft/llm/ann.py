@@ -2,139 +2,198 @@
 
 Codes: vectors are lifted so that the largest inner product is the smallest angle (one more coordinate
 evens out the norms), centred, rotated by principal axes and an iteratively quantised rotation (ITQ), and
-cut to signs. Both are fitted on a bounded sample of rows. A code is split into substrings; each shard of
-the index has one table per substring. Codes within Hamming distance r of a query share, by the pigeonhole
-principle, a substring within r // substrings; those buckets are probed, the retrieved codes are checked
-against r, and what is within is reranked by the inner product of the original vectors in double precision.
+cut to signs. Both are fitted on a bounded sample of rows. A code is split into substrings (bytes), each
+indexed by a table. Codes within Hamming distance r of a query share, by the pigeonhole principle, a
+substring within r // substrings; the buckets of such values are probed in every table, the retrieved codes are
+checked against r, and what is within is reranked by the inner product of the original vectors in double
+precision. Long codes make the radius selective: on vectors without any structure (see the README's figures)
+256 bits rerank a few hundredths of the rows where 64 bits rerank a fifth. Where the probed buckets would hold
+more rows than there are (a wide radius), probing retrieves every row, and the codes are checked at once.
 
 The radius is the smallest that holds the wanted share of true neighbours of sample queries, measured
-within the sample (true neighbours there lie farther than in the full table, so this errs on the wide
-side). A query with fewer than k codes within r in a shard is widened there until k are found.
+within the sample (true neighbours there lie farther than in the full table, so this errs on the wide side).
 
-Shards and query blocks are hash-dealt and bounded; queries against all rows go block by block and each
-shard passes on at most k rows a query. Memory per task: one shard and one block of queries.
+Rows are dealt over shards, queries over blocks, by hashes. About the square root of the number of shards is
+searched first; a query's k-th score there is a bound that the other shards' hits must reach, so what they pass on stays
+few. A query that finds fewer than k within r in a first shard is widened there until it has them.
+Memory per task: one shard and one block of queries. ``reranked`` counts the rows reranked.
 
 Edge cases: null, zero or non-finite vectors and rows with null ids take no part; a table with one usable
 vector gives no rows; ties go to the smaller id; a repeated id is a candidate once per row and never its
-own neighbour; extra columns are ignored.
+own neighbour; components of any finite size are scaled before codes are made; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import smallest_hashes, table
 from .embedding_dedup import usable
 
 
 class Codes:
-    """Sign codes after a learned rotation; ``bits`` is a multiple of 8 and every byte is a substring."""
+    """Sign codes after a learned rotation; ``bits`` is a multiple of 64 and every byte is a substring.
+
+    More bits than axes take further rotations, each of them fitted from a start of its own.
+    """
 
     def __init__(self, x: np.ndarray, bits: int, rounds: int = 30):
+        self.unit = float(np.abs(x).max())
+        x = x / self.unit
         self.top = float((x * x).sum(1).max())
         y = self._lift(x, False)
         self.mean = y.mean(0)
         y = y - self.mean
         _, axes = np.linalg.eigh(y.T @ y)
-        self.axes = axes[:, ::-1][:, :bits]
-        v = y @ self.axes
-        draw = np.random.default_rng(3).standard_normal((v.shape[1], bits))
-        q, _ = np.linalg.qr(draw if v.shape[1] >= bits else draw.T)
-        r = q if v.shape[1] >= bits else q.T
-        for _ in range(rounds):
-            u, _, t = np.linalg.svd(v.T @ np.where(v @ r >= 0, 1.0, -1.0), full_matrices=False)
-            r = u @ t
-        self.turn = self.axes @ r
+        axes = axes[:, ::-1][:, : min(bits, y.shape[1])]
+        v = y @ axes
+        turns, draw = [], np.random.default_rng(3)
+        while sum(t.shape[1] for t in turns) < bits:
+            r, _ = np.linalg.qr(draw.standard_normal((v.shape[1], v.shape[1])))
+            for _ in range(rounds):
+                u, _, t = np.linalg.svd(v.T @ np.where(v @ r >= 0, 1.0, -1.0), full_matrices=False)
+                r = u @ t
+            turns.append(axes @ r)
+        self.turn = np.hstack(turns)[:, :bits]
 
     def _lift(self, x: np.ndarray, query: bool) -> np.ndarray:
-        rest = np.zeros(len(x)) if query else np.sqrt(np.maximum(0, self.top - (x * x).sum(1)))
-        scale = np.sqrt(self.top) / np.linalg.norm(x, axis=1, keepdims=True) if query else 1.0
-        return np.hstack([x * scale, rest[:, None]])
+        """One coordinate more, in which rows get what their length lacks; queries get 0 there and full length."""
+        if query:
+            x = x / np.abs(x).max(1, keepdims=True)
+            return np.hstack([x * (np.sqrt(self.top) / np.linalg.norm(x, axis=1, keepdims=True)), np.zeros((len(x), 1))])
+        return np.hstack([x, np.sqrt(np.maximum(0, self.top - (x * x).sum(1)))[:, None]])
 
     def __call__(self, x: np.ndarray, query: bool = False) -> np.ndarray:
+        # A row beyond the sample's lengths counts as one of the largest length.
+        if not query:
+            x = np.clip(x / self.unit, -1e100, 1e100)
         return np.packbits((self._lift(x, query) - self.mean) @ self.turn >= 0, axis=1)
 
 
-_POP = np.array([bin(i).count("1") for i in range(256)], np.uint8)
-_BYTE = _POP[np.arange(256)[:, None] ^ np.arange(256)[None]]
+_BYTE = np.bitwise_count(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8)[None])
+#: How many of the 256 values of a byte are within 0, 1, .. 8 bits of another.
+_BALL = (_BYTE[0][None] <= np.arange(9)[:, None]).sum(1)
+
+
+def distances(codes: np.ndarray, code: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(codes.view(np.uint64) ^ code.view(np.uint64)).sum(1, dtype=np.int64)
 
 
 class MultiIndex:
     """One table per substring (byte): rows in the order of their value there, with bucket bounds."""
 
     def __init__(self, codes: np.ndarray):
-        self.codes = codes
-        self.order = [np.argsort(codes[:, s], kind="stable") for s in range(codes.shape[1])]
-        self.bounds = [np.searchsorted(codes[o, s], np.arange(257)) for s, o in enumerate(self.order)]
+        self.codes, self.order, self.bounds = np.ascontiguousarray(codes), None, None
+
+    def _tables(self) -> None:
+        self.order = [np.argsort(c, kind="stable") for c in self.codes.T]
+        self.bounds = [np.searchsorted(c[o], np.arange(257)) for c, o in zip(self.codes.T, self.order, strict=True)]
+
+    def probe(self, code: np.ndarray, flips: int) -> np.ndarray:
+        """Rows that share some substring within ``flips`` bits with the code."""
+        if self.order is None:
+            self._tables()
+        hit = np.zeros(len(self.codes), bool)
+        for s, (order, b) in enumerate(zip(self.order, self.bounds, strict=True)):
+            for v in np.flatnonzero(_BYTE[code[s]] <= flips):
+                hit[order[b[v] : b[v + 1]]] = True
+        return np.flatnonzero(hit)
 
     def within(self, code: np.ndarray, radius: int) -> np.ndarray:
         """Rows whose codes are within the radius: pigeonhole probes of every table, then the check."""
         m = self.codes.shape[1]
-        near, hit = radius // m, np.zeros(len(self.codes), bool)
-        for s in range(m):
-            b = self.bounds[s]
-            for v in np.flatnonzero(_BYTE[code[s]] <= near):
-                if b[v + 1] > b[v]:
-                    hit[self.order[s][b[v] : b[v + 1]]] = True
-        rows = np.flatnonzero(hit)
-        return rows[_POP[self.codes[rows] ^ code].sum(1) <= radius]
+        flips = min(8, radius // m)
+        if m * _BALL[flips] >= 256:  # the buckets hold as many entries as there are rows, or more
+            return np.flatnonzero(distances(self.codes, code) <= radius)
+        rows = self.probe(code, flips)
+        return rows[distances(self.codes[rows], code) <= radius]
 
 
 def radius_for(x: np.ndarray, codes: Codes, k: int, share: float, queries: int = 200) -> int:
     """The Hamming radius that holds ``share`` of the k nearest of sample queries."""
     c, q = codes(x), codes(x[:queries], True)
-    s = x[:queries] @ x.T
+    with np.errstate(all="ignore"):
+        s = (x[:queries] / np.abs(x).max()) @ (x / np.abs(x).max()).T
     s[np.arange(len(s)), np.arange(len(s))] = -np.inf
     top = np.argsort(-s, axis=1, kind="stable")[:, : min(k, len(x) - 1)]
-    d = np.sort(np.concatenate([_POP[c[t] ^ q[i]].sum(1) for i, t in enumerate(top)]))
+    d = np.sort(np.concatenate([distances(c[t], q[i]) for i, t in enumerate(top)]))
     return int(d[min(len(d) - 1, int(np.ceil(share * len(d))))]) if len(d) else 0
 
 
-def search(vectors: DataFrame, queries: DataFrame, k: int = 20, bits: int = 64, sample: int = 4000, share: float = 0.97, shard: int = 8192, block: int = 2048) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest found for each (query_id, embedding) of queries."""
-    schema = "query_id long, rank int, vec_id long, score double"
+def search(vectors: DataFrame, queries: DataFrame, k: int = 20, bits: int = 256, sample: int = 4000, share: float = 0.97, shard: int = 16_384, block: int = 8192) -> DataFrame:
+    """(query_id, rank, vec_id, score, reranked): the k nearest found for each (query_id, embedding) of queries.
+
+    reranked is the number of rows whose inner product with the query was taken.
+    """
+    schema = "query_id long, rank int, vec_id long, score double, reranked long"
     rows = table(vectors.where(usable() & F.col("vec_id").isNotNull()).select("vec_id", F.col("embedding").cast("array<double>").alias("x"), F.size("embedding").alias("d")))
     asked = queries.where(usable() & F.col("query_id").isNotNull()).select("query_id", F.col("embedding").cast("array<double>").alias("x"), F.size("embedding").alias("d"))
     found = None
-    for d, n in sorted((r[0], r[1]) for r in rows.groupBy("d").count().collect()):
-        part = _search(rows.where(F.col("d") == d), asked.where(F.col("d") == d), n, k, bits, sample, share, shard, block)
+    for d, n in sorted((r[0], r[1]) for r in rows.groupBy("d").count().collect()):  # a row per length of vectors
+        part = _search(rows.where(F.col("d") == d).drop("d"), asked.where(F.col("d") == d).drop("d"), n, k, bits, sample, share, shard, block)
         found = part if found is None else found.union(part)
     if found is None:
         return rows.sparkSession.createDataFrame([], schema)
+    best = _best(found, k).join(found.groupBy("query_id").agg(F.sum("reranked").alias("total")), "query_id")
+    return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score", F.col("total").alias("reranked"))
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    """The k best of each query, by shards first: no more than k rows of a shard meet."""
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    return found.where("vec_id is not null").withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
 def _search(rows: DataFrame, asked: DataFrame, n: int, k: int, bits: int, sample: int, share: float, shard: int, block: int) -> DataFrame:
-    x = np.array(rows.orderBy(F.xxhash64("vec_id", F.lit(9)), "vec_id").limit(sample).select("x").toArrow().column(0).to_pylist(), float)
+    x = np.array(smallest_hashes(rows, "vec_id", sample, 9).select("x").toArrow().column(0).to_pylist(), float)
     codes = Codes(x, bits)
     radius = radius_for(x, codes, k, share)
     shards, blocks = max(12, -(-n // shard)), max(1, -(-asked.count() // block))
-    index = rows.select(F.pmod(F.xxhash64("vec_id"), F.lit(shards)).alias("shard"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), "vec_id", "x")
-    seek = asked.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(blocks)).alias("block"), "query_id", "x")
+    first = int(np.ceil(np.sqrt(shards)))
+    rows = rows.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)))
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("query_id", F.lit(1)), F.lit(blocks)))
+    schema = "query_id long, vec_id long, score double, reranked long"
 
-    def probe(own: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+    def probe(own: pa.Table, wanted: pa.Table) -> pa.Table:
         out = []
-        if len(own) and len(wanted):
-            own = own.sort_values("vec_id", kind="stable")
-            v, ids = np.stack(own["x"].to_numpy()), own["vec_id"].to_numpy()
-            table_ = MultiIndex(codes(v))
-            q, asked_ids = np.stack(wanted["x"].to_numpy()), wanted["query_id"].to_numpy()
-            for one, code, qid in zip(q, codes(q, True), asked_ids, strict=True):
+        if own.num_rows and wanted.num_rows:
+            own = own.sort_by("vec_id")
+            v, ids = _matrix(own["x"]), own["vec_id"].to_numpy()
+            index = MultiIndex(codes(v))
+            q = _matrix(wanted["x"])
+            for one, code, qid, bound in zip(q, codes(q, True), wanted["query_id"].to_numpy(), wanted["bound"].to_numpy(), strict=True):
                 r = radius
                 while True:
-                    hit = table_.within(code, r)
+                    hit = index.within(code, r)
                     hit = hit[ids[hit] != qid]
-                    if len(hit) >= k or r >= bits:
+                    # Without a bound k rows are needed from here, wherever they lie.
+                    if len(hit) >= k or r >= bits or bound == bound:
                         break
-                    r += 1
+                    r += 8
                 score = (v[hit] * one).sum(1)
-                best = np.lexsort((ids[hit], -score))[:k]
-                out.append(pd.DataFrame({"query_id": qid, "vec_id": ids[hit[best]], "score": score[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-
-    return index.groupBy("shard", "block").cogroup(seek.groupBy("shard", "block")).applyInPandas(probe, "query_id long, vec_id long, score double")
+                good = np.flatnonzero(~(score < bound))
+                best = good[np.lexsort((ids[hit[good]], -score[good]))[:k]]
+                out.append((np.full(len(best), qid), ids[hit[best]], score[best], np.zeros(len(best), np.int64)))
+                out.append((np.array([qid]), None, None, np.array([len(hit)])))
+        cols = [pa.chunked_array([pa.array(o[i]) if o[i] is not None else pa.nulls(len(o[0]), t) for o in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.int64()))]
+        return pa.Table.from_arrays(cols, ["query_id", "vec_id", "score", "reranked"])
+
+    def met(low: int, high: int, seek: DataFrame) -> DataFrame:
+        own = rows.where(F.col("shard").between(low, high - 1)).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+        seek = seek.withColumn("shard", F.explode(F.sequence(F.lit(low).cast("long"), F.lit(high - 1).cast("long"))))
+        own = own.select("shard", "block", "vec_id", "x").groupBy("shard", "block")
+        return own.cogroup(seek.select("shard", "block", "query_id", "x", "bound").groupBy("shard", "block")).applyInArrow(probe, schema)
+
+    near = table(met(0, first, asked.withColumn("bound", F.lit(float("nan")))))
+    bounds = _best(near, k).where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
+    seek = asked.join(bounds, "query_id", "left").withColumn("bound", F.coalesce("least", F.lit(float("nan"))))
+    return near.unionByName(met(first, shards, seek))
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    lists = column.combine_chunks()
+    return lists.flatten().to_numpy().reshape(len(lists), -1)
