@@ -101,13 +101,14 @@ def smallest_hashes(df: DataFrame, id_col: str, n: int, seed: int) -> DataFrame:
     return known.distinct().orderBy(order, *df.columns).limit(n)
 
 
-def attach(rows: DataFrame, facts: DataFrame, keys: list[str], copies: str, few: int = 2000) -> DataFrame:
+def attach(rows: DataFrame, facts: DataFrame, keys: list[str], copies: str, few: int = 2000, total: int | None = None) -> DataFrame:
     """rows inner-joined with facts, one row per distinct keys, of which ``copies`` says how many rows have them.
 
     Keys with more than a ``few``-th part of all rows, which are fewer than ``few``, are joined by broadcast,
     all others by a shuffle in which no key has more than that part. Keys are not null in rows.
     """
-    total = facts.agg(F.sum(copies)).first()[0] or 0
+    if total is None:
+        total = facts.agg(F.sum(copies)).first()[0] or 0
     hot = facts.where(F.col(copies) * few > total).drop(copies)
     cold = facts.where(F.col(copies) * few <= total).drop(copies)
     near = rows.join(F.broadcast(hot), keys)
@@ -120,7 +121,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star rounds until nothing changes, with the edges of every
     round in a written table. A hub's many edges meet only in counted minima (combined before the
-    shuffle) and in sort-merge joins, which Spark splits when skewed. Roots themselves are not listed.
+    shuffle); its minimum then comes to them by broadcast. Roots themselves are not listed.
     """
     e = table(
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
@@ -132,10 +133,8 @@ def components(edges: DataFrame) -> DataFrame:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
         before = now
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = (
-            both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        )
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("n")).select("u", F.least("u", "m").alias("m"), "n")
+        large = attach(both.where("v > u"), low, ["u"], "n", total=2 * now[0]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = table(large)
         discard(e)
         low = large.groupBy("u").agg(F.min("v").alias("m"))
