@@ -9,6 +9,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..raster import Raster
@@ -29,30 +30,26 @@ def _back(r: Raster, kind: str) -> Raster:
     return r.with_df(r.df.withColumn("re", F.sqrt(F.greatest(F.lit(0.0), F.col("re"))))) if kind == "amplitude" else r
 
 
-def _interior(out: Raster, src: Raster, hy: int, hx: int) -> Raster:
-    """out inside, src on the border of a window's half."""
-    inside = F.col("y").between(hy, src.ny - 1 - hy) & F.col("x").between(hx, src.nx - 1 - hx)
-    d = out.df.withColumnRenamed("re", "f").join(src.df, [*src.keys, "y", "x"])
-    return src.with_df(d.select(*src.keys, "y", "x", F.when(inside, F.col("f")).otherwise(F.col("re")).alias("re")))
+def _windowed(r: Raster, win: tuple[int, int], f, border: float | None = None, keep: bool = False) -> Raster:
+    """f(windows (rows, columns, wy, wx)) per pixel of an odd window.
 
-
-def _windows(block: np.ndarray, win: tuple[int, int]) -> np.ndarray:
-    return View(block, win)
-
-
-def _windowed(r: Raster, win: tuple[int, int], f) -> Raster:
-    """f(windows (rows, columns, wy, wx)) per pixel of an odd window."""
+    On a border of half a window pixels stay as they are (``keep``) or get the value ``border``.
+    """
     a, b = win[0] // 2, win[1] // 2
     win = (2 * a + 1, 2 * b + 1)
+    ny, nx = r.ny, r.nx
 
-    def kernel(block):
+    def kernel(block, yy, xx):
         out = block.copy()
-        v = _windows(block[0], win)
+        v = View(block[0], win)
         for i in range(0, v.shape[0], 16):  # a few rows of windows at a time
             out[0, a + i : a + min(i + 16, v.shape[0]), b : b + v.shape[1]] = f(v[i : i + 16])
+        if keep or border is not None:
+            inside = ((yy >= a) & (yy < ny - a))[:, None] & ((xx >= b) & (xx < nx - b))[None]
+            out[0] = np.where(inside, out[0], block[0] if keep else border)
         return out
 
-    return map_tiles(r, (a, b), kernel)
+    return map_tiles(r, (a, b), kernel, located=True)
 
 
 def leesigma(r: Raster, win: tuple[int, int] = (7, 7), looks: float = 2.0, kind: str = "amplitude") -> Raster:
@@ -67,7 +64,7 @@ def leesigma(r: Raster, win: tuple[int, int] = (7, 7), looks: float = 2.0, kind:
         four = (v[:, :, a - 1, b] + v[:, :, a + 1, b] + v[:, :, a, b - 1] + v[:, :, a, b + 1]) / 4
         return np.where(n >= a + b, (v * ok).sum((-1, -2)) / np.maximum(n, 1), four)
 
-    return _back(_interior(_windowed(p, win, f), p, a, b), kind)
+    return _back(_windowed(p, win, f, keep=True), kind)
 
 
 def bilateral(r: Raster, win: int = 11, looks: float = 2.0, kind: str = "amplitude") -> Raster:
@@ -81,9 +78,7 @@ def bilateral(r: Raster, win: int = 11, looks: float = 2.0, kind: str = "amplitu
         w = space * np.exp(-((c - v) ** 2) * looks / 2)
         return (w * v).sum((-1, -2)) / w.sum((-1, -2))
 
-    out = _windowed(p, (win, win), f)
-    zero = p.with_df(p.df.withColumn("re", F.lit(0.0)))
-    return _back(_interior(out, zero, h, h), kind)
+    return _back(_windowed(p, (win, win), f, border=0.0), kind)
 
 
 def emdes(r: Raster, win: tuple[int, int] = (7, 7), looks: float = 2.0, kind: str = "amplitude") -> Raster:
@@ -98,48 +93,68 @@ def emdes(r: Raster, win: tuple[int, int] = (7, 7), looks: float = 2.0, kind: st
         s = w.sum((-1, -2))
         return np.where(s > 0, (w * v).sum((-1, -2)) / np.where(s > 0, s, 1), v[:, :, a, b])
 
-    return _back(_interior(_windowed(p, win, f), p, a, b), kind)
+    return _back(_windowed(p, win, f, keep=True), kind)
+
 
+#: The neighbours (dy, dx) that refined Lee compares, in the order in which the first of equals is taken.
+AROUND = ((0, -1), (-1, -1), (-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1))
 
-def _masks(n: int) -> list[np.ndarray]:
-    """Half planes, triangles and a diamond that refined Lee chooses from."""
+
+def _masks(n: int) -> np.ndarray:
+    """For each neighbour the half of the window that faces away from it, centre line included; and a diamond."""
     h = n // 2
-    half = np.zeros((n, n))
-    half[:, h:] = 1
-    tri = np.triu(np.ones((n, n)))
-    out = [np.rot90(half, k) for k in range(4)] + [np.rot90(tri, k) for k in range(4)]
     y, x = np.mgrid[-h : h + 1, -h : h + 1]
-    return [*out, (np.abs(y) + np.abs(x) <= h).astype(float)]
+    out = [dy * y + dx * x <= 0 for dy, dx in AROUND] + [np.abs(y) + np.abs(x) <= h]
+    return np.array([m / m.sum() for m in out])
 
 
 def refinedlee(r: Raster, win: int = 7, looks: float = 1.0, threshold: float = 0.5, method: str = "original") -> Raster:
-    """Lee's filter in the edge-aligned mask chosen by gradients of sub-window means, or by the least variation."""
-    p = power(r, "amplitude")
-    h, masks, sig2 = win // 2, _masks(win), 1.0 / looks
+    """Lee's filter in an edge-aligned part of the window: away from the neighbour that differs most, or of least variation.
 
-    def f(v):
-        c = v[:, :, h, h]
-        mean = np.stack([(v * m).sum((-1, -2)) / m.sum() for m in masks])
-        sq = np.stack([(v * v * m).sum((-1, -2)) / m.sum() for m in masks])
-        var = np.maximum(sq - mean**2, 1e-10)
-        if method == "cov":
-            pick = np.argmin(np.sqrt(var) / np.maximum(mean, 1e-30), axis=0)
-        else:
-            grads = []
-            for one, two in ((0, 2), (1, 3), (4, 6), (5, 7)):
-                grads.append(np.abs(mean[one] / np.maximum(mean[two], 1e-30) - 1))
-            g = np.stack(grads)
-            d = g.argmax(0)
-            pairs = np.array([(0, 2), (1, 3), (4, 6), (5, 7)])
-            near = np.abs(mean[pairs[:, 0]] - c) <= np.abs(mean[pairs[:, 1]] - c)
-            side = np.take_along_axis(near, d[None], 0)[0]
-            pick = np.where(g.max(0) < threshold, 8, np.where(side, pairs[d, 0], pairs[d, 1]))
-        m = np.take_along_axis(mean, pick[None], 0)[0]
-        s = np.take_along_axis(var, pick[None], 0)[0]
-        k = np.maximum((s - m * m * sig2) / (1 + sig2), 0) / s
-        return m + (c - m) * k
-
-    return _back(_windowed(p, (win, win), f), "amplitude")
+    What differs is a box mean of half the window two pixels away, relative to the one here; under the threshold the
+    diamond is taken. Direction and gain follow the power of all channels, which share them. Borders mirror.
+    """
+    if method not in ("original", "cov"):
+        raise ValueError(f"unknown method {method}")
+    r = r.long()
+    h, masks, sig2, box = win // 2, _masks(win | 1), 1.0 / looks, win // 2
+    halo = max(h, 2 + box // 2) + 1
+
+    def kernel(block):
+        span = (np.abs(block) ** 2).sum(0)
+        inner = slice(halo, -halo)
+
+        def local(a, k):
+            """Weighted sums over the window of the pixels without the halo."""
+            v = View(a, k.shape)
+            lo = (halo - k.shape[0] // 2, halo - k.shape[1] // 2)
+            rows, cols = a.shape[0] - 2 * halo, a.shape[1] - 2 * halo
+            return np.einsum("ijkl,kl->ij", v[lo[0] : lo[0] + rows, lo[1] : lo[1] + cols], k)
+
+        mean, square = np.array([local(span, m) for m in masks]), np.array([local(span * span, m) for m in masks])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            if method == "cov":
+                pick = np.abs((square - mean**2) / mean**2)[:8].argmin(0)
+            else:
+                k = np.ones((box, box)) / (box * box)
+                # An even box reaches one pixel farther up and left; all are as large as what is compared needs.
+                v = View(np.pad(span, ((box // 2, box - 1 - box // 2),) * 2, "edge"), (box, box)) if box > 1 else span[..., None, None]
+                smooth = np.einsum("ijkl,kl->ij", v, k) if box > 1 else span
+                here = smooth[inner, inner]
+                away = np.array([smooth[halo + 2 * dy : smooth.shape[0] - halo + 2 * dy, halo + 2 * dx : smooth.shape[1] - halo + 2 * dx] for dy, dx in AROUND])
+                apart = np.abs(away / here - 1.0)
+                pick = np.where(apart.max(0) < threshold, 8, apart.argmax(0))
+        m = np.take_along_axis(mean, pick[None], 0)[0] ** 2
+        s = np.maximum(np.take_along_axis(square, pick[None], 0)[0] - m, 1e-10)
+        gain = np.maximum((s - m * sig2) / (1 + sig2), 0) / s
+        out = block.copy()
+        for c, one in enumerate(block):
+            every = np.array([local(one, k) for k in masks])
+            u = np.take_along_axis(every, pick[None], 0)[0]
+            out[c, inner, inner] = u + (one[inner, inner] - u) * gain
+        return out
+
+    return map_tiles(r, (halo, halo), kernel, tile=(64, 128), together=True)
 
 
 def _density(i: np.ndarray, looks: float) -> np.ndarray:
@@ -286,41 +301,78 @@ def nlmeans(r: Raster, looks: float = 1.0, search: int = 12, patch: int = 5, str
     return pick(0), pick(1)
 
 
-def canny(r: Raster, sigma: float = 2.0, low: float = 0.1, high: float = 0.2, reach: int = 24) -> Raster:
-    """Canny edges: Gaussian, Sobel, thinning, and hysteresis along chains of up to ``reach`` pixels."""
+def canny(r: Raster, sigma: float = 2.0, low: float = 0.1, high: float = 0.2) -> Raster:
+    """Canny edges: Gaussian, Sobel, thinning, and hysteresis: weak pixels joined to a strong one over neighbours stay.
+
+    Tiles mark weak and strong pixels and their connected parts. Parts meet across tile borders by links between
+    border pixels; a part with a strong pixel switches its neighbours on, round by round, until none changes.
+    """
+    from ..plans import cut
     from .filters import _amplitude
 
     rad = int(4 * sigma + 0.5)
-    halo = rad + 2 + reach
+    halo = rad + 3
     w = np.exp(-0.5 * (np.arange(-rad, rad + 1) / sigma) ** 2)
     w /= w.sum()
+    src = _amplitude(r)
 
-    def kernel(block):
+    def marks(block):
         v = block[0]
         for ax in (0, 1):
             v = np.apply_along_axis(lambda k: np.convolve(k, w, "same"), ax, v)
-        gy = np.gradient(np.pad(v, 1, "edge"), axis=0)
-        gx = np.gradient(np.pad(v, 1, "edge"), axis=1)
-        sm = lambda g, ax: (np.roll(g, 1, ax) + 2 * g + np.roll(g, -1, ax))[1:-1, 1:-1] * 2
-        dy, dx = sm(gy, 1), sm(gx, 0)
+        p = np.pad(v, 1, "edge")
+        across, down = p[:, 2:] - p[:, :-2], p[2:] - p[:-2]
+        dx, dy = (across[:-2] + 2 * across[1:-1] + across[2:]), (down[:, :-2] + 2 * down[:, 1:-1] + down[:, 2:])
         m = np.hypot(dy, dx)
         a = (np.round(np.arctan2(dy, dx) / (np.pi / 4)) % 4).astype(int)
         keep = np.zeros(m.shape, bool)
         for k, (i, j) in enumerate(((0, 1), (1, 1), (1, 0), (1, -1))):
             keep |= (a == k) & (m >= np.roll(m, (i, j), (0, 1))) & (m >= np.roll(m, (-i, -j), (0, 1)))
-        weak, on = keep & (m >= low), keep & (m >= high)
-        for _ in range(reach):
-            grown = on.copy()
-            for i in (-1, 0, 1):
-                for j in (-1, 0, 1):
-                    grown |= np.roll(on, (i, j), (0, 1))
-            grown &= weak
-            if (grown == on).all():
-                break
-            on = grown
-        return on.astype(float)[None]
-
-    return map_tiles(_amplitude(r), (halo, halo), kernel)
+        return ((keep & (m >= low)).astype(float) + (keep & (m >= high)))[None]
+
+    found = map_tiles(src, (halo, halo), marks)
+    # Parts of tiles are numbered by their first pixel; 2 marks a part with a strong pixel.
+    ny, nx, tile = r.ny, r.nx, 256
+
+    def parts(batch: pd.DataFrame) -> pd.DataFrame:
+        here = {(y, x): k for k, (y, x) in enumerate(zip(batch["y"], batch["x"], strict=True))}
+        part = np.full(len(batch), -1)
+        for k, (y, x) in enumerate(here):
+            if part[k] >= 0:
+                continue
+            part[k], todo = k, [(y, x)]
+            while todo:
+                i, j = todo.pop()
+                for q in ((i + a, j + b) for a in (-1, 0, 1) for b in (-1, 0, 1)):
+                    o = here.get(q)
+                    if o is not None and part[o] < 0:
+                        part[o] = k
+                        todo.append(q)
+        first = batch["y"].to_numpy() * nx + batch["x"].to_numpy()
+        return pd.DataFrame({**{c: batch[c] for c in ("ch", "y", "x", "re")}, "part": first[part]})
+
+    ch = F.col("ch") if found.keys else F.lit(0)
+    weak = found.df.where("re > 0").withColumn("ch", ch.cast("int"))
+    weak = weak.withColumns({"ty": F.floor(F.col("y") / tile), "tx": F.floor(F.col("x") / tile)})
+    weak = cut(weak.groupBy("ch", "ty", "tx").applyInPandas(parts, "ch int, y long, x long, re double, part long"))
+    edge = weak.where(((F.col("y") % tile).isin(0, tile - 1)) | ((F.col("x") % tile).isin(0, tile - 1))).select("ch", "y", "x", "part")
+    step = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]))
+    moved = edge.select("ch", "part", "y", "x", step.alias("d")).select("ch", F.col("part").alias("other"), (F.col("y") + F.col("d.a")).alias("y"), (F.col("x") + F.col("d.b")).alias("x"))
+    links = cut(edge.join(moved, ["ch", "y", "x"]).where("part <> other").select("ch", "part", "other").distinct())
+    on = weak.groupBy("ch", "part").agg(F.max("re").alias("top")).where("top > 1").select("ch", "part")
+    size = on.count()
+    while True:
+        more = links.join(on.withColumnRenamed("part", "other"), ["ch", "other"]).select("ch", "part")
+        on = cut(on.union(more).distinct())
+        if (grown := on.count()) == size:
+            break
+        size = grown
+    edges = weak.join(on, ["ch", "part"], "left_semi").select("ch", "y", "x", F.lit(1.0).alias("e"))
+    keys = ["y", "x"]
+    if found.keys:
+        keys = ["ch", *keys]
+    out = found.df.select(*keys).join(edges.select(*keys, "e"), keys, "left")
+    return found.with_df(out.select(*keys, F.coalesce("e", F.lit(0.0)).alias("re")))
 
 
 def carfilter(r: Raster, half: float, shape: str = "box") -> Raster:
@@ -400,14 +452,13 @@ def wishart_noise(spark, ny: int, nx: int, n: int = 3, looks: int = 3, seed: int
 
 
 def plr(labels: Raster, classes: int, compatibility: float = 3.0, iterations: int = 5) -> Raster:
-    """Probabilistic label relaxation: memberships 0.9 / 0.1 spread over 3 x 3 means and a compatibility matrix."""
+    """Probabilistic label relaxation: memberships 0.9 and, for every other class, 0.1 over 3 x 3 means and a compatibility matrix."""
     from ..plans import cut
     from ..windows import box_mean
 
     r = labels.long()
-    other = 0.1 / max(1, classes - 1)
     p = [f"p{k}" for k in range(classes)]
-    df = r.df.select("y", "x", *[F.when(F.col("re") == k, 0.9).otherwise(other).alias(p[k]) for k in range(classes)])
+    df = r.df.select("y", "x", *[F.when(F.col("re") == k, 0.9).otherwise(0.1).alias(p[k]) for k in range(classes)])
     for it in range(iterations):
         df = df.withColumns({f"q{k}": F.col(p[k]) for k in range(classes)})
         df = box_mean(df, [], [f"q{k}" for k in range(classes)], r.ny, r.nx, (3, 3))

@@ -218,7 +218,9 @@ def glcm(r: Raster, win: int = 7, levels: int = 16, dist: int = 1, angles: tuple
         total = reduce(lambda p, q: p + q, [F.col(n) for n in names]) / len(names)
         return _only(r, df, re=F.when(inner, total).otherwise(F.col("re")))
 
-    def kernel(block):
+    ny, nx = r.ny, r.nx
+
+    def kernel(block, yy, xx):
         p = block[0].astype(int)
         v = np.lib.stride_tricks.sliding_window_view(p, (win, win))
         out = block[0].copy()
@@ -246,11 +248,10 @@ def glcm(r: Raster, win: int = 7, levels: int = 16, dist: int = 1, angles: tuple
                 f = np.where((si < 1e-15) | (sj < 1e-15), 1.0, cov / np.where(si * sj == 0, 1, si * sj))
             acc += f
         out[h : h + v.shape[0], h : h + v.shape[1]] = acc / len(angles)
-        return out[None]
+        inside = ((yy >= h) & (yy < ny - (win - 1 - h)))[:, None] & ((xx >= h) & (xx < nx - (win - 1 - h)))[None]
+        return np.where(inside, out, block[0])[None]
 
-    t = map_tiles(r, (win, win), kernel, tile=(32, 64))
-    both = t.df.withColumnRenamed("re", "f").join(r.df, [*r.keys, "y", "x"])
-    return _only(r, both, re=F.when(inner, F.col("f")).otherwise(F.col("re")))
+    return map_tiles(r, (win, win), kernel, tile=(32, 64), located=True)
 
 
 # --- speckle filters -----------------------------------------------------------------------------------
@@ -296,34 +297,43 @@ def kuan(r: Raster, win: Win = (7, 7), looks: float = 1.0) -> Raster:
     return _adaptive(r, win, F.greatest(1.0 - cu2 * sq / vary, F.lit(0.0)) / max(1.0 + cu2, 1e-10))
 
 
-def srad(r: Raster, looks: float = 2.0, step: float = 0.15, iterations: int = 100, scale: float = 1.0, every: int = 5) -> Raster:
-    """Speckle-reducing anisotropic diffusion of an intensity image.
+def srad(r: Raster, looks: float = 2.0, step: float = 0.15, iterations: int = 100, scale: float = 1.0, every: int = 10) -> Raster:
+    """Speckle-reducing anisotropic diffusion of an intensity image; edges are mirrored on all sides.
 
-    Each iteration is two exchanges per pass of shifts; the plan is cut into a checkpointed table every
-    few rounds. Edges are mirrored on all sides.
+    An iteration reads two pixels around each, so tiles with a halo of twice ``every`` take that many iterations
+    by themselves; then the plan is cut into a checkpointed table.
     """
     import math
 
     from ..plans import cut
 
     r = r.long()
-    df = r.df
-    for k in range(iterations):
-        q0 = math.exp(-step * k / 6.0) / math.sqrt(looks) * scale
-        near = {"n": ("re", -1, 0), "s": ("re", 1, 0), "w": ("re", 0, -1), "e": ("re", 0, 1)}
-        df = shifted(df, r.keys, r.ny, r.nx, near, mode="reflect")
-        v = F.col("re")
-        diff = {d: F.col(d) - v for d in "nswe"}
-        g2 = safe(reduce(lambda a, b: a + b, [x * x for x in diff.values()]), v * v)
-        lap = safe(reduce(lambda a, b: a + b, diff.values()), v)
-        den = 1.0 + 0.25 * lap
-        q2 = safe(0.5 * g2 - lap * lap / 16.0, den * den)
-        c = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1.0 / (1.0 + (q2 - q0 * q0) / (q0 * q0 * (1.0 + q0 * q0)))))
-        df = df.select(*r.keys, "y", "x", "re", *diff, c.alias("c"))
-        df = shifted(df, r.keys, r.ny, r.nx, {"cs": ("c", 1, 0), "ce": ("c", 0, 1)}, mode="reflect")
-        c = F.col("c")
-        div = F.col("cs") * (F.col("s") - v) + c * (F.col("n") - v) + F.col("ce") * (F.col("e") - v) + c * (F.col("w") - v)
-        df = df.select(*r.keys, "y", "x", (v + step / 4.0 * div).alias("re"))
-        if k % every == every - 1:
-            df = cut(df)
-    return r.with_df(df)
+    ny, nx = r.ny, r.nx
+
+    def ratio(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return np.divide(a, b, out=np.zeros_like(a), where=b != 0)
+
+    for first in range(0, iterations, every):
+        rounds = range(first, min(iterations, first + every))
+
+        def kernel(block: np.ndarray, yy: np.ndarray, xx: np.ndarray, rounds=rounds) -> np.ndarray:
+            inside = np.ix_((yy >= 0) & (yy < ny), (xx >= 0) & (xx < nx))
+            v = block[0][inside]
+            for k in rounds:
+                q0 = (math.exp(-step * k / 6.0) / math.sqrt(looks) * scale) ** 2
+                p = np.pad(v, 1, "symmetric")
+                north, south, west, east = p[:-2, 1:-1] - v, p[2:, 1:-1] - v, p[1:-1, :-2] - v, p[1:-1, 2:] - v
+                grad = ratio(north**2 + south**2 + west**2 + east**2, v * v)
+                lap = ratio(north + south + west + east, v)
+                q = ratio(0.5 * grad - lap * lap / 16.0, (1.0 + 0.25 * lap) ** 2)
+                c = np.clip(1.0 / (1.0 + (q - q0) / (q0 * (1.0 + q0))), 0.0, 1.0)
+                p = np.pad(c, ((0, 1), (0, 1)), "symmetric")
+                v = v + step / 4.0 * (p[1:, :-1] * south + c * north + p[:-1, 1:] * east + c * west)
+            out = block[0].copy()
+            out[inside] = v
+            return out[None]
+
+        r = map_tiles(r, (2 * len(rounds), 2 * len(rounds)), kernel, located=True)
+        if rounds.stop < iterations:
+            r = r.with_df(cut(r.df))
+    return r

@@ -10,7 +10,8 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import cplx
@@ -275,13 +276,8 @@ def yamaguchi3(r: Raster, strict: bool = False) -> Raster:
     return _real(r.with_df(d), [_clip(x, F.col("span")) for x in (even, odd, vol)], CH_name=["even", "odd", "volume"])
 
 
-def eigen(r: Raster) -> tuple[Raster, Raster]:
-    """Eigenvalues, negative ones 0, largest first, and eigenvectors; batched over Arrow.
-
-    The values are one PIX raster (n), the vectors another (n, n): element (i, k) is component i of
-    vector k. An eigenvector's phase is free; use moduli.
-    """
-    r = r.pix()
+def _eigen(r: Raster):
+    """(y, x, ew, re, im): the eigenvalues and vectors of each pixel's matrix, by one pass over Arrow batches."""
     n = r.lshape[0]
 
     def run(batches):
@@ -294,15 +290,33 @@ def eigen(r: Raster) -> tuple[Raster, Raster]:
             v = np.take_along_axis(v, order[:, None, :], 2).reshape(len(m), n * n)
             yield pd.DataFrame({"y": p["y"], "x": p["x"], "ew": list(w), "re": list(v.real), "im": list(v.imag)})
 
-    both = r.df.mapInPandas(run, "y long, x long, ew array<double>, re array<double>, im array<double>")
+    return r.df.mapInPandas(run, "y long, x long, ew array<double>, re array<double>, im array<double>")
+
+
+def eigen(r: Raster) -> tuple[Raster, Raster]:
+    """Eigenvalues, negative ones 0, largest first, and eigenvectors; batched over Arrow.
+
+    The values are one PIX raster (n), the vectors another (n, n): element (i, k) is component i of
+    vector k. An eigenvector's phase is free; use moduli.
+    """
+    r = r.pix()
+    n = r.lshape[0]
+    both = _eigen(r)
     values = r.with_df(both.select("y", "x", F.col("ew").alias("re")), lshape=(n,), complex=False)
     return values, r.with_df(both.select("y", "x", "re", "im"), lshape=(n, n))
 
 
-def entalpani(ew: Raster, ev: Raster) -> Raster:
-    """Entropy, alpha of the first vector, mean alpha, anisotropy of the first two values."""
+def entalpani(ew: Raster, ev: Raster | None = None) -> Raster:
+    """Entropy, alpha of the first vector, mean alpha, anisotropy of the first two values.
+
+    From eigenvalues and vectors, joined on (y, x), or from covariance matrices alone: then both come from
+    one pass and nothing is joined.
+    """
     n = ew.lshape[0]
-    d = ew.pix().df.select("y", "x", F.col("re").alias("w")).join(ev.pix().df.select("y", "x", F.col("re").alias("a"), F.col("im").alias("b")), ["y", "x"])
+    if ev is None:
+        d = _eigen(ew.pix()).select("y", "x", F.col("ew").alias("w"), F.col("re").alias("a"), F.col("im").alias("b"))
+    else:
+        d = ew.pix().df.select("y", "x", F.col("re").alias("w")).join(ev.pix().df.select("y", "x", F.col("re").alias("a"), F.col("im").alias("b")), ["y", "x"])
     w = [F.get("w", F.lit(k)) for k in range(n)]
     total = reduce(lambda p, q: p + q, w)
     p = [F.when(total == 0, 1.0).otherwise(x / F.when(total == 0, 1.0).otherwise(total)) for x in w]
@@ -363,39 +377,79 @@ def neszfilter(r: Raster, gdev: float = 13.0, noise: float = 1.0) -> Raster:
 # --- classification and change -------------------------------------------------------------------------
 
 
-def class_centres(cov: Raster, labels: Raster) -> list[np.ndarray]:
-    """Mean matrix of each non-empty class, by class number: partial sums per task, a row a class to the driver."""
-    r = cov.pix()
-    n = r.lshape[0]
-    d = r.df.join(labels.long().df.select("y", "x", F.col("re").cast("int").alias("c")), ["y", "x"])
+def _centre_rows(d: DataFrame, label: Column, n: int) -> DataFrame:
+    """(label, npix, re_0 .., im_0 ..): the mean matrix of each class, from partial sums per task."""
     flat = [F.avg(F.get(p, F.lit(k))).alias(f"{p}_{k}") for p in ("re", "im") for k in range(n * n)]
-    rows = d.groupBy("c").agg(*flat).orderBy("c").collect()
-    return [np.array([complex(row[f"re_{k}"], row[f"im_{k}"]) for k in range(n * n)]).reshape(n, n) for row in rows]
+    return d.groupBy(label.cast("int").alias("label")).agg(F.count(F.lit(1)).alias("npix"), *flat)
 
 
-def classassign(cov: Raster, centres: list[np.ndarray]) -> Raster:
-    """The class of least Wishart distance |tr(C Z^-1)| + ln |det Z|: literal factors, no UDF."""
+def _matrices(rows: DataFrame, n: int) -> list[np.ndarray]:
+    found = rows.orderBy("label").collect()  # a row a class
+    return [np.array([complex(row[f"re_{k}"], row[f"im_{k}"]) for k in range(n * n)]).reshape(n, n) for row in found]
+
+
+def class_means(cov: Raster, labels: Raster) -> DataFrame:
+    """A row for each non-empty class: label, npix and its mean matrix, element by element."""
     r = cov.pix()
-    n = r.lshape[0]
+    return _centre_rows(r.df.join(labels.long().df.select("y", "x", F.col("re").alias("c")), ["y", "x"]), F.col("c"), r.lshape[0])
+
+
+def class_centres(cov: Raster, labels: Raster) -> list[np.ndarray]:
+    """Mean matrix of each non-empty class, by class number."""
+    return _matrices(class_means(cov, labels), cov.lshape[0])
+
+
+def _nearest(centres: list[np.ndarray]) -> Column:
+    """The number of the centre of least Wishart distance |tr(C Z^-1)| + ln |det Z|: literal factors, no UDF."""
     dist = []
     for k, z in enumerate(centres):
-        inv = np.linalg.inv(z)
-        tr = cplx.linear([(inv[j, i], at(i * n + j)) for i in range(n) for j in range(n)])
-        dist.append(F.struct((F.sqrt(cplx.abs2(tr)) + math.log(abs(np.linalg.det(z)))).alias("d"), F.lit(k).alias("k")))
-    best = F.array_min(F.array(*dist))["k"] if len(dist) > 1 else F.lit(0)
-    return r.with_df(r.df.select("y", "x", best.cast("double").alias("re")), lshape=(), form="long", complex=False)
+        w = np.linalg.inv(z).T.ravel()
+        re = " + ".join(f"re[{i}] * {v.real!r}D - im[{i}] * {v.imag!r}D" for i, v in enumerate(w.tolist()))
+        im = " + ".join(f"re[{i}] * {v.imag!r}D + im[{i}] * {v.real!r}D" for i, v in enumerate(w.tolist()))
+        dist.append(f"struct(sqrt(pow({re}, 2D) + pow({im}, 2D)) + {math.log(abs(np.linalg.det(z)))!r}D as d, {k} as k)")
+    return F.expr(f"cast(array_min(array({', '.join(dist)})).k as double)")
+
+
+def classassign(cov: Raster, centres: list[np.ndarray]) -> Raster:
+    r = cov.pix()
+    return r.with_df(r.df.select("y", "x", _nearest(centres).alias("re")), lshape=(), form="long", complex=False)
 
 
 def wishart(cov: Raster, classes: int = 8, iterations: int = 10, start: Raster | None = None, seed: int = 0) -> tuple[Raster, list[np.ndarray]]:
-    """K-means with the Wishart distance from a start or a seeded hash of the pixel, empty classes dropped."""
+    """K-means with the Wishart distance from a start or a seeded hash of the pixel, empty classes dropped.
+
+    The matrices are checkpointed once, with the start beside them. An iteration is one pass that adds up matrices by
+    nearest centre in Arrow batches, then a sum of a few rows a task: no join, no lineage, no plan to compile anew.
+    """
+    from ..plans import cut
+
     cov = cov.pix()
-    labels = start or cov.with_df(cov.df.select("y", "x", (F.pmod(F.xxhash64("y", "x", F.lit(seed)), F.lit(classes)) + 1).cast("double").alias("re")), lshape=(), form="long", complex=False)
+    n = cov.lshape[0]
+    if start is None:
+        d = cov.df.withColumn("c", (F.pmod(F.xxhash64("y", "x", F.lit(seed)), F.lit(classes)) + 1).cast("double"))
+    else:
+        d = cov.df.join(start.long().df.select("y", "x", F.col("re").alias("c")), ["y", "x"])
+    d = cut(d.select("y", "x", "re", "im", "c"))
+    parts = [f"{p}_{k}" for p in ("re", "im") for k in range(n * n)]
+    schema = "label int, npix long, " + ", ".join(f"{p} double" for p in parts)
     centres: list[np.ndarray] = []
     for _ in range(iterations):
-        # Labels are a projection of cov and of literal centres, so no lineage builds up.
-        centres = class_centres(cov, labels)
-        labels = classassign(cov, centres)
-    return labels, centres
+        factors = np.array([np.linalg.inv(z).T.ravel() for z in centres]).T
+        level = np.array([math.log(abs(np.linalg.det(z))) for z in centres])
+
+        def tally(batches, factors=factors, level=level):
+            for batch in batches:
+                m = [batch.column(k).flatten().to_numpy().reshape(-1, n * n) for k in (0, 1)]
+                label = (np.abs((m[0] + 1j * m[1]) @ factors) + level).argmin(1) if len(level) else batch.column(2).to_numpy().astype(int)
+                found, at = np.unique(label, return_inverse=True)
+                sums = np.zeros((len(found), 2 * n * n))
+                np.add.at(sums, at, np.hstack(m))
+                yield pa.RecordBatch.from_arrays([pa.array(found.astype(np.int32)), pa.array(np.bincount(at, minlength=len(found))), *(pa.array(c) for c in sums.T)], ["label", "npix", *parts])
+
+        rows = d.select("re", "im", "c").mapInArrow(tally, schema).groupBy("label").agg(*[F.sum(p).alias(p) for p in ("npix", *parts)])
+        centres = _matrices(rows.select("label", *[(F.col(p) / F.col("npix")).alias(p) for p in parts]), n)
+    label = _nearest(centres) if centres else F.col("c")
+    return cov.with_df(d.select("y", "x", label.alias("re")), lshape=(), form="long", complex=False), centres
 
 
 def classextract(labels: Raster, classes: list[int]) -> Raster:

@@ -56,14 +56,14 @@ def refl(t: str, n: str) -> str:
 
 
 def near(src: str, wy: int, wx: int, cols: dict[str, str], keep: str = "", wrap: bool = False) -> str:
-    """Aggregates cols (over b, with offsets dy, dx) in a window around each pixel of src; keep lists columns of a."""
+    """Aggregates cols (over b, with offsets dy, dx) in a window around each pixel a of src; keep lists columns of a."""
     at = (lambda t, n: f"((({t}) % {n} + {n}) % {n})") if wrap else refl
     kept = "".join(f", any_value(a.{k}) {k}" for k in keep.split()) if keep else ""
     agg = ", ".join(f"{e} {c}" for c, e in cols.items())
     return (
-        f"(with s as ({src}), n as (select max(y)+1 ny, max(x)+1 nx from s) select a.y, a.x{kept}, {agg} from s a cross join n "
-        f"cross join range({-(wy // 2)}, {wy - wy // 2}) ry(dy) cross join range({-(wx // 2)}, {wx - wx // 2}) rx(dx) "
-        f"join s b on b.y = {at('a.y+dy', 'ny')} and b.x = {at('a.x+dx', 'nx')} group by a.y, a.x)"
+        f"(with s as materialized ({src}), n as (select max(y)+1 ny, max(x)+1 nx from s), o as materialized (select s.*, dy, dx, {at('s.y+dy', 'ny')} ty, {at('s.x+dx', 'nx')} tx from s cross join n "
+        f"cross join range({-(wy // 2)}, {wy - wy // 2}) ry(dy) cross join range({-(wx // 2)}, {wx - wx // 2}) rx(dx)) "
+        f"select a.y, a.x{kept}, {agg} from o a join s b on b.y = a.ty and b.x = a.tx group by a.y, a.x)"
     )
 
 
@@ -94,7 +94,14 @@ register("p19_sarscale", lambda s, d: pt.sarscale(fx.fx5(s, d)), sel(_all.format
 register("p19_bytescale", lambda s, d: pt.bytescale(fx.fx5(s, d)), sel(_all.format(Q["fx5"]), re="floor(least(255, greatest(0, (re-lo)*(255.0::double/(hi-lo))+0.4999::double)))"))
 register("p19_phascale", lambda s, d: pt.phascale(fx.fx8(s, d)), sel(Q["fx8"], re="floor(least(255, greatest(0, re/pi()*128+127)))"))
 register("p19_cohscale", lambda s, d: pt.cohscale(fx.fx1(s, d)), sel(Q["fx1"], re="floor(least(255, greatest(0, re*255)))"))
-register("p19_histscale", lambda s, d: pt.histscale(fx.fx5(s, d)))
+_hs = (
+    f"with v as (select *, 10*avg(re) over () top from ({Q['fx5']}))"
+    ", h as (select least(floor(re/(top/1000))::int, 999) b, count(*) n from v where re between 0 and top group by 1)"
+    ", c as (select k, (select coalesce(sum(n), 0) from h where b > 0 and b < k) low, (select coalesce(sum(n), 0) from h where b > 0 and b >= k) high, (select sum(n) from h where b > 0)*0.05::double wanted from range(1001) t(k))"
+    ", e as (select min(k) filter (where low >= wanted) lo, max(k) filter (where high >= wanted) hi from c)"
+    " select y, x, (re-lo*top/1000)/((hi-lo)*top/1000)*255 re from v cross join e"
+)
+register("p19_histscale", lambda s, d: pt.histscale(fx.fx5(s, d)), sel(_hs, re="floor(least(255, greatest(0, re)))"))
 register("p20_cart2pol", lambda s, d: (lambda r: r.with_df(r.df.select("y", "x", pt.cart2pol(r)[0].alias("re"), pt.cart2pol(r)[1].alias("im"))))(fx.fx2(s, d)), sel(Q["fx2"], re="sqrt(re*re+im*im)", im="atan2(im,re)"))
 register("p20_pol2cart", lambda s, d: (lambda r: r.with_df(r.df.select("y", "x", pt.pol2cart(F.col("re"), F.col("im"))[0].alias("re"), pt.pol2cart(F.col("re"), F.col("im"))[1].alias("im"))))(fx.fx2(s, d)), sel(Q["fx2"], re="re*cos(im)", im="re*sin(im)"))
 register("p21_palette", lambda s, d: pt.coloured(pt.bytescale(fx.fx5(s, d)), "grey"), "select c::int ch, y, x, re from (" + sel(_all.format(Q["fx5"]), re="floor(least(255, greatest(0, (re-lo)*(255.0::double/(hi-lo))+0.4999::double)))") + ") cross join range(3) k(c)")
@@ -206,17 +213,16 @@ _ym = lambda p, q, r: f"(case when ratio < -2 then {p} when ratio > 2 then {q} e
 register("d2_yamaguchi3", lambda s, d: po.yamaguchi3(cov3(s, d)), _decomp_sql("select y, x, span, fv vol, hh-" + _ym("8.0::double/15", "3.0::double/15", "3.0::double/8") + "*fv a, vv-" + _ym("3.0::double/15", "8.0::double/15", "3.0::double/8") + "*fv b, sqrt(r1*r1+i1*i1)-" + _ym("2.0::double/15", "2.0::double/15", "1.0::double/8") + "*fv cr, 0.0::double ci from (select *, " + _ym("15.0::double", "15.0::double", "16.0::double") + "/4.0::double*hv fv from (select *, 10*log10(vv/hh) ratio from ({})))"))
 
 
-def _eigen_sql() -> str:
-    """Closed-form eigenvalues of a Hermitian 3 x 3 matrix."""
+def _eigen_sql(keep: str = "y, x") -> str:
+    """Closed-form eigenvalues l0 >= l1 >= l2 of a Hermitian 3 x 3 matrix."""
     q = f"select *, (r0+r4+r8)/3 m, {_det3} dt from ({COV3})"
     q = f"select *, sqrt(((r0-m)*(r0-m)+(r4-m)*(r4-m)+(r8-m)*(r8-m)+2*(r1*r1+i1*i1+r2*r2+i2*i2+r5*r5+i5*i5))/6) p from ({q})"
     dd = "((r0-m)*((r4-m)*(r8-m)-(r5*r5+i5*i5)) - (r8-m)*(r1*r1+i1*i1) - (r4-m)*(r2*r2+i2*i2) + 2*(r1*(r5*r2+i5*i2) - i1*(i5*r2-r5*i2)))"
     q = f"select *, acos(greatest(-1, least(1, {dd}/(2*p*p*p))))/3 phi from ({q})"
-    l = [f"m+2*p*cos(phi+{k}*2*pi()/3)" for k in (0, 2, 1)]  # noqa: E741
-    return unpivot(q, [(f"greatest(0, {e})", "0") for e in l], real=True)
+    return f"select {keep}, " + ", ".join(f"greatest(0, m+2*p*cos(phi+{k}*2*pi()/3)) l{n}" for n, k in enumerate((0, 2, 1))) + f" from ({q})"
 
 
-register("d3_eigen", lambda s, d: po.eigen(cov3(s, d))[0], _eigen_sql())
+register("d3_eigen", lambda s, d: po.eigen(cov3(s, d))[0], unpivot(_eigen_sql(), [(f"l{k}", "0") for k in range(3)], real=True))
 
 
 def _halpha(s: SparkSession, d: str) -> Raster:
@@ -225,7 +231,18 @@ def _halpha(s: SparkSession, d: str) -> Raster:
     return r.with_df(r.df.select("y", "x", F.array(a, b, b).alias("re")), lshape=(3,), form="pix")
 
 
-register("d4_entalpani", lambda s, d: po.entalpani(*po.eigen(cov3(s, d))), None)
+def _entalpani_sql() -> str:
+    """Eigenvalues in closed form; the first component of a vector by the eigenvalues of the matrix and of its minor."""
+    q = _eigen_sql("y, x, r0, r4, r8, r5, i5")
+    q = f"select *, l0+l1+l2 t from ({q})"
+    p = [f"(l{k}/t)" for k in range(3)]
+    first = [f"((l{k}-r4)*(l{k}-r8)-(r5*r5+i5*i5))/((l{k}-l{a})*(l{k}-l{b}))" for k, a, b in ((0, 1, 2), (1, 0, 2), (2, 0, 1))]
+    alpha = [f"acos(least(1.0::double, sqrt(greatest(0.0::double, {f}))))" for f in first]
+    mean = "+".join(f"{a}*{x}" for a, x in zip(alpha, p, strict=True))
+    return unpivot(q, [("-(" + "+".join(f"{x}*ln({x})" for x in p) + ")/ln(3.0::double)", "0"), (alpha[0], "0"), (mean, "0"), ("(l0-l1)/(l0+l1)", "0")], 5, real=True)
+
+
+register("d4_entalpani", lambda s, d: po.entalpani(cov3(s, d)), _entalpani_sql(), 5)
 _cls = lambda rules: "case " + " ".join(f"when {c} then {k}" for c, k in rules) + " else 0 end"
 _ha = f"select y, x, abs(sin(re*20)) h, degrees(abs(cos(re*30))*1.5::double) a from ({Q['fx1']})"
 register("d5_entalpclass", lambda s, d: po.entalpclass(_halpha(s, d)), sel(_ha, re=_cls([("h>=0.9 and a>=55", 0), ("h>=0.9 and a>=40 and a<55", 1), ("h>=0.9 and a<40", 2), ("h>=0.5 and h<0.9 and a>=50", 3), ("h>=0.5 and h<0.9 and a<40", 5), ("h>=0.5 and h<0.9 and a<50", 4), ("h<0.5 and a>=55", 6), ("h<0.5 and a>=42.5 and a<47.5", 7), ("h<0.5 and a<42.5", 8)])))
@@ -238,19 +255,43 @@ def _parity_labels(s: SparkSession, d: str, k: int = 4) -> Raster:
 
 
 def _centres(s: SparkSession, d: str) -> DataFrame:
-    c, n = cov3(s, d), 9
-    j = c.df.join(_parity_labels(s, d).df.withColumnRenamed("re", "c"), ["y", "x"])
-    g = j.groupBy(F.col("c").cast("int").alias("label")).agg(F.count(F.lit(1)).alias("npix"), *[(F.round(F.avg(F.get(p, F.lit(k))), 9) + 0.0).alias(f"{q}{k}") for p, q in (("re", "r"), ("im", "i")) for k in range(n)])
-    return g
+    g = po.class_means(cov3(s, d), _parity_labels(s, d))
+    return g.select("label", "npix", *[(F.round(f"{p}_{k}", 9) + 0.0).alias(f"{q}{k}") for p, q in (("re", "r"), ("im", "i")) for k in range(9)])
 
 
 register("a5_class_centres", _centres, f"select ((y//7)%4+1)::int label, count(*) npix, {', '.join(f'round(avg({q}{k}), 9)+0.0::double {q}{k}' for q in 'ri' for k in range(9))} from ({COV3}) group by 1")
-register("d6_wishart", lambda s, d: po.wishart(cov3(s, d), 4, start=_parity_labels(s, d))[0], None)
-register("d7_classassign", lambda s, d: po.classassign(cov3(s, d), po.class_centres(cov3(s, d), _parity_labels(s, d))), None)
+
+
+def _nearest_sql(rounds: int = 1) -> str:
+    """Rounds of centres and of the class of least |tr(C Z^-1)| + ln |det Z|: inverse of a Hermitian matrix by its adjugate."""
+    adj = {"w0": "r4*r8-(r5*r5+i5*i5)", "w4": "r0*r8-(r2*r2+i2*i2)", "w8": "r0*r4-(r1*r1+i1*i1)", "w1": "r2*r5+i2*i5-r1*r8", "v1": "i2*r5-r2*i5-i1*r8", "w2": "r1*r5-i1*i5-r2*r4", "v2": "r1*i5+i1*r5-i2*r4", "w5": "r1*r2+i1*i2-r0*r5", "v5": "r1*i2-i1*r2-r0*i5"}
+    d = "abs((r0*w0+r4*w4+r8*w8+2*(r1*w1+i1*v1+r2*w2+i2*v2+r5*w5+i5*v5))/dt)+ln(abs(dt))"
+    out = [f"m as materialized ({COV3})", "l0 as (select y, x, (y//7)%4+1 c from m)"]
+    for t in range(rounds):
+        z = f"select dense_rank() over (order by c)-1 c, {', '.join(f'{q}{k}' for q in 'ri' for k in range(9))} from (select c, {', '.join(f'avg({q}{k}) {q}{k}' for q in 'ri' for k in range(9))} from m join l{t} using (y, x) group by 1)"
+        out.append(f"z{t} as materialized (select c, {_det3} dt, {', '.join(f'{e} {n}' for n, e in adj.items())} from ({z}))")
+        out.append(f"l{t + 1} as materialized (select y, x, c from (select y, x, c, row_number() over (partition by y, x order by {d}, c) k from m cross join z{t}) where k = 1)")
+    return f"with {', '.join(out)} select y, x, c::double re from l{rounds}"
+
+
+register("d6_wishart", lambda s, d: po.wishart(cov3(s, d), 4, start=_parity_labels(s, d))[0], sel(_nearest_sql(10), re="re"))
+register("d6_wishart_step", lambda s, d: po.wishart(cov3(s, d), 4, 1, start=_parity_labels(s, d))[0], sel(_nearest_sql(), re="re"))
+register("d7_classassign", lambda s, d: po.classassign(cov3(s, d), po.class_centres(cov3(s, d), _parity_labels(s, d))), sel(_nearest_sql(), re="re"))
 register("g7_classextract", lambda s, d: po.classextract(fx.fx6(s, d), [1, 3, 7]), sel(Q["fx6"], re="case when re in (1,3,7) then re else -9999 end"))
 _srr = "select y, x, (a0-a1)/2-b2 p, (b0-b1)/2+a2 q, (a1-a0)/2-b2 u, (b1-b0)/2+a2 v from ({})".format(VEC)
 register("w30_orientationangle", lambda s, d: po.orientationangle(fx.fx3_pix(s, d, 3), (7, 5)), sel(means(f"select y, x, p*u+q*v re, q*u-p*v im from ({_srr})", (7, 5), "re im"), re="atan2(im, re)/4"))
-register("w31_neszfilter", lambda s, d: po.neszfilter(fx.fx3_pix(s, d), 1.0), None)
+_nz = "exp(-0.5::double*(dy*dy+dx*dx))"
+_nesz = near(f"select *, a2*a3+b2*b3 cr, b2*a3-a2*b3 ci, a2*a2+b2*b2 ih, a3*a3+b3*b3 iv from ({VEC})", 9, 9, {c: f"sum(b.{c}*{_nz})/sum({_nz})" for c in ("cr", "ci", "ih", "iv")}, " ".join(f"{p}{k}" for k in range(4) for p in "ab"))
+_nesz = f"select *, sqrt(ih*iv)-sqrt(cr*cr+ci*ci) n from {_nesz}"
+
+
+def _nesz_gain(k: int) -> str:
+    i = f"(a{k}*a{k}+b{k}*b{k})"
+    x = f"coalesce(({i}-n-sqrt(greatest(0, {i}*n)))/nullif({i}, 0), 0)"
+    return f"(case when {x} >= 0 and n >= 0 then sqrt({x}) else 0 end)"
+
+
+register("w31_neszfilter", lambda s, d: po.neszfilter(fx.fx3_pix(s, d), 1.0), unpivot(_nesz, [(f"a{k}*{_nesz_gain(k)}", f"b{k}*{_nesz_gain(k)}") for k in range(4)]))
 
 
 def _two_dates(s: SparkSession, d: str) -> tuple[Raster, Raster]:
@@ -271,7 +312,20 @@ def _lnq_sql() -> str:
 
 
 register("d8_changedet_lnq", lambda s, d: (lambda r: r.with_df(r.df.select("y", "x", F.col("lnq").alias("re"))))(po.changedet(*_two_dates(s, d))[0]), _lnq_sql(), 4)
-register("d8_changedet_mask", lambda s, d: po.changedet(*_two_dates(s, d))[1], None)
+
+
+def _lnq_limit(share: float = 0.99, p: int = 3, n: float = 16.0) -> float:
+    """The statistic with a probability of ``share`` by its chi-square series, densities added up on a fine grid."""
+    import math
+
+    rho = 1 - (2 * p**2 - 1) * (2 / n - 1 / (2 * n)) / (6 * p)
+    o2 = p**2 * (p**2 - 1) * (2 / n**2 - 1 / (2 * n) ** 2) / (24 * rho**2) - 0.25 * p**2 * (1 - 1 / rho) ** 2
+    density = lambda t, k: t ** (k / 2 - 1) * math.exp(-t / 2) / (2 ** (k / 2) * math.gamma(k / 2))
+    total, t, step = 0.0, 0.0, 1e-3
+    while total < share:
+        total += step * ((1 - o2) * density(t + step / 2, p * p) + o2 * density(t + step / 2, p * p + 4))
+        t += step
+    return t
 
 
 def _polinsar(s: SparkSession, d: str) -> Raster:
@@ -284,6 +338,7 @@ _m4 = means(f"select y, x, {', '.join(f'{p} r{k}, {q} i{k}' for k, (p, q) in enu
 _ccd = f"select y, x, sqrt(r2*r2+i2*i2)/sqrt(r0*r10) c0, sqrt(r7*r7+i7*i7)/sqrt(r5*r15) c1, 0.5::double*(r0+r10) p0, 0.5::double*(r5+r15) p1 from ({_m4})"
 _ccd = f"select y, x, ((case when c1>c0 then p1 else p0 end) > 0.001::double and greatest(c0,c1) < 0.5::double)::int::double re from ({_ccd})"
 _maj = "(with s as ({0}) select a.y, a.x, (sum(b.re) >= 5)::int::double re from s a join s b on b.y between a.y-1 and a.y+1 and b.x between a.x-1 and a.x+1 group by a.y, a.x)"
+register("d8_changedet_mask", lambda s, d: po.changedet(*_two_dates(s, d))[1], sel(_maj.format(f"select y, x, (re > {_lnq_limit()!r}::double)::int::double re from ({_lnq_sql()})"), re="re"))
 register("d9_coherchangedet", lambda s, d: po.coherchangedet(_polinsar(s, d)), sel(_maj.format(_ccd), re="re"))
 register("d10_wishart_noise", lambda s, d: ds.wishart_noise(s, 32, 32), None)
 register("d11_phantom", lambda s, d: ds.phantom(s), None)
@@ -297,7 +352,16 @@ register("g4_rotateright", lambda s, d: ge.rotateright(fx.fx1(s, d)), sel(f"sele
 register("g5_transpose", lambda s, d: ge.transpose(fx.fx1(s, d)), sel(f"select x y, y x, re from ({Q['fx1']})", re="re"))
 register("g6_mirrorhorizontal", lambda s, d: ge.mirrorhorizontal(fx.fx1(s, d)), sel(f"select y, 63-x x, re from ({Q['fx1']})", re="re"))
 register("g6_mirrorvertical", lambda s, d: ge.mirrorvertical(fx.fx1(s, d)), sel(f"select (select max(vec_id) from embeddings)-y y, x, re from ({Q['fx1']})", re="re"))
-register("g8_slant2ground", lambda s, d: ge.slant2ground(fx.fx2(s, d), META, 0.0), None)
+_cc = "(case when abs(t-m) <= 1 then 1.5::double*pow(abs(t-m),3)-2.5::double*pow(abs(t-m),2)+1 when abs(t-m) < 2 then -0.5::double*pow(abs(t-m),3)+2.5::double*pow(abs(t-m),2)-4*abs(t-m)+2 else 0 end)"
+_g8 = (
+    f"with r as (select i, {META['rd'] * META['c0'] / 2!r}::double+i*{META['c0'] / META['rsf'] / 2!r}::double sr from range({META['nrg']}) t(i))"
+    f", g as (select i, sqrt(sr*sr-{META['h0'] - META['terrain']}::double*{META['h0'] - META['terrain']}::double) gr, sin(acos({META['h0'] - META['terrain']}::double/sr)) sn from r)"
+    f", e as (select min(gr) lo, max(gr) hi, {META['ps_rg']}::double/max(sn) step from g)"
+    ", o as (select j, lo+j*step pos from e, range(1000) t(j) where j < floor((hi-lo)/step))"
+    ", p as (select j, a.i k, (o.pos-a.gr)/(b.gr-a.gr) t from o join g a on a.gr <= o.pos join g b on b.i = a.i+1 and o.pos < b.gr)"
+    f" select v.y, p.j x, sum(v.re*{_cc}) re, sum(v.im*{_cc}) im from p cross join (values (-1), (0), (1), (2)) q(m) join ({Q['fx2']}) v on v.x = greatest(0, least({META['nrg'] - 1}, k+m)) group by 1, 2"
+)
+register("g8_slant2ground", lambda s, d: ge.slant2ground(fx.fx2(s, d), META, 0.0), sel(_g8, re="re", im="im"))
 register("g9_coregister", lambda s, d: ge.coregister(fx.fx5(s, d), ge.mirrorhorizontal(ge.mirrorhorizontal(fx.fx5(s, d)))), None)
 _blk = "select y//4 y, x//4 x, {} from ({}) where y//4 < (select (max(y)+1)//4 from ({})) and x//4 < (select (max(x)+1)//4 from ({})) group by 1, 2"
 register("a7_presum", lambda s, d: ge.presum(fx.fx2(s, d)), sel(_blk.format("avg(re) re, avg(im) im", *[Q["fx2"]] * 3), re="re", im="im"))
@@ -312,19 +376,15 @@ register("sarjoin_stack", lambda s, d: ge.stack([fx.fx5(s, d), pt.int2amp(fx.fx5
 
 # --- moving windows ------------------------------------------------------------------------------------
 
-register("w1_boxcar", lambda s, d: fl.boxcar(fx.fx1(s, d)), sel(means(Q["fx1"], (7, 7), "re"), re="re"))
+register("w1_boxcar", lambda s, d: fl.boxcar(fx.fx1(s, d)), sel(means(means(Q["fx1"], (1, 7), "re"), (7, 1), "re"), re="re"))
 register("w1_boxcar_complex", lambda s, d: fl.boxcar(fx.fx2(s, d), (5, 4)), sel(means(Q["fx2"], (5, 4), "re im"), re="re", im="im"))
 _cs = f"select y, x, cos(re) c, sin(re) s from ({Q['fx8']})"
 register("w2_phase_boxcar", lambda s, d: fl.phase_boxcar(fx.fx8(s, d)), sel(means(_cs, (7, 7), "c s"), re="atan2(s, c)"))
 
 
 def _gauss_sql(src: str, sigma: float) -> str:
-    from .windows import gauss_weights
-
-    w = gauss_weights(sigma)
-    h = len(w) // 2
-    lit = "[" + ", ".join(f"{v!r}::double" for v in w) + "]"
-    return near(src, len(w), len(w), {"re": f"sum(b.re*{lit}[dy+{h + 1}]*{lit}[dx+{h + 1}])"})
+    n, w = 2 * int(4 * sigma + 0.5) + 1, f"exp(-0.5::double*(dy*dy+dx*dx)/{sigma * sigma}::double)"
+    return near(src, n, n, {"re": f"sum(b.re*{w})/sum({w})"})
 
 
 register("w3_gauss", lambda s, d: fl.gauss(fx.fx5(s, d), (1.0, 1.0)), sel(_gauss_sql(Q["fx5"], 1.0), re="re"))
@@ -332,7 +392,20 @@ register("w4_median", lambda s, d: fl.median(fx.fx1(s, d), (3, 3)), sel(near(Q["
 _k3 = [[1.0, 2.0, 0.0], [0.0, -1.0, 3.0], [2.0, 0.5, 1.0]]
 _kw = "[" + ", ".join(str(v) + "::double" for row in [r[::-1] for r in _k3[::-1]] for v in row) + "]"
 register("w5_kernelfilter", lambda s, d: fl.kernelfilter(fx.fx5(s, d), _k3), sel(near(Q["fx5"], 3, 3, {"re": f"sum(b.re*{_kw}[(dy+1)*3+dx+2])"}), re="re"))
-register("w6_plr", lambda s, d: ds.plr(fx.fx6(s, d), 10), None)
+
+
+def _plr_sql(classes: int = 10, rounds: int = 5, compatibility: float = 3.0) -> str:
+    """Rounds of relaxation over rows (y, x, k, p)."""
+    out = [f"s as ({Q['fx6']})", "n as (select max(y)+1 ny, max(x)+1 nx from s)", f"p0 as materialized (select y, x, k, case when re = k then 0.9::double else 0.1::double end p from s cross join range({classes}) t(k))"]
+    at = lambda t, n: f"(case when {t} < 0 then -1-({t}) when {t} >= {n} then 2*{n}-1-({t}) else {t} end)"
+    for i in range(rounds):
+        mean = f"select a.y, a.x, a.k, any_value(a.p) p, avg(b.p) m from p{i} a cross join n cross join range(-1, 2) ry(dy) cross join range(-1, 2) rx(dx) join p{i} b on b.k = a.k and b.y = {at('(a.y+dy)', 'ny')} and b.x = {at('(a.x+dx)', 'nx')} group by 1, 2, 3"
+        out.append(f"q{i} as (select y, x, k, p*(sum(m) over (partition by y, x)+{compatibility - 1}::double*m) p from ({mean}))")
+        out.append(f"p{i + 1} as materialized (select y, x, k, p/sum(p) over (partition by y, x) p from q{i})")
+    return f"with {', '.join(out)} select y, x, arg_max(k, (p, -k))::double re from p{rounds} group by 1, 2"
+
+
+register("w6_plr", lambda s, d: ds.plr(fx.fx6(s, d), 10), sel(_plr_sql(), re="re"))
 _sx, _sy = "[1,2,1]", "[-1,0,1]"
 register("w7_sobel", lambda s, d: fl.sobel(fx.fx1(s, d)), sel(near(f"select y, x, abs(re) re from ({Q['fx1']})", 3, 3, {"p": f"sum(b.re*{_sy}[dy+2]*{_sx}[dx+2])", "q": f"sum(b.re*{_sx}[dy+2]*{_sy}[dx+2])"}), re="sqrt(p*p+q*q)"))
 _rb = near(f"select y, x, abs(re) re from ({Q['fx1']})", 3, 3, {"o": "sum(case when dy=0 and dx=0 then b.re end)", "a": "sum(case when dy=-1 and dx=-1 then b.re end)", "b": "sum(case when dy=-1 and dx=0 then b.re end)", "c": "sum(case when dy=0 and dx=-1 then b.re end)"})
@@ -366,24 +439,100 @@ def _glcm_sql(win: int, f: str) -> str:
 register("w15_glcm_contrast", lambda s, d: fl.glcm(fx.fx5(s, d), 5), sel(_glcm_sql(5, "{0}*{0}"), re="re"))
 register("w15_glcm_dissimilarity", lambda s, d: fl.glcm(fx.fx5(s, d), 5, prop="dissimilarity"), sel(_glcm_sql(5, "abs({0})"), re="re"))
 register("w15_glcm_homogeneity", lambda s, d: fl.glcm(fx.fx5(s, d), 5, prop="homogeneity"), sel(_glcm_sql(5, "1.0::double/(1+{0}*{0})"), 10, re="re"), 10)
-register("w15_glcm_energy", lambda s, d: fl.glcm(fx.fx5(s, d), 5, prop="energy"), None)
+
+
+def _glcm_pairs_sql(win: int, value: str) -> str:
+    """A value of the symmetric pair counts m (sum 1) of each window and angle, averaged over angles."""
+    h, lv = win // 2, f"select y, x, floor(re/16) re from ({_byte})"
+    parts = []
+    for k, (dy, dx) in enumerate(((0, 1), (-1, 1), (-1, 0), (-1, -1))):
+        parts.append(f"select {k} g, c.y, c.x, a.re i, b.re j from s c join s a on a.y between c.y-{h} and c.y+{h} and a.x between c.x-{h} and c.x+{h} join s b on b.y=a.y+({dy}) and b.x=a.x+({dx}) and b.y between c.y-{h} and c.y+{h} and b.x between c.x-{h} and c.x+{h}")
+    return (
+        f"with s as ({lv}), p as ({' union all '.join(parts)}), q as (select * from p union all select g, y, x, j, i from p)"
+        ", c as (select g, y, x, i, j, count(*) n from q group by all), m as (select *, n/sum(n) over (partition by g, y, x)::double m from c)"
+        f", v as (select g, y, x, {value} v from m group by 1, 2, 3), w as (select y, x, avg(v) v from v group by 1, 2)"
+        f" select s.y, s.x, case when s.y between {h} and 63-{h} and s.x between {h} and 63-{h} then v else re end re from s join w using (y, x)"
+    )
+
+
+register("w15_glcm_energy", lambda s, d: fl.glcm(fx.fx5(s, d), 5, prop="energy"), sel(_glcm_pairs_sql(5, "sqrt(sum(m*m))"), 10, re="re"), 10)
+register("w15_glcm_asm", lambda s, d: fl.glcm(fx.fx5(s, d), 5, prop="ASM"), sel(_glcm_pairs_sql(5, "sum(m*m)"), 12, re="re"), 12)
+_dev = "(sum(m*i*i)-sum(m*i)*sum(m*i))"
+register("w15_glcm_correlation", lambda s, d: fl.glcm(fx.fx5(s, d), 5, prop="correlation"), sel(_glcm_pairs_sql(5, f"case when {_dev} < 1e-12 then 1 else (sum(m*i*j)-sum(m*i)*sum(m*j))/{_dev} end"), 5, re="re"), 5)
 _lee = means(f"select y, x, re v, re u, re*re m, re*re*re*re m2 from ({AMP2M})", (7, 7), "u m m2", "v")
 register("w16_lee", lambda s, d: fl.lee(fx.fx2m(s, d), looks=4), sel(_lee, re=f"u+(v-u)*{_kf(4)}"))
 _vch = f"select y, x, sqrt(a0*a0+b0*b0) c0, sqrt(a1*a1+b1*b1) c1, sqrt(a2*a2+b2*b2) c2, sqrt(a3*a3+b3*b3) c3 from ({VEC})"
 _vch = f"select *, c0 u0, c1 u1, c2 u2, c3 u3, c0*c0+c1*c1+c2*c2+c3*c3 m, pow(c0*c0+c1*c1+c2*c2+c3*c3, 2) m2 from ({_vch})"
 register("w16_lee_vector", lambda s, d: fl.lee(fx.fx3_pix(s, d), (5, 3), 4), unpivot(means(_vch, (5, 3), "u0 u1 u2 u3 m m2", "c0 c1 c2 c3"), [(f"u{k}+(c{k}-u{k})*{_kf(4)}", "0") for k in range(4)], real=True))
 register("w17_kuan", lambda s, d: fl.kuan(fx.fx2m(s, d), looks=4), sel(f"select *, greatest(1-0.25::double*m*m/greatest(m2-m*m,1e-10::double),0)/1.25::double w from {_lee}", re="v*w+u*(1-w)"))
-register("w18_refinedlee", lambda s, d: ds.refinedlee(fx.fx2m_abs(s, d), looks=4), None)
+
+
+def _refined_sql(method: str, looks: int = 4, threshold: float = 0.5) -> str:
+    """Moments in eight half windows and a diamond; the direction by means two pixels away or by least variation."""
+    away = ((0, -1), (-1, -1), (-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1))
+    part = [f"{dy}*dy+{dx}*dx <= 0" for dy, dx in away] + ["abs(dy)+abs(dx) <= 3"]
+    src = f"select y, x, re v, re u, re*re p, re*re*re*re q from ({AMP2M})"
+    cols = {f"{n}{k}": f"avg(b.{c}) filter (where {w})" for k, w in enumerate(part) for n, c in (("u", "u"), ("m", "p"), ("s", "q"))}
+    if method == "cov":
+        scores, best = [f"-abs((s{k}-m{k}*m{k})/(m{k}*m{k}))" for k in range(8)], ""
+        q = f"select * from {near(src, 7, 7, cols, 'v')}"
+    else:
+        samp = means(src, (3, 3), "p")
+        picked = near(samp, 5, 5, {"o": "sum(b.p) filter (where dy=0 and dx=0)"} | {f"g{k}": f"sum(b.p) filter (where dy={2 * dy} and dx={2 * dx})" for k, (dy, dx) in enumerate(away)})
+        q = f"select * from {near(src, 7, 7, cols, 'v')} join {picked} using (y, x)"
+        scores, best = [f"abs(g{k}/o-1)" for k in range(8)], f"when greatest({', '.join(f'abs(g{k}/o-1)' for k in range(8))}) < {threshold} then 8 "
+    top = f"greatest({', '.join(scores)})"
+    pick = "case " + best + " ".join(f"when {e} = {top} then {k}" for k, e in enumerate(scores)) + " end"
+    value = lambda k: f"u{k}+(v-u{k})*greatest((greatest(s{k}-m{k}*m{k},1e-10::double)-m{k}*m{k}/{looks}.0::double)/(1+1/{looks}.0::double),0)/greatest(s{k}-m{k}*m{k},1e-10::double)"
+    return sel(f"select *, {pick} k from ({q})", re="case k " + " ".join(f"when {k} then {value(k)}" for k in range(9)) + " end")
+
+
+register("w18_refinedlee", lambda s, d: ds.refinedlee(fx.fx2m_abs(s, d), looks=4), _refined_sql("original"))
+register("w18_refinedlee_cov", lambda s, d: ds.refinedlee(fx.fx2m_abs(s, d), looks=4, method="cov"), _refined_sql("cov"))
 _pw = f"select y, x, re*re re from ({AMP2M})"
 _lst = f"with s as ({_pw}), n as (select max(y)+1 ny, max(x)+1 nx from s)"
 _d2 = "1.0::double"
 _ls = f"{_lst} select a.y, a.x, any_value(a.re) v, count(*) filter (where b.re > a.re*0.0::double and b.re < a.re*2.0::double) n, sum(b.re) filter (where b.re > a.re*0.0::double and b.re < a.re*2.0::double) t, sum(b.re) filter (where abs(b.y-a.y)+abs(b.x-a.x)=1)/4 f from s a cross join n join s b on b.y between a.y-3 and a.y+3 and b.x between a.x-3 and a.x+3 group by 1,2"
 register("w19_leesigma", lambda s, d: ds.leesigma(fx.fx2m_abs(s, d), looks=4), sel(f"with n as (select max(y) my, max(x) mx from ({_pw})) select y, x, case when y<3 or x<3 or y>my-3 or x>mx-3 then sqrt(v) when n>=6 then sqrt(t/n) else sqrt(f) end re from ({_ls}) cross join n", re="re"))
-register("w20_leesigma2", lambda s, d: ds.leesigma2(fx.fx2m_abs(s, d), looks=2), None)
+
+
+def _sigma2_sql(looks: int = 2) -> str:
+    """The improved sigma filter; the bounds of the speckle density come as numbers."""
+    lo, hi, dev = ds.sigma_bounds(looks, 0.9)
+    src = f"select *, (re > t)::int bright from ({_pw}) cross join (select quantile_cont(re, 0.98) t from ({_pw}))"
+    q = near(src, 3, 3, {"n": "sum(b.bright)", "m": "avg(b.re)", "m2": "avg(b.re*b.re)"}, "re bright")
+    q = near(f"select *, (n >= 6)::int many from {q}", 3, 3, {"target": "max(b.many)"}, "re bright m m2")
+    gain = lambda s, m, d: f"greatest(({s}-{m}*{m}*{d})/(1+{d}), 0)/{s}"
+    s0 = "greatest(m2-m*m, 1e-10::double)"
+    q = f"select y, x, re, bright*target target, m+(re-m)*{gain(s0, 'm', f'{1 / looks}::double')} seed from {q}"
+    ok = f"where b.re > a.seed*{float(lo)!r}::double and b.re < a.seed*{float(hi)!r}::double"
+    q = near(q, 9, 9, {"n": f"count(*) filter ({ok})", "m": f"avg(b.re) filter ({ok})", "m2": f"avg(b.re*b.re) filter ({ok})"}, "re target")
+    return sel(q, re=f"sqrt(greatest(0, case when target = 1 then re when n = 0 then 0 else m+(re-m)*{gain(s0, 'm', f'{float(dev)!r}::double')} end))")
+
+
+register("w20_leesigma2", lambda s, d: ds.leesigma2(fx.fx2m_abs(s, d), looks=2), _sigma2_sql())
 register("w21_idan", lambda s, d: ds.idan(fx.fx2m_abs(s, d), 2.0), None)
 _bl = f"with s as ({_pw}) select a.y, a.x, sum(b.re*exp(-(pow(b.y-a.y,2)+pow(b.x-a.x,2))/(25/4.6051::double)/2)*exp(-pow(a.re-b.re,2)*2/2))/sum(exp(-(pow(b.y-a.y,2)+pow(b.x-a.x,2))/(25/4.6051::double)/2)*exp(-pow(a.re-b.re,2)*2/2)) re from s a join s b on b.y between a.y-2 and a.y+2 and b.x between a.x-2 and a.x+2 group by 1,2"
 register("w23_bilateral", lambda s, d: ds.bilateral(fx.fx2m_abs(s, d), 5, 2.0), sel(f"with n as (select max(y) my, max(x) mx from ({_pw})) select y, x, case when y<2 or x<2 or y>my-2 or x>mx-2 then 0 else sqrt(re) end re from ({_bl}) cross join n", re="re"))
 register("w24_bilateral_matrix", lambda s, d: ds.bilateral_matrix(cov3(s, d), 1.5), None)
+
+
+def _srad_sql(rounds: int, looks: float = 2.0, step: float = 0.15) -> str:
+    import math
+
+    src, ratio = f"select y, x, re from ({_pw})", lambda a, b: f"coalesce(({a})/nullif({b}, 0), 0)"
+    for k in range(rounds):
+        q0 = (math.exp(-step * k / 6) / math.sqrt(looks)) ** 2
+        pick = {n: f"sum(b.re) filter (where dy={dy} and dx={dx})-any_value(a.re)" for n, dy, dx in (("n", -1, 0), ("s", 1, 0), ("w", 0, -1), ("e", 0, 1))}
+        q = f"select *, {ratio('n*n+s*s+w*w+e*e', 're*re')} g, {ratio('n+s+w+e', 're')} l from {near(src, 3, 3, pick, 're')}"
+        q = f"select *, {ratio('0.5::double*g-l*l/16', 'pow(1+0.25::double*l, 2)')} q from ({q})"
+        q = f"select *, least(1, greatest(0, 1/(1+(q-{q0!r}::double)/{q0 * (1 + q0)!r}::double))) c from ({q})"
+        q = near(q, 3, 3, {"cs": "sum(b.c) filter (where dy=1 and dx=0)", "ce": "sum(b.c) filter (where dy=0 and dx=1)"}, "re n s w e c")
+        src = f"select y, x, re+{step / 4!r}::double*(cs*s+c*n+ce*e+c*w) re from {q}"
+    return src
+
+
+register("w25_srad_steps", lambda s, d: fl.srad(pt.amp2int(fx.fx2m_abs(s, d)), iterations=2, every=1), sel(_srad_sql(2), re="re"))
 register("w25_srad", lambda s, d: fl.srad(pt.amp2int(fx.fx2m_abs(s, d))), None)
 _em = f"with s as ({_pw}) select a.y, a.x, any_value(a.re) v, sum(b.re*4*a.re/pow(b.re,2)*exp(-2*a.re/b.re))/sum(4*a.re/pow(b.re,2)*exp(-2*a.re/b.re)) re from s a join s b on b.y between a.y-2 and a.y+2 and b.x between a.x-2 and a.x+2 group by 1,2"
 register("w26_emdes", lambda s, d: ds.emdes(fx.fx2m_abs(s, d), (5, 5)), sel(f"with n as (select max(y) my, max(x) mx from ({_pw})) select y, x, case when y<2 or x<2 or y>my-2 or x>mx-2 then sqrt(v) else sqrt(re) end re from ({_em}) cross join n", re="re"))
@@ -416,9 +565,40 @@ def _dft_sql() -> str:
 
 
 register("f1_fft_range", lambda s, d: sp.fft(fx.fx2(s, d), "range"), sel(_dft_sql(), re="re", im="im"))
-register("f1_fft_2d", lambda s, d: sp.fft(fx.fx2(s, d)), None)
+
+
+def _dft_y_sql(src: str) -> str:
+    """Centred transform of the columns of any length."""
+    return (
+        f"with v as materialized ({src}), n as (select max(y)+1 n from v), a as (select 2*pi()*(k*y%n)/n t, k, x, re, im, n from v cross join n cross join range(100000) f(k) where k < n)"
+        " select (k+n//2)%n y, x, sum(re*cos(t)+im*sin(t)) re, sum(im*cos(t)-re*sin(t)) im from a group by k, n, x"
+    )
+
+
+register("f1_fft_azimuth", lambda s, d: sp.fft(fx.fx2(s, d), "azimuth"), sel(_dft_y_sql(Q["fx2"]), re="re", im="im"))
+register("f1_fft_2d", lambda s, d: sp.fft(fx.fx2(s, d)), sel(_dft_y_sql(_dft_sql()), 5, re="re", im="im"), 5)
+
+
+def _weight_sql(alpha: float, fix: bool, cutoff: float) -> str:
+    """Range spectra by their definition, the band around the peak of their mean, the window at both distances from it."""
+    t = "2*pi()*(k*x%32)/32.0::double"
+    win = lambda j: f"({alpha}::double-{1 - alpha}::double*cos(2*pi()*({j}-down)/greatest(1, up-down-1)))"
+    return (
+        f"with f as materialized (select y, k, sum(re*cos({t})+im*sin({t})) re, sum(im*cos({t})-re*sin({t})) im from ({Q['fx2']}) cross join range(32) r(k) group by 1, 2)"
+        ", s as (select k, avg(sqrt(re*re+im*im)) v from f group by 1), p as (select arg_max(k, v) peak, max(v) top from s)"
+        f", d as (select k, (k-peak+32)%32 a, v, v <= {cutoff}::double*top low from s cross join p)"
+        ", b as (select coalesce(min(a) filter (where low), 32) up, coalesce(max(a-32) filter (where low and a > 0), -32) down from d)"
+        f", c as (select k, (case when a < up-1 or a-32 > down then {'1/v' if fix else '1.0::double'} else 0 end)*(case when a < up then {win('a')} else 1 end)*(case when a-32 >= down then {win('(a-32)')} else 1 end) w from d cross join b)"
+        ", m as (select k, w/(avg(w) over ()) w from c)"
+        f" select y, x, sum(w*(re*cos({t})-im*sin({t})))/32 re, sum(w*(im*cos({t})+re*sin({t})))/32 im from f join m using (k) cross join range(32) r(x) group by 1, 2"
+    )
+
+
 register("f2_weight", lambda s, d: sp.weight(fx.fx2(s, d)), None)
+register("f2_weight_range", lambda s, d: sp.weight(fx.fx2(s, d), axis="range"), sel(_weight_sql(0.54, False, 0.05), re="re", im="im"))
+register("f2_weight_band", lambda s, d: sp.weight(fx.fx2(s, d), axis="range", fix=True, cutoff=0.97), sel(_weight_sql(0.54, True, 0.97), re="re", im="im"))
 register("f3_unweight", lambda s, d: sp.unweight(fx.fx2(s, d)), None)
+register("f3_unweight_range", lambda s, d: sp.unweight(fx.fx2(s, d), "range"), sel(_weight_sql(1.0, True, 0.05), re="re", im="im"))
 register("f4_cda", lambda s, d: sp.cda(fx.fx2(s, d)), None)
 
 
@@ -436,5 +616,15 @@ def _sva_sql() -> str:
 
 
 register("f5_sva", lambda s, d: sp.sva(fx.fx2(s, d)), sel(_sva_sql(), re="re", im="im"))
-register("f7_lanczos", lambda s, d: sp.lanczos(fx.fx5(s, d)), None)
+
+
+def _lanczos_sql(n: int = 64, step: int = 4) -> str:
+    sinc = lambda t: f"(case when {t} = 0 then 1 else sin(pi()*({t}))/(pi()*({t})) end)"
+    c, t = f"((i+0.5::double)*{step})", f"((k+0.5::double-(i+0.5::double)*{step})/{step})"
+    w = f"select i, k, {sinc(t)}*{sinc(t + '/3')} w from range({n // step}) a(i) cross join range({n}) b(k) where k >= greatest(0, trunc({c}-{3 * step}+0.5::double)) and k < least({n}, trunc({c}+{3 * step}+0.5::double)) and abs({t}) < 3"
+    w = f"select i, k, w/sum(w) over (partition by i) w from ({w})"
+    return f"with w as ({w}) select p.i y, q.i x, sum(v.re*p.w*q.w) re from ({Q['fx5']}) v join w p on p.k = v.y join w q on q.k = v.x group by 1, 2"
+
+
+register("f7_lanczos", lambda s, d: sp.lanczos(fx.fx5(s, d)), sel(_lanczos_sql(), re="re"))
 register("f8_linear", lambda s, d: sp.resample(fx.fx5(s, d), "x", __import__("numpy").arange(0, 63, 0.5), lambda v, at: __import__("numpy").interp(at, range(len(v)), v)), sel(f"select a.y, 2*a.x x, a.re from ({Q['fx5']}) a where a.x < 63 union all select a.y, 2*a.x+1, (a.re+b.re)/2 from ({Q['fx5']}) a join ({Q['fx5']}) b on a.y=b.y and b.x=a.x+1", re="re"))

@@ -21,12 +21,13 @@ def mirror(t: np.ndarray, n: int) -> np.ndarray:
     return np.where(m < n, m, 2 * n - 1 - m)
 
 
-def map_tiles(r: Raster, halo: tuple[int, int], kernel: Callable[[np.ndarray], np.ndarray], tile: tuple[int, int] = (128, 512), out_channels: int | None = None, together: bool = False, border: str = "reflect") -> Raster:
+def map_tiles(r: Raster, halo: tuple[int, int], kernel: Callable[[np.ndarray], np.ndarray], tile: tuple[int, int] = (128, 512), out_channels: int | None = None, together: bool = False, border: str = "reflect", located: bool = False) -> Raster:
     """Apply kernel to haloed blocks and keep the core.
 
     kernel gets (channels, rows + 2 * halo, columns + 2 * halo) and returns (out channels, same rows and
     columns); border pixels are mirrored (``reflect``) or 0 (``zero``). Channels are tiles of their own
-    unless ``together``.
+    unless ``together``. With ``located`` the kernel also gets the rows and the columns of its block in the image,
+    which are outside it in the border.
     """
     r = r.long()
     keys = r.keys
@@ -58,7 +59,7 @@ def map_tiles(r: Raster, halo: tuple[int, int], kernel: Callable[[np.ndarray], n
             my, mx = mirror(yy, ny) - yy[0], mirror(xx, nx) - xx[0]
             ok_y, ok_x = (my >= 0) & (my < len(yy)), (mx >= 0) & (mx < len(xx))
             block = block[:, np.where(ok_y, my, 0)][:, :, np.where(ok_x, mx, 0)]
-        out = kernel(block)
+        out = kernel(block, yy, xx) if located else kernel(block)
         out = out[:, hy : hy + h, hx : hx + w]
         k, i, j = (a.ravel() for a in np.indices(out.shape))
         res = {"ch": (k + c0).astype("int32"), "y": (i + y0).astype("int64"), "x": (j + x0).astype("int64"), "re": out.real.ravel().astype(float)}
@@ -78,8 +79,11 @@ def map_tiles(r: Raster, halo: tuple[int, int], kernel: Callable[[np.ndarray], n
     return Raster(res, ny, nx, lshape, "long", out_complex, r.meta)
 
 
-def map_lines(r: Raster, axis: str, kernel: Callable[[np.ndarray], np.ndarray], out_complex: bool | None = None, n_out: int | None = None) -> Raster:
-    """Apply kernel to every whole line along an axis ("x": image rows); lines of one channel are grouped by eight."""
+def map_lines(r: Raster, axis: str, kernel: Callable[[np.ndarray], np.ndarray], out_complex: bool | None = None, n_out: int | None = None, channel: bool = False) -> Raster:
+    """Apply kernel to every whole line along an axis ("x": image rows); lines of one channel are grouped by eight.
+
+    With ``channel`` the kernel also gets the number of the channel.
+    """
     r = r.long()
     keys, other = r.keys, "y" if axis == "x" else "x"
     n = r.nx if axis == "x" else r.ny
@@ -92,7 +96,7 @@ def map_lines(r: Raster, axis: str, kernel: Callable[[np.ndarray], np.ndarray],
         lines, at = np.unique(p[other].to_numpy(), return_inverse=True)
         a = np.zeros((len(lines), n), complex if is_complex else float)
         a[at, p[axis].to_numpy()] = p["re"].to_numpy() + 1j * p["im"].to_numpy() if is_complex else p["re"].to_numpy()
-        out = kernel(a)
+        out = kernel(a, int(p["ch"].iloc[0])) if channel else kernel(a)
         i, j = (k.ravel() for k in np.indices(out.shape))
         res = {"ch": np.full(len(i), int(p["ch"].iloc[0]), "int32"), other: lines[i], axis: j.astype("int64"), "re": out.real.ravel().astype(float)}
         if out_complex:
