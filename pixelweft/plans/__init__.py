@@ -1,10 +1,27 @@
-"""Cutting long lineages: a written, checkpointed copy in the shared folder."""
+"""Cutting long lineages by a checkpointed copy in the shared folder; that folder's path for flat files."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+_own: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The mounted folder of spark.checkpoint.dir, for flat files; a temporary one only for a session in one process."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        if "://" in root and not root.startswith("file://"):
+            raise RuntimeError("flat files need spark.checkpoint.dir on a mounted folder")
+        return root.removeprefix("file://").removeprefix("file:")
+    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not _own:
+        _own.append(tempfile.mkdtemp(prefix="pixelweft-"))
+    return _own[0]
 
 
 def cut(df: DataFrame) -> DataFrame:
