@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import quantiles
 from ..raster import Raster
 from ..tiles import map_tiles
 
@@ -186,7 +187,7 @@ def leesigma2(r: Raster, win: tuple[int, int] = (9, 9), looks: float = 1.0, sigm
     """
     p, a, b = power(r, kind), win[0] // 2, win[1] // 2
     i1, i2, dev = sigma_bounds(looks, sigma)
-    top = p.df.agg(F.percentile("re", F.lit(1.0 - perc))).first()[0]
+    top = quantiles(p.df, F.col("re"), [1.0 - perc])[0]
     sig2 = 1.0 / looks
     win = (2 * a + 1 + 2, 2 * b + 1 + 2)  # one more on each side: neighbours' 3 x 3 windows
 

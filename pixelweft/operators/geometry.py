@@ -7,6 +7,7 @@ import math
 import numpy as np
 from pyspark.sql import functions as F
 
+from ..functions.quantiles import quantiles
 from ..raster import Raster
 from ..tiles import map_tiles
 from .spectral import interpol_cubic, resample
@@ -96,7 +97,13 @@ def regionstat(r: Raster, window: tuple[int, int, int, int] | None = None, inten
     beta = F.try_divide(F.stddev_pop("re"), F.avg("re"))
     top = 1.0 if intensity else 0.5227
     ch = F.col("ch") if r.keys else F.lit(0).alias("ch")
-    return r.df.groupBy(ch).agg(F.count(F.lit(1)).alias("npix"), F.min("re").alias("min"), F.max("re").alias("max"), F.avg("re").alias("mean"), F.median("re").alias("median"), F.stddev_pop("re").alias("std"), F.pow(F.try_divide(F.lit(top), beta), F.lit(2.0)).alias("enl"))
+    channels = range(r.channels) if r.keys else [0]
+    median = F.lit(None).cast("double")
+    for k in channels:  # few; each median by passes that count
+        one = quantiles(r.df.where(F.col("ch") == k) if r.keys else r.df, F.col("re"), [0.5])[0]
+        median = F.when(F.col("ch") == k, F.lit(one)).otherwise(median)
+    stats = r.df.groupBy(ch).agg(F.count(F.lit(1)).alias("npix"), F.min("re").alias("min"), F.max("re").alias("max"), F.avg("re").alias("mean"), F.stddev_pop("re").alias("std"), F.pow(F.try_divide(F.lit(top), beta), F.lit(2.0)).alias("enl"))
+    return stats.select("ch", "npix", "min", "max", "mean", median.alias("median"), "std", "enl")
 
 
 def flattenamp(r: Raster, order: int = 1, axis: str = "range") -> Raster:
@@ -126,10 +133,10 @@ def flattenamp(r: Raster, order: int = 1, axis: str = "range") -> Raster:
 
 
 def histogram(r: Raster, bins: int = 100, low: float = 0.01, high: float = 0.99):
-    """(bin, start, count) of amplitudes between two exact quantiles."""
+    """(bin, start, count) of amplitudes between two exact quantiles, found by counting in bins."""
     r = r.long()
     v = F.sqrt(F.greatest(F.lit(0.0), F.col("re")))
-    a, b = r.df.agg(F.percentile(v, F.array(F.lit(low), F.lit(high)))).first()[0]
+    a, b = quantiles(r.df, v, [low, high])
     width = (b - a) / bins or 1.0
     k = F.least(F.lit(bins - 1), F.floor((v - a) / width)).cast("int")
     return r.df.where((v >= a) & (v <= b)).groupBy(k.alias("bin")).agg(F.count(F.lit(1)).alias("count")).select("bin", (F.col("bin") * width + a).alias("start"), "count")

@@ -9,7 +9,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +22,10 @@ def mirror(t: np.ndarray, n: int) -> np.ndarray:
     return np.where(m < n, m, 2 * n - 1 - m)
 
 
+def _columns(p: pa.Table) -> dict[str, np.ndarray]:
+    return {name: p.column(name).to_numpy() for name in p.column_names}
+
+
 def map_tiles(r: Raster, halo: tuple[int, int], kernel: Callable[[np.ndarray], np.ndarray], tile: tuple[int, int] = (128, 512), out_channels: int | None = None, together: bool = False, border: str = "reflect", located: bool = False) -> Raster:
     """Apply kernel to haloed blocks and keep the core.
 
@@ -46,15 +51,14 @@ def map_tiles(r: Raster, halo: tuple[int, int], kernel: Callable[[np.ndarray], n
     df = df.select(ch.cast("int").alias("ch"), "y", "x", *value, F.explode(reach("y", ny, hy, tile[0])).alias("ty"))
     df = df.select("*", F.explode(reach("x", nx, hx, tile[1])).alias("tx"))
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        ty, tx, c0 = int(p["ty"].iloc[0]), int(p["tx"].iloc[0]), 0 if not group else int(p["ch"].iloc[0])
+    def run(p: pa.Table) -> pa.Table:
+        p = _columns(p)
+        ty, tx, c0 = int(p["ty"][0]), int(p["tx"][0]), 0 if not group else int(p["ch"][0])
         y0, x0 = ty * tile[0], tx * tile[1]
         h, w = min(tile[0], ny - y0), min(tile[1], nx - x0)
         yy, xx = np.arange(y0 - hy, y0 + h + hy), np.arange(x0 - hx, x0 + w + hx)
         block = np.zeros((n_ch, len(yy), len(xx)), complex if is_complex else float)
-        c = p["ch"].to_numpy() - c0
-        v = p["re"].to_numpy() + 1j * p["im"].to_numpy() if is_complex else p["re"].to_numpy()
-        block[c, p["y"].to_numpy() - yy[0], p["x"].to_numpy() - xx[0]] = v
+        block[p["ch"] - c0, p["y"] - yy[0], p["x"] - xx[0]] = p["re"] + 1j * p["im"] if is_complex else p["re"]
         if border == "reflect":
             my, mx = mirror(yy, ny) - yy[0], mirror(xx, nx) - xx[0]
             ok_y, ok_x = (my >= 0) & (my < len(yy)), (mx >= 0) & (mx < len(xx))
@@ -65,11 +69,11 @@ def map_tiles(r: Raster, halo: tuple[int, int], kernel: Callable[[np.ndarray], n
         res = {"ch": (k + c0).astype("int32"), "y": (i + y0).astype("int64"), "x": (j + x0).astype("int64"), "re": out.real.ravel().astype(float)}
         if out_complex:
             res["im"] = out.imag.ravel().astype(float)
-        return pd.DataFrame(res)
+        return pa.table(res)
 
     out_complex = is_complex if out_channels is None else False
     schema = "ch int, y long, x long, re double" + ", im double" * out_complex
-    res = df.groupBy(*group, "ty", "tx").applyInPandas(run, schema)
+    res = df.groupBy(*group, "ty", "tx").applyInArrow(run, schema)
     if out_channels is not None and not group:
         lshape = (out_channels,) if out_channels > 1 else ()
     else:
@@ -92,24 +96,57 @@ def map_lines(r: Raster, axis: str, kernel: Callable[[np.ndarray], np.ndarray],
     ch = F.col("ch") if keys else F.lit(0).alias("ch")
     df = r.df.select(ch, "y", "x", *(["re", "im"] if is_complex else ["re"])).withColumn("band", F.floor(F.col(other) / 8))
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        lines, at = np.unique(p[other].to_numpy(), return_inverse=True)
+    def run(p: pa.Table) -> pa.Table:
+        p = _columns(p)
+        lines, at = np.unique(p[other], return_inverse=True)
         a = np.zeros((len(lines), n), complex if is_complex else float)
-        a[at, p[axis].to_numpy()] = p["re"].to_numpy() + 1j * p["im"].to_numpy() if is_complex else p["re"].to_numpy()
-        out = kernel(a, int(p["ch"].iloc[0])) if channel else kernel(a)
+        a[at, p[axis]] = p["re"] + 1j * p["im"] if is_complex else p["re"]
+        out = kernel(a, int(p["ch"][0])) if channel else kernel(a)
         i, j = (k.ravel() for k in np.indices(out.shape))
-        res = {"ch": np.full(len(i), int(p["ch"].iloc[0]), "int32"), other: lines[i], axis: j.astype("int64"), "re": out.real.ravel().astype(float)}
+        res = {"ch": np.full(len(i), int(p["ch"][0]), "int32"), other: lines[i], axis: j.astype("int64"), "re": out.real.ravel().astype(float)}
         if out_complex:
             res["im"] = out.imag.ravel().astype(float)
-        return pd.DataFrame(res)[["ch", "y", "x", "re", *(["im"] if out_complex else [])]]
+        return pa.table({k: res[k] for k in ("ch", "y", "x", "re", *(["im"] if out_complex else []))})
 
-    res = df.groupBy("ch", "band").applyInPandas(run, "ch int, y long, x long, re double" + ", im double" * out_complex)
+    res = df.groupBy("ch", "band").applyInArrow(run, "ch int, y long, x long, re double" + ", im double" * out_complex)
     if not keys:
         res = res.drop("ch")
     size = {} if n_out is None else ({"nx": n_out} if axis == "x" else {"ny": n_out})
     return r.with_df(res, complex=out_complex, **size)
 
 
+def foreach_tile(r: Raster, f: Callable[[int, int, np.ndarray], None], tile: tuple[int, int] = (512, 512)) -> int:
+    """Call f(row, column, block (channels, rows, columns)) once for each tile where it lies; the number of tiles.
+
+    For exports: a task that is run again calls f again with the same block, so f must bear repetition.
+    """
+    return _by_tile(r, tile, lambda y, x, block: (f(y, x, block), 1.0)[1]).count()
+
+
+def reduce_tiles(r: Raster, f: Callable[[np.ndarray], dict[str, float]], how: dict[str, str], tile: tuple[int, int] = (512, 512)) -> dict[str, float]:
+    """Combine per-tile numbers f(block) by ``sum``, ``min`` or ``max``: one row a tile, combined before any shuffle."""
+    names = sorted(how)
+    parts = _by_tile(r, tile, lambda y, x, block: [float(f(block)[k]) for k in names])
+    row = parts.agg(*[getattr(F, how[k])(F.get("v", F.lit(i))).alias(k) for i, k in enumerate(names)]).first()
+    return row.asDict()
+
+
+def _by_tile(r: Raster, tile: tuple[int, int], f: Callable) -> DataFrame:
+    r = r.long()
+    ny, nx, n, is_complex = r.ny, r.nx, r.channels, r.complex
+    ch = F.col("ch") if r.keys else F.lit(0)
+    df = r.df.select(ch.alias("ch"), "y", "x", *(["re", "im"] if is_complex else ["re"]), F.floor(F.col("y") / tile[0]).alias("ty"), F.floor(F.col("x") / tile[1]).alias("tx"))
+
+    def run(p: pa.Table) -> pa.Table:
+        p = _columns(p)
+        y0, x0 = int(p["ty"][0]) * tile[0], int(p["tx"][0]) * tile[1]
+        block = np.zeros((n, min(tile[0], ny - y0), min(tile[1], nx - x0)), complex if is_complex else float)
+        block[p["ch"], p["y"] - y0, p["x"] - x0] = p["re"] + 1j * p["im"] if is_complex else p["re"]
+        return pa.table({"v": pa.array([np.atleast_1d(f(y0, x0, block)).astype(float).tolist()], pa.list_(pa.float64()))})
+
+    return df.groupBy("ty", "tx").applyInArrow(run, "v array<double>")
+
+
 def patch_starts(n: int, size: int, step: int) -> list[tuple[int, int]]:
     """(start, times) of overlapping patches along an axis; the last is flush with the end.
 
@@ -153,20 +190,21 @@ def overlap_add(rasters: list[Raster], size: tuple[int, int], step: tuple[int, i
     twice = [{s: k for s, k in g} for g in grids]
     ramp = [np.concatenate([np.linspace(0.01, 1, (b + 1) // 2), np.linspace(0.01, 1, (b + 1) // 2)[::-1][b % 2 :]]) for b in bs]
 
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        py, px = int(p["py"].iloc[0]), int(p["px"].iloc[0])
-        y, x = p["y"].to_numpy() - py, p["x"].to_numpy() - px
+    def run(p: pa.Table) -> pa.Table:
+        p = _columns(p)
+        py, px = int(p["py"][0]), int(p["px"][0])
+        y, x = p["y"] - py, p["x"] - px
         blocks = []
         for i in range(n_in):
             a = np.zeros(bs, complex)
-            a[y, x] = p[f"re{i}"].to_numpy() + 1j * p[f"im{i}"].to_numpy()
+            a[y, x] = p[f"re{i}"] + 1j * p[f"im{i}"]
             blocks.append(a)
         out = kernel(blocks)
         w = np.outer(ramp[0], ramp[1]) * twice[0][py] * twice[1][px]
         i, j = (k.ravel() for k in np.indices(bs))
-        return pd.DataFrame({"y": i + py, "x": j + px, "w": w.ravel(), "wr": (w * out.real).ravel(), "wi": (w * out.imag).ravel() if np.iscomplexobj(out) else 0.0})
+        return pa.table({"y": i + py, "x": j + px, "w": w.ravel(), "wr": (w * out.real).ravel(), "wi": (w * out.imag).ravel() if np.iscomplexobj(out) else np.zeros(len(i))})
 
-    parts = df.groupBy("py", "px").applyInPandas(run, "y long, x long, w double, wr double, wi double")
+    parts = df.groupBy("py", "px").applyInArrow(run, "y long, x long, w double, wr double, wi double")
     s = parts.groupBy("y", "x").agg(F.sum("w").alias("w"), F.sum("wr").alias("wr"), F.sum("wi").alias("wi"))
     cols = [(F.col("wr") / F.col("w")).alias("re")] + ([(F.col("wi") / F.col("w")).alias("im")] if out_complex else [])
     return Raster(s.select("y", "x", *cols), ny, nx, (), "long", out_complex, first.meta)
