@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import quantiles
@@ -180,45 +181,78 @@ def slant2ground(r: Raster, meta: dict, minangle: float = 20.0) -> Raster:
     return res.with_df(res.df, meta=r.meta | {"ps_rg": float(step)})
 
 
-def coregister(a: Raster, b: Raster, patch: int = 32, grid: int = 4) -> Raster:
-    """b resampled onto a: patch offsets by FFT cross-correlation, a second-order polynomial, bicubic taps.
+def _peak(c: np.ndarray, sub: bool) -> tuple[float, float]:
+    """Where a circular cross-correlation is largest, signed, and between pixels by the parabolas through the peak."""
+    k = np.unravel_index(int(c.argmax()), c.shape)
+    out = []
+    for axis, at in enumerate(k):
+        n = c.shape[axis]
+        before, here, after = (c[tuple((at + d) % n if a == axis else k[a] for a in (0, 1))] for d in (-1, 0, 1))
+        bend = before + after - 2 * here
+        part = 0.5 * (before - after) / bend if sub and bend else 0.0
+        out.append((at - n if at >= n // 2 else at) + round(float(part), 2))
+    return out[0], out[1]
 
-    Patch offsets are one row per patch (a fixed grid) on the driver; resampling is by haloed tiles.
+
+def _correlation(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.fft.irfft2(np.fft.rfft2(a) * np.conj(np.fft.rfft2(b)), a.shape)
+
+
+def _overview(r: Raster, most: int):
+    """(array, rows a pixel, columns a pixel): amplitudes, as block means of at most ``most`` x ``most`` values."""
+    sy, sx = -(-r.ny // most), -(-r.nx // most)
+    small = presum(r, sy, sx) if (sy, sx) != (1, 1) else r
+    return small.to_numpy()[0] if small.keys else small.to_numpy(), sy, sx
+
+
+def coregister(a: Raster, b: Raster, grid: int = 10, most: int = 1024) -> Raster:
+    """b resampled onto a.
+
+    A global offset comes from the cross-correlation of overviews (block means, ``most`` values an axis). Around
+    it, offsets of a grid of patches, whose size follows the image's (the power of two up to a twelfth of an axis, 4096 at
+    most), are found between pixels; a polynomial with all products of powers up to two is fitted to them, and b is
+    resampled by bicubic taps, 0 outside. A patch is a task, an offset a row to the driver.
     """
     a, b = a.long(), b.long()
-    mod = lambda r: F.sqrt(F.col("re") ** 2 + F.col("im") ** 2) if r.complex else F.abs(F.col("re"))
-    d = a.df.select("y", "x", mod(a).alias("p")).join(b.df.select("y", "x", mod(b).alias("q")), ["y", "x"])
-    py, px = min(patch, a.ny), min(patch, a.nx)
-    ys = sorted({int(v) for v in np.linspace(0, a.ny - py, grid)})
-    xs = sorted({int(v) for v in np.linspace(0, a.nx - px, grid)})
-    spots = d.withColumn("oy", F.explode(F.filter(F.array(*map(F.lit, ys)), lambda s: (F.col("y") >= s) & (F.col("y") < s + py))))
-    spots = spots.withColumn("ox", F.explode(F.filter(F.array(*map(F.lit, xs)), lambda s: (F.col("x") >= s) & (F.col("x") < s + px))))
-
-    import pandas as pd
-
-    def offset(p: pd.DataFrame) -> pd.DataFrame:
-        oy, ox = int(p["oy"].iloc[0]), int(p["ox"].iloc[0])
-        m, s = np.zeros((py, px)), np.zeros((py, px))
-        i, j = p["y"].to_numpy() - oy, p["x"].to_numpy() - ox
-        m[i, j], s[i, j] = p["p"].to_numpy(), p["q"].to_numpy()
-        c = np.abs(np.fft.ifft2(np.fft.fft2(m - m.mean()) * np.conj(np.fft.fft2(s - s.mean()))))
-        k, l = np.unravel_index(int(c.argmax()), c.shape)  # noqa: E741
-        wrap = lambda v, n: v - n if v > n // 2 else v
-        return pd.DataFrame({"cy": [oy + py / 2], "cx": [ox + px / 2], "dy": [float(-wrap(k, py))], "dx": [float(-wrap(l, px))]})
-
-    rows = spots.groupBy("oy", "ox").applyInPandas(offset, "cy double, cx double, dy double, dx double").orderBy("cy", "cx").collect()
-    c = np.array([[r.cy, r.cx] for r in rows])
-    basis = lambda y, x: np.stack([np.ones_like(y), y, x, y * y, x * x, x * y], -1)
-    fit = [np.linalg.lstsq(basis(c[:, 0], c[:, 1]), np.array([r[k] for r in rows]), rcond=None)[0] for k in ("dy", "dx")]
-    reach = int(np.ceil(max(abs(v) for r in rows for v in (r.dy, r.dx)))) + 3
-    # Each pixel goes to its own tile and reads up to ``reach`` away; shifts come from coordinates.
-    coords = b.with_df(b.df.select(F.lit(0).alias("ch"), "y", "x", "re", *(["im"] if b.complex else [])).unionByName(b.df.select(F.lit(1).alias("ch"), "y", "x", F.col("y").cast("double").alias("re"), *([F.lit(0.0).alias("im")] if b.complex else []))).unionByName(b.df.select(F.lit(2).alias("ch"), "y", "x", F.col("x").cast("double").alias("re"), *([F.lit(0.0).alias("im")] if b.complex else []))), lshape=(3,))
-
-    def kernel(k: np.ndarray) -> np.ndarray:
-        v, y, x = k[0], k[1].real, k[2].real
-        sy, sx = (basis(y, x) @ f for f in fit)
+    mod = lambda r: r.with_df(r.df.select("y", "x", (F.sqrt(F.col("re") ** 2 + F.col("im") ** 2) if r.complex else F.abs(F.col("re"))).alias("re")), complex=False, lshape=())
+    p, q = mod(a), mod(b)
+    (one, sy, sx), (two, _, _) = _overview(p, most), _overview(q, most)
+    gy, gx = (int(v) * s for v, s in zip(_peak(_correlation(one, two), False), (sy, sx), strict=True))
+    size = [min(4096, 2 ** max(0, int(math.log2(max(1, n / 12))))) for n in (a.ny, a.nx)]
+    ys, xs = ([int(n * (k + 1) / (grid + 2)) for k in range(grid)] for n in (a.ny, a.nx))
+
+    def placed(df, dy: int, dx: int, which: int):
+        """Every pixel to the patches that hold it, by its place after the global offset."""
+        y, x = F.col("y") + dy, F.col("x") + dx
+        inside = lambda at, starts, n: F.explode(F.filter(F.array(*map(F.lit, starts)), lambda s: (at >= s) & (at < s + n)))
+        df = df.select(y.alias("y"), x.alias("x"), "re", F.lit(which).alias("side")).withColumn("oy", inside(F.col("y"), ys, size[0]))
+        return df.withColumn("ox", inside(F.col("x"), xs, size[1]))
+
+    def offset(t: pa.Table) -> pa.Table:
+        v = {n: t.column(n).to_numpy() for n in t.column_names}
+        oy, ox = int(v["oy"][0]), int(v["ox"][0])
+        both = np.zeros((2, *size))
+        both[v["side"], v["y"] - oy, v["x"] - ox] = v["re"]
+        # A patch that one image doesn't reach tells nothing.
+        known = len(np.unique(v["side"])) == 2
+        dy, dx = _peak(_correlation(both[0] - both[0].mean(), both[1] - both[1].mean()), True) if known else (float("nan"),) * 2
+        return pa.table({"cy": [float(oy)], "cx": [float(ox)], "dy": [dy], "dx": [dx]})
+
+    spots = placed(p.df, 0, 0, 0).unionByName(placed(q.df, gy, gx, 1))
+    rows = spots.groupBy("oy", "ox").applyInArrow(offset, "cy double, cx double, dy double, dx double").where(~F.isnan("dy")).orderBy("cy", "cx").collect()
+    c = np.array([[r.cy / a.ny, r.cx / a.nx] for r in rows])
+    off = np.array([[r.dy + gy, r.dx + gx] for r in rows])
+    basis = lambda y, x: np.stack([y**i * x**j for i in range(3) for j in range(3)], -1)
+    fit = [np.linalg.lstsq(basis(c[:, 0], c[:, 1]), off[:, k], rcond=None)[0] for k in (0, 1)]
+    corner = basis(*(v.ravel() for v in np.meshgrid(np.linspace(0, 1, 33), np.linspace(0, 1, 33))))
+    reach = int(np.ceil(max(np.abs(corner @ f).max() for f in fit))) + 3
+    ny, nx = b.ny, b.nx
+
+    def kernel(k: np.ndarray, yy: np.ndarray, xx: np.ndarray) -> np.ndarray:
+        v = k[0] * ((yy >= 0) & (yy < ny))[:, None] * ((xx >= 0) & (xx < nx))[None]
+        y, x = np.meshgrid(yy / ny, xx / nx, indexing="ij")
         i, j = np.indices(v.shape)
-        ty, tx = i + sy, j + sx
+        ty, tx = i - basis(y, x) @ fit[0], j - basis(y, x) @ fit[1]
         out = np.zeros_like(v)
         fy, fx = np.floor(ty).astype(int), np.floor(tx).astype(int)
 
@@ -226,10 +260,9 @@ def coregister(a: Raster, b: Raster, patch: int = 32, grid: int = 4) -> Raster:
             t = np.abs(t)
             return np.where(t <= 1, 1.5 * t**3 - 2.5 * t**2 + 1, np.where(t < 2, -0.5 * t**3 + 2.5 * t**2 - 4 * t + 2, 0.0))
 
-        for p in range(-1, 3):
-            for q in range(-1, 3):
-                out = out + w(ty - fy - p) * w(tx - fx - q) * v[np.clip(fy + p, 0, v.shape[0] - 1), np.clip(fx + q, 0, v.shape[1] - 1)]
-        return np.stack([out, y, x])
+        for s in range(-1, 3):
+            for t in range(-1, 3):
+                out = out + w(ty - fy - s) * w(tx - fx - t) * v[np.clip(fy + s, 0, v.shape[0] - 1), np.clip(fx + t, 0, v.shape[1] - 1)]
+        return out[None]
 
-    t = map_tiles(coords, (reach, reach), kernel, together=True)
-    return b.with_df(t.df.where("ch = 0").drop("ch"))
+    return map_tiles(b, (reach, reach), kernel, located=True)

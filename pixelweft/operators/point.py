@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ast
+import math
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -126,7 +127,6 @@ def bytescale(r: Raster, low: float | None = None, high: float | None = None) ->
 
 def phascale(r: Raster) -> Raster:
     r = r.long()
-    import math
 
     v = F.least(F.lit(255.0), F.greatest(F.lit(0.0), F.col("re") / math.pi * 128.0 + 127.0))
     return _map(r, re=F.floor(v).cast("double"))
@@ -176,7 +176,6 @@ def sar2rgb(r: Raster, alpha: float = 3.0, gamma: float = 0.7) -> Raster:
 
 def palette(name: str) -> list[tuple[int, int, int]]:
     """256 colours from a formula: grey, hot, ocean, phase wheel."""
-    import math
 
     t = [i / 255 for i in range(256)]
     clip = lambda v: int(max(0, min(255, round(255 * v))))
@@ -198,3 +197,27 @@ def coloured(r: Raster, name: str) -> Raster:
     lut = spark.createDataFrame([(i, c, float(v)) for i, rgb in enumerate(palette(name)) for c, v in enumerate(rgb)], "b int, ch int, v double")
     d = r.df.withColumn("b", F.col("re").cast("int")).drop("ch").join(F.broadcast(lut), "b")
     return r.with_df(d.select("ch", "y", "x", F.col("v").alias("re")), lshape=(3,))
+
+
+def combinations(spark, values: dict[str, list], first_slowest: bool = True):
+    """Every combination of the given values, one row each, numbered: index arithmetic over a range, so nothing is joined."""
+    names = list(values)
+    total = math.prod(len(v) for v in values.values())
+    df, stride = spark.range(total), 1
+    cols = {}
+    for name in names[::-1] if first_slowest else names:
+        n = len(values[name])
+        cols[name] = F.get(F.array(*[F.lit(v) for v in values[name]]), F.floor(F.col("id") / stride) % n)
+        stride *= max(1, n)
+    return df.select(F.col("id").alias("i"), *[cols[n].alias(n) for n in names])
+
+
+def linspace_nd(spark, axes: dict[str, tuple[float, float, int]]):
+    """The grid of evenly spaced points (start, stop, number) of several axes, ends included, one row each."""
+    df, stride, cols = spark.range(math.prod(n for _, _, n in axes.values())), 1, {}
+    for name in list(axes)[::-1]:
+        a, b, n = axes[name]
+        k = F.floor(F.col("id") / stride) % n
+        cols[name] = F.lit(float(a)) + k * ((b - a) / max(1, n - 1))
+        stride *= n
+    return df.select(F.col("id").alias("i"), *[cols[n].alias(n) for n in axes])

@@ -19,6 +19,7 @@ from .operators import point as pt
 from .operators import polar as po
 from .operators import spectral as sp
 from .raster import Raster, generate
+from .tiles import reduce_tiles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -362,7 +363,26 @@ _g8 = (
     f" select v.y, p.j x, sum(v.re*{_cc}) re, sum(v.im*{_cc}) im from p cross join (values (-1), (0), (1), (2)) q(m) join ({Q['fx2']}) v on v.x = greatest(0, least({META['nrg'] - 1}, k+m)) group by 1, 2"
 )
 register("g8_slant2ground", lambda s, d: ge.slant2ground(fx.fx2(s, d), META, 0.0), sel(_g8, re="re", im="im"))
-register("g9_coregister", lambda s, d: ge.coregister(fx.fx5(s, d), ge.mirrorhorizontal(ge.mirrorhorizontal(fx.fx5(s, d)))), None)
+
+
+def _shifted(r: Raster, dy: int, dx: int) -> Raster:
+    """The image moved by whole pixels, 0 where nothing moves in."""
+    d = r.df.withColumns({"y": F.col("y") + dy, "x": F.col("x") + dx}).where(F.col("y").between(0, r.ny - 1) & F.col("x").between(0, r.nx - 1))
+    grid = generate(r.df.sparkSession, r.ny, r.nx, lambda y, x: F.lit(0.0)).df.select("y", "x")
+    return r.with_df(grid.join(d, ["y", "x"], "left").select("y", "x", F.coalesce("re", F.lit(0.0)).alias("re")))
+
+
+def _scene(s: SparkSession) -> Raster:
+    """Blocks of 5 x 5 pixels of a fixed pseudo-random height, 192 x 192."""
+    return generate(s, 192, 192, lambda y, x: (F.floor(y / 5) * 7919 + F.floor(x / 5) * 104729 + F.floor(y / 5) * F.floor(x / 5) * 31) % 97 + 10)
+
+
+_sc = f"select y, x, ((y//5)*7919+(x//5)*104729+(y//5)*(x//5)*31)%97+10 re from ({pixels(192, 192)})"
+# A scene moved by (6, -4) comes back; its rim moved out and is 0.
+register("g9_coregister", lambda s, d: (lambda r: r.with_df(r.df.withColumn("re", F.round("re", 1))))(ge.coregister(_scene(s), _shifted(_scene(s), 6, -4))), sel(f"select y, x, case when y < 186 and x >= 4 then re else 0 end re from ({_sc})", 1, re="re"), 1)
+register("p22_combinations", lambda s, d: pt.combinations(s, {"a": [1, 2, 3], "b": [10, 20], "x": [0, 5, 7, 9]}), "select ((a-1)*2+b/10-1)::bigint*4+p-1 i, a::int a, b::int b, x::int x from (values (1), (2), (3)) u(a) cross join (values (10), (20)) v(b) cross join (values (1, 0), (2, 5), (3, 7), (4, 9)) w(p, x)")
+register("p22_linspace", lambda s, d: pt.linspace_nd(s, {"y": (0.0, 1.0, 5), "x": (-2.0, 2.0, 9)}), "select (a*9+b)::bigint i, a*0.25::double y, -2+b*0.5::double x from range(5) u(a) cross join range(9) v(b)")
+register("a6_reduce_tiles", lambda s, d: s.createDataFrame([(k, float(v[1])) for k, v in enumerate(sorted(reduce_tiles(fx.fx5(s, d), lambda b: {"top": b.max(), "total": b.sum()}, {"top": "max", "total": "sum"}, (16, 24)).items()))], "label int, value double"), f"select 0::int as \"label\", max(re)::double \"value\" from ({Q['fx5']}) union all select 1::int, sum(re)::double from ({Q['fx5']})")
 _blk = "select y//4 y, x//4 x, {} from ({}) where y//4 < (select (max(y)+1)//4 from ({})) and x//4 < (select (max(x)+1)//4 from ({})) group by 1, 2"
 register("a7_presum", lambda s, d: ge.presum(fx.fx2(s, d)), sel(_blk.format("avg(re) re, avg(im) im", *[Q["fx2"]] * 3), re="re", im="im"))
 register("a7_presum_phase", lambda s, d: ge.presum(fx.fx8(s, d), phase=True), sel(_blk.format("atan2(avg(sin(re)), avg(cos(re))) re", *[Q["fx8"]] * 3), re="re"))
@@ -539,6 +559,7 @@ register("w26_emdes", lambda s, d: ds.emdes(fx.fx2m_abs(s, d), (5, 5)), sel(f"wi
 register("w28_nlmeans", lambda s, d: ds.nlmeans(fx.fx2m_abs(s, d))[0], None)
 register("w29_boxcar_periodic", lambda s, d: ds.carfilter(fx.fx5(s, d), 2, "box"), sel(near(Q["fx5"], 5, 5, {"re": "avg(b.re)"}, wrap=True), re="re"))
 register("w29_diskcar_periodic", lambda s, d: ds.carfilter(fx.fx5(s, d), 2, "disk"), sel(near(Q["fx5"], 5, 5, {"re": "avg(b.re) filter (where dy*dy+dx*dx <= 6.25)"}, wrap=True), re="re"))
+register("w29_gausscar_periodic", lambda s, d: ds.carfilter(fx.fx5(s, d), 1.0, "gauss"), sel(near(Q["fx5"], 11, 11, {"re": "sum(b.re*exp(-pi()*(dy*dy+dx*dx)/2.25::double))/sum(exp(-pi()*(dy*dy+dx*dx)/2.25::double))"}, wrap=True), re="re"))
 register("w32_smooth", lambda s, d: fl.smooth(fx.fx7(s, d), (3, 3)), sel(means(Q["fx7"], (3, 3), "re"), re="re"))
 
 # --- interferometry ------------------------------------------------------------------------------------

@@ -25,7 +25,7 @@ def db():
 def _same(a, b):
     cols = sorted(a.columns)
     assert cols == sorted(b.columns) and len(a) == len(b)
-    keys = [k for k in ("ch", "y", "x", "label", "bin") if k in cols] or ["i"]
+    keys = [k for k in ("ch", "y", "x", "label", "bin", "i") if k in cols]
     a, b = (d[cols].sort_values(keys).reset_index(drop=True) for d in (a, b))
     for c in cols:
         assert np.allclose(a[c].astype(float), b[c].astype(float), atol=2e-6, equal_nan=True), c
