@@ -216,59 +216,156 @@ def leesigma2(r: Raster, win: tuple[int, int] = (9, 9), looks: float = 1.0, sigm
     return _back(_windowed(p, win, f), kind)
 
 
-def idan(r: Raster, looks: float = 1.0, nmax: int = 50, llmmse: bool = True, kind: str = "amplitude") -> Raster:
-    """Intensity-driven adaptive neighbourhood: a region of up to nmax pixels grown from a 3 x 3 median seed.
+#: Neighbours (dy, dx) in the order in which a region takes them, for idan and for idanq.
+STEPS = ((0, 1), (0, -1), (-1, 0), (1, 0), (1, 1), (1, -1), (-1, 1), (-1, -1))
+STEPS_Q = ((-1, -1), (-1, 0), (-1, 1), (0, -1), (0, 1), (1, 1), (1, 0), (1, -1))
 
-    Growth goes over eight neighbours within 2 / sqrt(looks) of the seed; rejected neighbours are inspected
-    again against the region's mean within 6 / sqrt(looks). Each ring of growth adds a pixel at least, so a
-    region and its neighbours lie within nmax - 1 rows and columns of the seed: so far reaches the halo.
+
+def _grown(v: np.ndarray, seed: np.ndarray, start: np.ndarray, inside: np.ndarray, steps: list[int], limit: float, nmax: int, rings: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Regions and rejected neighbours (places, -1 where none) of all starts at once.
+
+    v (channels, places) and seed (channels, starts): a neighbour joins if its relative distances from the seed add up to
+    ``limit`` at most (below it for rings). A region is its own queue. It ends at nmax pixels, or, for rings, with the
+    first ring that brings it to nmax.
     """
-    p, reach, d = power(r, kind), max(1, nmax - 1), 1.0 / math.sqrt(looks)
-    ring = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1) if dy or dx]
+    k, room = len(start), 9 * nmax if rings else nmax
+    region, back = np.full((k, room), -1), np.full((k, room if rings else nmax), -1)
+    region[:, 0], size, refused, ring = start, np.ones(k, int), np.zeros(k, int), np.ones(k, int)
+    on, at = np.arange(k), 0
+    while len(on):
+        for step in steps:
+            q = region[on, at] + step
+            known = (region[on, : size[on].max()] == q[:, None]).any(1)
+            if refused[on].any():
+                known |= (back[on, : refused[on].max()] == q[:, None]).any(1)
+            new = np.flatnonzero(inside[q] & ~known & (rings | (size[on] < nmax)))
+            if not len(new):
+                continue
+            who, q = on[new], q[new]
+            far = (np.abs(v[:, q] - seed[:, who]) / np.maximum(np.abs(seed[:, who]), 1e-10)).sum(0)
+            joins = far < limit if rings else far <= limit
+            one, two = who[joins], who[~joins]
+            region[one, size[one]] = q[joins]
+            size[one] += 1
+            fits = refused[two] < back.shape[1]
+            back[two[fits], refused[two[fits]]] = q[~joins][fits]
+            refused[two[fits]] += 1
+        at += 1
+        if rings:
+            turn = on[ring[on] == at]
+            done = turn[(size[turn] >= nmax) | (size[turn] == at)]
+            ring[turn] = size[turn]
+            on = np.setdiff1d(on, done, assume_unique=True)
+        else:
+            on = on[(size[on] > at) & (size[on] < nmax)]
+    return region, back
+
+
+def _mean_of(v: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """The mean of each channel over each row of places."""
+    use = places >= 0
+    return np.stack([(c[places] * use).sum(1) / use.sum(1) for c in v])
+
+
+def _neighbourhoods(r: Raster, nmax: int, kernel, tile: tuple[int, int]) -> Raster:
+    """kernel(block, flat places of the core, inside, width) per tile; the halo holds every region that starts in the core."""
+    ny, nx, halo = r.ny, r.nx, nmax + 1
+
+    def run(block, yy, xx):
+        inside = ((yy >= 0) & (yy < ny))[:, None] & ((xx >= 0) & (xx < nx))[None]
+        core = np.zeros(inside.shape, bool)
+        core[halo:-halo, halo:-halo] = inside[halo:-halo, halo:-halo]
+        start = np.flatnonzero(core)
+        out = block.copy()
+        flat = out.reshape(len(out), -1)
+        for a in range(0, len(start), 2048):  # so many regions at a time
+            flat[:, start[a : a + 2048]] = kernel(block, start[a : a + 2048], inside.ravel(), block.shape[2])
+        return out
 
-    def kernel(block):
-        v = block[0]
-        med = v.copy()
-        med[1:-1, 1:-1] = np.median(View(v, (3, 3)), axis=(-1, -2))
-        out, v = v.copy(), v.tolist()  # single values are read faster from lists
-        for y in range(reach, out.shape[0] - reach):
-            for x in range(reach, out.shape[1] - reach):
-                seed, region, frontier, seen, back = float(med[y, x]), [(y, x)], [(y, x)], {(y, x)}, []
-                while frontier and len(region) < nmax:
-                    new = []
-                    for i, j in frontier:
-                        for dy, dx in ring:
-                            q = (i + dy, j + dx)
-                            if q in seen:
-                                continue
-                            seen.add(q)
-                            if abs(v[q[0]][q[1]] - seed) <= 2 * d / 3 * abs(seed):
-                                new.append(q)
-                            else:
-                                back.append(q)
-                    region += new[: nmax - len(region)]
-                    frontier = new
-                w = [v[i][j] for i, j in region]
-                mean = sum(w) / len(w)
-                w = np.array(w + [v[i][j] for i, j in back if abs(v[i][j] - mean) <= 2 * d * abs(mean)])
-                m = w.mean()
-                if llmmse:
-                    s = max(w.var(), 1e-10)
-                    k = max(s - m * m * d * d, 0) / (1 + d * d) / s
-                    m = m + (v[y][x] - m) * k
-                out[y, x] = m
-        return out[None]
-
-    return _back(map_tiles(p, (reach, reach), kernel, tile=(64, 64)), kind)
-
-
-def idanq(cov: Raster, size: int = 50, looks: float = 2.0, kind: str = "amplitude", llmmse: bool = True) -> Raster:
-    """The neighbourhood filter driven by the span alone."""
-    from .filters import _span
-
-    src, df = _span(cov)
-    span = src.with_df(df.select("y", "x", F.sqrt("span").alias("re")), lshape=(), form="long", complex=False)
-    return idan(span, looks, size, llmmse, kind)
+    return map_tiles(r, (halo, halo), run, tile=tile, together=True, located=True)
+
+
+def idan(r: Raster, looks: float = 1.0, nmax: int = 50, llmmse: bool = True) -> Raster:
+    """Intensity-driven adaptive neighbourhood of amplitudes, vectors of amplitudes or covariance matrices.
+
+    From each pixel a region of up to nmax pixels grows over eight neighbours, first come first taken, by their distance
+    from the 3 x 3 median (of the first channel of a vector, of all diagonal elements of a matrix) within
+    2 / (3 sqrt(looks)). Refused neighbours are asked again with three times that distance from the region's mean, as many
+    as the region has room for. All elements are averaged over the region; the pixel is added by Lee's factor of the
+    power in its 3 x 3 window. Regions stay in the image, so they lie within nmax - 1 rows and columns: so far reaches
+    the halo, and no region is cut.
+    """
+    r = r.long()
+    if len(r.lshape) < 2:
+        from .filters import _amplitude
+
+        r = _amplitude(r)
+    n, limit = (r.lshape[0] if len(r.lshape) == 2 else 0), 2.0 / (3.0 * math.sqrt(looks))
+
+    def kernel(block, start, inside, width):
+        flat = block.reshape(len(block), -1)
+        diagonal = [i * n + i for i in range(n)] or [0]
+        v = flat[diagonal].real
+        pad = lambda a: np.pad(a, 1, "edge")  # noqa: E731  the block's rim is beyond every region
+        seed = np.stack([np.median(View(pad(c.reshape(block.shape[1:])), (3, 3)), axis=(-1, -2)).ravel()[start] for c in v])
+        region, back = _grown(v, seed, start, inside, [dy * width + dx for dy, dx in STEPS], limit, nmax, False)
+        seed, seen = _mean_of(v, region), (region >= 0).sum(1) - 1
+        more = np.full_like(back, -1)
+        for b in range(back.shape[1]):
+            q, asked = back[:, b], back[:, b] >= 0
+            seen = seen + asked
+            far = (np.abs(v[:, q] - seed) / np.maximum(np.abs(seed), 1e-10)).sum(0)
+            more[:, b] = np.where(asked & (seen < nmax) & (far <= 3 * limit), q, -1)
+        mean = _mean_of(flat, np.hstack([region, more]))
+        if not llmmse:
+            return mean
+        span = (np.abs(flat[diagonal].sum(0)) if n else (np.abs(flat) ** 2).sum(0)).reshape(block.shape[1:])
+        m, m2 = (View(pad(a), (3, 3)).mean((-1, -2)).ravel()[start] for a in (span, span * span))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            gain = np.maximum(1 - m * m / looks / np.maximum(m2 - m * m, 1e-10), 0) / (1 + 1 / looks)
+        return mean + gain * (flat[:, start] - mean)
+
+    return _neighbourhoods(r, nmax, kernel, (64, 128))
+
+
+def idanq(r: Raster, looks: float = 1.0, nmax: int = 50, llmmse: bool = True, kind: str = "amplitude") -> Raster:
+    """The faster neighbourhood: regions grow on the span in whole rings, and all elements of a pixel are averaged over them.
+
+    Amplitudes and complex values are squared first and roots are taken at the end; matrices stay as they are. Rings
+    stop with the first that brings a region to nmax. The image's outermost pixels join no region and stay.
+    """
+    r, ny, nx = r.long(), r.ny, r.nx
+    n, root = (r.lshape[0] if len(r.lshape) == 2 else 0), len(r.lshape) < 2 and (r.complex or kind == "amplitude")
+    if len(r.lshape) < 2:
+        square = F.col("re") ** 2 + F.col("im") ** 2 if r.complex else F.col("re") ** 2 if root else F.abs("re")
+        r = r.with_df(r.df.select(*r.keys, "y", "x", square.alias("re")), complex=False)
+    limit = 2.0 / (3.0 * math.sqrt(looks))
+
+    def kernel(block, start, inside, width):
+        flat = block.reshape(len(block), -1)
+        span = np.abs(flat[[i * n + i for i in range(n)]].sum(0)) if n else flat.sum(0)
+        # The rim of the image: places inside with a neighbour outside.
+        grid = np.pad(inside.reshape(block.shape[1:]), 1)
+        inner = np.logical_and.reduce([grid[1 + dy : grid.shape[0] - 1 + dy, 1 + dx : grid.shape[1] - 1 + dx] for dy in (-1, 0, 1) for dx in (-1, 0, 1)]).ravel()
+        out = flat[:, start].copy()
+        here = np.flatnonzero(inner[start])
+        if not len(here):
+            return out
+        start = start[here]
+        seed = np.median(View(np.pad(span.reshape(block.shape[1:]), 1, "edge"), (3, 3)), axis=(-1, -2)).ravel()[start][None]
+        region, back = _grown(span[None], seed, start, inner, [dy * width + dx for dy, dx in STEPS_Q], limit, nmax, True)
+        seed = _mean_of(span[None], region)
+        far = np.abs(span[back] - seed[0][:, None]) / np.maximum(seed[0][:, None], 1e-10)
+        places = np.hstack([region, np.where((back >= 0) & (far < 3 * limit), back, -1)])
+        mean = _mean_of(flat, places)
+        if llmmse:
+            m, m2 = _mean_of(np.stack([span, span * span]), places)
+            s = np.maximum(m2 - m * m, 1e-10)
+            mean = mean + np.maximum((s - m * m / looks) / (1 + 1 / looks), 0) / s * (flat[:, start] - mean)
+        out[:, here] = mean
+        return out
+
+    return _back(_neighbourhoods(r, nmax, kernel, (64, 128)), "amplitude" if root else "intensity")
 
 
 def nlmeans(r: Raster, looks: float = 1.0, search: int = 12, patch: int = 5, strength: float = 1.0) -> tuple[Raster, Raster]:

@@ -532,6 +532,9 @@ def _sigma2_sql(looks: int = 2) -> str:
 
 register("w20_leesigma2", lambda s, d: ds.leesigma2(fx.fx2m_abs(s, d), looks=2), _sigma2_sql())
 register("w21_idan", lambda s, d: ds.idan(fx.fx2m_abs(s, d), 2.0), None)
+register("w21_idan_matrix", lambda s, d: ds.idan(cov3(s, d), 4.0, 20), None)
+register("w22_idanq", lambda s, d: ds.idanq(fx.fx2m_abs(s, d), 2.0), None)
+register("w22_idanq_matrix", lambda s, d: ds.idanq(cov3(s, d), 4.0, 20), None)
 _bl = f"with s as ({_pw}) select a.y, a.x, sum(b.re*exp(-(pow(b.y-a.y,2)+pow(b.x-a.x,2))/(25/4.6051::double)/2)*exp(-pow(a.re-b.re,2)*2/2))/sum(exp(-(pow(b.y-a.y,2)+pow(b.x-a.x,2))/(25/4.6051::double)/2)*exp(-pow(a.re-b.re,2)*2/2)) re from s a join s b on b.y between a.y-2 and a.y+2 and b.x between a.x-2 and a.x+2 group by 1,2"
 register("w23_bilateral", lambda s, d: ds.bilateral(fx.fx2m_abs(s, d), 5, 2.0), sel(f"with n as (select max(y) my, max(x) mx from ({_pw})) select y, x, case when y<2 or x<2 or y>my-2 or x>mx-2 then 0 else sqrt(re) end re from ({_bl}) cross join n", re="re"))
 register("w24_bilateral_matrix", lambda s, d: ds.bilateral_matrix(cov3(s, d), 1.5), None)

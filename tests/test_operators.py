@@ -250,7 +250,7 @@ def test_idan_follows_a_long_region(spark):
     """A road two pixels wide: from its end, a region of 50 pixels reaches 24 columns."""
     a = np.full((24, 80), 0.1)
     a[10:12, 20:76] = 10 + 0.05 * np.arange(20, 76)
-    out = ds.idan(from_numpy(spark, a), 9.0, 50, llmmse=False, kind="intensity").to_numpy()
+    out = ds.idan(from_numpy(spark, a), 9.0, 50, llmmse=False).to_numpy()
     assert np.isclose(out[10, 21], a[10, 20:45].mean())
 
 
@@ -289,13 +289,6 @@ def test_mathexpr_is_closed(spark):
             pt.to_sql(bad, {"A", "B"})
 
 
-def test_coregister_shift(spark):
-    a = np.kron(RNG.standard_normal((16, 16)), np.ones((4, 4)))
-    b = np.roll(a, (2, -3), (0, 1))
-    out = ge.coregister(from_numpy(spark, a), from_numpy(spark, b), patch=32, grid=3).to_numpy()
-    assert np.abs(out - a)[8:-8, 8:-8].mean() < 0.2 * np.abs(b - a)[8:-8, 8:-8].mean()
-
-
 def test_glcm_correlation_and_energy(spark):
     r = from_numpy(spark, np.kron(np.arange(16.0).reshape(4, 4), np.ones((3, 3))))
     for prop in ("energy", "ASM", "correlation"):
