@@ -485,8 +485,8 @@ def majority3(r: Raster) -> Raster:
     from ..windows import slide
 
     total = lambda line: F.sum("re").over(line.rowsBetween(-1, 1))
-    d = slide(r.df, r.keys, "x", r.nx, 0, 0, {"re": total})
-    d = slide(d, r.keys, "y", r.ny, 0, 0, {"re": total})
+    d = slide(r.df, r.keys, "x", r.nx, 0, 0, {"re": total}, reach=1)
+    d = slide(d, r.keys, "y", r.ny, 0, 0, {"re": total}, reach=1)
     return r.with_df(d.withColumn("re", (F.col("re") >= 5).cast("double")))
 
 

@@ -1,7 +1,8 @@
 """Moving windows by Catalyst: padding, box means, weighted sums and shifts, one axis at a time.
 
-A separable window costs one exchange per axis: rows of an image line meet in a window partition, padded
-by mirrored or wrapped copies of border pixels only. Lines are the unit of work, never the image.
+A separable window costs one exchange per axis: the pixels of a stretch of an image line meet in a window partition,
+padded by mirrored or wrapped copies of border pixels only. A line longer than ``CHUNK`` pixels is cut into stretches
+that hold copies of as many pixels of their neighbours as a window reaches, so no partition grows with the image.
 """
 
 from __future__ import annotations
@@ -26,14 +27,27 @@ def pad(df: DataFrame, axis: str, n: int, before: int, after: int, mode: str = "
     return df.withColumn(axis, F.explode(spots))
 
 
+CHUNK = 4096
+
+
 def _line(keys: list[str], axis: str) -> W:
     other = "x" if axis == "y" else "y"
     return W.partitionBy(*keys, other).orderBy(axis)
 
 
-def slide(df: DataFrame, keys: list[str], axis: str, n: int, before: int, after: int, columns: dict[str, callable], mode: str = "reflect") -> DataFrame:
-    """Add columns computed by f(line window) on the padded axis, and drop the padding."""
+def slide(df: DataFrame, keys: list[str], axis: str, n: int, before: int, after: int, columns: dict[str, callable], mode: str = "reflect", reach: int = 0) -> DataFrame:
+    """Add columns computed by f(line window) on the padded axis, and drop the padding.
+
+    ``reach`` is how far windows look beyond the padding.
+    """
     padded = pad(df, axis, n, before, after, mode)
+    if n > CHUNK:
+        # A pixel is read by the windows of pixels from ``after`` before it to ``before`` after it.
+        i = F.col(axis)
+        chunk = F.floor(i / CHUNK)
+        padded = padded.withColumn("_chunk", F.explode(F.sequence(F.floor((i - max(after, reach)) / CHUNK), F.floor((i + max(before, reach)) / CHUNK))))
+        out = padded.withColumns({name: f(_line([*keys, "_chunk"], axis)) for name, f in columns.items()})
+        return out.where((F.col("_chunk") == chunk) & (i >= 0) & (i < n)).drop("_chunk")
     line = _line(keys, axis)
     return padded.withColumns({name: f(line) for name, f in columns.items()}).where((F.col(axis) >= 0) & (F.col(axis) < n))
 

@@ -181,3 +181,15 @@ def test_coregister_finds_large_and_partial_shifts(spark):
         out = ge.coregister(from_numpy(spark, a), from_numpy(spark, b)).to_numpy()
         inner = slice(48, -48)
         assert np.abs(out[inner, inner] - a[inner, inner]).mean() < 0.01
+
+
+def test_stretches_of_long_lines_change_nothing(spark, monkeypatch):
+    from pixelweft import windows
+    from pixelweft.operators import filters as fl
+
+    a = RNG.standard_normal((23, 31))
+    ops = [lambda r: fl.boxcar(r, (5, 4)), lambda r: fl.gauss(r, (1.0, 2.0)), fl.sobel, fl.roa, lambda r: ds.carfilter(r, 2, "disk"), lambda r: sp.sva(r)]
+    whole = [f(from_numpy(spark, a)).to_numpy() for f in ops]
+    monkeypatch.setattr(windows, "CHUNK", 6)
+    for f, want in zip(ops, whole, strict=True):
+        assert np.allclose(f(from_numpy(spark, a)).to_numpy(), want)
