@@ -143,24 +143,29 @@ def _pseudo(b: np.ndarray) -> float:
 def goldstein_iter(phase: Raster, exp: float | None = None, bsx: int = 32, bsy: int = 32, prc: float = 0.5, tol: float = 0.1, smo: bool = False, force_coh: bool = False, force_coh2: bool = False, iterate: bool = True, win=(3, 1)) -> Raster:
     """Goldstein with an exponent from the patch's pseudo-coherence, repeated while that grows by the tolerance."""
 
+    smooth = win if smo else None
+
+    def fixed(patch):
+        """An exponent that isn't renewed, or None."""
+        if exp is not None:
+            return exp
+        if force_coh or force_coh2:
+            c = float(np.clip(np.abs(_box(np.exp(-1j * patch), (3, 3))), 0, 1).mean())
+            return 1 - (c if force_coh else c * c)
+        return None if iterate else 1 - _pseudo(patch)
+
     def kernel(blocks):
-        b = blocks[0]
-        pc, once = _pseudo(b), exp is not None or force_coh or force_coh2 or not iterate
-        alpha = 1 - pc if exp is None else exp
-        if exp is None and (force_coh or force_coh2):
-            c = float(np.clip(np.abs(_box(np.exp(-1j * b), (3, 3))), 0, 1).mean())
-            alpha = 1 - c if force_coh else 1 - c * c
-        kept, old = b, pc - 2 * tol
-        while pc - old >= tol:
-            b = _power(b, alpha, win if smo else None)
-            old = pc
-            if once:
-                kept = b
-                break
-            pc = _pseudo(b)
-            if pc >= old:
-                kept, alpha = b, 1 - pc
-        return kept
+        best = blocks[0]
+        alpha = fixed(best)
+        if alpha is not None:
+            return _power(best, alpha, smooth)
+        coherence, gain = _pseudo(best), tol
+        while gain >= tol:
+            new = _power(best, 1 - coherence, smooth)
+            gain = _pseudo(new) - coherence
+            if gain >= 0:
+                best, coherence = new, coherence + gain
+        return best
 
     step = (bsx // int(1 // prc), bsy // int(1 // prc))
     return _angle(overlap_add([phasor(phase)], (bsx, bsy), step, kernel))

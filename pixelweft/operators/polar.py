@@ -225,23 +225,33 @@ def _div(a: Column, b: Column) -> Column:
     return F.try_divide(a, b)
 
 
+def _two_mechanisms(d: DataFrame) -> tuple[DataFrame, Column, Column]:
+    """Even and odd powers of what the volume leaves: copolar powers a, b and their correlation cr + i ci.
+
+    The correlation is shortened to what a and b allow. Its sign tells which of the two has a known ratio of one
+    (Re > 0: odd, with ratio 1; else even, with ratio -1); the other's power and ratio follow. Where a or b
+    is not positive (``bad``) both are 0.
+    """
+    a, b = F.col("a"), F.col("b")
+    room, rho2 = a * b, F.col("cr") ** 2 + F.col("ci") ** 2
+    d = d.withColumn("bad", (a <= 0) | (b <= 0))
+    fit = F.when((rho2 > room) & ~F.col("bad"), F.sqrt(room / rho2)).otherwise(1.0)
+    d = d.withColumns({"cr": F.col("cr") * fit, "ci": F.col("ci") * fit})
+    cr, ci, odd_known = F.col("cr"), F.col("ci"), F.col("cr") >= 0
+    sign = F.when(odd_known, 1.0).otherwise(-1.0)
+    d = d.withColumn("f", _div(room - cr * cr - ci * ci, a + b + 2 * sign * cr))
+    d = d.withColumn("g", b - F.col("f"))
+    known, other = 2 * F.col("f"), F.col("g") * (1 + _div((F.col("f") + sign * cr) ** 2 + ci * ci, F.col("g") * F.col("g")))
+    of = lambda positive, negative: F.when(F.col("bad"), 0.0).when(odd_known, positive).otherwise(negative)
+    return d, of(known, other), of(other, known)
+
+
 def freemandurden(r: Raster) -> Raster:
     """Even, odd and volume powers by the three-component model."""
     r, span, hh, vv, hv, c = _powers(r)
-    d = r.df.select("y", "x", span.alias("span"), (hv * 3).alias("fv"), hh.alias("hh"), vv.alias("vv"), c[0].alias("cr"), c[1].alias("ci"))
-    d = d.select("y", "x", "span", "fv", (F.col("hh") - F.col("fv")).alias("a"), (F.col("vv") - F.col("fv")).alias("b"), (F.col("cr") - F.col("fv") / 3).alias("cr"), "ci")
-    bad = (F.col("a") <= 0) | (F.col("b") <= 0)
-    foo = F.col("cr") ** 2 + F.col("ci") ** 2
-    fit = F.when((foo > F.col("a") * F.col("b")) & ~bad, F.sqrt(F.col("a") * F.col("b") / foo)).otherwise(1.0)
-    d = d.withColumns({"bad": bad, "fit": fit}).withColumns({"cr": F.col("cr") * F.col("fit"), "ci": F.col("ci") * F.col("fit")})
-    a, b, cr, ci, pos = F.col("a"), F.col("b"), F.col("cr"), F.col("ci"), F.col("cr") >= 0
-    top = a * b - cr * cr - ci * ci
-    d = d.withColumn("f", F.when(pos, _div(top, a + b + 2 * cr)).otherwise(_div(top, a + b - 2 * cr)))
-    d = d.withColumn("g", b - F.col("f"))
-    f, g = F.col("f"), F.col("g")
-    ratio = F.when(pos, _div((f + cr) ** 2 + ci * ci, g * g)).otherwise(_div((f - cr) ** 2 + ci * ci, g * g))
-    even = F.when(F.col("bad"), 0.0).when(pos, 2 * f).otherwise(g * (1 + ratio))
-    odd = F.when(F.col("bad"), 0.0).when(pos, g * (1 + ratio)).otherwise(2 * f)
+    volume = hv * 3
+    d = r.df.select("y", "x", span.alias("span"), volume.alias("fv"), (hh - volume).alias("a"), (vv - volume).alias("b"), (c[0] - volume / 3).alias("cr"), c[1].alias("ci"))
+    d, even, odd = _two_mechanisms(d)
     vol = F.when(F.col("bad"), F.col("span")).otherwise(8 * F.col("fv") / 3)
     return _real(r.with_df(d), [_clip(x, F.col("span")) for x in (even, odd, vol)], CH_name=["even", "odd", "volume"])
 
@@ -255,23 +265,11 @@ def yamaguchi3(r: Raster, strict: bool = False) -> Raster:
     cr, ci = c if strict else (F.sqrt(cplx.abs2(c)), F.lit(0.0))
     d = r.df.select("y", "x", span.alias("span"), hh.alias("hh"), vv.alias("vv"), hv.alias("hv"), cr.alias("cr"), ci.alias("ci"))
     ratio = 10 * F.log10(_div(F.col("vv"), F.col("hh")))
-    low, high, mid = ratio < -2.0, ratio > 2.0, (ratio >= -2.0) & (ratio <= 2.0)
-    pick = lambda x, y, z: F.when(low, x).when(high, y).when(mid, z).otherwise(0.0)
+    pick = lambda x, y, z: F.when(ratio < -2.0, x).when(ratio > 2.0, y).when(ratio.between(-2.0, 2.0), z).otherwise(0.0)
     d = d.withColumn("fv", pick(15.0, 15.0, 16.0) / 4.0 * F.col("hv"))
     fv = F.col("fv")
     d = d.select("y", "x", "span", "fv", (F.col("hh") - pick(8 / 15, 3 / 15, 3 / 8) * fv).alias("a"), (F.col("vv") - pick(3 / 15, 8 / 15, 3 / 8) * fv).alias("b"), (F.col("cr") - pick(2 / 15, 2 / 15, 1 / 8) * fv).alias("cr"), "ci")
-    bad = (F.col("a") <= 0) | (F.col("b") <= 0)
-    foo = F.col("cr") ** 2 + F.col("ci") ** 2
-    fit = F.when((foo > F.col("a") * F.col("b")) & ~bad, F.sqrt(F.col("a") * F.col("b") / foo)).otherwise(1.0)
-    d = d.withColumns({"bad": bad, "fit": fit}).withColumns({"cr": F.col("cr") * F.col("fit"), "ci": F.col("ci") * F.col("fit")})
-    a, b, cr, ci, pos = F.col("a"), F.col("b"), F.col("cr"), F.col("ci"), F.col("cr") >= 0
-    top = a * b - cr * cr - ci * ci
-    d = d.withColumn("f", F.when(pos, _div(top, a + b + 2 * cr)).otherwise(_div(top, a + b - 2 * cr)))
-    d = d.withColumn("g", b - F.col("f"))
-    f, g = F.col("f"), F.col("g")
-    ratio2 = F.when(pos, _div((f + cr) ** 2 + ci * ci, g * g)).otherwise(_div((cr - f) ** 2 + ci * ci, g * g))
-    even = F.when(F.col("bad"), 0.0).when(pos, 2 * f).otherwise(g * (1 + ratio2))
-    odd = F.when(F.col("bad"), 0.0).when(pos, g * (1 + ratio2)).otherwise(2 * f)
+    d, even, odd = _two_mechanisms(d)
     vol = F.when(F.col("bad"), F.col("span")).otherwise(fv)
     return _real(r.with_df(d), [_clip(x, F.col("span")) for x in (even, odd, vol)], CH_name=["even", "odd", "volume"])
 

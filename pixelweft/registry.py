@@ -195,8 +195,8 @@ register("p17_block_det", lambda s, d: po.block_det(cov3(s, d)), sel(COV3, 12, r
 def _decomp_sql(first: str) -> str:
     step = f"select *, abs(r0) hh, abs(r4) vv, sqrt(r8*r8+i8*i8)/2.0::double hv, sqrt((r0+r4+r8)*(r0+r4+r8)+(i0+i4+i8)*(i0+i4+i8)) span from ({COV3})"
     step = first.format(step)
-    step = f"select *, (a<=0 or b<=0) bad, cr*cr+ci*ci foo from ({step})"
-    step = f"select *, case when foo > a*b and not bad then sqrt(a*b/foo) else 1.0::double end fit from ({step})"
+    step = f"select *, (a<=0 or b<=0) bad, cr*cr+ci*ci rho2 from ({step})"
+    step = f"select *, case when rho2 > a*b and not bad then sqrt(a*b/rho2) else 1.0::double end fit from ({step})"
     step = f"select y, x, span, vol, bad, a, b, cr*fit cr, ci*fit ci from ({step})"
     step = f"select *, case when cr>=0 then (a*b-cr*cr-ci*ci)/nullif(a+b+2*cr,0) else (a*b-cr*cr-ci*ci)/nullif(a+b-2*cr,0) end f from ({step})"
     step = f"select *, b-f g from ({step})"

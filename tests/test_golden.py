@@ -193,3 +193,29 @@ def test_stretches_of_long_lines_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(windows, "CHUNK", 6)
     for f, want in zip(ops, whole, strict=True):
         assert np.allclose(f(from_numpy(spark, a)).to_numpy(), want)
+
+
+def test_goldstein_of_one_patch(spark):
+    """One patch as large as the image: the spectrum times a power of its modulus, repeated while coherence grows."""
+    from pixelweft.operators import insar as ia
+
+    y, x = np.mgrid[:16, :16]
+    phase = np.angle(np.exp(1j * (0.7 * x + 0.2 * y + RNG.standard_normal((16, 16)))))
+
+    def power(z, alpha):
+        f = np.fft.fft2(z)
+        return np.fft.ifft2(f * np.abs(f) ** alpha)
+
+    pseudo = lambda z: abs(z.sum()) / np.abs(z).sum()
+    z = best = np.exp(1j * phase)
+    old, new = -1.0, pseudo(z)
+    while old < 0 or new - old >= 0.1:
+        z, old = power(z, 1 - new), new
+        new = pseudo(z)
+        if new >= old:
+            best = z
+    got = ia.goldstein_iter(from_numpy(spark, phase), bsx=16, bsy=16, tol=0.1).to_numpy()
+    assert np.allclose(np.exp(1j * got), best / np.abs(best), atol=1e-6)
+    got = ia.goldstein_iter(from_numpy(spark, phase), exp=0.4, bsx=16, bsy=16).to_numpy()
+    want = power(np.exp(1j * phase), 0.4)
+    assert np.allclose(np.exp(1j * got), want / np.abs(want), atol=1e-6)
