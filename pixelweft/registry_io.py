@@ -82,6 +82,20 @@ def _fsar(s: SparkSession, d: str) -> Raster:
     return fm.fsar(s, os.path.dirname(os.path.dirname(os.path.dirname(first))))[0]
 
 
+def _fsar_kz(s: SparkSession, d: str) -> Raster:
+    r, first = fx.fx3(s, d), _path(s, "INF", "INF-SR", "x")
+    for k, pol in enumerate(("hh", "vv", "hv", "vh")):
+        one = _channel(r, k)
+        fm.write_rat(one.with_df(one.df.drop("im"), complex=False), os.path.join(os.path.dirname(first), f"kz_2d_t01_L{pol}_t02.rat"))
+    return fm.fsar_kz(s, os.path.dirname(os.path.dirname(os.path.dirname(first))), "L", sym=True)
+
+
+def _fsar_mask(s: SparkSession, d: str) -> Raster:
+    path, r = _path(s, "RGI", "RGI-SR", "mask_t01_L.rat"), fx.fx5(s, d)
+    fm.write_rat(r.with_df(r.df.withColumn("re", (F.col("re") > 10).cast("double"))), path, "u1")
+    return fm.fsar_mask(s, os.path.dirname(os.path.dirname(os.path.dirname(path))), "L", crop=(8, 60, 4, 0))
+
+
 def _aux(name: str):
     """A companion product of two files, stacked in the order of their names."""
 
@@ -171,7 +185,9 @@ register("s2_k2_k8_catalog", _catalog, sel(f"select * from ({Q['fx3']}) where ch
 register("s3_esar", _esar, _cube)
 register("s4_esar_track", _esar_track, "select i::bigint i, " + ", ".join(f"({1000 * k}+i*0.5::double)::double {n}" for k, n in ((4, "ref_x"), (5, "ref_y"), (6, "ref_z"), (1, "real_x"), (2, "real_y"), (3, "real_z"), (0, "time"))) + " from range(1000) t(i)")
 register("s5_fsar", _fsar, sel(f"select (case ch when 0 then 0 when 2 then 1 when 3 then 2 else 3 end)::int ch, y, x, re, im from ({Q['fx3']})", keys="ch, y::bigint y, x::bigint x", re="re", im="im"))
-for _id, _name in (("s6", "slantdem_full"), ("s7", "offnadir"), ("s8", "pha_dem"), ("s9", "kz")):
+register("s9_fsar_kz", _fsar_kz, sel(f"select (case ch when 0 then 0 when 2 then 1 else 2 end)::int ch, y, x, re from ({Q['fx3']}) where ch < 3", keys="ch, y::bigint y, x::bigint x", re="re"))
+register("s5_fsar_mask", _fsar_mask, sel(f"select y-8 y, x-4 x, (re > 10)::int::double re from ({Q['fx5']}) where y between 8 and 59 and x >= 4", re="re"))
+for _id, _name in (("s6", "slantdem_full"), ("s7", "offnadir"), ("s8", "pha_dem")):
     register(f"{_id}_fsar_{_name}", _aux(_name), sel(_two, keys="ch, y::bigint y, x::bigint x", re="re"))
 register("s11_uavsar", _uavsar, sel(Q["fx2"], re="re", im="im"))
 register("s13_geotiff", _tiff, sel(Q["fx1"], re="re"))

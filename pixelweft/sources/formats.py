@@ -167,6 +167,32 @@ def fsar(spark: SparkSession, directory: str, product: str = "RGI-SLC", suffix:
     return out
 
 
+def fsar_kz(spark: SparkSession, directory: str, band: str, suffix: str = "", sym: bool = False, crop: tuple[int, int, int, int] = (0, 0, 0, 0)) -> Raster:
+    """Vertical wavenumbers of a band, polarisations stacked; of four, symmetrised ones (``sym``) leave VH out."""
+    folder = os.path.join(directory, "INF" + (f"_{suffix}" if suffix else ""), "INF-SR")
+    paths = [p for p in sorted(glob.glob(os.path.join(folder, "kz*.rat"))) if re.search(rf"_{band}[hv]{{2}}_", os.path.basename(p))]
+    if not paths:
+        raise FileNotFoundError(os.path.join(folder, f"kz*_{band}*.rat"))
+    pol = [re.search(r"_[A-Z]([hv]{2})_", os.path.basename(p))[1].upper() for p in paths]
+    if sym and len(paths) == 4:
+        paths, pol = zip(*[(p, q) for p, q in zip(paths, pol, strict=True) if q != "VH"], strict=True)
+    layouts = []
+    for k, path in enumerate(paths):
+        x, _, _ = read_rat_header(path)
+        x.first_channel, x.y0, x.y1, x.x0, x.x1 = k, crop[0], crop[1] or x.ny, crop[2], crop[3] or x.nx
+        layouts.append(x)
+    return load(spark, layouts, {"sensor": "DLR F-SAR", "band": band, "CH_pol": list(pol)})
+
+
+def fsar_mask(spark: SparkSession, directory: str, band: str, product: str = "RGI-SLC", crop: tuple[int, int, int, int] = (0, 0, 0, 0)) -> Raster:
+    """The mask that goes with a band's product."""
+    folder = product.split("-")[0]
+    path = sorted(glob.glob(os.path.join(directory, folder, f"{folder}-SR", f"mask*{band}*.rat")))[0]
+    x, _, _ = read_rat_header(path)
+    x.y0, x.y1, x.x0, x.x1 = crop[0], crop[1] or x.ny, crop[2], crop[3] or x.nx
+    return load(spark, [x], {"sensor": "DLR F-SAR", "band": band})
+
+
 def fsar_aux(spark: SparkSession, directory: str, pattern: str) -> Raster:
     """Single-channel companions: slantdem_full*, offnadir*, pha_dem*, kz*; several are stacked."""
     layouts = []
