@@ -1,5 +1,6 @@
 """Brute-force versions of the trained parts, hot groups, exact small sets, odd sizes of numbers, linear time."""
 
+import os
 import time
 
 import duckdb
@@ -175,6 +176,8 @@ def test_offsets_tile_and_characters_decode():
 
 @pytest.mark.parametrize("where", ["/root/testdata/sf0.01/embeddings.parquet", "/root/testdata/check_s/embeddings.parquet"])
 def test_recall_on_tables(spark, where):
+    if not os.path.exists(where):
+        pytest.skip("no such table here")
     df = spark.read.parquet(where)
     got = ann.search(df, df.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")).toPandas()
     t = df.where(embedding_dedup.usable()).select("vec_id", "embedding").toPandas().sort_values("vec_id")
