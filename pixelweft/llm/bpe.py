@@ -89,8 +89,9 @@ class ByteBpe:
 
     def offsets(self, ids: list[int], text: str) -> tuple[np.ndarray, np.ndarray]:
         """Start and end characters of the tokens; the parts of a split character all span that character."""
-        end = np.cumsum(self.length[ids]) if ids else np.zeros(0, np.int64)
-        begin = end - self.length[ids] if ids else end
+        size = self.length[ids] if ids else np.zeros(0, np.int64)
+        end = np.cumsum(size)
+        begin = end - size
         if text.isascii():
             return begin, end
         char = np.cumsum((np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8) & 0xC0) != 0x80) - 1
