@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, bpe, chat, embedding_dedup, langid, licenses, minhash, packing, pii, toxicity
+from . import alignment, ann, bpe, chat, collocations, embedding_dedup, exact_dedup, langid, licenses, minhash, packing, pii, toxicity
 from .common import read
 
 
@@ -52,7 +52,19 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(read(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_minhash_dedup, op3_embedding_dedup, op4_license_scan, op5_byte_bpe, op6_nearest_neighbours, op7_best_fit_packing, op8_pii, op9_chat_preferences, op10_language_id)}
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.link_statistics(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(read(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(read(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_minhash_dedup, op3_embedding_dedup, op4_license_scan, op5_byte_bpe, op6_nearest_neighbours, op7_best_fit_packing, op8_pii, op9_chat_preferences, op10_language_id, op11_token_alignment, op12_exact_dedup, op13_collocations)}
 
 #: Components of links (a, b) with the smallest id each node reaches, over nodes n.
 _COMPONENTS = """
@@ -134,4 +146,4 @@ select pair_id, part, pos, role, rendered, loss_mask,
 from r window w as (partition by pair_id, part order by pos)
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_minhash_dedup": _OP2, "op3_embedding_dedup": _OP3, "op4_license_scan": _license_sql(), "op9_chat_preferences": _OP9}
+ORACLE_SQL: dict[str, str] = {"op2_minhash_dedup": _OP2, "op3_embedding_dedup": _OP3, "op4_license_scan": _license_sql(), "op9_chat_preferences": _OP9, "op12_exact_dedup": exact_dedup.SQL, "op13_collocations": collocations.SQL}
