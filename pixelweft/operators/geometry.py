@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from ..functions.quantiles import quantiles
+from ..functions.quantiles import grouped_quantiles, quantiles
 from ..raster import Raster
 from ..tiles import map_tiles
 from .spectral import interpol_cubic, resample
@@ -93,18 +93,14 @@ def pyramid(r: Raster, mode: str = "amplitude") -> list[Raster]:
 
 
 def regionstat(r: Raster, window: tuple[int, int, int, int] | None = None, intensity: bool = False):
-    """A row per channel: npix, min, max, mean, median, std, enl."""
+    """A row per channel: npix, min, max, mean, median, std, enl; one plan for all channels, medians exact."""
     r = (crop(r, *window) if window else r).long()
     beta = F.try_divide(F.stddev_pop("re"), F.avg("re"))
     top = 1.0 if intensity else 0.5227
-    ch = F.col("ch") if r.keys else F.lit(0).alias("ch")
-    channels = range(r.channels) if r.keys else [0]
-    median = F.lit(None).cast("double")
-    for k in channels:  # few; each median by passes that count
-        one = quantiles(r.df.where(F.col("ch") == k) if r.keys else r.df, F.col("re"), [0.5])[0]
-        median = F.when(F.col("ch") == k, F.lit(one)).otherwise(median)
-    stats = r.df.groupBy(ch).agg(F.count(F.lit(1)).alias("npix"), F.min("re").alias("min"), F.max("re").alias("max"), F.avg("re").alias("mean"), F.stddev_pop("re").alias("std"), F.pow(F.try_divide(F.lit(top), beta), F.lit(2.0)).alias("enl"))
-    return stats.select("ch", "npix", "min", "max", "mean", median.alias("median"), "std", "enl")
+    df = r.df if r.keys else r.df.withColumn("ch", F.lit(0))
+    median = grouped_quantiles(df, ["ch"], F.col("re"), [0.5]).select("ch", F.col("q").alias("median"))
+    stats = df.groupBy("ch").agg(F.count(F.lit(1)).alias("npix"), F.min("re").alias("min"), F.max("re").alias("max"), F.avg("re").alias("mean"), F.stddev_pop("re").alias("std"), F.pow(F.try_divide(F.lit(top), beta), F.lit(2.0)).alias("enl"))
+    return stats.join(median, "ch", "left").select("ch", "npix", "min", "max", "mean", "median", "std", "enl")
 
 
 def flattenamp(r: Raster, order: int = 1, axis: str = "range") -> Raster:

@@ -11,10 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fixtures as fx
+from .operators import beltrami as be
 from .operators import despeckle as ds
 from .operators import filters as fl
 from .operators import geometry as ge
 from .operators import insar as ia
+from .operators import nlsar as nl
 from .operators import point as pt
 from .operators import polar as po
 from .operators import spectral as sp
@@ -389,6 +391,8 @@ register("a7_presum_phase", lambda s, d: ge.presum(fx.fx8(s, d), phase=True), se
 register("a7_decimate", lambda s, d: ge.presum(fx.fx1(s, d), decimate=True), sel(f"select y//4 y, x//4 x, re from ({Q['fx1']}) where y%4=0 and x%4=0", re="re"))
 register("k9_pyramid_level2", lambda s, d: ge.pyramid(fx.fx5(s, d))[2], sel(_blk.format("avg(re) re", *[Q["fx5"]] * 3), re="re"))
 register("a2_regionstat", lambda s, d: (lambda t: t.select("ch", "npix", *[(F.round(c, 6) + 0.0).alias(c) for c in ("min", "max", "mean", "median", "std", "enl")]))(ge.regionstat(fx.fx5(s, d))), f"select 0::int ch, count(*) npix, " + ", ".join(f"round(({e})::double, 6)+0.0::double \"{n}\"" for n, e in (("min", "min(re)"), ("max", "max(re)"), ("mean", "avg(re)"), ("median", "median(re)"), ("std", "stddev_pop(re)"), ("enl", "pow(0.5227::double/(stddev_pop(re)/avg(re)), 2)"))) + f" from ({Q['fx5']})")
+_stat = lambda t: t.select("ch", "npix", *[(F.round(c, 6) + 0.0).alias(c) for c in ("min", "max", "mean", "median", "std", "enl")])
+register("a2_regionstat_channels", lambda s, d: _stat(ge.regionstat(fx.fx3(s, d).with_df(fx.fx3(s, d).df.drop("im"), complex=False))), "select ch, count(*) npix, " + ", ".join(f"round(({e})::double, 6)+0.0::double \"{n}\"" for n, e in (("min", "min(re)"), ("max", "max(re)"), ("mean", "avg(re)"), ("median", "median(re)"), ("std", "stddev_pop(re)"), ("enl", "pow(0.5227::double/(stddev_pop(re)/avg(re)), 2)"))) + f" from ({Q['fx3']}) group by ch")
 register("a1_flattenamp", lambda s, d: ge.flattenamp(fx.fx5(s, d)), sel(f"with p as (select x, avg(re) v from ({Q['fx5']}) group by x), f as (select regr_slope(v, x) k, regr_intercept(v, x) b, avg(v) m from p) select y, x, re/((k*x+b)/m) re from ({Q['fx5']}) cross join f", re="re"))
 register("a8_histogram", lambda s, d: (lambda t: t.select("bin", (F.round("start", 6) + 0.0).alias("start"), "count"))(ge.histogram(fx.fx5(s, d), 20)), f"with v as (select sqrt(re) v from ({Q['fx5']})), q as (select quantile_cont(v, 0.01) a, quantile_cont(v, 0.99) b from v) select least(19, floor((v-a)/((b-a)/20)))::int bin, round(any_value(a)+least(19, floor((v-a)/((b-a)/20)))::int*any_value((b-a)/20), 6)+0.0::double \"start\", count(*) \"count\" from v cross join q where v between a and b group by least(19, floor((v-a)/((b-a)/20)))::int")
 register("sarcat_mosaic", lambda s, d: ge.mosaic([fx.fx5(s, d), pt.negate(fx.fx5(s, d))], 2), sel(f"select y, x, re from ({Q['fx5']}) union all select y, x+64, -re from ({Q['fx5']})", re="re"))
@@ -559,6 +563,17 @@ register("w25_srad_steps", lambda s, d: fl.srad(pt.amp2int(fx.fx2m_abs(s, d)), i
 register("w25_srad", lambda s, d: fl.srad(pt.amp2int(fx.fx2m_abs(s, d))), None)
 _em = f"with s as ({_pw}) select a.y, a.x, any_value(a.re) v, sum(b.re*4*a.re/pow(b.re,2)*exp(-2*a.re/b.re))/sum(4*a.re/pow(b.re,2)*exp(-2*a.re/b.re)) re from s a join s b on b.y between a.y-2 and a.y+2 and b.x between a.x-2 and a.x+2 group by 1,2"
 register("w26_emdes", lambda s, d: ds.emdes(fx.fx2m_abs(s, d), (5, 5)), sel(f"with n as (select max(y) my, max(x) mx from ({_pw})) select y, x, case when y<2 or x<2 or y>my-2 or x>mx-2 then sqrt(v) else sqrt(re) end re from ({_em}) cross join n", re="re"))
+_beta_sql = f"""with p as (select y*8+x i, r0, r4, r8 from ({COV3})), n as (select count(*) n from p)
+select round(median(d), 6) beta, count(*) pairs from (
+  select sqrt(pow(ln(a.r0)-ln(b.r0), 2) + pow(ln(a.r4)-ln(b.r4), 2) + pow(ln(a.r8)-ln(b.r8), 2)) d
+  from p a cross join n join p b on b.i = (a.i + n//2) % n) where isfinite(d)"""
+register("a9_beta", lambda s, d: be.beta_statistic(cov3(s, d), "dg").select(F.round("beta", 6).alias("beta"), "pairs"), _beta_sql)
+register("a9_beta_scattered", lambda s, d: (lambda c: be.beta_statistic(c, "ai", be.scattered_multiplier(c.ny * c.nx)))(cov3(s, d)).select(F.round("beta", 6).alias("beta"), "pairs"), None)
+register("a9_enl", lambda s, d: be.equivalent_looks(cov3(s, d)).select(F.round("enl", 6).alias("enl")), f"select round(avg(e), 6) enl from (select unnest([{', '.join(f'pow(avg(r{k}), 2)/var_pop(r{k})' for k in (0, 4, 8))}]) e from ({COV3}))")
+register("w27_mcb", lambda s, d: be.mcb(cov3(s, d), 4)[0], None)
+register("w27_mcb_vector", lambda s, d: be.mcb(fx.fx3_pix(s, d, 3))[0], None)
+register("w28_nlsar", lambda s, d: nl.nlsar(cov3(s, d), 4.0, search=4, patch=3)[0], None)
+register("w28_nlsar_looks", lambda s, d: nl.nlsar(cov3(s, d), 4.0, search=4, patch=3)[1], None)
 register("w28_nlmeans", lambda s, d: ds.nlmeans(fx.fx2m_abs(s, d))[0], None)
 register("w29_boxcar_periodic", lambda s, d: ds.carfilter(fx.fx5(s, d), 2, "box"), sel(near(Q["fx5"], 5, 5, {"re": "avg(b.re)"}, wrap=True), re="re"))
 register("w29_diskcar_periodic", lambda s, d: ds.carfilter(fx.fx5(s, d), 2, "disk"), sel(near(Q["fx5"], 5, 5, {"re": "avg(b.re) filter (where dy*dy+dx*dx <= 6.25)"}, wrap=True), re="re"))
