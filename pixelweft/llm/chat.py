@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import running
+from .common import running, table
 
 START, END = "<|im_start|>", "<|im_end|>\n"
 
@@ -28,7 +28,8 @@ def positions(turns: DataFrame, span: int = 512) -> DataFrame:
     """(conv_id, pos, role, text): distinct turns numbered from 0 within their conversation."""
     rows = turns.where("conv_id is not null and turn is not null")
     rows = rows.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).distinct()
-    return running(rows, ["conv_id"], F.floor(F.col("turn") / span), ["turn", "role", "text"], "pos", F.lit(1))
+    # Written once: the running sum reads its rows twice.
+    return running(table(rows), ["conv_id"], F.floor(F.col("turn") / span), ["turn", "role", "text"], "pos", F.lit(1))
 
 
 def preference(turns: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -38,22 +39,22 @@ def preference(turns: DataFrame, pairs: DataFrame) -> DataFrame:
     characters within the part.
     """
     sides = pairs.select("pair_id", F.explode(F.array(F.struct(F.lit("chosen").alias("side"), F.col("chosen").alias("conv_id")), F.struct(F.lit("rejected").alias("side"), F.col("rejected").alias("conv_id")))).alias("s")).select("pair_id", "s.side", "s.conv_id")
-    rows = positions(turns).join(sides, "conv_id").select("pair_id", "side", "pos", "role", "text")
+    rows = table(positions(turns).join(sides, "conv_id").select("pair_id", "side", "pos", "role", "text"))
     turn = F.struct("role", "text")
     met = rows.groupBy("pair_id", "pos").agg(F.count(F.lit(1)).alias("n"), F.min(turn).alias("a"), F.max(turn).alias("b"))
     split = met.groupBy("pair_id").agg(F.min(F.when((F.col("n") < 2) | (F.col("a") != F.col("b")), F.col("pos"))).alias("common"))
     rows = rows.join(split, "pair_id").where((F.col("side") == "chosen") | (F.col("pos") >= F.col("common")))
     shared = F.col("common").isNull() | (F.col("pos") < F.col("common"))
     rows = rows.select("pair_id", F.when(shared, "prompt").otherwise(F.col("side")).alias("part"), "pos", "role", rendered(F.col("role"), F.col("text")).alias("rendered"), (~shared & (F.col("role") == "assistant")).cast("int").alias("loss_mask"))
-    rows = running(rows, ["pair_id", "part"], F.floor(F.col("pos") / 512), ["pos"], "start", F.length("rendered"))
+    rows = running(table(rows), ["pair_id", "part"], F.floor(F.col("pos") / 512), ["pos"], "start", F.length("rendered"))
     return rows.select("pair_id", "part", "pos", "role", "rendered", "loss_mask", "start", (F.col("start") + F.length("rendered")).alias("end"))
 
 
 def neighbours(turns: DataFrame) -> DataFrame:
     """Pairs of conversations 2p (chosen) and 2p + 1 (rejected): the table names no preferences."""
     ids = turns.where("conv_id is not null").select("conv_id").distinct()
-    p = F.floor(F.col("conv_id") / 2).cast("long")
-    return ids.groupBy(p.alias("pair_id")).agg(F.lit(1).alias("one")).select("pair_id", (F.col("pair_id") * 2).alias("chosen"), (F.col("pair_id") * 2 + 1).alias("rejected"))
+    p = F.shiftright(F.col("conv_id").cast("long"), 1)  # whole numbers throughout: ids may pass 2 ** 53
+    return ids.select(p.alias("pair_id")).distinct().select("pair_id", (F.col("pair_id") * 2).alias("chosen"), (F.col("pair_id") * 2 + 1).alias("rejected"))
 
 
 def assembled(rows: DataFrame) -> DataFrame:

@@ -101,6 +101,7 @@ def _seats(rows: DataFrame, centres: dict[int, np.ndarray], sin: float) -> DataF
 
     A cell without centres stays whole. A part's number is unique among all cells'.
     """
+    kind = rows.schema["label"].dataType.simpleString()  # labels of any type are only compared
     gaps = {k: np.linalg.norm(c[:, None] - c[None], axis=2) + np.eye(len(c)) for k, c in centres.items()}
     stride = max(map(len, centres.values()), default=1)
 
@@ -122,7 +123,7 @@ def _seats(rows: DataFrame, centres: dict[int, np.ndarray], sin: float) -> DataF
                 at = pa.array(row)
                 yield pa.RecordBatch.from_arrays([part.column(k).take(at) for k in range(4)] + [pa.array((cell * stride + to).astype(np.int32)), pa.array((home[row] == to) & lives[mine][row])], names)
 
-    return rows.mapInArrow(assign, "label int, x array<double>, node long, copies long, cell int, resident boolean")
+    return rows.mapInArrow(assign, f"label {kind}, x array<double>, node long, copies long, cell int, resident boolean")
 
 
 def _links(nodes: DataFrame, cosine: float, sample: int, cell: int, residents: int, others: int, top: int, most: int, used: list[DataFrame]) -> DataFrame:

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import Memo, held_out, sample_ids, small_batches, trimmed, word_ngrams
+from .common import Memo, held_out, sample_ids, small_batches, table, trimmed, word_ngrams
 
 SIZES = (1, 2, 3)
 BITS = 15
@@ -113,10 +113,15 @@ def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
     return int(n[f < 0].sum()), df
 
 
-def _sample(known: DataFrame, sample: int) -> DataFrame:
+def most_frequent(known: DataFrame, most: int) -> DataFrame:
+    """(lang, n): the ``most`` languages with most distinct documents, of equals the first by name."""
+    counts = known.select("doc_id", "lang").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    return table(counts.orderBy(F.desc("n"), "lang").limit(most))
+
+
+def _sample(known: DataFrame, sample: int, counts: DataFrame) -> DataFrame:
     """Ids of a sample of the documents, and of one of each language's: by the same hash, so most of them agree."""
     pairs = known.select("doc_id", "lang").distinct()
-    counts = pairs.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     each = max(50, sample // max(10, counts.count()))
     # A hash under a bound that four times as many pass at a mean leaves few rows of a language to rank.
     order = F.xxhash64(F.col("doc_id"), F.lit(101))
@@ -126,18 +131,22 @@ def _sample(known: DataFrame, sample: int) -> DataFrame:
     return sample_ids(known, "doc_id", sample, 101).union(own).distinct()
 
 
-def fit(docs: DataFrame, sample: int = 3000, epochs: int = 2, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.1, scale: float = 20.0) -> LangModel:
+def fit(docs: DataFrame, sample: int = 3000, epochs: int = 2, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.1, scale: float = 20.0, most: int = 256) -> LangModel:
     """Learn from labelled training-fold documents, chosen by a hash of their ids: ``sample`` of all, and for
-    each language at least a tenth of that (with more than ten languages an equal part, but 50), or all it has."""
+    each language at least a tenth of that (with more than ten languages an equal part, but 50), or all it has.
+    Of labels with a very long tail the ``most`` frequent languages are learnt; the bound holds for the memory of the
+    weights and for what is collected and broadcast."""
     fold = docs.where(~held_out(F.col("doc_id")) & F.col("text").isNotNull())
     known = fold.where(F.col("lang").isNotNull())
+    counts = most_frequent(known, most)
+    known = known.join(F.broadcast(counts.select("lang")), "lang", "left_semi")
 
     def tally(batches):
         for batch in batches:
             rows = [_counts(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([f for f, _ in rows], pa.list_(pa.int32())), pa.array([c for _, c in rows], pa.list_(pa.int64()))], ["doc_id", "lang", "f", "c"])
 
-    rows = known.select("doc_id", "text", "lang").join(F.broadcast(_sample(known, sample)), "doc_id", "left_semi")
+    rows = known.select("doc_id", "text", "lang").join(F.broadcast(_sample(known, sample, counts)), "doc_id", "left_semi")
     got = rows.mapInArrow(tally, "doc_id long, lang string, f array<int>, c array<long>").toArrow()
     lists = []
     for name in ("f", "c"):  # arrays, as Python's lists of a sample of many languages would be large

@@ -225,6 +225,7 @@ def keep(docs: DataFrame, **options) -> DataFrame:
 
     A repeated row (same id and text) stays once; rows without an id stay.
     """
-    kept = near_duplicates(docs, **options).where("kept and doc_id is not null").select(F.col("doc_id").alias("kept_id")).distinct()
-    stay = docs.join(kept, F.col("doc_id") == F.col("kept_id"), "left_semi")
+    kept = near_duplicates(docs, **options).where("kept and doc_id is not null").select("doc_id").distinct().alias("kept")
+    own = docs.alias("own")
+    stay = own.join(kept, F.col("own.doc_id") == F.col("kept.doc_id"), "left_semi")
     return stay.dropDuplicates(["doc_id", "text"]).union(docs.where("doc_id is null"))

@@ -172,12 +172,18 @@ def _shapes(s: str, digits: int) -> list[bool]:
     """Which types a segment with so many digits could be; what its digits rule out is not matched."""
     return [
         ("@" in s or "at" in s.lower()) and SHAPES[0].fullmatch(s) is not None,
-        4 <= digits <= 12 and SHAPES[1].fullmatch(s) is not None,
+        4 <= digits <= 12 and SHAPES[1].fullmatch(s) is not None and all(int(x) <= 255 for x in s.split(".")),
         13 <= digits <= 19 and SHAPES[2].fullmatch(s) is not None and luhn(_not_digit.sub("", s)),
         7 <= digits <= 15 and SHAPES[3].fullmatch(s) is not None,
     ]
 
 
+def _inside_number(text: str, start: int, end: int) -> bool:
+    """Whether digits go on behind a hyphen on either side: a part of a longer number (an ISBN, an account) is no span."""
+    before = start >= 2 and text[start - 1] == "-" and text[start - 2].isdigit()
+    return before or (end + 1 < len(text) and text[end] == "-" and text[end + 1].isdigit())
+
+
 def _segments(tokens: Tokens, first: int = 0, last: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(end, length, feature) and the allowed (end, length, label) of the segments that end with tokens first .. last - 1;
     a length that reaches over the start is left at 0."""
@@ -188,6 +194,8 @@ def _segments(tokens: Tokens, first: int = 0, last: int | None = None) -> tuple[
         end, digits = tokens.end[e - 1], tokens.digits[e]
         for k in range(1, min(LONGEST, e) + 1):
             found = _shapes(tokens.text[tokens.start[e - k] : end], digits - tokens.digits[e - k])
+            if (found[1] or found[3]) and _inside_number(tokens.text, tokens.start[e - k], end):
+                found[1] = found[3] = False
             may[e - 1 - first, k - 1, 1:] = found
             if k == 1 or any(found):
                 out[e - 1 - first, k - 1] = _features(tokens, e - k, e)

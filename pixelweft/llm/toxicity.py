@@ -125,11 +125,19 @@ class _Sample:
 
 
 def log_ratios(sample: _Sample, pos: np.ndarray, unl: np.ndarray) -> np.ndarray:
-    """The significant log ratios of each feature's share of the positive and of the unlabelled documents."""
+    """The significant log ratios of each feature's share of the positive and of the unlabelled documents.
+
+    Over three deviations; where so few documents are known that none is above 0 then, over fewer: with no positive weight no
+    document would have a gradient, and nothing could be learnt.
+    """
     p, u = sample.presence(pos), sample.presence(unl)
     p, u = (p + 0.5) / (len(pos) + 1), (u + 0.5) / (len(unl) + 1)
     z = (p - u) / np.sqrt(u * (1 - u) / len(pos) + p * (1 - p) / len(pos))
-    return np.where(np.abs(z) > 3, np.log(p / u), 0.0)
+    for deviations in (3, 2, 1, 0):
+        w = np.where(np.abs(z) > deviations, np.log(p / u), 0.0)
+        if (w > 0).any():
+            break
+    return w
 
 
 def share_above(s: np.ndarray, pos: np.ndarray, unl: np.ndarray) -> float:
