@@ -44,7 +44,8 @@ def frequent(rows: DataFrame, few: int = FEW, counters: int = COUNTERS, fan: int
         raise ValueError("too few counters for the share")
     dealt = rows.select("text_sha256", (F.spark_partition_id() % fan).alias("part"))
     parts = dealt.groupBy("part").agg(F.expr(f"approx_top_k_accumulate(text_sha256, {counters})").alias("sketch"))
-    whole = parts.agg(F.expr(f"approx_top_k_combine(sketch, {counters})").alias("sketch"))
+    # All parts have the key 0; with a key tasks without rows make no sketch, which could not be merged.
+    whole = parts.groupBy(F.expr(f"part div {fan}").alias("all")).agg(F.expr(f"approx_top_k_combine(sketch, {counters})").alias("sketch"))
     return whole.select(F.explode(F.expr(f"approx_top_k_estimate(sketch, {2 * few})")).alias("f")).select(F.col("f.item").alias("text_sha256"))
 
 
