@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,3 +35,33 @@ def cut(df: DataFrame) -> DataFrame:
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="pixelweft-"))
     return df.checkpoint()
+
+
+_tables: dict[str, SparkSession] = {}
+
+
+def bucketed(df: DataFrame, n: int, *keys: str) -> DataFrame:
+    """df written to a table of n buckets by keys in the shared folder: scans of it have that partitioning, joins by the keys
+    move only the other side. The table goes with the process, or by ``drop``."""
+    spark = df.sparkSession
+    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + shared_folder(spark)
+    name = f"pixelweft_{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{name}"
+    df.write.format("parquet").option("path", path).option("compression", "zstd").bucketBy(n, *keys).saveAsTable(name)
+    if not _tables:
+        atexit.register(drop)
+    _tables[name] = spark
+    return spark.table(name)
+
+
+def drop(*names: str) -> None:
+    """Drop bucketed tables and their files; all of this process without names."""
+    for name in names or tuple(_tables):
+        spark = _tables.pop(name, None)
+        try:
+            path = spark.sql(f"describe formatted {name}").where("col_name = 'Location'").first()[1]
+            spark.sql(f"drop table if exists {name}")
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        except Exception:  # noqa: BLE001, S112  the session may be gone at exit
+            continue

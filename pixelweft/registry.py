@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import blocks as bl
 from . import fixtures as fx
 from .operators import beltrami as be
 from .operators import despeckle as ds
@@ -517,6 +518,9 @@ _pw = f"select y, x, re*re re from ({AMP2M})"
 _lst = f"with s as ({_pw}), n as (select max(y)+1 ny, max(x)+1 nx from s)"
 _d2 = "1.0::double"
 _ls = f"{_lst} select a.y, a.x, any_value(a.re) v, count(*) filter (where b.re > a.re*0.0::double and b.re < a.re*2.0::double) n, sum(b.re) filter (where b.re > a.re*0.0::double and b.re < a.re*2.0::double) t, sum(b.re) filter (where abs(b.y-a.y)+abs(b.x-a.x)=1)/4 f from s a cross join n join s b on b.y between a.y-3 and a.y+3 and b.x between a.x-3 and a.x+3 group by 1,2"
+register("w1_boxcar_blocks", lambda s, d: bl.box_mean(bl.blocked(fx.fx1(s, d), (64, 32))).pixels(), ORACLE_SQL["w1_boxcar"])
+register("w4_median_blocks", lambda s, d: bl.median(bl.blocked(fx.fx1(s, d), (64, 32)), (3, 3)).pixels(), ORACLE_SQL["w4_median"])
+register("w16_lee_blocks", lambda s, d: bl.lee(bl.blocked(fx.fx2m(s, d), (64, 32)), looks=4).pixels(), ORACLE_SQL["w16_lee"])
 register("w19_leesigma", lambda s, d: ds.leesigma(fx.fx2m_abs(s, d), looks=4), sel(f"with n as (select max(y) my, max(x) mx from ({_pw})) select y, x, case when y<3 or x<3 or y>my-3 or x>mx-3 then sqrt(v) when n>=6 then sqrt(t/n) else sqrt(f) end re from ({_ls}) cross join n", re="re"))
 
 
