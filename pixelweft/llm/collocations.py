@@ -5,10 +5,10 @@ the end of the piece. Windows are counted by language; a phrase of k words occur
 together that begin with it, so Spark's ROLLUP over (lang, w1, .., w5) gives every phrase of 1 to 5 words and, with
 no word left, the number of all words.
 
-Most windows are unlike any other, and a phrase under ``least`` occurrences is in no result. So a first pass counts
-words and pairs of words in hashed buckets, and windows are padded from the first word or pair on whose bucket is
-under ``least``: no phrase that goes on from there can reach it, a count that reaches it is not changed. The
-bitmap of the buckets has ``2 ** bits`` bits whatever the input (16 MB by default), and a bucket shared by chance only
+Most windows are unlike any other, and a phrase under ``least`` occurrences is in no result. So two passes count
+words and pairs, then triples of words in hashed buckets, and windows are padded from the first of these on whose bucket
+is under ``least``: no phrase that goes on from there can reach it, a count that reaches it is not changed. A
+bitmap of buckets has ``2 ** bits`` bits whatever the input (16 MB by default), and a bucket shared by chance only
 leaves a window longer than need be. With more words than some 40 a bucket (5e9 for the default) fewer windows
 are cut and more rows are shuffled, with the same result; more bits help.
 
@@ -69,19 +69,21 @@ def _mixed(h: np.ndarray, bits: int) -> np.ndarray:
     return ((h ^ (h >> np.uint64(29))) >> np.uint64(64 - bits)).astype(np.int64)
 
 
-def buckets(lang: bytes, at: np.ndarray, words: pa.Array, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket of each word of the dictionary, and of each neighbouring pair in the text (-1 across an end)."""
+def hashes(lang: bytes, words: pa.Array) -> np.ndarray:
     import xxhash
 
     seed = xxhash.xxh32_intdigest(lang)
-    h = np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in words.to_pylist()), np.uint64, len(words))
-    single = _mixed(h, bits)
-    if not len(at):
-        return single, np.zeros(0, np.int64)
-    whole = h[at]
-    pair = _mixed(whole[:-1] * np.uint64(0x9E3779B97F4A7C15) + whole[1:], bits)
-    pair[(at[:-1] < 0) | (at[1:] < 0)] = -1
-    return single, pair
+    return np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in words.to_pylist()), np.uint64, len(words))
+
+
+def buckets(at: np.ndarray, h: np.ndarray, k: int, bits: int) -> np.ndarray:
+    """Bucket of the k words from each place on, -1 across an end; h are the hashes of the dictionary's words."""
+    n = max(0, len(at) - k + 1)
+    whole, inside, out = h[at] if len(at) else h[:0], np.ones(n, bool), np.zeros(n, np.uint64)
+    for j in range(k):
+        out = out * np.uint64(0x9E3779B97F4A7C15) + whole[j : j + n]
+        inside &= at[j : j + n] >= 0
+    return np.where(inside, _mixed(out, bits), -1)
 
 
 def runs(batches, most: int = 2_000_000) -> Iterator[tuple[str, list[bytes]]]:
@@ -108,26 +110,47 @@ def runs(batches, most: int = 2_000_000) -> Iterator[tuple[str, list[bytes]]]:
     yield from held.items()
 
 
-def seen_often(docs: DataFrame, least: int = LEAST, bits: int = BITS) -> np.ndarray:
-    """The bitmap of buckets that at least ``least`` words or pairs fall into."""
+def _marked(counted: DataFrame, least: int, bits: int) -> np.ndarray:
+    """The bitmap of the buckets b with at least ``least`` in all of n: 2 ** bits bits, whatever was counted."""
+    often = counted.groupBy("b").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    maps = often.groupBy(F.expr("bitmap_bucket_number(b)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(b))").alias("m"))
+    # Bitmap k (from 1, and one for bucket 0) holds 32,768 buckets.
+    out = np.zeros(max(1, 2 ** (bits - 3)) + 8192, np.uint8)
+    for k, m in maps.collect():
+        start = k * 4096
+        out[start : start + len(m)] |= np.frombuffer(bytes(m), np.uint8)
+    return out
+
+
+def seen_often(docs: DataFrame, least: int = LEAST, bits: int = BITS) -> list[np.ndarray]:
+    """Bitmaps of buckets that hold at least ``least``: of words and pairs, and of triples whose pairs both do.
 
-    def run(batches):
+    Only counts of buckets are compared with ``least``, so what a bucket holds besides leaves a phrase in, never out.
+    """
+
+    def first(batches):
         for lang, texts in runs(batches):
             at, words = cut(texts)
-            single, pair = buckets(lang.encode(), at, words, bits)
+            h = hashes(lang.encode(), words)
+            single, pair = _mixed(h, bits), buckets(at, h, 2, bits)
             n = np.bincount(at[at >= 0], minlength=len(words))
-            # A bucket's count is only compared with ``least``: rows of words and of pairs add up there.
             keys, times = np.unique(pair[pair >= 0], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([single, keys])), pa.array(np.concatenate([n, times]))], ["b", "n"])
 
-    counted = docs.select("lang", "text").mapInArrow(trimmed(run), "b long, n long").groupBy("b").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-    maps = counted.groupBy(F.expr("bitmap_bucket_number(b)").alias("k")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(b))").alias("m"))
-    # Bitmap k (from 1, and one for bucket 0) holds 32,768 buckets; all together are 2 ** bits bits.
-    out = np.zeros(max(1, 2 ** (bits - 3)) + 8192, np.uint8)
-    for k, m in maps.collect():
-        start = k * 4096
-        out[start : start + len(m)] |= np.frombuffer(bytes(m), np.uint8)
-    return out
+    pairs = _marked(docs.select("lang", "text").mapInArrow(trimmed(first), "b long, n long"), least, bits)
+    shared = docs.sparkSession.sparkContext.broadcast(pairs)
+
+    def second(batches):
+        often = shared.value
+        for lang, texts in runs(batches):
+            at, words = cut(texts)
+            h = hashes(lang.encode(), words)
+            on = is_set(often, buckets(at, h, 2, bits))
+            triple = buckets(at, h, 3, bits)
+            keys, times = np.unique(triple[on[: len(triple)] & on[1 : 1 + len(triple)]], return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(times)], ["b", "n"])
+
+    return [pairs, _marked(docs.select("lang", "text").mapInArrow(trimmed(second), "b long, n long"), least, bits)]
 
 
 def is_set(bitmap: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -138,26 +161,32 @@ def is_set(bitmap: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (b >= 0) & ((bitmap[k * 4096 + bit // 8] >> (bit % 8).astype(np.uint8)) & 1).astype(bool)
 
 
-def windows(docs: DataFrame, bitmap: np.ndarray, bits: int = BITS) -> DataFrame:
+def windows(docs: DataFrame, bitmaps: list[np.ndarray], bits: int = BITS) -> DataFrame:
     """(lang, w1, .., w5, n): counted longest windows, padded with null from where no phrase can be frequent."""
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+    shared = docs.sparkSession.sparkContext.broadcast(bitmaps)
 
     def run(batches):
-        often = shared.value
+        pairs, triples = shared.value
         for lang, texts in runs(batches):
             at, words = cut(texts)
-            single, pair = buckets(lang.encode(), at, words, bits)
-            word_on = np.append(is_set(often, single), False)[at] if len(at) else np.zeros(0, bool)
-            goes_on = np.zeros(len(at) + ORDER, bool)
-            goes_on[: len(pair)] = is_set(often, pair)
-            goes_on[: len(at)] &= word_on
+            if not len(at):
+                continue
+            h = hashes(lang.encode(), words)
+            word_on = np.append(is_set(pairs, _mixed(h, bits)), False)[at]
+            # The k-th word belongs to the window if the two (the three) words up to it can be frequent.
+            on = np.zeros((2, len(at) + ORDER), bool)
+            for row, bitmap, k in ((on[0], pairs, 2), (on[1], triples, 3)):
+                b = buckets(at, h, k, bits)
+                row[: len(b)] = is_set(bitmap, b)
+            on[0, : len(at) - 1] &= word_on[:-1] & word_on[1:]
             lead = np.full((ORDER, len(at)), -1, np.int64)
             lead[0] = np.where(word_on, at, -1)
             still = np.ones(len(at), bool)
             ahead = np.concatenate([at, np.full(ORDER, -1)])
             for k in range(1, ORDER):
-                still &= goes_on[k - 1 : k - 1 + len(at)]
-                still &= np.append(word_on, np.zeros(ORDER, bool))[k : k + len(at)]
+                still &= on[0, k - 1 : k - 1 + len(at)]
+                if k > 1:
+                    still &= on[1, k - 2 : k - 2 + len(at)]
                 lead[k] = np.where(still, ahead[k : k + len(at)], -1)
             lead = lead[:, at >= 0]
             if not lead.shape[1]:
