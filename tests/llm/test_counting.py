@@ -15,7 +15,7 @@ from pixelweft.llm import alignment, collocations, exact_dedup
 from .test_llm import DOCS, none, odd
 
 A, B = tok.path("byte_bpe_50k.json"), tok.path("piece_bpe_32k.model")
-TRICKY = ["a", " ", "  ", "a  b   c ", "x▁y", "line\n\nnext\tline \n z", "é 中文 😀 x", "<s> <|endoftext|> </s>", "a\x00b\x1c", "don't  stop'll", "1234567 89", " nb sp", "ﬁ ½ ①", "﻿bom", "‮right", "word " * 400, "q" * 3000]
+TRICKY = ["a", " ", "  ", "a  b   c ", "x▁y", "line\n\nnext\tline \n z", "é 中文 😀 x", "<s> <|endoftext|> </s>", "a\x00b\x1c", "don't  stop'll", "1234567 89", " nb sp", "ﬁ ½ ①", "﻿bom", "‮right", "word " * 400, "q" * 3000, "a;\r\nb }\r\n  c()\r x", "\r", "end;\r"]
 
 
 def frame(spark, rows):
@@ -86,7 +86,7 @@ def test_alignment_equals_whole_text_encoding(spark):
     real = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang").collect()
     rows = [(r.doc_id, r.text, r.lang) for r in real][:120] + [(10**6 + i, t, "x") for i, t in enumerate([*TRICKY, None, ""])]
     rng = np.random.default_rng(3)
-    letters = list("ab é\n ▁\t'.,1中😀")
+    letters = list("ab é\n ▁\t'.,1中😀\r;")
     rows += [(2 * 10**6 + k, "".join(rng.choice(letters, rng.integers(1, 40))), "x") for k in range(200)]
     got = alignment.link_statistics(frame(spark, rows), A, B).collect()
     want = dict(zip([r[0] for r in rows], slow_alignment([r[1] for r in rows]), strict=True))
@@ -111,11 +111,40 @@ def test_pieces_of_the_merge(work):
 
 def test_a_long_text_in_many_pieces():
     va, vb = alignment.load(alignment.byte_level, A), alignment.load(alignment.piece_level, B)
-    texts = ["short one", "the quick brown fox! " * 2000, None, "x"]
-    whole, cut = alignment.Run(va, vb, texts), alignment.Run(va, vb, texts, work=100)
-    marks = alignment.marks_of(va.size, vb.size)
-    assert cut.digests(marks, va.size) == whole.digests(marks, va.size) and cut.n_groups.tolist() == whole.n_groups.tolist()
-    assert [x[3] for x in slow_alignment(texts)] == cut.n_links.tolist()
+    texts = ["short one", "the quick brown fox! " * 2000, None, "x", "thequickbrownfox" * 500]
+    want = slow_alignment(texts)
+    for work in (alignment.WORK, 100):
+        aligner = alignment.Aligner(va, vb, work)
+        for _ in range(2):  # the second time from the memo
+            counts, digests, *_ = aligner(texts)
+            assert [(*c, d) for c, d in zip(counts.tolist(), digests, strict=True)] == [(*w[:4], w[6]) for w in want]
+
+
+def test_a_full_memo_forgets():
+    va, vb = alignment.load(alignment.byte_level, A), alignment.load(alignment.piece_level, B)
+    aligner = alignment.Aligner(va, vb)
+    aligner.memo.limit = 30
+    rng = np.random.default_rng(0)
+    for _ in range(10):
+        texts = [" ".join(rng.choice(["a", "bb\r\n", ";\r", "é▁", "word", "long", *map(str, range(40))], 12)) for _ in range(4)]
+        counts, digests, *_ = aligner(texts)
+        assert [(*c, d) for c, d in zip(counts.tolist(), digests, strict=True)] == [(*w[:4], w[6]) for w in slow_alignment(texts)]
+
+
+def test_another_byte_level_file(tmp_path):
+    """Ids that don't follow the merges: the file's own library encodes."""
+    import json
+
+    said = json.loads(open(A, encoding="utf-8").read())
+    vocab = said["model"]["vocab"]
+    a, b = "Ġthe", "Ġa"
+    vocab[a], vocab[b] = vocab[b], vocab[a]
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(said))
+    usual, other = alignment.byte_level(A), alignment.byte_level(str(path))
+    swap = {vocab[a]: vocab[b], vocab[b]: vocab[a]}
+    text = " the cat a dog <|endoftext|>"
+    assert other.encode(text) == [swap.get(i, i) for i in usual.encode(text)] != usual.encode(text)
 
 
 def test_alignment_of_odd_tables(spark):
@@ -151,6 +180,15 @@ def test_heavy_digests_are_all_found(spark):
     assert found == {k: v for k, v in sizes.items() if v * 20 > n} and found
 
 
+def test_more_tasks_than_sketches(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = exact_dedup.exact_duplicates(frame(spark, [(i, "ab"[i % 2], "x") for i in range(9)]).repartition(3), few=2)
+        assert {(r.keep_id, r.group_size) for r in got.collect()} == {(0, 5), (1, 4)}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_exact_duplicates_of_odd_tables(spark):
     got = {(r.doc_id, r.kept): r for r in exact_dedup.exact_duplicates(odd(spark)).collect()}
     assert got[8, False].keep_id == 7 and got[7, True].group_size == 3 and got[None, True].keep_id is None
@@ -227,7 +265,7 @@ def test_windows_are_cut_only_where_nothing_is_lost(spark):
     docs = frame(spark, passages()).repartition(5)
     full = np.full(2**13 + 8192, 255, np.uint8)
     least = 20
-    whole, cut = (collocations.windows(docs, m, 16) for m in (full, collocations.seen_often(docs, least, 16)))
+    whole, cut = (collocations.windows(docs, m, 16) for m in ([full, full], collocations.seen_often(docs, least, 16)))
     assert whole.agg({"n": "sum"}).first() == cut.agg({"n": "sum"}).first() and cut.count() < whole.count()
 
 
