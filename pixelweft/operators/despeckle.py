@@ -9,7 +9,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from ..functions.quantiles import quantiles
@@ -399,20 +399,14 @@ def nlmeans(r: Raster, looks: float = 1.0, search: int = 12, patch: int = 5, str
     return pick(0), pick(1)
 
 
-def canny(r: Raster, sigma: float = 2.0, low: float = 0.1, high: float = 0.2) -> Raster:
-    """Canny edges: Gaussian, Sobel, thinning, and hysteresis: weak pixels joined to a strong one over neighbours stay.
-
-    Tiles mark weak and strong pixels and their connected parts. Parts meet across tile borders by links between
-    border pixels; a part with a strong pixel switches its neighbours on, round by round, until none changes.
-    """
-    from ..plans import cut
+def canny(r: Raster, sigma: float = 2.0, low: float = 0.1, high: float = 0.2, tile: tuple[int, int] = (256, 256)) -> Raster:
+    """Canny edges: Gaussian, Sobel, thinning, and hysteresis: weak pixels joined to a strong one over neighbours stay."""
     from .filters import _amplitude
 
     rad = int(4 * sigma + 0.5)
     halo = rad + 3
     w = np.exp(-0.5 * (np.arange(-rad, rad + 1) / sigma) ** 2)
     w /= w.sum()
-    src = _amplitude(r)
 
     def marks(block):
         v = block[0]
@@ -428,49 +422,46 @@ def canny(r: Raster, sigma: float = 2.0, low: float = 0.1, high: float = 0.2) ->
             keep |= (a == k) & (m >= np.roll(m, (i, j), (0, 1))) & (m >= np.roll(m, (-i, -j), (0, 1)))
         return ((keep & (m >= low)).astype(float) + (keep & (m >= high)))[None]
 
-    found = map_tiles(src, (halo, halo), marks)
-    # Parts of tiles are numbered by their first pixel; 2 marks a part with a strong pixel.
-    ny, nx, tile = r.ny, r.nx, 256
+    return hysteresis(map_tiles(_amplitude(r), (halo, halo), marks, tile=tile), tile)
 
-    def parts(batch: pd.DataFrame) -> pd.DataFrame:
-        here = {(y, x): k for k, (y, x) in enumerate(zip(batch["y"], batch["x"], strict=True))}
-        part = np.full(len(batch), -1)
-        for k, (y, x) in enumerate(here):
-            if part[k] >= 0:
-                continue
-            part[k], todo = k, [(y, x)]
-            while todo:
-                i, j = todo.pop()
-                for q in ((i + a, j + b) for a in (-1, 0, 1) for b in (-1, 0, 1)):
-                    o = here.get(q)
-                    if o is not None and part[o] < 0:
-                        part[o] = k
-                        todo.append(q)
-        first = batch["y"].to_numpy() * nx + batch["x"].to_numpy()
-        return pd.DataFrame({**{c: batch[c] for c in ("ch", "y", "x", "re")}, "part": first[part]})
-
-    ch = F.col("ch") if found.keys else F.lit(0)
-    weak = found.df.where("re > 0").withColumn("ch", ch.cast("int"))
-    weak = weak.withColumns({"ty": F.floor(F.col("y") / tile), "tx": F.floor(F.col("x") / tile)})
-    weak = cut(weak.groupBy("ch", "ty", "tx").applyInPandas(parts, "ch int, y long, x long, re double, part long"))
-    edge = weak.where(((F.col("y") % tile).isin(0, tile - 1)) | ((F.col("x") % tile).isin(0, tile - 1))).select("ch", "y", "x", "part")
-    step = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1) if a or b]))
-    moved = edge.select("ch", "part", "y", "x", step.alias("d")).select("ch", F.col("part").alias("other"), (F.col("y") + F.col("d.a")).alias("y"), (F.col("x") + F.col("d.b")).alias("x"))
-    links = cut(edge.join(moved, ["ch", "y", "x"]).where("part <> other").select("ch", "part", "other").distinct())
-    on = weak.groupBy("ch", "part").agg(F.max("re").alias("top")).where("top > 1").select("ch", "part")
-    size = on.count()
-    while True:
-        more = links.join(on.withColumnRenamed("part", "other"), ["ch", "other"]).select("ch", "part")
-        on = cut(on.union(more).distinct())
-        if (grown := on.count()) == size:
-            break
-        size = grown
-    edges = weak.join(on, ["ch", "part"], "left_semi").select("ch", "y", "x", F.lit(1.0).alias("e"))
-    keys = ["y", "x"]
-    if found.keys:
-        keys = ["ch", *keys]
-    out = found.df.select(*keys).join(edges.select(*keys, "e"), keys, "left")
-    return found.with_df(out.select(*keys, F.coalesce("e", F.lit(0.0)).alias("re")))
+
+def hysteresis(marked: Raster, tile: tuple[int, int] = (256, 256), count: list[int] | None = None) -> Raster:
+    """1 where a pixel marked 1 or 2 is joined over eight neighbours to one marked 2, else 0.
+
+    Tiles find their own parts, named by their first pixel; parts that meet across borders are links, and the parts of
+    the whole image come from these in rounds that grow with the logarithm of their length (``count`` gets how many).
+    """
+    from ..functions.components import connected, labelled
+    from ..plans import cut
+
+    r = marked.long()
+    ny, nx, (th, tw) = r.ny, r.nx, tile
+    ch = F.col("ch") if r.keys else F.lit(0)
+    weak = r.df.where("re > 0").select(ch.cast("int").alias("ch"), "y", "x", "re", F.floor(F.col("y") / th).alias("ty"), F.floor(F.col("x") / tw).alias("tx"))
+
+    def parts(p: pa.Table) -> pa.Table:
+        c, y, x, ty, tx = (p.column(k).to_numpy() for k in ("ch", "y", "x", "ty", "tx"))
+        y0, x0 = int(ty[0]) * th, int(tx[0]) * tw
+        mask = np.zeros((min(th, ny - y0), min(tw, nx - x0)), bool)
+        mask[y - y0, x - x0] = True
+        first = labelled(mask)[y - y0, x - x0]
+        part = (int(c[0]) * ny + y0 + first // mask.shape[1]) * nx + x0 + first % mask.shape[1]
+        return p.select(["ch", "y", "x", "re"]).append_column("part", pa.array(part, pa.int64()))
+
+    weak = cut(weak.groupBy("ch", "ty", "tx").applyInArrow(parts, "ch int, y long, x long, re double, part long"))
+    rim = weak.where((F.col("y") % th).isin(0, th - 1) | (F.col("x") % tw).isin(0, tw - 1)).select("ch", "y", "x", "part")
+    steps = F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a, b in ((0, 1), (1, -1), (1, 0), (1, 1))]))
+    moved = rim.select("ch", "part", "y", "x", steps.alias("d")).select("ch", F.col("part").alias("b"), (F.col("y") + F.col("d.a")).alias("y"), (F.col("x") + F.col("d.b")).alias("x"))
+    links = rim.withColumnRenamed("part", "a").join(moved, ["ch", "y", "x"]).where("a <> b").select("a", "b").distinct()
+    roots = connected(links, count)
+    tops = weak.groupBy("part").agg(F.max("re").alias("top")).join(roots, F.col("part") == F.col("node"), "left")
+    tops = tops.select("part", F.coalesce("root", "part").alias("root"), "top")
+    strong = tops.where("top > 1").select("root").distinct()
+    on = tops.join(strong, "root", "left_semi").select("part")
+    keys = [*r.keys, "y", "x"]
+    edges = weak.join(on, "part", "left_semi").select(*keys, F.lit(1.0).alias("e"))
+    out = r.df.select(*keys).join(edges, keys, "left")
+    return r.with_df(out.select(*keys, F.coalesce("e", F.lit(0.0)).alias("re")), complex=False)
 
 
 def carfilter(r: Raster, half: float, shape: str = "box") -> Raster:
