@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,6 +21,7 @@ from .operators import insar as ia
 from .operators import nlsar as nl
 from .operators import point as pt
 from .operators import polar as po
+from .operators import resample as rs
 from .operators import spectral as sp
 from .raster import Raster, generate
 from .tiles import reduce_tiles
@@ -670,4 +672,66 @@ def _lanczos_sql(n: int = 64, step: int = 4) -> str:
 
 
 register("f7_lanczos", lambda s, d: sp.lanczos(fx.fx5(s, d)), sel(_lanczos_sql(), re="re"))
-register("f8_linear", lambda s, d: sp.resample(fx.fx5(s, d), "x", __import__("numpy").arange(0, 63, 0.5), lambda v, at: __import__("numpy").interp(at, range(len(v)), v)), sel(f"select a.y, 2*a.x x, a.re from ({Q['fx5']}) a where a.x < 63 union all select a.y, 2*a.x+1, (a.re+b.re)/2 from ({Q['fx5']}) a join ({Q['fx5']}) b on a.y=b.y and b.x=a.x+1", re="re"))
+register("f8_linear", lambda s, d: sp.resample(fx.fx5(s, d), "x", np.arange(0, 63, 0.5), lambda v, at: sp.interpol_lin1d(np.arange(len(v)), v, at)), sel(f"select a.y, 2*a.x x, a.re from ({Q['fx5']}) a where a.x < 63 union all select a.y, 2*a.x+1, (a.re+b.re)/2 from ({Q['fx5']}) a join ({Q['fx5']}) b on a.y=b.y and b.x=a.x+1", re="re"))
+
+
+def _sinc_sql(t: str) -> str:
+    return f"(case when abs({t})<1e-12 then 1 else sin(pi()*({t}))/(pi()*({t})) end)"
+
+
+_CUBIC = "(case when abs({t})<=1 then 1.5*abs({t})**3-2.5*abs({t})**2+1 when abs({t})<2 then -0.5*abs({t})**3+2.5*abs({t})**2-4*abs({t})+2 else 0 end)"
+
+
+def _taps_sql(lo: int, hi: int, weight: str, total: str = "1") -> str:
+    """Lines of FX5 at every third of a pixel by the pixels lo .. hi around, the border repeated; weight of the distance t."""
+    return sel(
+        f"with p as ({Q['fx5']}), a as (select j, j/3.0::double at_, floor(j/3.0::double)::bigint k from range(190) r(j)), "
+        f"w as (select j, k+i px, {weight.format(t='(at_-k-i)')} w from a cross join range({lo},{hi + 1}) t(i)) "
+        f"select y, j x, sum(w*re)/{total} re from w join p on p.x=least(63, greatest(0, px)) group by y, j", re="re")
+
+
+_thirds = np.arange(190) / 3.0
+_lz = lambda n: f"(case when abs({{t}})<{n} then {_sinc_sql('{t}')}*{_sinc_sql('{t}/' + str(n))} else 0 end)"
+register("f8_cubic", lambda s, d: sp.resample(fx.fx5(s, d), "x", _thirds), _taps_sql(-1, 2, _CUBIC))
+register("f8_lanczos", lambda s, d: sp.resample(fx.fx5(s, d), "x", _thirds, sp.interpol_lanczos), _taps_sql(-2, 3, _lz(3), "sum(w)"))
+register("f8_sinc", lambda s, d: sp.resample(fx.fx5(s, d), "x", _thirds, sp.interpol_sinc), _taps_sql(-7, 8, _lz(8)))
+
+
+def _event_lines(s: SparkSession, d: str) -> DataFrame:
+    """Values of events by users modulo 15 at the hours they came: lines of irregular samples."""
+    ev = s.read.parquet(f"{d}/events.parquet")
+    return ev.select((F.col("user_id") % 15).alias("k"), ((F.unix_micros(F.col("ts").cast("timestamp")) - 1704067200000000) / 3600000000.0).alias("x"), F.col("value").alias("v"))
+
+
+def _half_hours(s: SparkSession) -> DataFrame:
+    return s.range(15 * 720).select(F.floor(F.col("id") / 720).alias("k"), (F.col("id") % 720 + 0.5).alias("at"))
+
+
+register("f8_cubic_irregular", lambda s, d: (lambda t: t.select("k", "at", (F.round("v", 6) + 0.0).alias("v")))(rs.cubic_irregular(_event_lines(s, d), _half_hours(s), ["k"])), """
+with s as (select user_id%15 k, (epoch_us(ts)-1704067200000000)/3600000000.0::double x, avg(value)::double v from events where ts is not null and value is not null group by 1, 2)
+, w as (select k, x, v b, lead(x) over o x1, lead(v) over o c, lag(v) over o p, lead(v, 2) over o q from s window o as (partition by k order by x))
+, z as (select *, coalesce(p, 3*b-3*c+q, 2*b-c) a, coalesce(q, 3*c-3*b+p, 2*c-b) d from w where x1 is not null)
+, g as (select a.k, h+0.5::double at_ from range(15) a(k) cross join range(720) r(h))
+, m as (select g.k, g.at_, x1, a, b, c, d, (at_-x)/(x1-x) t from g asof left join z on g.k=z.k and g.at_>=z.x)
+select k, at_ "at", round(case when at_<=x1 then (a*(-t**3+2*t**2-t)+b*(3*t**3-5*t**2+2)+c*(-3*t**3+4*t**2+t)+d*(t**3-t**2))/2 end, 6)+0.0::double v from m""")
+
+
+def _event_points(s: SparkSession, d: str) -> DataFrame:
+    """A point of the unit square for every event, spread by two irrational steps, on the 64 x 64 image."""
+    part = lambda step: (lambda v: 63.0 * (v - F.floor(v)))(F.col("event_id") * F.lit(step))
+    return s.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("id"), part(0.7548776662466927).alias("y"), part(0.5698402909980532).alias("x"))
+
+
+def _points_sql(reach: int, weight: str, repeat: bool) -> str:
+    at = lambda c, k: f"least(63, greatest(0, {c}+{k}))" if repeat else f"{c}+{k}"
+    return (
+        f"with v as materialized ({Q['fx5']}), p as (select event_id id, 63.0::double*(event_id*0.7548776662466927::double-floor(event_id*0.7548776662466927::double)) py, "
+        "63.0::double*(event_id*0.5698402909980532::double-floor(event_id*0.5698402909980532::double)) px from events) "
+        f"select id, round(sum({weight.format(t='(py-floor(py)-i)')}*{weight.format(t='(px-floor(px)-j)')}*v.re), 6)+0.0::double re "
+        f"from p cross join range({1 - reach},{reach + 1}) a(i) cross join range({1 - reach},{reach + 1}) b(j) "
+        f"join v on v.y={at('floor(py)::bigint', 'i')} and v.x={at('floor(px)::bigint', 'j')} group by id"
+    )
+
+
+for _m, _n, _r, _w in (("linear", 1, 1, "greatest(0, 1-abs({t}))"), ("cubic", 2, 2, _CUBIC), ("lanczos", 2, 2, _lz(2))):
+    register(f"f8_{_m}2d", lambda s, d, m=_m, n=_n: (lambda t: t.select("id", (F.round("re", 6) + 0.0).alias("re")))(rs.sample_at(fx.fx5(s, d), _event_points(s, d), m, n)), _points_sql(_r, _w, _m == "cubic"))
