@@ -644,6 +644,7 @@ register("f2_weight_range", lambda s, d: sp.weight(fx.fx2(s, d), axis="range"),
 register("f2_weight_band", lambda s, d: sp.weight(fx.fx2(s, d), axis="range", fix=True, cutoff=0.97), sel(_weight_sql(0.54, True, 0.97), re="re", im="im"))
 register("f3_unweight", lambda s, d: sp.unweight(fx.fx2(s, d)), None)
 register("f3_unweight_range", lambda s, d: sp.unweight(fx.fx2(s, d), "range"), sel(_weight_sql(1.0, True, 0.05), re="re", im="im"))
+register("f6_unweight2d", lambda s, d: sp.unweight2d(fx.fx2(s, d), (2, 2), (60.0, 75.0)), None)
 register("f4_cda", lambda s, d: sp.cda(fx.fx2(s, d)), None)
 
 
