@@ -13,7 +13,7 @@ both have a common end there, and a text's overlaps and groups are those of its
 that hold it) is a grouped count with map-side sums, at most |A| * |B| rows whatever the corpus; the few pairs that
 many documents share go to the documents by broadcast (at most 100,000 rows), the others by a shuffle.
 
-Chunks are held in a memo of bounded size. One whose tokens don't give its bytes again makes its text one without tokens.
+Most words of a corpus come again: a worker encodes and merges each distinct chunk once while its bounded memo holds it. One whose tokens don't give its bytes again makes its text one without tokens.
 
 Edge cases: texts that are null, empty, or not given back byte for byte (U+2581 in a text, say) have zeros and ''; every
 row is one document, also a repeated one or one with a null id; an empty table gives no rows; extra columns are
