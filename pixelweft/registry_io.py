@@ -20,6 +20,7 @@ from .plans import shared_folder
 from .raster import Raster, from_numpy
 from .registry import Q, pixels, register, sel
 from .sources import formats as fm
+from .sources import pictures as pc
 from .sources.flat import write
 
 
@@ -75,6 +76,36 @@ def _esar_track(s: SparkSession, d: str, n: int = 1000) -> DataFrame:
     return fm.esar_track(s, path)
 
 
+def _tracks(s: SparkSession, d: str) -> tuple[Raster, Raster]:
+    """Two tracks of a sample per event, in whole and quarter steps: (samples, four columns)."""
+    ev = s.read.parquet(f"{d}/events.parquet")
+    n = ev.count()
+    i = F.col("event_id")
+    cols = lambda *v: F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("x"), c.cast("double").alias("re")) for k, c in enumerate(v)]))
+    raster = lambda *v: Raster(ev.select(i.alias("y"), cols(*v).alias("v")).select("y", "v.x", "v.re"), n, 4)
+    return raster(i * 0.25, i * 2, F.col("user_id"), i % 7), raster(i * 0.25, i * 2 + 1, F.col("user_id") + 0.5, i % 5)
+
+
+def _fsar_track(product: str):
+    def make(s: SparkSession, d: str) -> DataFrame:
+        folder = {"RGI-SLC": ("RGI", "RGI-TRACK"), "INF-SLC": ("INF", "INF-TRACK")}[product]
+        first = _path(s, *folder, "reftr_sar_resa_0101_Lhh_t01.rat")
+        root = os.path.dirname(os.path.dirname(os.path.dirname(first)))
+        ref, real = _tracks(s, d)
+        fm.write_rat(ref, first, "f8")
+        fm.write_rat(real, first.replace("reftr", "track"), "f8")
+        if product == "INF-SLC":
+            os.makedirs(os.path.join(root, "INF", "INF-AUX"))
+            fm.write_rat(from_numpy(s, np.array([[0.5, 0.25, 1.0, 0.125]])), os.path.join(root, "INF", "INF-AUX", "baseline_error_constLin_0101_L.rat"), "f8")
+            lines = ref.ny // 4
+            each = s.range(3 * 2 * lines).select((F.col("id") % 3).cast("int").alias("ch"), (F.floor(F.col("id") / 3) % 2).alias("y"), F.floor(F.col("id") / 6).alias("x"))
+            each = each.withColumn("re", ((F.col("x") % 11) * F.col("ch") + F.col("y")).cast("double"))
+            fm.write_rat(Raster(each, 2, lines, (3,)), os.path.join(root, "INF", "INF-AUX", "baseline_error_0101_L.rat"), "f8")
+        return fm.fsar_track(s, root, 4, "L", "hh", product, (3, 0))
+
+    return make
+
+
 def _fsar(s: SparkSession, d: str) -> Raster:
     r, first = fx.fx3(s, d), _path(s, "RGI", "RGI-SR", "x")
     for k, pol in enumerate(("hh", "vv", "hv", "vh")):
@@ -131,6 +162,24 @@ def _tiff(s: SparkSession, d: str) -> Raster:
     return fm.geotiff(s, path)
 
 
+def _deflated(s: SparkSession, d: str) -> Raster:
+    path = _path(s, "a.tif")
+    pc.write_tiff_deflated(fx.fx3(s, d), path, "c8")
+    return fm.geotiff(s, path)
+
+
+def _strips(s: SparkSession, d: str) -> Raster:
+    path = _path(s, "a.tif")
+    pc.write_tiff(fx.fx1(s, d), path, "f4")
+    return fm.geotiff(s, path)
+
+
+def _predicted(s: SparkSession, d: str) -> Raster:
+    path = _path(s, "a.tif")
+    pc.write_tiff_deflated(fx.fx5(s, d), path, "u2")
+    return fm.geotiff(s, path)
+
+
 def _rolf(s: SparkSession, d: str) -> Raster:
     r, path = fx.fx1(s, d), _path(s, "a.dat")
     _headed(r, path, struct.pack(">II", r.nx, r.ny), ">f4")
@@ -191,6 +240,16 @@ for _id, _name in (("s6", "slantdem_full"), ("s7", "offnadir"), ("s8", "pha_dem"
     register(f"{_id}_fsar_{_name}", _aux(_name), sel(_two, keys="ch, y::bigint y, x::bigint x", re="re"))
 register("s11_uavsar", _uavsar, sel(Q["fx2"], re="re", im="im"))
 register("s13_geotiff", _tiff, sel(Q["fx1"], re="re"))
+register("s13_k5_tiff_strips", _strips, sel(Q["fx1"], re="re"))
+register("s13_k5_tiff_deflated", _deflated, _cube)
+register("s13_k5_tiff_predicted", _predicted, sel(Q["fx5"], re="re"))
+_t0 = "with n as (select count(*) // 4 lines from events), e as (select event_id - 12 j, event_id i, user_id u, lines - 3 lines from events cross join n)"
+_flown = "(j*2)::double"
+register("s10_fsar_track", _fsar_track("RGI-SLC"), f"{_t0} select (j // 4)::bigint i, (i*2)::double ref_x, u::double ref_y, (i%7)::double ref_z, (i*2+1)::double real_x, u+0.5::double real_y, (i%5)::double real_z, i*0.25::double \"time\" from e where j >= 0 and j < 4*lines and j % 4 = 0")
+register("s10_fsar_track_corrected", _fsar_track("INF-SLC"), f"""{_t0}
+select (j // 4)::bigint i, (i*2)::double ref_x, u::double ref_y, (i%7)::double ref_z, (i*2+1)::double real_x,
+  u+0.5::double-(0.5+{_flown}*0.25)+((j%lines+3)%11)*2+1 real_y, (i%5)::double-(1.0+{_flown}*0.125)+((j%lines+3)%11)*4+1 real_z, i*0.25::double "time"
+from e where j >= 0 and j < 4*lines and j % 4 = 0""")
 register("s14_k4_envi", _envi, sel(Q["fx2"], re="re", im="im"))
 register("k1_rat_with_envi_header", _rat_envi, sel(Q["fx1"], re="re"))
 register("s23_rolf", _rolf, sel(Q["fx1"], re="re"))

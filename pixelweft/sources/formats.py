@@ -271,6 +271,51 @@ def esar_track(spark: SparkSession, path: str, crop: tuple[int, int] = (0, 0), s
     return spark.createDataFrame(pd.DataFrame(dict(zip(names, [np.arange(a, b), *[np.asarray(c, float)[a:b] for c in cols]], strict=True))), TRACK)
 
 
+#: Where the tracks of a product lie, and how their files' names go on behind reftr or track (fixed values).
+FSAR_TRACKS = {"RGI-SLC": ("RGI", "RGI-TRACK", "_sar_resa"), "RGI-AMP": ("RGI", "RGI-TRACK", "_sar_resa"), "INF-SLC": ("INF", "INF-TRACK", "_sar_resa"), "INF-CIR": ("GTC", "GTC-AUX", "track_loc")}
+
+
+def _columns(r: Raster, names: list[str]) -> DataFrame:
+    """(i, names): the columns of a track file, a row per sample."""
+    cols = [F.max(F.when(F.col("x") == k, F.col("re"))).alias(n) for k, n in enumerate(names) if n]
+    return r.df.groupBy(F.col("y").alias("i")).agg(*cols)
+
+
+def fsar_track(spark: SparkSession, directory: str, pre_az: int = 1, band: str = "L", pol: str = "hh", product: str = "RGI-SLC", crop: tuple[int, int] = (0, 0)) -> DataFrame:
+    """Reference and real positions and times of a channel, a row per line of the presummed image (``crop`` in lines).
+
+    Tracks have ``pre_az`` samples a line; both are joined by sample. For INF-SLC the real track is corrected where the
+    product says so: by constants and terms linear in the distance flown, and by sums of corrections per image line, which repeat
+    over the samples of the cropped track as the product's own software repeats them.
+    """
+    folder, sub, kind = FSAR_TRACKS[product]
+    found = sorted(glob.glob(os.path.join(directory, folder, sub, f"*{kind}*_{band}{pol}_*.rat")))
+    ref, real = (next((p for p in found if os.path.basename(p).startswith(n)), None) for n in ("reftr", "track"))
+    if ref is None or real is None:
+        raise FileNotFoundError(os.path.join(directory, folder, sub, f"*{kind}*_{band}{pol}_*.rat"))
+    a = rat(spark, ref)
+    lines = (crop[1] or a.ny // pre_az) - crop[0]
+    inside = F.col("i").between(crop[0] * pre_az, (crop[0] + lines) * pre_az - 1)
+    one = _columns(a, ["time", "ref_x", "ref_y", "ref_z"]).where(inside)
+    two = _columns(rat(spark, real), ["", "real_x", "real_y", "real_z"]).where(inside)
+    t = one.join(two, "i").withColumn("i", F.col("i") - crop[0] * pre_az)
+    if product == "INF-SLC":
+        master = os.path.basename(real).split("_")[-3]
+        for path in sorted(glob.glob(os.path.join(directory, "INF", "INF-AUX", f"baseline_error_*{master}*{band}*.rat"))):
+            if "constLin" in path:
+                c = [row[0] for row in rat(spark, path).df.orderBy("y", "x").select("re").collect()]  # four numbers
+                start = t.where("i = 0").select(F.col("real_x").alias("x0"))
+                flown = F.col("real_x") - F.col("x0")
+                t = t.join(F.broadcast(start)).withColumns({"real_y": F.col("real_y") - (c[0] + flown * c[1]), "real_z": F.col("real_z") - (c[2] + flown * c[3])}).drop("x0")
+            else:
+                r = rat(spark, path)
+                sums = r.df.where(F.col("x").between(crop[0], crop[0] + lines - 1)).groupBy((F.col("x") - crop[0]).alias("line"))
+                sums = sums.agg(*[F.sum(F.when(F.col("ch") == k, F.col("re"))).alias(n) for k, n in ((1, "dy"), (2, "dz"))])
+                t = t.join(sums, F.col("i") % lines == F.col("line")).withColumns({"real_y": F.col("real_y") + F.col("dy"), "real_z": F.col("real_z") + F.col("dz")})
+    names = [f.split()[0] for f in TRACK.split(", ")]
+    return t.where(F.col("i") % pre_az == 0).withColumn("i", F.floor(F.col("i") / pre_az)).select(*names)
+
+
 def polsarpro(spark: SparkSession, directory: str, names: list[str], ny: int, nx: int) -> Raster:
     """A directory of little-endian float planes, one file an element."""
     return load(spark, [Layout(os.path.join(directory, n + ".bin"), "<f4", ny, nx, first_channel=k) for k, n in enumerate(names)], {"CH_name": names})
@@ -292,35 +337,11 @@ def xima(spark: SparkSession, path: str) -> Raster:
     return load(spark, [Layout(path, XIMA[ext], ny, nx)])
 
 
-def tiff_layout(path: str) -> Layout:
-    """An uncompressed strip TIFF whose strips follow each other."""
-    with open(path, "rb") as f:
-        order = {b"II": "<", b"MM": ">"}[f.read(2)]
-        _, at = struct.unpack(order + "HI", f.read(6))
-        f.seek(at)
-        tags = {}
-        for _ in range(struct.unpack(order + "H", f.read(2))[0]):
-            tag, kind, n = struct.unpack(order + "HHI", f.read(8))
-            raw, here = f.read(4), f.tell()
-            size = {1: 1, 2: 1, 3: 2, 4: 4}.get(kind, 8)
-            if size * n > 4:
-                f.seek(struct.unpack(order + "I", raw)[0])
-                raw = f.read(size * n)
-                f.seek(here)
-            if kind in (3, 4):
-                tags[tag] = struct.unpack(f"{order}{n}{'H' if kind == 3 else 'I'}", raw[: size * n])
-    if tags.get(259, (1,))[0] != 1:
-        raise ValueError("compressed TIFF")
-    strips, sizes = tags[273], tags.get(279, ())
-    if any(a + s != b for a, s, b in zip(strips, sizes, strips[1:], strict=False)):
-        raise ValueError("scattered strips")
-    kind = {1: "u", 2: "i", 3: "f", 6: "c"}[tags.get(339, (1,))[0]]
-    bits = tags.get(258, (8,))
-    return Layout(path, order + kind + str(bits[0] // 8), tags[257][0], tags[256][0], tags.get(277, (1,))[0], strips[0], "bip")
-
-
 def geotiff(spark: SparkSession, path: str) -> Raster:
-    return load(spark, [tiff_layout(path)])
+    """Strips or tiles, compressed or not; see ``tiff``."""
+    from .tiff import geotiff as read
+
+    return read(spark, path)
 
 
 def gdalraster(spark: SparkSession, path: str) -> Raster:
@@ -340,7 +361,7 @@ def convair_axes(r: Raster) -> Raster:
     return rotateleft(r)
 
 
-# --- pictures: small results, encoded on the driver ----------------------------------------------------
+# --- pictures ----------------------------------------------------
 
 
 def picture(r: Raster, method: str = "amplitude", scaling: float = 2.5, palette: str = "grey", order: tuple[int, ...] = (0, 1, 2)) -> np.ndarray:
@@ -362,22 +383,17 @@ def picture(r: Raster, method: str = "amplitude", scaling: float = 2.5, palette:
     return np.stack([a[k] if k < len(a) else np.zeros_like(a[0]) for k in order], -1)
 
 
-def png_bytes(rgb: np.ndarray) -> bytes:
-    h, w, _ = rgb.shape
-    raw = b"".join(b"\0" + row.tobytes() for row in rgb)
-    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
-    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
-
-
 def write_png(r: Raster, path: str, **options) -> None:
-    with open(path, "wb") as f:
-        f.write(png_bytes(picture(r, **options)))
+    """Encoded in tasks, put together band by band; see ``pictures``."""
+    from .pictures import write_png as put
+
+    put(r, path, **options)
 
 
 def write_ppm(r: Raster, path: str, **options) -> None:
-    rgb = picture(r, **options)
-    with open(path, "wb") as f:
-        f.write(f"P6\n{rgb.shape[1]} {rgb.shape[0]}\n255\n".encode() + rgb.tobytes())
+    from .pictures import write_ppm as put
+
+    put(r, path, **options)
 
 
 def ppm(spark: SparkSession, path: str) -> Raster:
@@ -407,18 +423,23 @@ def png(spark: SparkSession, path: str) -> Raster:
         raise ValueError("PNG kind not supported")
     c = {0: 1, 2: 3, 4: 2, 6: 4}[colour]
     raw = np.frombuffer(zlib.decompress(body), np.uint8).reshape(h, 1 + w * c)
-    out = np.zeros((h, w * c), int)
+    out = np.zeros((h, w, c), np.uint8)
     for y in range(h):
-        kind, line = raw[y, 0], raw[y, 1:].astype(int)
-        up = out[y - 1] if y else np.zeros(w * c, int)
-        if kind in (0, 2):
-            out[y] = (line + (up if kind == 2 else 0)) % 256
+        kind, line = raw[y, 0], raw[y, 1:].reshape(w, c)
+        up = out[y - 1] if y else np.zeros((w, c), np.uint8)
+        if kind < 3:
+            out[y] = [line, np.cumsum(line, 0, np.uint8), line + up][kind]
             continue
-        for i in range(w * c):
-            a, b = (out[y, i - c] if i >= c else 0), up[i]
-            d = up[i - c] if i >= c else 0
-            p = a + b - d
-            near = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - d), 2, d))[2]
-            out[y, i] = (line[i] + {1: a, 3: (a + b) // 2, 4: near}[kind]) % 256
+        left, corner = np.zeros(c, int), np.zeros(c, int)
+        for x in range(w):  # each pixel needs the one before it
+            a, b = left, up[x].astype(int)
+            if kind == 3:
+                near = (a + b) // 2
+            else:
+                p = a + b - corner
+                da, db, dc = np.abs(p - a), np.abs(p - b), np.abs(p - corner)
+                near = np.where((da <= db) & (da <= dc), a, np.where(db <= dc, b, corner))
+            left, corner = (line[x] + near) % 256, b
+            out[y, x] = left
     a = out.reshape(h, w, c).transpose(2, 0, 1).astype(float)
     return from_numpy(spark, a[0] if c == 1 else a)
