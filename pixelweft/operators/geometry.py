@@ -201,12 +201,12 @@ def _overview(r: Raster, most: int):
     return small.to_numpy()[0] if small.keys else small.to_numpy(), sy, sx
 
 
-def coregister(a: Raster, b: Raster, grid: int = 10, most: int = 1024) -> Raster:
+def coregister(a: Raster, b: Raster, grid: int = 10, most: int = 1024, largest: int = 512) -> Raster:
     """b resampled onto a.
 
     A global offset comes from the cross-correlation of overviews (block means, ``most`` values an axis). Around
-    it, offsets of a grid of patches, whose size follows the image's (the power of two up to a twelfth of an axis, 4096 at
-    most), are found between pixels; a polynomial with all products of powers up to two is fitted to them, and b is
+    it, offsets of a grid of patches, whose size follows the image's (the power of two up to a twelfth of an axis,
+    ``largest`` at most, which bounds a task's memory), are found between pixels; a polynomial with all products of powers up to two is fitted to them, and b is
     resampled by bicubic taps, 0 outside. A patch is a task, an offset a row to the driver.
     """
     a, b = a.long(), b.long()
@@ -214,7 +214,7 @@ def coregister(a: Raster, b: Raster, grid: int = 10, most: int = 1024) -> Raster
     p, q = mod(a), mod(b)
     (one, sy, sx), (two, _, _) = _overview(p, most), _overview(q, most)
     gy, gx = (int(v) * s for v, s in zip(_peak(_correlation(one, two), False), (sy, sx), strict=True))
-    size = [min(4096, 2 ** max(0, int(math.log2(max(1, n / 12))))) for n in (a.ny, a.nx)]
+    size = [min(largest, 2 ** max(0, int(math.log2(max(1, n / 12))))) for n in (a.ny, a.nx)]
     ys, xs = ([int(n * (k + 1) / (grid + 2)) for k in range(grid)] for n in (a.ny, a.nx))
 
     def placed(df, dy: int, dx: int, which: int):

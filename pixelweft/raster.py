@@ -56,8 +56,10 @@ class Raster:
         df = self.df.groupBy("y", "x").agg(all_).select("y", "x", *[F.col(f"v.{c}").alias(c) for c in values])
         return self.with_df(df, form="pix")
 
-    def to_numpy(self) -> np.ndarray:
-        """The whole image on the driver: for small results only."""
+    def to_numpy(self, most: int = 64_000_000) -> np.ndarray:
+        """The whole image on the driver: for small results only, of ``most`` values at most."""
+        if self.channels * self.ny * self.nx > most:
+            raise ValueError(f"{self.channels} x {self.ny} x {self.nx} values are more than {most}: write the image, or crop it")
         r = self.long()
         pdf = r.df.toPandas()
         out = np.zeros((r.channels, r.ny, r.nx), complex if r.complex else float)

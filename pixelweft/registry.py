@@ -385,6 +385,19 @@ def _scene(s: SparkSession) -> Raster:
 _sc = f"select y, x, ((y//5)*7919+(x//5)*104729+(y//5)*(x//5)*31)%97+10 re from ({pixels(192, 192)})"
 # A scene moved by (6, -4) comes back; its rim moved out and is 0.
 register("g9_coregister", lambda s, d: (lambda r: r.with_df(r.df.withColumn("re", F.round("re", 1))))(ge.coregister(_scene(s), _shifted(_scene(s), 6, -4))), sel(f"select y, x, case when y < 186 and x >= 4 then re else 0 end re from ({_sc})", 1, re="re"), 1)
+
+
+def _counts(s: SparkSession, d: str, n: int = 192) -> Raster:
+    """Counts of line items by order and part, an image without any smoothness."""
+    li = s.read.parquet(f"{d}/lineitem.parquet")
+    c = li.groupBy((F.col("l_orderkey") % n).alias("y"), (F.col("l_partkey") % n).alias("x")).agg(F.count(F.lit(1)).cast("double").alias("re"))
+    grid = s.range(n * n).select(F.floor(F.col("id") / n).alias("y"), (F.col("id") % n).alias("x"))
+    return Raster(grid.join(c, ["y", "x"], "left").select("y", "x", F.coalesce("re", F.lit(0.0)).alias("re")), n, n)
+
+
+_ct = f"select p.y, p.x, coalesce(n, 0)::double re from ({pixels(192, 192)}) p left join (select l_orderkey%192 y, l_partkey%192 x, count(*) n from lineitem group by 1, 2) using (y, x)"
+# Two images of a table, one of them moved by (-5, 7).
+register("g9_coregister_table", lambda s, d: (lambda r: r.with_df(r.df.withColumn("re", F.round("re", 1))))(ge.coregister(_counts(s, d), _shifted(_counts(s, d), -5, 7))), sel(f"select y, x, case when y >= 5 and x < 185 then re else 0 end re from ({_ct})", 1, re="re"), 1)
 register("p22_combinations", lambda s, d: pt.combinations(s, {"a": [1, 2, 3], "b": [10, 20], "x": [0, 5, 7, 9]}), "select ((a-1)*2+b/10-1)::bigint*4+p-1 i, a::int a, b::int b, x::int x from (values (1), (2), (3)) u(a) cross join (values (10), (20)) v(b) cross join (values (1, 0), (2, 5), (3, 7), (4, 9)) w(p, x)")
 register("p22_linspace", lambda s, d: pt.linspace_nd(s, {"y": (0.0, 1.0, 5), "x": (-2.0, 2.0, 9)}), "select (a*9+b)::bigint i, a*0.25::double y, -2+b*0.5::double x from range(5) u(a) cross join range(9) v(b)")
 register("a6_reduce_tiles", lambda s, d: s.createDataFrame([(k, float(v[1])) for k, v in enumerate(sorted(reduce_tiles(fx.fx5(s, d), lambda b: {"top": b.max(), "total": b.sum()}, {"top": "max", "total": "sum"}, (16, 24)).items()))], "label int, value double"), f"select 0::int as \"label\", max(re)::double \"value\" from ({Q['fx5']}) union all select 1::int, sum(re)::double from ({Q['fx5']})")

@@ -5,7 +5,9 @@ Flat files are written and read by tasks at offsets, so the folder must be mount
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import struct
 import uuid
 
@@ -24,9 +26,22 @@ from .sources import pictures as pc
 from .sources.flat import write
 
 
+_folders: list[str] = []
+
+
+def _clean() -> None:
+    """Files of queries go with the process: their results are read lazily."""
+    while _folders:
+        shutil.rmtree(_folders.pop(), ignore_errors=True)
+
+
 def _path(spark: SparkSession, *parts: str) -> str:
-    path = os.path.join(shared_folder(spark), "pixelweft-files", uuid.uuid4().hex, *parts)
+    folder = os.path.join(shared_folder(spark), "pixelweft-files", uuid.uuid4().hex)
+    path = os.path.join(folder, *parts)
     os.makedirs(os.path.dirname(path), exist_ok=True)
+    if not _folders:
+        atexit.register(_clean)
+    _folders.append(folder)
     return path
 
 

@@ -11,7 +11,6 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .raster import Raster
