@@ -197,9 +197,36 @@ _det3 = "(r0*(r4*r8-(r5*r5+i5*i5)) - r8*(r1*r1+i1*i1) - r4*(r2*r2+i2*i2) + 2*(r1
 register("p17_block_det", lambda s, d: po.block_det(cov3(s, d)), sel(COV3, 12, re=f"abs({_det3})"), 12)
 
 
-def _decomp_sql(first: str) -> str:
-    step = f"select *, abs(r0) hh, abs(r4) vv, sqrt(r8*r8+i8*i8)/2.0::double hv, sqrt((r0+r4+r8)*(r0+r4+r8)+(i0+i4+i8)*(i0+i4+i8)) span from ({COV3})"
-    step = first.format(step)
+def cov4(s: SparkSession, d: str) -> Raster:
+    return po.smooth_matrix(po.vec2mat(fx.fx3_pix(s, d)), (5, 3))
+
+
+COV4 = means(f"select y, x, {', '.join(f'{p} r{k}, {q} i{k}' for k, (p, q) in enumerate(MAT4))} from ({VEC})", (5, 3), " ".join(f"r{k} i{k}" for k in range(16)))
+
+
+def _det4_sql() -> str:
+    """The determinant by products of the 2 x 2 minors of the upper and the lower two rows."""
+    pairs = [(a, b) for a in range(4) for b in range(a + 1, 4)]
+
+    def minor(row: int, a: int, b: int, name: str) -> str:
+        p, q, u, v = 4 * row + a, 4 * (row + 1) + b, 4 * row + b, 4 * (row + 1) + a
+        return f"r{p}*r{q}-i{p}*i{q}-r{u}*r{v}+i{u}*i{v} {name}r, r{p}*i{q}+i{p}*r{q}-r{u}*i{v}-i{u}*r{v} {name}i"
+
+    step = f"select y, x, {', '.join(minor(row, a, b, f'{n}{a}{b}') for row, n in ((0, 's'), (2, 'c')) for a, b in pairs)} from ({COV4})"
+    terms = [("-" if (a + b) % 2 == 0 else "+", f"s{a}{b}", "c" + "".join(str(k) for k in range(4) if k not in (a, b))) for a, b in pairs]
+    re = "".join(f"{g}({p}r*{q}r-{p}i*{q}i)" for g, p, q in terms)
+    im = "".join(f"{g}({p}r*{q}i+{p}i*{q}r)" for g, p, q in terms)
+    return f"select y, x, sqrt(pow({re}, 2)+pow({im}, 2)) re from ({step})"
+
+
+register("p17_block_det4", lambda s, d: po.block_det(cov4(s, d)), sel(_det4_sql(), 12, re="re"), 12)
+#: Powers of the three and of the four channel form: channels HH, VV, XX and HH, VV, HV, VH.
+_powers3 = f"select *, abs(r0) hh, abs(r4) vv, sqrt(r8*r8+i8*i8)/2.0::double hv, sqrt((r0+r4+r8)*(r0+r4+r8)+(i0+i4+i8)*(i0+i4+i8)) span from ({COV3})"
+_powers4 = f"select *, abs(r0) hh, abs(r5) vv, sqrt(r10*r10+i10*i10) hv, abs(r0+r5+r10+r15) span from ({COV4})"
+
+
+def _decomp_sql(first: str, powers: str = _powers3) -> str:
+    step = first.format(powers)
     step = f"select *, (a<=0 or b<=0) bad, cr*cr+ci*ci rho2 from ({step})"
     step = f"select *, case when rho2 > a*b and not bad then sqrt(a*b/rho2) else 1.0::double end fit from ({step})"
     step = f"select y, x, span, vol, bad, a, b, cr*fit cr, ci*fit ci from ({step})"
@@ -214,9 +241,13 @@ def _decomp_sql(first: str) -> str:
     return unpivot(step, [(safe(even), "0"), (safe(odd), "0"), (clip("case when bad then span else vol end"), "0")], real=True)
 
 
-register("d1_freemandurden", lambda s, d: po.freemandurden(cov3(s, d)), _decomp_sql("select y, x, span, 8*fv/3 vol, hh-fv a, vv-fv b, r1-fv/3 cr, i1 ci from (select *, hv*3 fv from ({}))"))
+_fd = "select y, x, span, 8*fv/3 vol, hh-fv a, vv-fv b, r1-fv/3 cr, i1 ci from (select *, hv*3 fv from ({}))"
+register("d1_freemandurden", lambda s, d: po.freemandurden(cov3(s, d)), _decomp_sql(_fd))
+register("d1_freemandurden4", lambda s, d: po.freemandurden(cov4(s, d)), _decomp_sql(_fd, _powers4))
 _ym = lambda p, q, r: f"(case when ratio < -2 then {p} when ratio > 2 then {q} else {r} end)"
-register("d2_yamaguchi3", lambda s, d: po.yamaguchi3(cov3(s, d)), _decomp_sql("select y, x, span, fv vol, hh-" + _ym("8.0::double/15", "3.0::double/15", "3.0::double/8") + "*fv a, vv-" + _ym("3.0::double/15", "8.0::double/15", "3.0::double/8") + "*fv b, sqrt(r1*r1+i1*i1)-" + _ym("2.0::double/15", "2.0::double/15", "1.0::double/8") + "*fv cr, 0.0::double ci from (select *, " + _ym("15.0::double", "15.0::double", "16.0::double") + "/4.0::double*hv fv from (select *, 10*log10(vv/hh) ratio from ({})))"))
+_y3 = "select y, x, span, fv vol, hh-" + _ym("8.0::double/15", "3.0::double/15", "3.0::double/8") + "*fv a, vv-" + _ym("3.0::double/15", "8.0::double/15", "3.0::double/8") + "*fv b, sqrt(r1*r1+i1*i1)-" + _ym("2.0::double/15", "2.0::double/15", "1.0::double/8") + "*fv cr, 0.0::double ci from (select *, " + _ym("15.0::double", "15.0::double", "16.0::double") + "/4.0::double*hv fv from (select *, 10*log10(vv/hh) ratio from ({})))"
+register("d2_yamaguchi3", lambda s, d: po.yamaguchi3(cov3(s, d)), _decomp_sql(_y3))
+register("d2_yamaguchi4ch", lambda s, d: po.yamaguchi3(cov4(s, d)), _decomp_sql(_y3, _powers4))
 
 
 def _eigen_sql(keep: str = "y, x") -> str:
