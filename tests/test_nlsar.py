@@ -141,3 +141,28 @@ def test_grouped_quantiles(spark):
         np.testing.assert_allclose([got[k, i] for i in range(6)], np.quantile(v, shares), rtol=1e-12)
     one = grouped_quantiles(df.where("k = 0"), [], F.col("v"), [0.5]).first()
     assert np.isclose(one.q, np.median([x for g, x in rows if g == 0 and not math.isnan(x)]))
+
+
+def test_nlmeans_of_intensities_equals_its_sums(spark):
+    from pixelweft.operators.despeckle import nlmeans
+
+    v = RNG.gamma(2, 1, (11, 13)) * np.where(np.arange(13) > 6, 4, 1)
+    looks, hs, hp = 2.0, 2, 1
+    want, seen = np.zeros_like(v), np.zeros_like(v)
+    at2 = lambda a, y, x: at(a, y, x)
+    for y in range(11):
+        for x in range(13):
+            total = weight = square = 0.0
+            for dy in range(-hs, hs + 1):
+                for dx in range(-hs, hs + 1):
+                    d = []
+                    for i in range(-hp, hp + 1):
+                        for j in range(-hp, hp + 1):
+                            p, q = at2(v, y + i, x + j), at2(v, y + i + dy, x + j + dx)
+                            d.append(2 * looks * math.log((p + q) / 2) - looks * math.log(p * q))
+                    w = math.exp(-max(np.mean(d) - 0.15 / looks, 0) * (2 * hp + 1))
+                    total, weight, square = total + w * at2(v, y + dy, x + dx), weight + w, square + w * w
+            want[y, x], seen[y, x] = total / weight, looks * weight * weight / square
+    got, number = nlmeans(from_numpy(spark, np.sqrt(v)), looks, search=2 * hs, patch=2 * hp + 1)
+    np.testing.assert_allclose(got.to_numpy(), want, rtol=1e-9)
+    np.testing.assert_allclose(number.to_numpy(), seen, rtol=1e-9)
