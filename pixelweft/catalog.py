@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 from dataclasses import replace
 
 from pyspark.sql import SparkSession
@@ -71,22 +70,20 @@ class RasterCatalog:
         self.layers[name] = replace(r, meta=meta)
 
     def save(self, folder: str) -> None:
-        """Parquet partitioned by row band, and one JSON file; nothing executable is stored."""
+        """Parquet partitioned by row band, and one JSON text; nothing executable is stored. Any folder that Spark can write."""
         from pyspark.sql import functions as F
 
         index = {}
         for name, r in self.layers.items():
             r.df.withColumn("band", F.floor(F.col("y") / 512)).write.mode("overwrite").partitionBy("band").parquet(f"{folder}/{name}.parquet")
             index[name] = {"ny": r.ny, "nx": r.nx, "lshape": list(r.lshape), "form": r.form, "complex": r.complex, "meta": r.meta}
-        os.makedirs(folder, exist_ok=True)
-        with open(os.path.join(folder, "catalog.json"), "w") as f:
-            json.dump({"layers": index, "active": self.active}, f, default=str)
+        text = json.dumps({"layers": index, "active": self.active}, default=str)
+        self.spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/catalog.json")
 
     @classmethod
     def load(cls, spark: SparkSession, folder: str) -> RasterCatalog:
         out = cls(spark)
-        with open(os.path.join(folder, "catalog.json")) as f:
-            index = json.load(f)
+        index = json.loads(spark.read.text(f"{folder}/catalog.json", wholetext=True).first()[0])
         for name, x in index["layers"].items():
             df = spark.read.parquet(f"{folder}/{name}.parquet").drop("band")
             out.layers[name] = Raster(df, x["ny"], x["nx"], tuple(x["lshape"]), x["form"], x["complex"], x["meta"])
