@@ -618,6 +618,12 @@ select round(median(d), 6) beta, count(*) pairs from (
   select sqrt(pow(ln(a.r0)-ln(b.r0), 2) + pow(ln(a.r4)-ln(b.r4), 2) + pow(ln(a.r8)-ln(b.r8), 2)) d
   from p a cross join n join p b on b.i = (a.i + n//2) % n) where isfinite(d)"""
 register("a9_beta", lambda s, d: be.beta_statistic(cov3(s, d), "dg").select(F.round("beta", 6).alias("beta"), "pairs"), _beta_sql)
+_scattered = f"""with p as (select y*8+x i, r0, r4, r8 from ({COV3})), n as (select count(*) n from p)
+, m as (select n, (select min(k) from range(100) t(j), unnest([floor(n*(sqrt(5.0::double)-1)/2)::bigint+j]) u(k) where gcd(k, n) = 1) m from n)
+select round(median(d), 6) beta, count(*) pairs from (
+  select sqrt(pow(ln(a.r0)-ln(b.r0), 2) + pow(ln(a.r4)-ln(b.r4), 2) + pow(ln(a.r8)-ln(b.r8), 2)) d
+  from p a cross join m join p b on b.i = (m*a.i + n//2) % n) where isfinite(d)"""
+register("a9_beta_scattered_diagonal", lambda s, d: (lambda c: be.beta_statistic(c, "dg", be.scattered_multiplier(c.ny * c.nx)))(cov3(s, d)).select(F.round("beta", 6).alias("beta"), "pairs"), _scattered)
 register("a9_beta_scattered", lambda s, d: (lambda c: be.beta_statistic(c, "ai", be.scattered_multiplier(c.ny * c.nx)))(cov3(s, d)).select(F.round("beta", 6).alias("beta"), "pairs"), None)
 register("a9_enl", lambda s, d: be.equivalent_looks(cov3(s, d)).select(F.round("enl", 6).alias("enl")), f"select round(avg(e), 6) enl from (select unnest([{', '.join(f'pow(avg(r{k}), 2)/var_pop(r{k})' for k in (0, 4, 8))}]) e from ({COV3}))")
 register("w27_mcb", lambda s, d: be.mcb(cov3(s, d), 4)[0], None)
