@@ -2,6 +2,9 @@
 
 Stages call one operator each. All but the last return the columns of documents, the last returns packed
 pieces. SQL can't express the trained stages, so ORACLE_SQL is None and tests use a brute-force version.
+
+Languages are learnt from the documents that reach that stage: where none of them (outside the held-out fold) has a label,
+every language is ``und`` and no document passes. Without toxicity labels no document is rejected.
 """
 
 from __future__ import annotations
