@@ -174,9 +174,32 @@ def sar2rgb(r: Raster, alpha: float = 3.0, gamma: float = 0.7) -> Raster:
     return r.with_df(d.select(*r.keys, "y", "x", F.floor(v).cast("double").alias("re")))
 
 
+#: Ramps by their anchors: place from 0 to 255, colour.
+RAMPS = {
+    "blue": ((0, (0, 0, 0)), (128, (0, 0, 255)), (255, (255, 255, 255))),
+    "red": ((0, (0, 0, 0)), (128, (255, 0, 0)), (255, (255, 255, 255))),
+    "green": ((0, (0, 0, 0)), (128, (0, 255, 0)), (255, (255, 255, 255))),
+    "blue-red-yellow": ((0, (0, 0, 128)), (128, (224, 0, 32)), (255, (255, 255, 0))),
+    "haze": ((0, (64, 72, 96)), (128, (168, 160, 176)), (255, (248, 240, 224))),
+    "elevation": ((0, (0, 96, 72)), (64, (120, 168, 48)), (128, (236, 200, 116)), (192, (148, 92, 48)), (255, (255, 255, 255))),
+    "elevation-bright": ((0, (96, 176, 160)), (85, (200, 224, 144)), (170, (248, 208, 144)), (255, (255, 248, 240))),
+    "seabed": ((0, (8, 16, 80)), (127, (160, 216, 240)), (128, (0, 112, 64)), (192, (232, 208, 120)), (255, (255, 255, 255))),
+    "ice": ((0, (0, 0, 40)), (128, (56, 136, 200)), (255, (255, 255, 255))),
+}
+
+
+def _hue(h: float, light: float = 1.0, grey: float = 0.0) -> tuple[int, int, int]:
+    """A colour of the wheel (0 red, 1/3 green, 2/3 blue), darker by light, paler by grey."""
+    part = lambda k: max(0.0, min(1.0, abs((6 * h + k) % 6 - 3) - 1))
+    return tuple(math.floor(255 * (light * part(k) * (1 - grey) + grey) + 0.5) for k in (0, 4, 2))
+
+
 def palette(name: str) -> list[tuple[int, int, int]]:
-    """256 colours from a formula: grey, hot, ocean, phase wheel."""
+    """256 colours from a rule: grey, hot, ocean, ramps, wheels, and classes that repeat after 8 or 16 colours.
 
+    Wheels: phase (three cosines), hues (once around) and rainbow (blue to red). Classes: ``classes8`` and ``classes16``, also with
+    ``-light`` and ``-dark``: hues by steps of the golden section, so neighbours differ.
+    """
     t = [i / 255 for i in range(256)]
     clip = lambda v: int(max(0, min(255, round(255 * v))))
     if name == "grey":
@@ -187,9 +210,26 @@ def palette(name: str) -> list[tuple[int, int, int]]:
         return [(clip(3 * v - 2), clip(1.5 * v - 0.5), clip(v)) for v in t]
     if name == "phase":
         return [tuple(clip(0.5 + 0.5 * math.cos(2 * math.pi * (v - k / 3))) for k in range(3)) for v in t]
+    if name in ("hues", "rainbow"):
+        return [_hue(i / 256 if name == "hues" else 2 / 3 * (1 - v)) for i, v in enumerate(t)]
+    if name in RAMPS:
+        out = []
+        for i in range(256):
+            (p, a), (q, b) = next(pair for pair in zip(RAMPS[name][:-1], RAMPS[name][1:], strict=True) if i <= pair[1][0])
+            out.append(tuple(math.floor(u + (v - u) * (i - p) / (q - p) + 0.5) for u, v in zip(a, b, strict=True)))
+        return out
+    kind, _, shade = name.partition("-")
+    if kind in ("classes8", "classes16") and shade in ("", "light", "dark"):
+        n = int(kind[7:])
+        light, grey = {"": (1.0, 0.0), "light": (1.0, 0.5), "dark": (0.55, 0.0)}[shade]
+        return [_hue((i % n) * 0.6180339887498949 % 1, light, grey) for i in range(256)]
     raise KeyError(name)
 
 
+#: All names that ``palette`` knows.
+PALETTES = ("grey", "hot", "ocean", "phase", "hues", "rainbow", *RAMPS, *(f"classes{n}{s}" for n in (8, 16) for s in ("", "-light", "-dark")))
+
+
 def coloured(r: Raster, name: str) -> Raster:
     """Byte values to three channels by a palette, a 256-row broadcast join."""
     r = r.long()

@@ -111,6 +111,9 @@ register("p19_histscale", lambda s, d: pt.histscale(fx.fx5(s, d)), sel(_hs, re="
 register("p20_cart2pol", lambda s, d: (lambda r: r.with_df(r.df.select("y", "x", pt.cart2pol(r)[0].alias("re"), pt.cart2pol(r)[1].alias("im"))))(fx.fx2(s, d)), sel(Q["fx2"], re="sqrt(re*re+im*im)", im="atan2(im,re)"))
 register("p20_pol2cart", lambda s, d: (lambda r: r.with_df(r.df.select("y", "x", pt.pol2cart(F.col("re"), F.col("im"))[0].alias("re"), pt.pol2cart(F.col("re"), F.col("im"))[1].alias("im"))))(fx.fx2(s, d)), sel(Q["fx2"], re="re*cos(im)", im="re*sin(im)"))
 register("p21_palette", lambda s, d: pt.coloured(pt.bytescale(fx.fx5(s, d)), "grey"), "select c::int ch, y, x, re from (" + sel(_all.format(Q["fx5"]), re="floor(least(255, greatest(0, (re-lo)*(255.0::double/(hi-lo))+0.4999::double)))") + ") cross join range(3) k(c)")
+_bytes = "(floor(least(255, greatest(0, (re-lo)*(255.0::double/(hi-lo))+0.4999::double))))"
+_ramp = lambda k: "case " + " ".join(f"when b <= {q} then floor({a[k]}+({b[k]}-{a[k]})*(b-{p})/{float(q - p)}::double+0.5::double)" for (p, a), (q, b) in zip(pt.RAMPS["elevation"][:-1], pt.RAMPS["elevation"][1:], strict=True)) + " end"
+register("p21_palette_elevation", lambda s, d: pt.coloured(pt.bytescale(fx.fx5(s, d)), "elevation"), f"select k::int ch, y, x, (case k when 0 then {_ramp(0)} when 1 then {_ramp(1)} else {_ramp(2)} end)::double re from (select y::bigint y, x::bigint x, {_bytes} b from ({_all.format(Q['fx5'])})) cross join range(3) c(k)")
 register("p23_sar2rgb", lambda s, d: pt.sar2rgb(pt.amp2int(fx.fx1(s, d))), sel(f"select *, avg(sqrt(re*re)) over () + 3.0::double*stddev_pop(sqrt(re*re)) over () t from ({Q['fx1']})", re="floor(255.0::double*pow(least(1.0::double, sqrt(re*re)/t), 0.7::double))"))
 
 # --- channel algebra -----------------------------------------------------------------------------------

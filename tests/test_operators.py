@@ -295,6 +295,19 @@ def test_glcm_correlation_and_energy(spark):
         assert np.isfinite(fl.glcm(r, 5, prop=prop).to_numpy()).all()
 
 
+def test_palettes_by_rule():
+    assert len(set(pt.PALETTES)) == len(pt.PALETTES) == 21
+    for name in pt.PALETTES:
+        p = pt.palette(name)
+        assert len(p) == 256 and all(0 <= v <= 255 and isinstance(v, int) for c in p for v in c)
+    for name, ramp in pt.RAMPS.items():
+        assert all(pt.palette(name)[at] == colour for at, colour in ramp)
+    assert pt.palette("rainbow")[0] == (0, 0, 255) and pt.palette("rainbow")[255] == (255, 0, 0)
+    assert len(set(pt.palette("classes8"))) == 8 and len(set(pt.palette("classes16-dark"))) == 16 and pt.palette("classes16")[3] == pt.palette("classes16")[19]
+    with pytest.raises(KeyError):
+        pt.palette("classes9")
+
+
 def test_palettes():
     for name in ("grey", "hot", "ocean", "phase"):
         p = pt.palette(name)
