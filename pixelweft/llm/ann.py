@@ -147,7 +147,7 @@ def flipped(flips: int, width: int) -> np.ndarray:
 class Reach:
     """How far to look, learnt on a sample: ``radius`` holds ``share`` of the k nearest of sample queries, and
     ``beyond[r]`` is the highest cosine (of lifted vectors) that codes farther than r had. A query whose k-th cosine is as
-    high needs to look no farther than r; ``steps`` are the radii at which some sample query could have stopped."""
+    high needs to look no farther than r; ``steps`` are the radii within the tables' reach at which some sample query could have stopped."""
 
     def __init__(self, x: np.ndarray, codes: Codes, k: int, share: float, queries: int = 200):
         c, q = codes(x), codes(x[:queries], True)
@@ -164,8 +164,9 @@ class Reach:
         np.maximum.at(best, far.ravel(), s.ravel())
         self.beyond = np.append(np.maximum.accumulate(best[:0:-1])[::-1], -np.inf)  # of distances over r
         last = np.take_along_axis(s, top[:, -1:], 1)[:, 0] if top.size else np.zeros(0)
-        parts = MultiIndex(c).parts.shape[1]
-        grid = range(parts - 1, self.radius, parts)
+        index = MultiIndex(c)
+        parts = index.parts.shape[1]
+        grid = [r for r in range(parts - 1, self.radius, parts) if not too_many(parts, r // parts, index.width)]
         self.steps = [r for r in grid if (last >= self.beyond[r]).any()]
 
     def needed(self, cosine: float) -> int:
@@ -254,9 +255,7 @@ def _search(rows: DataFrame, asked: DataFrame, n: int, k: int, bits: int, sample
         return asked.join(bounds, "query_id", "left").withColumn("bound", F.coalesce("least", F.lit(float("nan")))).drop("least")
 
     # Where some queries can stop within the reach of the tables, a look at these alone gives them a bound to begin with.
-    width = 16 if bits > 64 else 8
-    within = [r for r in reach.steps if not too_many(bits // width, r // (bits // width), width)]
-    early = table(met(0, first, bounded(None), within[-1])) if within else None
+    early = table(met(0, first, bounded(None), reach.steps[-1])) if reach.steps else None
     near = table(met(0, first, bounded(early)))
     out = near.unionByName(met(first, shards, bounded(near)))
     return out if early is None else out.unionByName(early.where("vec_id is null"))  # its rows are found again, its counts stay
