@@ -108,6 +108,15 @@ def test_presum_and_pyramid(spark):
     assert [(p.ny, p.nx) for p in ge.pyramid(r)] == [(22, 16), (11, 8), (5, 4), (2, 2), (1, 1)]
 
 
+def test_decimation_keeps_the_remainder(spark):
+    r = from_numpy(spark, IMG[:21])
+    out = ge.presum(r, 4, 3, decimate=True)
+    assert np.array_equal(out.to_numpy(), IMG[:21:4, ::3]) and (out.ny, out.nx) == IMG[:21:4, ::3].shape
+    levels = ge.pyramid(r, "labels")
+    assert [(p.ny, p.nx) for p in levels] == [(20, 16), (10, 8), (5, 4), (2, 2), (1, 1)]
+    assert np.array_equal(levels[3].to_numpy(), IMG[:16:8, :16:8])
+
+
 @pytest.mark.parametrize("axis", ["range", "azimuth", "2D"])
 def test_fft_inverse(spark, axis):
     a = SLC[:22]
