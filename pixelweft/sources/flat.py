@@ -1,8 +1,8 @@
 """Flat binary rasters: one data source for every format whose pixels lie in a regular file.
 
 A format module reads a header into layouts (file, offset, type, size, interleave); partitions are row
-ranges of a layout, so a read never loads a file whole, and filters on y select rows before any byte is
-read. Paths must be visible to all executors.
+ranges of a layout, and column ranges where a row is long, so a read never loads a file or a long row whole, and
+filters on y select rows before any byte is read. Paths must be visible to all executors.
 """
 
 from __future__ import annotations
@@ -41,22 +41,27 @@ class Layout:
     def __post_init__(self):
         self.y1, self.x1 = self.y1 or self.ny, self.x1 or self.nx
 
-    def rows(self, a: int, b: int) -> np.ndarray:
-        """(channels, rows, columns) of the file's rows a..b-1, cropped in x."""
+    def rows(self, a: int, b: int, x0: int | None = None, x1: int | None = None) -> np.ndarray:
+        """(channels, rows, columns) of the file's rows a..b-1, cropped in x, or of its columns x0..x1-1; several rows are
+        read with all their columns."""
+        x0, x1 = self.x0 if x0 is None else x0, self.x1 if x1 is None else x1
         t = np.dtype(self.dtype)
         c, n = self.channels, b - a
-        if self.interleave == "bsq":
-            out = np.empty((c, n, self.nx), t)
-            with open(self.path, "rb") as f:
-                for k in range(c):
-                    f.seek(self.offset + (k * self.ny + a) * self.nx * t.itemsize)
-                    out[k] = np.frombuffer(f.read(n * self.nx * t.itemsize), t).reshape(n, self.nx)
-        else:
-            with open(self.path, "rb") as f:
-                f.seek(self.offset + a * self.nx * c * t.itemsize)
-                raw = np.frombuffer(f.read(n * self.nx * c * t.itemsize), t)
-            out = raw.reshape(n, c, self.nx).transpose(1, 0, 2) if self.interleave == "bil" else raw.reshape(n, self.nx, c).transpose(2, 0, 1)
-        return out[:, :, self.x0 : self.x1]
+        lo, w = (x0, x1 - x0) if n == 1 else (0, self.nx)  # what is read of each row
+        with open(self.path, "rb") as f:
+
+            def values(at: int, size: int) -> np.ndarray:
+                f.seek(self.offset + at * t.itemsize)
+                return np.frombuffer(f.read(size * t.itemsize), t)
+
+            if self.interleave == "bip":
+                out = values((a * self.nx + lo) * c, n * w * c).reshape(n, w, c).transpose(2, 0, 1)
+            elif self.interleave == "bil" and n > 1:
+                out = values(a * self.nx * c, n * w * c).reshape(n, c, w).transpose(1, 0, 2)
+            else:
+                line = (lambda k: k * self.ny + a) if self.interleave == "bsq" else (lambda k: a * c + k)
+                out = np.stack([values(line(k) * self.nx + lo, n * w).reshape(n, w) for k in range(c)])
+        return out[:, :, x0 - lo : x1 - lo]
 
 
 @dataclass
@@ -64,6 +69,12 @@ class Band(InputPartition):
     layout: int
     start: int
     stop: int
+    x0: int = 0
+    x1: int = 0
+
+
+#: Bytes of file that a partition has and values that a batch has, about.
+PARTITION, BATCH = 16 << 20, 200_000
 
 
 class FlatReader(DataSourceReader):
@@ -94,23 +105,25 @@ class FlatReader(DataSourceReader):
     def partitions(self) -> list[Band]:
         out = []
         for i, x in enumerate(self.layouts):
-            # About 16 MB of file a partition.
-            per = self.per or max(1, (16 << 20) // max(1, np.dtype(x.dtype).itemsize * x.nx * x.channels))
+            pixel = np.dtype(x.dtype).itemsize * x.channels
+            per = self.per or max(1, PARTITION // max(1, pixel * x.nx))
+            wide = max(1, PARTITION // pixel) if per == 1 else max(1, x.x1 - x.x0)
             lo = max(x.y0, self.low - x.first_row + x.y0)
             hi = min(x.y1, self.high + 1 - x.first_row + x.y0)
-            out += [Band(i, a, min(a + per, hi)) for a in range(lo, hi, per)]
+            out += [Band(i, a, min(a + per, hi), c, min(c + wide, x.x1)) for a in range(lo, hi, per) for c in range(x.x0, x.x1, wide)]
         return out or [Band(0, 0, 0)]
 
     def read(self, p: Band) -> Iterator[pa.RecordBatch]:
         x = self.layouts[p.layout]
-        for a in range(p.start, p.stop, max(1, 200_000 // max(1, x.nx * x.channels))):
-            b = min(a + max(1, 200_000 // max(1, x.nx * x.channels)), p.stop)
-            v = x.rows(a, b)
+        per = max(1, BATCH // max(1, x.nx * x.channels))
+        wide = max(1, BATCH // x.channels) if per == 1 else max(1, p.x1 - p.x0)
+        for a, x0 in ((a, c) for a in range(p.start, p.stop, per) for c in range(p.x0, p.x1, wide)):
+            v = x.rows(a, min(a + per, p.stop), x0, min(x0 + wide, p.x1))
             c, i, j = (k.ravel() for k in np.indices(v.shape))
             v = v.ravel()
             re, im = (v.real, v.imag) if np.iscomplexobj(v) else (v, np.zeros(len(v)))
             re, im = (np.nan_to_num(k.astype(np.float64), nan=0.0, posinf=0.0, neginf=0.0) for k in (re, im))
-            yield pa.RecordBatch.from_arrays([pa.array((c + x.first_channel).astype(np.int32)), pa.array((i + a - x.y0 + x.first_row).astype(np.int64)), pa.array(j.astype(np.int64)), pa.array(re), pa.array(im)], ["ch", "y", "x", "re", "im"])
+            yield pa.RecordBatch.from_arrays([pa.array((c + x.first_channel).astype(np.int32)), pa.array((i + a - x.y0 + x.first_row).astype(np.int64)), pa.array((j + x0 - x.x0).astype(np.int64)), pa.array(re), pa.array(im)], ["ch", "y", "x", "re", "im"])
 
 
 class FlatSource(DataSource):
@@ -142,8 +155,9 @@ def load(spark: SparkSession, layouts: list[Layout], meta: dict | None = None, r
     return Raster(df if is_complex else df.drop("im"), ny, nx, lshape, "long", is_complex, meta or {})
 
 
-def write(r: Raster, path: str, dtype: str, offset: int = 0, pixels: int = 2_000_000) -> None:
-    """Channel planes into one file on a shared folder: tasks own row bands and write at their offsets.
+def write(r: Raster, path: str, dtype: str, offset: int = 0, pixels: int = 250_000) -> None:
+    """Channel planes into one file on a shared folder: tasks own bands of rows, or stretches of long rows, of ``pixels``
+    values at most (or a pixel's channels) and write them at their offsets.
 
     Writing the same bytes twice is harmless, so a retried task is too.
     """
@@ -151,22 +165,24 @@ def write(r: Raster, path: str, dtype: str, offset: int = 0, pixels: int = 2_000
     t, n, ny, nx = np.dtype(dtype), r.channels, r.ny, r.nx
     with open(path, "r+b" if os.path.exists(path) else "w+b") as f:
         f.truncate(offset + n * ny * nx * t.itemsize)
-    per = max(1, pixels // (nx * n))  # rows that a task holds
+    per = max(1, pixels // (nx * n))  # rows and columns that a task holds
+    wide = min(nx, max(1, pixels // n)) if per == 1 else nx
     from pyspark.sql import functions as F
 
     cols = ["re", "im"] if r.complex else ["re"]
     ch = F.col("ch") if r.keys else F.lit(0).alias("ch")
 
-    def put(p):
-        y0 = int(p["y"].min()) // per * per
-        h = min(per, ny - y0)
-        block = np.zeros((n, h, nx), complex if "im" in p else float)
-        block[p["ch"].to_numpy(), p["y"].to_numpy() - y0, p["x"].to_numpy()] = p["re"].to_numpy() + (1j * p["im"].to_numpy() if "im" in p else 0)
+    def put(p: pa.Table) -> pa.Table:
+        v = {k: p.column(k).to_numpy() for k in ("ch", "y", "x", *cols)}
+        y0, x0 = int(v["y"].min()) // per * per, int(v["x"].min()) // wide * wide
+        block = np.zeros((n, min(per, ny - y0), min(wide, nx - x0)), complex if "im" in v else float)
+        block[v["ch"], v["y"] - y0, v["x"] - x0] = v["re"] + (1j * v["im"] if "im" in v else 0)
         block = block.astype(t) if t.kind in "fc" else np.rint(block.real).astype(t)
         with open(path, "r+b") as f:
             for c in range(n):
-                f.seek(offset + (c * ny + y0) * nx * t.itemsize)
+                f.seek(offset + ((c * ny + y0) * nx + x0) * t.itemsize)
                 f.write(block[c].tobytes())
-        return p.iloc[:0][["y"]]
+        return pa.table({"y": pa.array([], pa.int64())})
 
-    r.df.select(ch, "y", "x", *cols).groupBy(F.floor(F.col("y") / per).alias("band")).applyInPandas(put, "y long").count()
+    spots = F.floor(F.col("y") / per).alias("band"), F.floor(F.col("x") / wide).alias("stretch")
+    r.df.select(ch, "y", "x", *cols).groupBy(*spots).applyInArrow(put, "y long").count()

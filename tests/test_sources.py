@@ -1,6 +1,8 @@
 """Formats: what is written is read, rows are selected before bytes are."""
 
+import json
 import struct
+from dataclasses import asdict
 
 import numpy as np
 import pytest
@@ -10,7 +12,7 @@ from pixelweft.catalog import RasterCatalog
 from pixelweft.operators import point as pt
 from pixelweft.raster import from_numpy
 from pixelweft.sources import formats as fm
-from pixelweft.sources.flat import FlatReader
+from pixelweft.sources.flat import FlatReader, write
 from pixelweft.streaming import row_bands, run
 
 RNG = np.random.default_rng(1)
@@ -137,3 +139,32 @@ def test_generated_source(spark):
     from pixelweft.raster import generate
 
     assert np.array_equal(generate(spark, 3, 4, lambda y, x: F.lit(10) * y + x).to_numpy(), [[0, 1, 2, 3], [10, 11, 12, 13], [20, 21, 22, 23]])
+
+
+@pytest.mark.parametrize("interleave", ["bsq", "bil", "bip"])
+def test_long_rows_are_read_in_stretches(tmp_path, interleave):
+    """No batch holds much over 200,000 values and no partition over 16 MB, however long a row is."""
+    from pixelweft.sources.flat import Layout
+
+    a = np.random.default_rng(5).integers(0, 255, (3, 2, 300_000), dtype=np.uint8)
+    path = str(tmp_path / "a.dat")
+    a.transpose({"bsq": (0, 1, 2), "bil": (1, 0, 2), "bip": (1, 2, 0)}[interleave]).tofile(path)
+    for dtype, x0, x1 in (("u1", 0, 0), ("u1", 1000, 299_000)):
+        r = FlatReader({"layouts": json.dumps([asdict(Layout(path, dtype, 2, 300_000, 3, interleave=interleave, x0=x0, x1=x1))])})
+        out = np.full((3, 2, (x1 or 300_000) - x0), -1.0)
+        for p in r.partitions():
+            for b in r.read(p):
+                assert len(b) <= 200_000
+                ch, y, x, re = (b.column(k).to_numpy() for k in ("ch", "y", "x", "re"))
+                assert (out[ch, y, x] == -1).all()
+                out[ch, y, x] = re
+        assert np.array_equal(out, a[:, :, x0 : x1 or None])
+    wide = FlatReader({"layouts": json.dumps([asdict(Layout(path, "f8", 2, 9_000_000, 3, interleave=interleave))])}).partitions()
+    assert all((p.stop - p.start) * (p.x1 - p.x0) * 3 * 8 <= 16 << 20 for p in wide) and sum((p.stop - p.start) * (p.x1 - p.x0) for p in wide) == 18_000_000
+
+
+@pytest.mark.parametrize("pixels", [1, 40, 700, 10_000])
+def test_long_rows_are_written_in_stretches(spark, tmp_path, pixels):
+    a = np.random.default_rng(6).normal(size=(3, 2, 101)) + 1j
+    write(from_numpy(spark, a), str(tmp_path / "a.dat"), "<c16", 8, pixels)
+    assert np.array_equal(np.fromfile(tmp_path / "a.dat", "<c16", offset=8).reshape(a.shape), a)
