@@ -6,7 +6,8 @@ two matrices in units of phi * beta. Beta is the median distance of unrelated pi
 along with the image, so beta falls from round to round, until it changes by less than epsilon.
 
 Edges of the graph are measured once a tile for all windows, in batches of matrices; path lengths are relaxed for all
-pixels of the tile at once. Each round is cut by a checkpoint. Places outside the image are in no path.
+pixels of the tile at once. What the rounds need to know of each other follows from the speckle alone, so the image takes
+several rounds in one tile exchange. Places outside the image are in no path.
 """
 
 from __future__ import annotations
@@ -43,12 +44,18 @@ def _size(m: np.ndarray) -> np.ndarray:
     return np.sqrt((np.abs(m) ** 2).sum((-1, -2)))
 
 
-def _affine_invariant(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def _inverse_roots(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(roots, full): matrices that make the identity of a, and whether a has full rank."""
     value, vector = np.linalg.eigh(a)
-    out = np.full(len(a), np.inf)
     full = (value > 0).all(-1)
+    return vector / np.sqrt(np.where(full[..., None], value, 1.0))[..., None, :], full
+
+
+def _affine_invariant(a: np.ndarray, b: np.ndarray, roots: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    root, full = _inverse_roots(a) if roots is None else roots
+    out = np.full(len(a), np.inf)
     if full.any():
-        root = vector[full] / np.sqrt(value[full])[:, None, :]
+        root = root[full]
         relative = np.linalg.eigvalsh(root.conj().swapaxes(-1, -2) @ b[full] @ root)
         out[full] = np.sqrt((np.log(relative) ** 2).sum(-1))
     return out
@@ -74,11 +81,11 @@ DISTANCES: dict[str, Callable[[np.ndarray, np.ndarray], np.ndarray]] = {
 }
 
 
-def distance(measure: str, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Not negative; infinite where it isn't defined."""
+def distance(measure: str, a: np.ndarray, b: np.ndarray, known: tuple = ()) -> np.ndarray:
+    """Not negative; infinite where it isn't defined. ``known`` is what the measure takes of a that was computed before."""
     with np.errstate(all="ignore"):
         try:
-            d = np.abs(DISTANCES[measure](a, b))
+            d = np.abs(DISTANCES[measure](a, b, *known))
         except np.linalg.LinAlgError:  # one singular matrix stops a batch: one by one
             d = np.array([np.inf if len(a) == 1 else distance(measure, a[k : k + 1], b[k : k + 1])[0] for k in range(len(a))])
     return np.where(np.isfinite(d), d, np.inf)
@@ -150,6 +157,9 @@ def equivalent_looks(cov: Raster) -> DataFrame:
 #: The eight neighbours; a step is measured from the pixel that comes first in one of the first four.
 FORWARD = ((-1, 1), (0, 1), (1, 1), (1, 0))
 
+#: Rounds of the image in one exchange: with a window of 7 a halo of 12 pixels.
+ROUNDS = 4
+
 
 def window_order(win: int) -> list[tuple[int, int]]:
     """Places that paths go on from: the window without its rim, ring by ring, row by row."""
@@ -161,7 +171,14 @@ def path_weights(m: np.ndarray, inside: np.ndarray, measure: str, win: int, beta
     """(dy, dx, weights) of the window's places for every pixel of the core; m is (rows, columns, n, n) with a rim of win // 2."""
     half = win // 2
     h, w = m.shape[0] - 2 * half, m.shape[1] - 2 * half
-    edges = {}
+    edges, roots = {}, None
+    if measure == "ai":  # each matrix is the first of up to four pairs
+        try:
+            root, full = np.zeros_like(m), np.zeros(m.shape[:2], bool)
+            root[inside], full[inside] = _inverse_roots(m[inside])
+            roots = root, full
+        except np.linalg.LinAlgError:
+            pass
     for dy, dx in FORWARD:
         e = np.full(m.shape[:2], np.inf)
         y0, x1 = max(0, -dy), m.shape[1] - dx
@@ -171,7 +188,7 @@ def path_weights(m: np.ndarray, inside: np.ndarray, measure: str, win: int, beta
         ok = inside[rows, cols] & inside[there]
         d = np.full(ok.shape, np.inf)
         if ok.any():
-            d[ok] = distance(measure, a[ok], b[ok])
+            d[ok] = distance(measure, a[ok], b[ok], () if roots is None else (tuple(k[rows, cols][ok] for k in roots),))
         e[rows, cols] = step + d / (phi * beta)
         edges[dy, dx] = e
     far = {(a, b): np.full((h, w), np.inf) for a in range(-half, half + 1) for b in range(-half, half + 1)}
@@ -187,24 +204,42 @@ def path_weights(m: np.ndarray, inside: np.ndarray, measure: str, win: int, beta
         yield a, b, np.exp(-(d**2) / sigma**2)
 
 
-def beltrami_round(cov: Raster, beta: float, measure: str = "ai", win: int = 7, sigma: float = 1.0, phi: float = 2.1, step: float = 0.0, share: float = 1.0, tile: tuple[int, int] = (64, 64)) -> Raster:
-    """One round: matrices averaged with the path weights of their window; share damps off-diagonals in distances alone."""
-    r = cov.long()
-    n, ny, nx, half = (r.lshape[0] if r.lshape else 1), r.ny, r.nx, win // 2
+def beltrami_rounds(cov: Raster, steps: list[tuple[float, float, float]], measure: str = "ai", win: int = 7, phi: float = 2.1, step: float = 0.0, tile: tuple[int, int] = (256, 256)) -> Raster:
+    """A round for each (beta, sigma, share), all in one exchange: matrices averaged with the path weights of their window.
 
-    def kernel(block, yy, xx):
-        inside = ((yy >= 0) & (yy < ny))[:, None] & ((xx >= 0) & (xx < nx))[None]
+    Share damps off-diagonals in distances alone. A tile's halo has what all rounds reach, and shrinks from round to round.
+    """
+    n, ny, nx, half = (cov.lshape[0] if cov.lshape else 1), cov.ny, cov.nx, win // 2
+    halo = half * len(steps)
+
+    def once(block, yy, xx, beta, sigma, share):
+        """One round and where its pixels lie: without the rim that lacks neighbours; at an image border there are none to lack."""
+        rims = [(half if t[0] == 0 else 0, half if t[-1] == size - 1 else 0) for t, size in ((yy, ny), (xx, nx))]
+        block = np.pad(block, ((0, 0), *rims))
+        inside = np.pad(np.ones((len(yy), len(xx)), bool), rims)
         h, w = block.shape[1] - 2 * half, block.shape[2] - 2 * half
         m = damped(block.transpose(1, 2, 0).reshape(*block.shape[1:], n, n), share)
         total, weight = np.zeros((len(block), h, w), block.dtype), np.zeros((h, w))
         for a, b, wt in path_weights(m, inside, measure, win, beta, phi, sigma, step):
             total += wt * block[:, half + a : half + a + h, half + b : half + b + w]
             weight += wt
-        out = block.copy()
-        out[:, half : half + h, half : half + w] = total / weight
+        return total / weight, *(t[half - before : len(t) - half + after] for t, (before, after) in zip((yy, xx), rims, strict=True))
+
+    def kernel(block, yy, xx):
+        rows, cols = (yy >= 0) & (yy < ny), (xx >= 0) & (xx < nx)
+        now, y, x = block[:, rows][:, :, cols], yy[rows], xx[cols]
+        for beta, sigma, share in steps:
+            now, y, x = once(now, y, x, beta, sigma, share)
+        out = np.zeros_like(block)
+        out[:, y[0] - yy[0] : y[-1] + 1 - yy[0], x[0] - xx[0] : x[-1] + 1 - xx[0]] = now
         return out
 
-    return r.with_df(map_tiles(r, (half, half), kernel, tile=tile, together=True, located=True).df)
+    return map_tiles(cov, (halo, halo), kernel, tile=tile, together=True, border="zero", located=True)
+
+
+def beltrami_round(cov: Raster, beta: float, measure: str = "ai", win: int = 7, sigma: float = 1.0, phi: float = 2.1, step: float = 0.0, share: float = 1.0, tile: tuple[int, int] = (64, 64)) -> Raster:
+    """One round."""
+    return beltrami_rounds(cov, [(beta, sigma, share)], measure, win, phi, step, tile)
 
 
 def matrices(r: Raster) -> Raster:
@@ -222,7 +257,8 @@ def matrices(r: Raster) -> Raster:
 
 
 def mcb(r: Raster, looks: int = 3, max_rounds: int = 25, measure: str = "ai", win: int = 7, sigma: float = 1.0, sigma_step: float = 0.5, epsilon: float = 0.01, phi: float = 2.1, step: float = 0.0, side: int = 35, seed: int = 1) -> tuple[Raster, list[float]]:
-    """The filtered matrices and beta of every round. Rounds are run at once, each from a checkpoint.
+    """The filtered matrices and beta of every round. Rounds of the speckle are run at once, each from a checkpoint; those of
+    the image, which nothing depends on, follow by ``ROUNDS`` in an exchange, with a checkpoint between exchanges.
 
     Speckle: ``side`` x ``side`` matrices of ``looks`` looks (1 for a vector), made from hashes, and filtered like the image.
     From the sixth round on the kernel widens by ``sigma_step``. For a vector, whose matrices have rank one, off-diagonal
@@ -232,20 +268,19 @@ def mcb(r: Raster, looks: int = 3, max_rounds: int = 25, measure: str = "ai", wi
     vector = len(r.lshape) < 2
     now = matrices(r)
     n = now.lshape[0]
-    noise = wishart_noise(r.df.sparkSession, side, side, n, 1 if vector else int(looks), seed)
+    noise = wishart_noise(r.df.sparkSession, side, side, n, 1 if vector else int(looks), seed).pix()
     multiplier = scattered_multiplier(side * side, seed)
-    old, beta, betas, share = 0.0, math.inf, [], 0.0 if vector else 1.0
-    while abs(beta - old) >= epsilon and len(betas) < max_rounds:
-        k = len(betas)
-        if k >= 5:
+    old, beta, steps, share = 0.0, math.inf, [], 0.0 if vector else 1.0
+    while abs(beta - old) >= epsilon and len(steps) < max_rounds:
+        if len(steps) >= 5:
             sigma += sigma_step
         old, beta = beta, beta_statistic(noise, measure, multiplier, share=share).first()["beta"]
-        betas.append(beta)
-        kept = []
-        for x in (noise, now):
-            x = beltrami_round(x, beta, measure, win, sigma, phi, step, share)
-            kept.append(x.with_df(cut(x.df)))
-        noise, now = kept
+        steps.append((beta, sigma, share))
+        noise = beltrami_round(noise, beta, measure, win, sigma, phi, step, share)
+        noise = noise.with_df(cut(noise.df))
         if vector:
             share = min((equivalent_looks(noise).first()["enl"] / n) ** (1 / 3) / 10, 1.0)
-    return now, betas
+    for k in range(0, len(steps), ROUNDS):
+        now = beltrami_rounds(now, steps[k : k + ROUNDS], measure, win, phi, step)
+        now = now.with_df(cut(now.df)) if k + ROUNDS < len(steps) else now
+    return now, [s[0] for s in steps]

@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,14 +31,15 @@ def map_tiles(r: Raster, halo: tuple[int, int], kernel: Callable[[np.ndarray], n
 
     kernel gets (channels, rows + 2 * halo, columns + 2 * halo) and returns (out channels, same rows and
     columns); border pixels are mirrored (``reflect``) or 0 (``zero``). Channels are tiles of their own
-    unless ``together``. With ``located`` the kernel also gets the rows and the columns of its block in the image,
-    which are outside it in the border.
+    unless ``together``; then PIX rasters travel and stay as rows of pixels. With ``located`` the kernel also gets the rows
+    and the columns of its block in the image, which are outside it in the border.
     """
-    r = r.long()
+    packed = together and r.form == "pix" and out_channels is None
+    r = r if packed else r.long()
     keys = r.keys
     df, ny, nx, (hy, hx) = r.df, r.ny, r.nx, halo
     group = keys if keys and not together else []
-    is_complex, n_ch = r.complex, (r.channels if together and keys else 1)
+    is_complex, n_ch = r.complex, (r.channels if packed or together and keys else 1)
 
     def reach(axis: str, n: int, h: int, size: int):
         i = F.col(axis)
@@ -46,24 +48,32 @@ def map_tiles(r: Raster, halo: tuple[int, int], kernel: Callable[[np.ndarray], n
         return near
 
     value = ["re", "im"] if is_complex else ["re"]
-    ch = F.col("ch") if keys else F.lit(0)
-    df = df.select(ch.cast("int").alias("ch"), "y", "x", *value, F.explode(reach("y", ny, hy, tile[0])).alias("ty"))
+    ch = [] if packed else [(F.col("ch") if keys else F.lit(0)).cast("int").alias("ch")]
+    df = df.select(*ch, "y", "x", *value, F.explode(reach("y", ny, hy, tile[0])).alias("ty"))
     df = df.select("*", F.explode(reach("x", nx, hx, tile[1])).alias("tx"))
 
     def run(p: pa.Table) -> pa.Table:
-        p = _columns(p)
+        lists = {k: pc.list_flatten(p.column(k)).to_numpy().reshape(-1, n_ch).T for k in value} if packed else {}
+        p = _columns(p.drop_columns(list(lists))) | lists
         ty, tx, c0 = int(p["ty"][0]), int(p["tx"][0]), 0 if not group else int(p["ch"][0])
         y0, x0 = ty * tile[0], tx * tile[1]
         h, w = min(tile[0], ny - y0), min(tile[1], nx - x0)
         yy, xx = np.arange(y0 - hy, y0 + h + hy), np.arange(x0 - hx, x0 + w + hx)
         block = np.zeros((n_ch, len(yy), len(xx)), complex if is_complex else float)
-        block[p["ch"] - c0, p["y"] - yy[0], p["x"] - xx[0]] = p["re"] + 1j * p["im"] if is_complex else p["re"]
+        channels = slice(None) if packed else p["ch"] - c0
+        block[channels, p["y"] - yy[0], p["x"] - xx[0]] = p["re"] + 1j * p["im"] if is_complex else p["re"]
         if border == "reflect":
             my, mx = mirror(yy, ny) - yy[0], mirror(xx, nx) - xx[0]
             ok_y, ok_x = (my >= 0) & (my < len(yy)), (mx >= 0) & (mx < len(xx))
             block = block[:, np.where(ok_y, my, 0)][:, :, np.where(ok_x, mx, 0)]
         out = kernel(block, yy, xx) if located else kernel(block)
         out = out[:, hy : hy + h, hx : hx + w]
+        if packed:
+            i, j = (a.ravel() for a in np.indices(out.shape[1:]))
+            ends = pa.array(np.arange(0, out.size + 1, len(out), dtype="int32"))
+            parts = {"re": out.real, "im": out.imag} if out_complex else {"re": out.real}
+            lists = {c: pa.ListArray.from_arrays(ends, pa.array(v.reshape(len(out), -1).T.ravel())) for c, v in parts.items()}
+            return pa.table({"y": (i + y0).astype("int64"), "x": (j + x0).astype("int64")} | lists)
         k, i, j = (a.ravel() for a in np.indices(out.shape))
         res = {"ch": (k + c0).astype("int32"), "y": (i + y0).astype("int64"), "x": (j + x0).astype("int64"), "re": out.real.ravel().astype(float)}
         if out_complex:
@@ -72,7 +82,11 @@ def map_tiles(r: Raster, halo: tuple[int, int], kernel: Callable[[np.ndarray], n
 
     out_complex = is_complex if out_channels is None else False
     schema = "ch int, y long, x long, re double" + ", im double" * out_complex
+    if packed:
+        schema = "y long, x long, re array<double>" + ", im array<double>" * out_complex
     res = df.groupBy(*group, "ty", "tx").applyInArrow(run, schema)
+    if packed:
+        return r.with_df(res)
     if out_channels is not None and not group:
         lshape = (out_channels,) if out_channels > 1 else ()
     else:

@@ -74,6 +74,27 @@ def test_a_round_equals_windows_one_by_one(spark, measure, win, step, share):
     np.testing.assert_allclose(got, slow_round(c, measure, win, 0.9, 2.1, 1.3, step, share), rtol=1e-9, atol=1e-12)
 
 
+@pytest.mark.parametrize("form", ["long", "pix"])
+def test_rounds_in_one_exchange_equal_rounds_one_by_one(spark, form):
+    c = scene(2, 23, 17, 5)
+    r = getattr(from_numpy(spark, c), form)()
+    steps = [(0.9, 1.0, 1.0), (0.7, 1.0, 0.8), (0.5, 1.5, 1.0)]
+    want = c
+    for beta, sigma, share in steps:
+        want = be.beltrami_round(from_numpy(spark, want), beta, "ai", 5, sigma, 2.1, 0.1, share, tile=(64, 64)).to_numpy()
+    for tile in ((4, 5), (8, 64), (64, 3)):
+        got = be.beltrami_rounds(r, steps, "ai", 5, 2.1, 0.1, tile)
+        assert got.form == form
+        np.testing.assert_allclose(got.to_numpy(), want, rtol=1e-12, atol=1e-14)
+
+
+def test_the_image_is_cut_once_in_several_rounds(spark, monkeypatch):
+    cuts = []
+    monkeypatch.setattr(be, "cut", lambda df, cut=be.cut: (cuts.append(df), cut(df))[1])
+    _, betas = be.mcb(from_numpy(spark, scene(2, 6, 5, 6)), 6, max_rounds=5, epsilon=0.0, side=9)
+    assert len(betas) == 5 and len(cuts) == 6  # once a round for the speckle
+
+
 def test_pairs_and_beta(spark):
     c = scene(3, 10, 7, 6)
     r = from_numpy(spark, c)
