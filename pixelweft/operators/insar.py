@@ -255,7 +255,8 @@ def _cosine_back(a: np.ndarray) -> np.ndarray:
 
 
 def unwrap_poisson(phase: Raster) -> Raster:
-    """Least-squares unwrapping: the wrapped Laplacian, cosine transforms by lines of both axes, one division."""
+    """Least-squares unwrapping: the wrapped Laplacian, cosine transforms by lines of both axes, one division; rows are
+    transformed, divided and transformed back at once."""
     from ..windows import shifted
 
     r = phase.long()
@@ -264,13 +265,15 @@ def unwrap_poisson(phase: Raster) -> Raster:
     fwd = lambda n, axis, size: F.when(F.col(axis) == size - 1, _wrap(F.col("re") - F.col({"e": "w", "s": "n"}[n]))).otherwise(_wrap(F.col(n) - F.col("re")))
     back = lambda n, axis: F.when(F.col(axis) == 0, _wrap(F.col({"w": "e", "n": "s"}[n]) - F.col("re"))).otherwise(_wrap(F.col("re") - F.col(n)))
     lap = fwd("e", "x", r.nx) - back("w", "x") + fwd("s", "y", r.ny) - back("n", "y")
-    t = map_lines(map_lines(r.with_df(d.select("y", "x", lap.alias("re"))), "y", _cosine), "x", _cosine)
-    import math
+    ny, nx = r.ny, r.nx
 
-    wave = F.cos(F.col("y") * math.pi / max(1, r.ny - 1)) + F.cos(F.col("x") * math.pi / max(1, r.nx - 1))
-    zero = (F.col("y") == 0) & (F.col("x") == 0)
-    t = t.with_df(t.df.select("y", "x", F.when(zero, 0.0).otherwise(F.col("re") / (2.0 * (F.when(zero, 0.00001).otherwise(wave) - 2.0))).alias("re")))
-    return map_lines(map_lines(t, "y", _cosine_back), "x", _cosine_back)
+    def divided(a: np.ndarray, lines: np.ndarray) -> np.ndarray:
+        wave = np.cos(lines * np.pi / max(1, ny - 1))[:, None] + np.cos(np.arange(nx) * np.pi / max(1, nx - 1))
+        zero = (lines == 0)[:, None] & (np.arange(nx) == 0)
+        return _cosine_back(np.where(zero, 0.0, _cosine(a) / (2.0 * (np.where(zero, 0.00001, wave) - 2.0))))
+
+    t = map_lines(r.with_df(d.select("y", "x", lap.alias("re"))), "y", _cosine)
+    return map_lines(map_lines(t, "x", divided, located=True), "y", _cosine_back)
 
 
 def qef(phase: Raster, strength: float = 0.5, win: int = 5) -> Raster:
@@ -287,9 +290,12 @@ def qef(phase: Raster, strength: float = 0.5, win: int = 5) -> Raster:
         u = unwrap_poisson(_angle(median(z, (3, 3))))
         if up is not None:
             u = u.with_df(u.df.join(up.df.withColumnRenamed("re", "u"), ["y", "x"]).select("y", "x", (F.col("re") + F.col("u")).alias("re")))
-        # Each scale is read several times by the next.
-        up = u.with_df(cut(box_mean(u.df, [], ["re"], r.ny, r.nx, (11, 11))))
-    res = up.with_df(box_mean(up.df, [], ["re"], r.ny, r.nx, (11, 11)))
+        up = u.with_df(box_mean(u.df, [], ["re"], r.ny, r.nx, (11, 11)))
+        if a1 == 3:
+            up = up.with_df(box_mean(up.df, [], ["re"], r.ny, r.nx, (11, 11)))
+        # Each scale is read several times by the next, the last by what follows.
+        up = up.with_df(cut(up.df))
+    res = up
     d = r.df.join(res.df.withColumnRenamed("re", "u"), ["y", "x"])
     z = phasor(r.with_df(d.select("y", "x", (F.col("re") - F.col("u")).alias("re"))))
     m = median(z, (win, win)).df.select("y", "x", F.col("re").alias("mr"), F.col("im").alias("mi"))

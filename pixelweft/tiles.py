@@ -96,10 +96,14 @@ def map_tiles(r: Raster, halo: tuple[int, int], kernel: Callable[[np.ndarray], n
     return Raster(res, ny, nx, lshape, "long", out_complex, r.meta)
 
 
-def map_lines(r: Raster, axis: str, kernel: Callable[[np.ndarray], np.ndarray], out_complex: bool | None = None, n_out: int | None = None, channel: bool = False) -> Raster:
-    """Apply kernel to every whole line along an axis ("x": image rows); lines of one channel are grouped by eight.
+#: Pixels that a group of short lines holds; a longer line is a group of its own.
+GROUP = 1 << 14
 
-    With ``channel`` the kernel also gets the number of the channel.
+
+def map_lines(r: Raster, axis: str, kernel: Callable[[np.ndarray], np.ndarray], out_complex: bool | None = None, n_out: int | None = None, channel: bool = False, located: bool = False) -> Raster:
+    """Apply kernel to every whole line along an axis ("x": image rows); lines of one channel are grouped up to ``GROUP`` pixels.
+
+    With ``channel`` the kernel also gets the number of the channel, with ``located`` those of the lines.
     """
     r = r.long()
     keys, other = r.keys, "y" if axis == "x" else "x"
@@ -107,14 +111,14 @@ def map_lines(r: Raster, axis: str, kernel: Callable[[np.ndarray], np.ndarray],
     is_complex = r.complex
     out_complex = is_complex if out_complex is None else out_complex
     ch = F.col("ch") if keys else F.lit(0).alias("ch")
-    df = r.df.select(ch, "y", "x", *(["re", "im"] if is_complex else ["re"])).withColumn("band", F.floor(F.col(other) / 8))
+    df = r.df.select(ch, "y", "x", *(["re", "im"] if is_complex else ["re"])).withColumn("band", F.floor(F.col(other) / max(1, GROUP // n)))
 
     def run(p: pa.Table) -> pa.Table:
         p = _columns(p)
         lines, at = np.unique(p[other], return_inverse=True)
         a = np.zeros((len(lines), n), complex if is_complex else float)
         a[at, p[axis]] = p["re"] + 1j * p["im"] if is_complex else p["re"]
-        out = kernel(a, int(p["ch"][0])) if channel else kernel(a)
+        out = kernel(a, *([int(p["ch"][0])] if channel else []), *([lines] if located else []))
         i, j = (k.ravel() for k in np.indices(out.shape))
         res = {"ch": np.full(len(i), int(p["ch"][0]), "int32"), other: lines[i], axis: j.astype("int64"), "re": out.real.ravel().astype(float)}
         if out_complex:

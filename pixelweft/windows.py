@@ -24,6 +24,9 @@ def pad(df: DataFrame, axis: str, n: int, before: int, after: int, mode: str = "
     else:
         at = [i + 2 * n * k for k in range(-rounds, rounds + 1)] + [-1 - i + 2 * n * k for k in range(-rounds, rounds + 1)]
     spots = F.filter(F.array(*at), lambda t: (t >= -before) & (t < n + after))
+    # Most pixels have no copies.
+    low, high = (after, before) if mode == "wrap" else (before, after)
+    spots = F.when((i >= low) & (i < n - high), F.array(i)).otherwise(spots)
     return df.withColumn(axis, F.explode(spots))
 
 

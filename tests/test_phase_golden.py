@@ -8,7 +8,7 @@ import pytest
 from pixelweft.operators import despeckle as ds
 from pixelweft.operators import insar as ia
 from pixelweft.operators import spectral as sp
-from pixelweft.raster import from_numpy
+from pixelweft.raster import from_numpy, generate
 
 from .test_nlsar import scene
 
@@ -242,3 +242,35 @@ def test_dual_apodisation_takes_the_smaller_of_both(spark):
     one, two = (whole_weight(a, alpha, fix) for alpha, fix in ((1.0, True), (0.5, False)))
     pick = lambda p, q: np.where(p * q > 0, np.sign(p) * np.minimum(abs(p), abs(q)), 0)
     np.testing.assert_allclose(sp.cda(r).to_numpy(), pick(one.real, two.real) + 1j * pick(one.imag, two.imag), atol=1e-12)
+
+
+def test_long_lines_are_groups_of_their_own(spark):
+    """Eight lines a group made as few groups as an eighth of a long image's columns."""
+    from pixelweft import tiles
+
+    # Narrow and long: columns of tiles.GROUP pixels, rows of 16.
+    n = tiles.GROUP
+    r = generate(spark, n, 16, lambda y, x: (y * 31 + x * 17) % 101)
+    per_group = lambda a: np.full(a.shape, float(len(a)))
+    most = lambda axis: tiles.map_lines(r, axis, per_group).df.agg({"re": "max"}).first()[0]
+    assert most("y") == 1 and most("x") == n // 16
+
+
+def test_lines_know_their_numbers(spark):
+    from pixelweft import tiles
+
+    r = generate(spark, 9, 7, lambda y, x: y * 0 + x * 0)
+    number = lambda a, lines: a + lines[:, None]
+    for axis, want in (("x", np.indices((9, 7))[0]), ("y", np.indices((9, 7))[1])):
+        assert np.array_equal(tiles.map_lines(r, axis, number, located=True).to_numpy(), want)
+
+
+@pytest.mark.parametrize("mode", ["symmetric", "wrap"])
+@pytest.mark.parametrize(("before", "after"), [(0, 3), (4, 0), (3, 2), (6, 5), (17, 13)])
+def test_padding_of_a_line(spark, mode, before, after):
+    from pixelweft.windows import pad
+
+    r = generate(spark, 1, 6, lambda y, x: x + 1)
+    got = pad(r.df, "x", 6, before, after, "wrap" if mode == "wrap" else "reflect").orderBy("x").toPandas()
+    assert list(got.x) == list(range(-before, 6 + after))
+    assert np.array_equal(got.re, np.pad(np.arange(1.0, 7), (before, after), mode))
